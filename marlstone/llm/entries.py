@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import read_table
+from .decontaminate import contamination
+from .language_id import held_out, identify_languages
 from .near_dup import near_duplicates
+from .substring_dedup import drop_repeated_passages
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify_languages(docs, docs.where(~held_out(F.col("doc_id"))))
+    return found.withColumn("held_out", held_out(F.col("doc_id")))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
