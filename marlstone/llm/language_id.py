@@ -41,8 +41,10 @@ def fit(labelled: DataFrame) -> dict[str, list[bytes]]:
     """The dictionaries of each language of `labelled` (doc_id, text, lang), from a bounded sample of it.
 
     The sample has up to FIT_DOCS * DICTIONARIES whole documents of each language, those first in the order of a hash
-    of doc_id; documents of FIT_CHARS characters go before others.
+    of doc_id; documents of FIT_CHARS characters go before others. Languages come in the order of their frequency.
     """
+    labelled = labelled.where("text is not null and lang is not null")
+    often = {row.lang: row.n for row in labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).toLocalIterator()}
     fits = F.length("text").between(*FIT_CHARS)
     order = Window.partitionBy("lang").orderBy(fits.desc(), F.xxhash64("doc_id"), "doc_id")
     rows = (
