@@ -6,9 +6,11 @@ with a probability of about 2 in 100,000). The signature is split into 16 chunks
 principle a pair under the threshold has a chunk with at most one differing symbol, so each chunk is indexed once for
 each symbol that may be wrong, with the other three as the key: all pairs under the threshold meet in some bucket.
 
-Buckets are not expanded into pairs. First each member is compared with its bucket's smallest member. Components are
-then contracted, and only buckets that still hold several components are searched in blocks, with the number of
-candidates of a member growing fourfold each round until none is left over. Every link is confirmed on the full sets.
+Buckets are not expanded into pairs. First each member is confirmed, or not, against the nearest of its buckets' smallest
+members, and components are contracted. Buckets that still hold several components are then searched in blocks; each
+gives only enough pairs under the threshold to connect its components, so that what may belong together forms clusters.
+A cluster's documents are at last compared in blocks on their full sets, nearest signatures first, skipping what is
+already connected, until every pair under the threshold that would join two components has been tried.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from ._shared import partitions_for, small_side, staged
 from ._words import LOWER_TABLE, mix, pieces, short_shingle, shingle_sets, text_bytes, window_hashes, word_hashes
 
 SYMBOLS, CHUNK, DISTANCE = 64, 4, 31
-#: Members of one block of a large bucket, and texts compared with one copy of a leader's text.
-BLOCK, FAN = 2000, 256
+#: Members of one block of a large bucket, texts compared with one copy of a leader's text, texts of a cluster's block.
+BLOCK, FAN, CLUSTER_BLOCK = 2000, 256, 256
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -129,40 +131,98 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _block_pairs(most: int):
-    """mapInArrow function over blocks of buckets, (key, bi, bj, rep, comp, part, sign) sorted by the first three.
+class _Joined:
+    """Which of the given labels have been joined."""
 
-    Gives the pairs of different components under the threshold, the nearest `most` of each member and block, and
-    for members with more a row without b.
+    def __init__(self, labels: np.ndarray):
+        self.up = {x: x for x in labels.tolist()}
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _candidates(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a block in different components that may be similar enough, the nearest signatures first.
+
+    A block (bi, bj) pairs the members whose part is bi with those of part bj; (bi, bi) pairs members with each other.
+    Set sizes that rule a link out count as too far.
     """
+    n = block.num_rows
+    comp, part, size = (block.column(c).to_numpy() for c in ("comp", "part", "n_shingles"))
+    signs = np.frombuffer(b"".join(block.column("sign").to_pylist()), np.uint16).reshape(n, SYMBOLS)
+    bi, bj = block.column("bi")[0].as_py(), block.column("bj")[0].as_py()
+    left, right = np.flatnonzero(part == bi), np.flatnonzero(part == bj)
+    found = []
+    for at, i in enumerate(left):
+        near = right[at + 1 :] if bi == bj else right
+        near = near[(comp[near] != comp[i]) & (100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i]))]
+        if len(near):
+            apart = (signs[near] != signs[i]).sum(axis=1)
+            ok = apart <= DISTANCE
+            found.append(np.stack([apart[ok], np.full(ok.sum(), i), near[ok]]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    apart, i, j = np.concatenate(found, axis=1)
+    order = np.argsort(apart, kind="stable")
+    return i[order], j[order]
+
+
+def _links(a: list, b: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _bridges(percent: int):
+    """mapInArrow function over blocks of buckets: pairs of components that connect all those under the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
         for block in grouped(batches, ["key", "bi", "bj"]):
-            n = block.num_rows
-            rep, comp, part = (block.column(c).to_numpy() for c in ("rep", "comp", "part"))
-            signs = np.frombuffer(b"".join(block.column("sign").to_pylist()), np.uint16).reshape(n, SYMBOLS)
-            inner = block.column("bi")[0].as_py() == block.column("bj")[0].as_py()
-            left = np.arange(n) if inner else np.flatnonzero(part == block.column("bi")[0].as_py())
-            right = np.arange(n) if inner else np.flatnonzero(part == block.column("bj")[0].as_py())
-            a_out, b_out = [], []
-            for i in left:
-                near = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if inner else True)]
-                if not len(near):
-                    continue
-                apart = (signs[near] != signs[i]).sum(axis=1)
-                near, apart = near[apart <= DISTANCE], apart[apart <= DISTANCE]
-                if len(near) > most:
-                    near = near[np.lexsort((rep[near], apart))[:most]]
-                    a_out.append(rep[i])
-                    b_out.append(None)
-                a_out += [min(rep[i], rep[j]) for j in near]
-                b_out += [max(rep[i], rep[j]) for j in near]
-            if a_out:
-                yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            comp = block.column("comp").to_numpy()
+            joined = _Joined(comp)
+            for x, y in zip(*(comp[side].tolist() for side in _candidates(block, percent)), strict=True):
+                if joined.root(x) != joined.root(y):
+                    joined.join(x, y)
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+            if len(a) > 10_000:
+                yield _links(a, b)
+                a, b = [], []
+        yield _links(a, b)
 
     return run
 
 
+def _resolve(shingles: int, percent: int):
+    """mapInArrow function over blocks of clusters, with texts: pairs of components that a confirmed link joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grouped(batches, ["key", "bi", "bj"]):
+            comp = block.column("comp").to_numpy()
+            sets = list(shingle_sets([x.translate(LOWER_TABLE) for x in text_bytes(block.column("text").combine_chunks())], shingles))
+            joined, a, b = _Joined(comp), [], []
+            for i, j in zip(*(side.tolist() for side in _candidates(block, percent)), strict=True):
+                x, y = int(comp[i]), int(comp[j])
+                if joined.root(x) != joined.root(y) and _similar(sets[i], sets[j], percent):
+                    joined.join(x, y)
+                    a.append(x)
+                    b.append(y)
+            if a:
+                yield _links(a, b)
+
+    return run
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _confirm(shingles: int, percent: int):
     """mapInArrow function over (lead, salt, role, doc_id, text) sorted by the first three: confirmed (a, b)."""
 
@@ -178,13 +238,10 @@ def _confirm(shingles: int, percent: int):
                 if role == 0:
                     leaders.append(own)
                     continue
-                for other in leaders:
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if both and 100 * both >= percent * (len(own) + len(other) - both):
-                        a_out.append(lead)
-                        b_out.append(doc)
-                        break
-            yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+                if any(_similar(own, other, percent) for other in leaders):
+                    a_out.append(lead)
+                    b_out.append(doc)
+            yield _links(a_out, b_out)
 
     return run
 
@@ -209,6 +266,33 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingles: int, percent: int) -
     )
 
 
+def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
+    """labels (id, comp) after the components in moves (id, comp) have become others."""
+    return labels.join(moves.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after links (a, b) between ids."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("id").alias(side), F.col("comp").alias("c" + side)), side)
+    ends = staged(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-ends")
+    return staged(_moved(labels, connected(ends.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ends)), "near-labels")
+
+
+def _blocked(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (key, members, rep, ...) dealt to the pairs (bi, bj) of their key's blocks of about `size` rows, and sorted."""
+    blocks = F.ceil(F.col("members") / F.lit(size)).cast("int")
+    return (
+        rows.withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"bi": F.least("part", "other"), "bj": F.greatest("part", "other")})
+        .drop("other", "members")
+        .repartition(partitions_for(rows.sparkSession), "key", "bi", "bj")
+        .sortWithinPartitions("key", "bi", "bj", "rep")
+    )
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp) of every node: comp is the smallest id that it reaches.
 
@@ -247,16 +331,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     """
     if percent < 75:
         raise ValueError("the signature threshold is set for a similarity of 0.75 or more")
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions_for(spark)
     signed = staged(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, set_a long, set_b long, sign binary"), "near-signs")
     same = ["n_shingles", "set_a", "set_b"]
     has = signed.where("doc_id is not null and n_shingles > 0")
     reps = staged(has.groupBy(*same).agg(F.min_by("sign", "doc_id").alias("sign"), F.min("doc_id").alias("rep")), "near-reps")
-    signs = reps.select("rep", "sign")
+    signs = reps.select("rep", "sign", "n_shingles")
 
-    keys = signs.mapInArrow(_index_keys, "key long, rep long")
+    keys = signs.select("rep", "sign").mapInArrow(_index_keys, "key long, rep long")
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("members")).where("members > 1")
     buckets = staged(keys.join(heads, "key"), "near-buckets")
     stars = buckets.where("rep <> head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared"))
@@ -269,37 +351,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     classes = staged(has.join(reps.select(*same, "rep"), same).select("doc_id", "n_shingles", "rep"), "near-classes")
     twice = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     labels = connected(signs.select(F.col("rep").alias("id")).distinct(), classes.join(twice, "doc_id").select("a", F.col("rep").alias("b")))
-    tested, most = None, 8
-    while not pairs.isEmpty():
-        good = staged(_confirmed(docs, pairs, shingle_words, percent), "near-links")
-        merged = good.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-        moves = connected(labels.select(F.col("comp").alias("id")).distinct(), merged.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        labels = staged(labels.join(moves.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp").select("id", F.col("to").alias("comp")), "near-labels")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        pairs = None
-        while pairs is None:
-            placed = buckets.join(labels.select(F.col("id").alias("rep"), "comp"), "rep")
-            open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-            part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-            found = staged(
-                placed.join(open_keys, "key", "left_semi")
-                .join(signs, "rep")
-                .withColumn("blocks", blocks)
-                .withColumn("part", part)
-                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .select("key", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "rep", "comp", "part", "sign")
-                .repartition(n, "key", "bi", "bj")
-                .sortWithinPartitions("key", "bi", "bj", "rep")
-                .mapInArrow(_block_pairs(most), "a long, b long")
-                .distinct(),
-                "near-found",
-            )
-            fresh = staged(found.where("b is not null").join(tested, ["a", "b"], "left_anti"), "near-pairs")
-            left_over = not found.where("b is null").isEmpty()
-            most *= 4
-            if not fresh.isEmpty() or not left_over:
-                pairs = fresh
+    labels = _relabelled(labels, staged(_confirmed(docs, pairs, shingle_words, percent), "near-links"))
+
+    placed = buckets.join(labels.select(F.col("id").alias("rep"), "comp"), "rep")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    open_members = placed.join(open_keys, "key", "left_semi").select("key", "members", "rep", "comp").join(signs, "rep")
+    bridges = staged(_blocked(open_members, BLOCK).mapInArrow(_bridges(percent), "a long, b long").distinct(), "near-bridges")
+    if not bridges.isEmpty():
+        clusters = connected(bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), bridges)
+        inside = staged(labels.join(clusters.select(F.col("id").alias("comp"), F.col("comp").alias("key")), "comp"), "near-inside")
+        counted = staged(inside.join(inside.groupBy("key").agg(F.count("*").alias("members")), "key").join(signs, F.col("id") == F.col("rep")).drop("id"), "near-clusters")
+        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(small_side(counted, 200), "rep")
+        links = staged(_blocked(texts, CLUSTER_BLOCK).mapInArrow(_resolve(shingle_words, percent), "a long, b long"), "near-links")
+        moves = connected(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links)
+        labels = staged(_moved(labels, moves), "near-labels")
     alone = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep").select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
