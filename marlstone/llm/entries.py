@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ._shared import read_table
 from .decontaminate import contamination
 from .language_id import held_out, identify_languages
+from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .substring_dedup import drop_repeated_passages
+from .token_binary import token_files_round_trip
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +43,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op6_mixing": op6_mixing,
+    "op8_token_binary": op8_token_binary,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
