@@ -12,6 +12,8 @@ from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .substring_dedup import drop_repeated_passages
 from .token_binary import token_files_round_trip
+from .token_counts import token_counts
+from .warc import warc_round_trip
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +53,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
     "op8_token_binary": op8_token_binary,
     "op9_decontaminate": op9_decontaminate,
