@@ -32,6 +32,8 @@ from .near_dup import grouped
 LEVELS, SLOTS = (2, 4, 8), 1 << 16
 #: Suffixes of one group that are sorted together.
 GROUP = 2_000_000
+#: Bytes of text whose suffixes a map task holds at once.
+CHUNK_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -126,48 +128,52 @@ def _suffixes(window: int, lanes: int, route: np.ndarray, parts: int):
     """mapInArrow function: (doc_id, text) to packed suffixes for their groups; places known to be repeats lack paths."""
     levels = [k for k in LEVELS if k < window] + [window]
 
+    def packed(chunk: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps, docs, starts, groups = [], [], [], []
+        for begin, part in pieces(chunk):
+            h, first = word_hashes(part)
+            n = len(h) - window + 1
+            if n <= 0:
+                continue
+            pick = np.flatnonzero(windows_inside(first, window, n))
+            owner = np.searchsorted(first, pick, side="right") - 1
+            group = np.full(len(pick), -1, np.int32)
+            for i, k in enumerate(levels):
+                todo = np.flatnonzero(group < 0)
+                if len(todo):
+                    group[todo] = route[i][_slots(h, k, n)[pick[todo]]]
+            one = mix(window_hashes(h, window)[:n][pick] ^ np.uint64(0xA5A5A5A55A5A5A5A))
+            fps.append(one)
+            docs.append(ids[begin + owner])
+            starts.append((pick - first[owner]).astype(np.int32))
+            groups.append(group)
+            if lanes == 2:
+                fps[-1] = np.stack([one, window_hashes(mix(h ^ np.uint64(0x1234567)), window)[:n][pick]])
+        if not fps:
+            return
+        path = np.concatenate(fps, axis=-1).reshape(lanes, -1)
+        docs, starts, groups = (np.concatenate(x) for x in (docs, starts, groups))
+        order = np.argsort(path[0], kind="stable") if lanes == 1 else np.lexsort((path[1], path[0]))
+        same = np.concatenate([[False], (path[:, order[1:]] == path[:, order[:-1]]).all(axis=0)])
+        # of equal paths the first in the order of documents stays; one at the very same place is no repeat of it
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        later = same & ((docs[order] != docs[head]) | (starts[order] != starts[head]))
+        gone = np.sort(order[later])
+        keep = np.sort(order[~later])
+        rows = [(p, None, blob) for p, _, blob in _places(_doc_part(docs[gone], parts), docs[gone], starts[gone], parts)]
+        kd, ks, kp = docs[keep], starts[keep], path[:, keep]
+        rows += [(p, kp[:, pick].tobytes(), blob) for p, pick, blob in _places(groups[keep], kd, ks, parts)]
+        for i in range(0, len(rows), 32):
+            yield _batch(rows[i : i + 32])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             by_id = np.argsort(ids, kind="stable")
             raw = text_bytes(batch.column("text"))
             ids, texts = ids[by_id], [raw[i] for i in by_id]
-            fps, docs, starts, groups = [], [], [], []
-            for begin, part in pieces(texts):
-                h, first = word_hashes(part)
-                n = len(h) - window + 1
-                if n <= 0:
-                    continue
-                pick = np.flatnonzero(windows_inside(first, window, n))
-                owner = np.searchsorted(first, pick, side="right") - 1
-                group = np.full(len(pick), -1, np.int32)
-                for i, k in enumerate(levels):
-                    todo = np.flatnonzero(group < 0)
-                    if len(todo):
-                        group[todo] = route[i][_slots(h, k, n)[pick[todo]]]
-                one = mix(window_hashes(h, window)[:n][pick] ^ np.uint64(0xA5A5A5A55A5A5A5A))
-                fps.append(one)
-                docs.append(ids[begin + owner])
-                starts.append((pick - first[owner]).astype(np.int32))
-                groups.append(group)
-                if lanes == 2:
-                    fps[-1] = np.stack([one, window_hashes(mix(h ^ np.uint64(0x1234567)), window)[:n][pick]])
-            if not fps:
-                continue
-            path = np.concatenate(fps, axis=-1).reshape(lanes, -1)
-            docs, starts, groups = (np.concatenate(x) for x in (docs, starts, groups))
-            order = np.argsort(path[0], kind="stable") if lanes == 1 else np.lexsort((path[1], path[0]))
-            same = np.concatenate([[False], (path[:, order[1:]] == path[:, order[:-1]]).all(axis=0)])
-            # of equal paths the first in the order of documents stays; one at the very same place is no repeat of it
-            head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-            later = same & ((docs[order] != docs[head]) | (starts[order] != starts[head]))
-            gone = np.sort(order[later])
-            keep = np.sort(order[~later])
-            rows = [(p, None, blob) for p, _, blob in _places(_doc_part(docs[gone], parts), docs[gone], starts[gone], parts)]
-            kd, ks, kp = docs[keep], starts[keep], path[:, keep]
-            rows += [(p, kp[:, pick].tobytes(), blob) for p, pick, blob in _places(groups[keep], kd, ks, parts)]
-            for i in range(0, len(rows), 32):
-                yield _batch(rows[i : i + 32])
+            for at, chunk in pieces(texts, CHUNK_BYTES):
+                yield from packed(chunk, ids[at : at + len(chunk)])
 
     return run
 
