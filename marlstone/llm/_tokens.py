@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow.fs
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from ._words import LOWER_TABLE
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_200_000
+#: Marks that end many words; a run of them is a piece of its own.
+MARKS = b".,|!?;:*%$&#"
 
 
 class WordEncoder:
@@ -25,6 +29,8 @@ class WordEncoder:
     def __init__(self, name: str = TOKENIZER, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = special_as_text
+        self.plain = Tokenizer.from_file(public_tokenizers.path(name))  # for text that normalising leaves as it is
+        self.plain.normalizer = normalizers.Sequence([])
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -36,19 +42,20 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Adds words to the known ones. Words of letters only are one piece each, so many can be encoded as one text."""
-        letters, other = [], []
+        plain, letters, other = [], [], []
         for word in words:
-            (letters if word.isalpha() or (not word.isascii() and word.decode().isalpha()) else other).append(word)
-        for i in range(0, len(letters), 4096):
-            part = letters[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(x.decode() for x in part), add_special_tokens=False).ids, self.kind)
-            end = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(end) != len(part):
-                other += part
-                continue
-            width, raw = ids.itemsize, ids.tobytes()
-            cut = [0, *(end * width).tolist()]
-            self.known.update((word, raw[a:b]) for word, a, b in zip(part, cut[:-1], cut[1:], strict=True))
+            (plain if word.isalpha() else letters if _letters(word) else other).append(word)
+        for kind, engine in ((plain, self.plain), (letters, self.tokenizer)):
+            for i in range(0, len(kind), 8192):
+                part = kind[i : i + 8192]
+                ids = np.array(engine.encode(" ".join(x.decode() for x in part), add_special_tokens=False).ids, self.kind)
+                end = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(end) != len(part):
+                    other += part
+                    continue
+                width, raw = ids.itemsize, ids.tobytes()
+                cut = [0, *(end * width).tolist()]
+                self.known.update((word, raw[a:b]) for word, a, b in zip(part, cut[:-1], cut[1:], strict=True))
         self.known.update(zip(other, self._whole([x.decode() for x in other]), strict=True))
 
     def encode(self, text: bytes) -> bytes:
@@ -61,15 +68,23 @@ class WordEncoder:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             pass
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = {x for x in words if x not in known}
-        # a letter and the mark after it are pieces of their own
-        marked = {x: x[:-1] for x in new if x[-1:] in b".,|!" and len(x) > 1 and 97 <= x[-2] <= 122 and x[:-1].isalpha()}
-        self._learn([x for x in (new - marked.keys()) | set(marked.values()) | {x[-1:] for x in marked} if x not in known])
-        known.update((x, known[core] + known[x[-1:]]) for x, core in marked.items())
+        if len(known) > CACHED_WORDS:  # the words that came first are the frequent ones
+            self.known = known = dict(islice(known.items(), CACHED_WORDS // 2))
+        self.learn_all(words)
         return b"".join(map(known.__getitem__, words))
 
+    def learn_all(self, words: list[bytes]) -> None:
+        """Makes lower-cased words known."""
+        known = self.known
+        new = {x for x in words if x not in known}
+        marked = {x: core for x in new if x[-1] in MARKS and _letters(core := x.rstrip(MARKS))}
+        self._learn([x for x in (new - marked.keys()) | set(marked.values()) | {x[len(core) :] for x, core in marked.items()} if x not in known])
+        known.update((x, known[core] + known[x[len(core) :]]) for x, core in marked.items())
+
+
+def _letters(word: bytes) -> bool:
+    return word.isalpha() or (not word.isascii() and word.decode().isalpha())
+
 
 _encoders: dict[tuple, WordEncoder] = {}
 
