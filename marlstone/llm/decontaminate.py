@@ -139,3 +139,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     if first:
         out = out.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
     return out.mapInArrow(_judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def _clean(tables):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = tables.value.search
+        for batch in batches:
+            yield batch.filter(pa.array([not search(alnum_words(x))[0] for x in text_bytes(batch.column("text"))], pa.bool_()))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of `docs`, with all their columns, that contamination() finds clean."""
+    for block in _blocks(benchmark):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(PatternTables(block, window))), docs.schema)
+    return docs

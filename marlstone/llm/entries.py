@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ._shared import read_table
 from .decontaminate import contamination
 from .language_id import held_out, identify_languages
+from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .quality_rules import judge_quality
 from .substring_dedup import drop_repeated_passages
 from .token_binary import token_files_round_trip
 from .token_counts import token_counts
@@ -32,10 +34,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +65,9 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_warc": op4_warc,
+    "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_binary": op8_token_binary,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,

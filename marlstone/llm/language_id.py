@@ -58,8 +58,8 @@ def fit(labelled: DataFrame) -> dict[str, list[bytes]]:
     return {lang: [b" ".join(x)[-DICTIONARY_BYTES:] for x in parts] for lang, parts in sorted(found.items(), key=lambda x: (-often[x[0]], x[0]))}
 
 
-def _classify(model):
-    """mapInArrow function: (doc_id, text) to (doc_id, lang_pred, score)."""
+def _classify(model, filtering: bool = False):
+    """mapInArrow function: (doc_id, text) to (doc_id, lang_pred, score); or the accepted rows with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, compressors = [], []
@@ -85,6 +85,9 @@ def _classify(model):
                 sizes = sorted((sum(len(own[j](x)) for j, x in use), place) for place, own in enumerate(compressors))
                 pred.append(langs[sizes[0][1]])
                 score.append(1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0])
+            if filtering:
+                yield batch.filter(pa.array([p != UNKNOWN and s >= MARGIN for p, s in zip(pred, score, strict=True)], pa.bool_()))
+                continue
             yield pa.record_batch([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -104,6 +107,12 @@ def identify_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     return found.withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MARGIN))
 
 
+def accepted_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that identify_languages() accepts."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    return docs.mapInArrow(_classify(model, filtering=True), docs.schema)
+
+
 def held_out(doc_id) -> Column:
     """The fold that is never learned from: crc32 of doc_id as text leaves 2 when divided by 4. False for null."""
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))

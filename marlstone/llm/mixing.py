@@ -139,3 +139,16 @@ def mix_sources(docs: DataFrame, total_share: float = 1.5, most: float = 2.0) ->
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("mass") > 0).cast("long")).otherwise(F.lit(0))
     out = out.join(small_side(totals, 40), F.col("src") == F.col("its")).withColumn("copies", copies.cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, total_share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of `docs`, with all their columns, as often as mix_sources() takes them.
+
+    Rows with the same doc_id, source and size share their copies evenly.
+    """
+    mixed = staged(mix_sources(docs, total_share, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
+    taken = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.round(F.col("copies") / F.col("rows")).cast("int").alias("_copies"))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    joined = docs.withColumn("_words", size).join(small_side(taken, 48), same & (F.col("_words") == F.col("_size"))).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

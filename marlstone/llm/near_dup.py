@@ -368,3 +368,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     alone = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep").select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of `docs`, with all their columns, without near-duplicates: of each component the smallest doc_id stays.
+
+    Of rows that share a doc_id one stays. Rows without a doc_id all stay.
+    """
+    judged = staged(near_duplicates(docs, shingle_words, percent), "near-judged")
+    gone = staged(judged.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
+    kept = docs.join(small_side(gone, 16), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    twice = staged(judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).count().where("count > 1").select("gone_id"), "near-twice")
+    if twice.isEmpty():
+        return kept
+    twice = small_side(twice, 16)
+    single = kept.join(twice, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return single.unionByName(kept.join(twice, F.col("doc_id") == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"]))
