@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "market_metrics"
+from . import classify, composites, linking, measures, modelling, quality, ranking, releases
+from .registry import QUERIES, SQL
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+FLAGSHIP = "market_metrics"
+MODULES = (classify, composites, linking, measures, modelling, quality, ranking, releases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return SQL
