@@ -9,6 +9,7 @@ from ..operators import metrics as A
 from ..operators.sets import partition_audit
 from .registry import ENTITIES, TRADES, entities, query, table, trades
 
+r11 = lambda df, *names: df.withColumns({c: F.round(c, 11) for c in names})
 r9 = lambda df, *names: df.withColumns({c: F.round(c, 9) for c in names})
 
 
@@ -123,19 +124,19 @@ def _feeder(spark, d):
     return A.feeder_scores(f, "k", "score", "w", "q").where("scored > 0")
 
 
-@query("feeder_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 9) AS mean, ROUND(low, 9) AS low, ROUND(high, 9) AS high, ROUND(median, 9) AS median, ROUND(deviation, 9) AS deviation, ROUND(reliability, 9) AS reliability, ROUND(GREATEST(0, LEAST(100, mean * reliability - deviation * 0.2)), 9) AS composite FROM s")
+@query("feeder_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 11) AS mean, ROUND(low, 11) AS low, ROUND(high, 11) AS high, ROUND(median, 11) AS median, ROUND(deviation, 11) AS deviation, ROUND(reliability, 11) AS reliability, ROUND(GREATEST(0, LEAST(100, mean * reliability - deviation * 0.2)), 11) AS composite FROM s")
 def feeder_scores(spark, d):
     """Weighted scores of the entities that relations lead to."""
     names = ["mean", "low", "high", "median", "deviation", "reliability", "composite"]
-    return r9(_feeder(spark, d).select("k", *names), *names)
+    return r11(_feeder(spark, d).select("k", *names), *names)
 
 
-@query("scenario_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 9) AS base, ROUND(0.5 * mean + 0.5 * low, 9) AS cautious, ROUND(0.5 * mean + 0.5 * high, 9) AS hopeful, CASE WHEN reliability >= 0.97 THEN 'SOLID' WHEN reliability >= 0.94 THEN 'FAIR' ELSE 'WEAK' END AS status FROM s")
+@query("scenario_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 11) AS base, ROUND(0.5 * mean + 0.5 * low, 11) AS cautious, ROUND(0.5 * mean + 0.5 * high, 11) AS hopeful, CASE WHEN reliability >= 0.97 THEN 'SOLID' WHEN reliability >= 0.94 THEN 'FAIR' ELSE 'WEAK' END AS status FROM s")
 def scenario_scores(spark, d):
     """A score under three weightings, with its status."""
     status = F.when(F.col("reliability") >= 0.97, "SOLID").when(F.col("reliability") >= 0.94, "FAIR").otherwise("WEAK")
     s = _feeder(spark, d)
-    return s.select("k", F.round("mean", 9).alias("base"), F.round(0.5 * F.col("mean") + 0.5 * F.col("low"), 9).alias("cautious"), F.round(0.5 * F.col("mean") + 0.5 * F.col("high"), 9).alias("hopeful"), status.alias("status"))
+    return s.select("k", F.round("mean", 11).alias("base"), F.round(0.5 * F.col("mean") + 0.5 * F.col("low"), 11).alias("cautious"), F.round(0.5 * F.col("mean") + 0.5 * F.col("high"), 11).alias("hopeful"), status.alias("status"))
 
 
 _YEARLY = "y AS (SELECT o_custkey AS k, CAST(YEAR(o_orderdate) AS INT) AS yr, COUNT(*) AS n, AVG(o_totalprice) / 10000 AS rate, SUM(o_totalprice) AS total FROM orders GROUP BY ALL)"
@@ -151,10 +152,10 @@ def shrunk_rates(spark, d):
     return r9(A.shrunk_rates(_yearly(spark, d), "k", "yr", "rate", "n", 10.0), "baseline", "shrunk")
 
 
-@query("recency_weighted", f"WITH {_YEARLY}, w AS (SELECT *, CASE yr WHEN 2001 THEN 0.5 WHEN 2000 THEN 0.3 WHEN 1999 THEN 0.2 END AS w FROM y) SELECT k, ROUND(SUM(w * rate) / SUM(w), 9) AS recent, COUNT(*) AS observed, CASE WHEN COUNT(*) > 1 THEN ROUND(GREATEST(0, LEAST(1, 1 - STDDEV_POP(rate) / 50)), 9) END AS stability FROM w GROUP BY k")
+@query("recency_weighted", f"WITH {_YEARLY}, w AS (SELECT *, CASE yr WHEN 2001 THEN 0.5 WHEN 2000 THEN 0.3 WHEN 1999 THEN 0.2 END AS w FROM y) SELECT k, ROUND(SUM(w * rate) / SUM(w), 11) AS recent, COUNT(*) AS observed, CASE WHEN COUNT(*) > 1 THEN ROUND(GREATEST(0, LEAST(1, 1 - STDDEV_POP(rate) / 50)), 11) END AS stability FROM w GROUP BY k")
 def recency_weighted(spark, d):
     """A mean weighted by age, renormalised over the years there are; and stability."""
-    return r9(A.recency_weighted(_yearly(spark, d), "k", "yr", "rate", 2001, [0.5, 0.3, 0.2]), "recent", "stability")
+    return r11(A.recency_weighted(_yearly(spark, d), "k", "yr", "rate", 2001, [0.5, 0.3, 0.2]), "recent", "stability")
 
 
 @query("latest_rollup", f"WITH {_YEARLY} SELECT k, yr, n, ROUND(rate, 9) AS rate, years, ROUND(best, 9) AS best FROM (SELECT *, COUNT(*) OVER (PARTITION BY k) AS years, MAX(rate) OVER (PARTITION BY k) AS best FROM y) QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY yr DESC) = 1")
@@ -330,10 +331,10 @@ def bucket_sums(spark, d):
     return g.select("l_suppkey", "b10", "b25", "rest", F.col("b10").between(F.col("n") * 0.15, F.col("n") * 0.25).alias("plausible"))
 
 
-@query("as_of_scores", f"WITH {_YEARLY}, a AS (SELECT UNNEST([1997, 1999, 2001]) AS y0) SELECT k, CAST(y0 AS INT) AS \"asof\", CAST(SUM(n) AS BIGINT) AS n, ROUND(SUM(total) / SUM(n), 4) AS mean FROM y, a WHERE yr <= y0 GROUP BY ALL")
+@query("as_of_scores", f"WITH {_YEARLY}, a AS (SELECT UNNEST([1997, 1999, 2001]) AS y0) SELECT k, CAST(y0 AS INT) AS \"asof\", CAST(SUM(n) AS BIGINT) AS n, ROUND(SUM(total) / SUM(n), 8) AS mean FROM y, a WHERE yr <= y0 GROUP BY ALL")
 def as_of_scores(spark, d):
     """Scores of each year from what was known then."""
-    return A.as_of_rows(_yearly(spark, d), "yr", [1997, 1999, 2001]).groupBy("k", "asof").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean"))
+    return A.as_of_rows(_yearly(spark, d), "yr", [1997, 1999, 2001]).groupBy("k", "asof").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 8).alias("mean"))
 
 
 @query("crosswalk", "WITH c AS (SELECT p_brand AS g, p_type AS c, COUNT(*) AS n FROM part WHERE p_size < 4 GROUP BY ALL) SELECT g, c, n, ROUND(n / SUM(n) OVER (PARTITION BY g), 9) AS share, CASE WHEN COUNT(*) OVER (PARTITION BY g) = 1 AND COUNT(*) OVER (PARTITION BY c) = 1 THEN 'ONE_TO_ONE' WHEN COUNT(*) OVER (PARTITION BY c) = 1 THEN 'SPLIT' WHEN COUNT(*) OVER (PARTITION BY g) = 1 THEN 'MULTI' ELSE 'MIXED' END AS relation FROM c")
