@@ -73,10 +73,15 @@ def latest_row(df: DataFrame, key: str, when: str, ties: str) -> DataFrame:
     return packed.select(key, *(F.col("_last")[c].alias(c) for c in names))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; null where a side doesn't vary, which corr() takes for a division by zero."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str, groups: list[str] | None = None) -> DataFrame:
     """(groups, rho, n): Pearson of average ranks over complete rows; null with fewer than 3 rows or 2 distinct values."""
     groups = groups or []
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = whole.withColumns({"_x": average_rank(x, groups), "_y": average_rank(y, groups)})
     enough = (F.count("*") >= 3) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    return ranked.groupBy(*groups).agg(F.when(enough, F.corr("_x", "_y")).alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*groups).agg(F.when(enough, correlation("_x", "_y")).alias("rho"), F.count("*").alias("n"))

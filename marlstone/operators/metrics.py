@@ -205,13 +205,13 @@ def scoped(df: DataFrame, scopes: Mapping[str, str | None]) -> DataFrame:
 
 def correlations(df: DataFrame, x: str, y: str, scopes: Mapping[str, str | None]) -> DataFrame:
     """(scope, member, pearson, spearman, n): correlations of complete rows in every scope."""
-    from ..functions.ranks import average_rank
+    from ..functions.ranks import average_rank, correlation
 
     rows = scoped(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), scopes)
     by = ["scope", "member"]
     rows = rows.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
     enough = (F.count("*") >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return rows.groupBy(*by).agg(F.when(enough, F.corr(x, y)).alias("pearson"), F.when(enough, F.corr("_x", "_y")).alias("spearman"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(F.when(enough, correlation(x, y)).alias("pearson"), F.when(enough, correlation("_x", "_y")).alias("spearman"), F.count("*").alias("n"))
 
 
 def crosswalk(df: DataFrame, group: str, cluster: str) -> DataFrame:

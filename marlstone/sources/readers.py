@@ -23,8 +23,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], encoding: s
     Encodings beyond the standard ones, such as MS949, need spark.sql.legacy.javaCharsets.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    df = spark.read.option("header", True).option("encoding", encoding).option("emptyValue", "").option("nullValue", "\u0000").option("enforceSchema", True).schema(schema).csv(path)
-    return df
+    return spark.read.option("header", True).option("encoding", encoding).option("enforceSchema", True).schema(schema).csv(path).fillna("")
 
 
 def read_union(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
