@@ -45,7 +45,7 @@ def words_of(text: Column) -> Column:
     """The words of a text: A-Z lower-cased, then runs of digits, letters a-z and non-ASCII characters."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     # the two characters that lower() would turn into ASCII letters become others that it leaves alone
-    kept = F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
+    kept = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
     parts = F.split(F.lower(kept), DELIMITERS)
     head = (F.get(parts, F.lit(0)) == "").cast("int")
     tail = ((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == "")).cast("int")
