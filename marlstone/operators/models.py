@@ -70,18 +70,24 @@ def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | Non
     """(term, coef, se, t, p, n, clusters, r2, adj_r2, aic, bic, rmse) of y on xs with fixed effects.
 
     Effects are absorbed by demeaning. Standard errors are clustered, with (G/(G-1)) ((N-1)/(N-k)) and G - 1 degrees of
-    freedom, or classical without clusters; k counts the effects as parameters. Rows with a missing value are left out.
+    freedom, or classical without clusters; k counts the effects as parameters. Rows with a missing value are left out;
+    a term without variation within the effects gets nulls.
     """
     spark, xs = df.sparkSession, list(xs)
     rows = demeaned(complete_cases(df, [y, *xs]), [y, *xs], effect)
     names = [f"_d_{c}" for c in (*xs, y)]
     extra = [F.count_distinct(effect).alias("_groups")] if effect else []
+    extra += [F.var_pop(x).alias(f"_var{i}") for i, x in enumerate(xs)]
     one = rows.agg(*gram_columns(names), *extra).first()
     q, n = len(xs), one.n
     g = gram_matrix(one, q + 1)
     k = q + (one._groups if effect else 1)
-    inverse = np.linalg.pinv(g[:q, :q])
-    coef = inverse @ g[:q, q]
+    # a term that doesn't vary within the effects has no coefficient; what demeaning leaves of it is rounding
+    known = [i for i in range(q) if g[i, i] > 1e-12 * n * max(one[f"_var{i}"] or 0.0, 1e-300)]
+    inverse, coef = np.zeros((q, q)), np.zeros(q)
+    if known:
+        inverse[np.ix_(known, known)] = np.linalg.pinv(g[np.ix_(known, known)])
+        coef = inverse @ g[:q, q]
     sse = float(g[q, q] - coef @ g[:q, q])
     if cluster:
         resid = F.col(names[-1]) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(coef, names[:-1], strict=True)), F.lit(0.0))
@@ -100,7 +106,7 @@ def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | Non
     for i, x in enumerate(xs):
         se = math.sqrt(max(cov[i, i], 0.0))
         t = float(coef[i]) / se if se else float("nan")
-        out.append((x, float(coef[i]), se, t, t_p_value(t, dof), *fit))
+        out.append((x, float(coef[i]), se, t, t_p_value(t, dof), *fit) if i in known else (x, None, None, None, None, *fit))
     return spark.createDataFrame(out, "term string, coef double, se double, t double, p double, n long, clusters long, r2 double, adj_r2 double, aic double, bic double, rmse double")
 
 

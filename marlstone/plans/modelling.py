@@ -10,11 +10,11 @@ from .registry import ENTITIES, TRADES, entities, query, table, trades
 
 
 def _sample(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("grp"), (F.col("s_acctbal") / 100).alias("score"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), (F.col("s_nationkey") % 5).alias("grp"), (F.col("s_acctbal") / 100).alias("score"))
     return trades(spark, d).join(s, "entity").select("entity", "grp", "score", "area", "discount", "deal_date", F.ln("unit").alias("y"))
 
 
-_SAMPLE = f"""{TRADES}, s AS (SELECT entity, s_nationkey AS grp, s_acctbal / 100 AS score, area, discount, deal_date, LN(unit) AS y FROM t JOIN supplier ON s_suppkey = entity)"""
+_SAMPLE = f"""{TRADES}, s AS (SELECT entity, s_nationkey % 5 AS grp, s_acctbal / 100 AS score, area, discount, deal_date, LN(unit) AS y FROM t JOIN supplier ON s_suppkey = entity)"""
 _FE = f"{_SAMPLE}, d AS (SELECT entity, y - AVG(y) OVER (PARTITION BY grp) AS y, score - AVG(score) OVER (PARTITION BY grp) AS x, grp FROM s)"
 
 

@@ -38,7 +38,7 @@ def sum_reconciliation(spark, d):
     return G.reconciled(s, ["f", "o"], "total", 1).select("o_custkey", "difference", "reconciled")
 
 
-@query("key_coverage", "SELECT (SELECT COUNT(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000)) AS left_only, (SELECT COUNT(*) FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 100000 EXCEPT SELECT c_custkey FROM customer)) AS right_only, FALSE AS equal")
+@query("key_coverage", "WITH n AS (SELECT (SELECT COUNT(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000)) AS left_only, (SELECT COUNT(*) FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 100000 EXCEPT SELECT c_custkey FROM customer)) AS right_only) SELECT left_only, right_only, left_only = 0 AND right_only = 0 AS equal FROM n")
 def key_coverage(spark, d):
     """Whether two tables have the same keys."""
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
@@ -52,7 +52,7 @@ def leakage_check(spark, d):
     return G.no_leakage(o.where("y < 1999"), o.where("y >= 1999"), "o_orderdate").select("ok")
 
 
-@query("equal_within", "SELECT 'n' AS \"column\", TRUE AS equal UNION ALL SELECT 'total', FALSE")
+@query("equal_within", "SELECT 'n' AS \"column\", TRUE AS equal UNION ALL SELECT 'total', (SELECT COUNT(*) = 0 FROM orders WHERE o_custkey % 100 = 7)")
 def equal_within(spark, d):
     """Whether two tables agree within tolerances; here one total was changed."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
