@@ -280,7 +280,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     lanes = 1 if total <= 1 << 30 else 2
     parts = max(partitions_for(spark), -(-total // GROUP))
     route = _routes(counts, parts)
-    deal = lambda df: df.repartition(parts, "part").sortWithinPartitions("part")
+    deal = lambda df: df.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     suffixes = deal(docs.mapInArrow(_suffixes(window, lanes, route, parts), _EXCHANGED))
     places = deal(suffixes.mapInArrow(_repeats(lanes, parts), _EXCHANGED))
     spans = staged(places.mapInArrow(_spans_of(window), "gone_id long, spans binary"), "repeat-spans")
