@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +116,7 @@ def date_parts(day: Column, first: Column) -> dict[str, Column]:
 
 def outside_brackets(text: Column) -> Column:
     """A text's clauses: split at commas that stand outside round brackets."""
-    return F.transform(F.split(text, r",(?![^()]*\))"), F.trim)
+    return F.transform(F.split(text, r",(?![^()]*\))"), lambda x: F.trim(x))
 
 
 def numbers_of_clause(clause: Column, unit: str = "통|반") -> Column:
@@ -167,3 +170,92 @@ def carried_groups(lines: DataFrame, doc: str, line_no: str, group: str) -> Data
     """Lines with the last group heading at or above them."""
     up_to = Window.partitionBy(doc).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn(group, F.last(F.col(group), ignorenulls=True).over(up_to))
+
+
+def relation_type(text: Column) -> Column:
+    """A relation's kind in a closed set: EXACT, ELIGIBLE, CONDITIONAL, GROUP, else UNRESOLVED."""
+    t = F.upper(F.trim(text))
+    return first_match([(t.rlike("^(EXACT|CONFIRMED|지정)"), "EXACT"), (t.rlike("^(ELIGIBLE|가능)"), "ELIGIBLE"), (t.rlike("^(CONDITIONAL|조건)"), "CONDITIONAL"), (t.rlike("^(GROUP|학교군)"), "GROUP")], "UNRESOLVED")
+
+
+#: Weights of relations by kind.
+RELATION_WEIGHTS = {"EXACT": 1.0, "ELIGIBLE": 0.8, "CONDITIONAL": 0.5, "GROUP": 0.25, "UNRESOLVED": 0.0}
+
+
+def relation_weight(kind: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in RELATION_WEIGHTS.items() for x in kv))[kind], F.lit(0.0))
+
+
+def promoted(df: DataFrame, key: str, boys: str, girls: str, options: str) -> DataFrame:
+    """df with promoted: both columns and the only option of a key name the same target."""
+    only = F.when(F.size(options) == 1, F.get(options, F.lit(0)))
+    return df.withColumn("promoted", F.coalesce((F.col(boys) == F.col(girls)) & (F.col(boys) == only), F.lit(False)))
+
+
+def header_columns(rows: DataFrame, cells: str, aliases: DataFrame) -> DataFrame:
+    """(column, position) of a header row's cells through a table of aliases (alias, column); the first position counts."""
+    found = rows.select(F.posexplode(cells).alias("position", "_c")).withColumn("alias", compact_key(F.col("_c")))
+    known = aliases.select(compact_key(F.col("alias")).alias("alias"), "column")
+    return found.join(known, "alias").groupBy("column").agg(F.min("position").alias("position"))
+
+
+def layout_rows(lines: DataFrame, doc: str, line_no: str, text: str, heading: str, separator: str) -> DataFrame:
+    """(doc, line_no, group, left, right): lines 'left separator right' under the last heading, a row for each name on the right.
+
+    A line without the separator that isn't a heading carries its text over as the left side of the next one.
+    """
+    own = F.regexp_extract(text, heading, 1)
+    marked = lines.withColumn("_group", F.when(own != "", own))
+    parts = F.split(text, separator)
+    left = F.when(F.col("_group").isNull(), F.when(F.trim(F.get(parts, F.lit(0))) != "", F.trim(F.get(parts, F.lit(0)))))
+    marked = marked.withColumn("_left", left).withColumn("_right", F.when(F.size(parts) > 1, F.get(parts, F.lit(1))))
+    w = Window.partitionBy(doc).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
+    carried = marked.withColumns({"group": F.last("_group", ignorenulls=True).over(w), "left": F.last("_left", ignorenulls=True).over(w)})
+    names = F.filter(F.transform(F.split("_right", r"\s*,\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    return carried.where("_right is not null").select(doc, line_no, "group", "left", F.explode(names).alias("right"))
+
+
+def expanded_cells(df: DataFrame, key: str, columns: dict[str, str], areas: str) -> DataFrame:
+    """(key, kind, name, area): every name in the columns of a row's kinds with every one of its areas."""
+    split = lambda c: F.filter(F.transform(F.split(F.col(c), r"\s*[,/·]\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.coalesce(split(c), F.array().cast("array<string>")).alias("names")) for c, kind in columns.items()))
+    rows = df.select(key, F.inline(kinds), F.coalesce(split(areas), F.array().cast("array<string>")).alias("_areas"))
+    return rows.select(key, "kind", F.explode("names").alias("name"), "_areas").select(key, "kind", "name", F.explode("_areas").alias("area"))
+
+
+def geocode_check(df: DataFrame, candidate: str, document: str, fields: list[str]) -> DataFrame:
+    """df with status and reasons: how many fields of a geocoder's document (structs) agree with what was asked for.
+
+    All agree: CONFIRMED; the first, a district, differs: REJECTED; else REVIEW. A field that is missing doesn't agree.
+    """
+    same = {f: F.coalesce(F.col(f"{candidate}.{f}") == F.col(f"{document}.{f}"), F.lit(False)) for f in fields}
+    differs = F.coalesce(F.col(f"{candidate}.{fields[0]}") != F.col(f"{document}.{fields[0]}"), F.lit(False))
+    every = F.lit(True)
+    for c in same.values():
+        every = every & c
+    why = F.concat_ws(";", *(F.when(~c, F.lit(f"{f}_DIFFERS")) for f, c in same.items()))
+    return df.withColumns({"status": first_match([(every, "CONFIRMED"), (differs, "REJECTED")], "REVIEW"), "reasons": why})
+
+
+def coordinate_flags(df: DataFrame, lat: str, lon: str, group: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """df with valid, inside the box (south, west, north, east), and shared, for a place that several groups claim."""
+    south, west, north, east = box
+    valid = F.coalesce(F.col(lat).between(south, north) & F.col(lon).between(west, east), F.lit(False))
+    at = Window.partitionBy(F.round(lat, 7), F.round(lon, 7))
+    return df.withColumn("valid", valid).withColumn("shared", valid & (F.min(group).over(at) != F.max(group).over(at)))
+
+
+@F.pandas_udf("double")
+def _matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def similarity(one: Column, two: Column, unit: str = "차|단지") -> Column:
+    """Likeness of two names from 0 to 1: matching blocks of their keys, 0 on conflicting ordinals, at least 0.9 if one holds the other.
+
+    Runs in Python over batches; use it on distinct pairs, after a block key has made them.
+    """
+    a, b = entity_name(one), entity_name(two)
+    holds = (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a))
+    base = _matching_blocks(a, b)
+    return F.when(ordinal_conflict(one, two, unit), 0.0).when(holds, F.greatest(base, F.lit(0.9))).otherwise(base)

@@ -185,3 +185,34 @@ def test_publish_archive_and_manifest(spark, tmp_path):
     with pytest.raises(ValueError):
         K.release({"t": df}, f"file://{tmp_path}/r", gate=False)
     assert K.release({"t": df}, f"file://{tmp_path}/r", gate=True).count() > 0
+
+
+def test_relations_and_promotion(spark):
+    df = spark.createDataFrame([("exact",), ("조건부",), ("??",), (None,)], "t string")
+    assert [tuple(r) for r in df.select(X.relation_type(F.col("t")), X.relation_weight(X.relation_type(F.col("t")))).collect()] == [("EXACT", 1.0), ("CONDITIONAL", 0.5), ("UNRESOLVED", 0.0), ("UNRESOLVED", 0.0)]
+    p = spark.createDataFrame([(1, "m", "m", ["m"]), (2, "m", "n", ["m"]), (3, "m", "m", ["m", "n"]), (4, None, None, [])], "k int, b string, g string, o array<string>")
+    assert [r.promoted for r in X.promoted(p, "k", "b", "g", "o").orderBy("k").collect()] == [True, False, False, False]
+
+
+def test_layouts_and_cells(spark):
+    lines = spark.createDataFrame([(1, 1, "[1군]"), (1, 2, "가초 - 나중, 다중"), (1, 3, "라초"), (1, 4, " - 마중"), (1, 5, "[2군]"), (1, 6, "바초 - 사중")], "d int, n int, t string")
+    got = rows(X.layout_rows(lines, "d", "n", "t", r"^\[(.+)\]$", "-").select("group", "left", "right"), "group", "left", "right")
+    assert got == [("1군", "가초", "나중"), ("1군", "가초", "다중"), ("1군", "라초", "마중"), ("2군", "바초", "사중")]
+    cells = spark.createDataFrame([(1, "a, b", "c", "x/y"), (2, None, "d", "z")], "k int, coed string, boys string, area string")
+    assert len(rows(X.expanded_cells(cells, "k", {"coed": "COED", "boys": "BOYS"}, "area"), "k")) == 7
+    heads = X.header_columns(spark.createDataFrame([(["No.", "Name ", "School name"],)], "c array<string>"), "c", spark.createDataFrame([("name", "name"), ("no", "number")], "alias string, column string"))
+    assert rows(heads, "column") == [("name", 1), ("number", 0)]
+
+
+def test_geocodes_and_coordinates(spark):
+    schema = "k int, c struct<gu: string, road: string>, d struct<gu: string, road: string>"
+    df = spark.createDataFrame([(1, ("a", "r"), ("a", "r")), (2, ("a", "r"), ("b", "r")), (3, ("a", "r"), ("a", None))], schema)
+    assert rows(X.geocode_check(df, "c", "d", ["gu", "road"]).select("k", "status", "reasons"), "k") == [(1, "CONFIRMED", ""), (2, "REJECTED", "gu_DIFFERS"), (3, "REVIEW", "road_DIFFERS")]
+    at = spark.createDataFrame([(1, 35.1, 129.0, "a"), (2, 35.1, 129.0, "b"), (3, 0.0, 0.0, "a"), (4, None, 1.0, "a")], "k int, lat double, lon double, g string")
+    assert rows(X.coordinate_flags(at, "lat", "lon", "g", (34.0, 128.0, 36.0, 130.0)).select("k", "valid", "shared"), "k") == [(1, True, True), (2, True, True), (3, False, False), (4, False, False)]
+
+
+def test_name_similarity(spark):
+    df = spark.createDataFrame([(1, "Sun Park", "Sun Park 2"), (2, "해 1차", "해 2차"), (3, "abcd", "bcde"), (4, None, "x")], "k int, a string, b string")
+    got = dict(rows(df.select("k", X.similarity(F.col("a"), F.col("b"))), "k"))
+    assert got[1] >= 0.9 and got[2] == 0.0 and got[3] == pytest.approx(0.75) and got[4] is None
