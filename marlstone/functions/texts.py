@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rules import first_match
 
@@ -245,7 +246,7 @@ def coordinate_flags(df: DataFrame, lat: str, lon: str, group: str, box: tuple[f
     return df.withColumn("valid", valid).withColumn("shared", valid & (F.min(group).over(at) != F.max(group).over(at)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
