@@ -13,7 +13,7 @@ from ._words import LOWER_TABLE
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 900_000
 #: Marks that end many words; a run of them is a piece of its own.
 MARKS = b".,|!?;:*%$&#"
 
