@@ -23,23 +23,30 @@ def in_window(when: str, months: int) -> Column:
 def market_metrics(facts: DataFrame, entity: str, when: str, unit: str, amount: str, size: str, periods: Mapping[str, int], segment: str | None = None, low_sample: int = 3) -> DataFrame:
     """Metrics of each entity, period and segment (with `ALL` for every one), in one pass over the facts.
 
-    Facts are repeated for the periods and segments that they fall into, then aggregated once: median and mean unit
-    price, median amount, count, median size, first and last date, and a flag for fewer than `low_sample` facts.
+    Facts before the longest period are filtered out, the others travel once for each segment they count in; the periods
+    are conditions of one aggregate: median and mean unit price, median amount, count, median size, first and last date,
+    and a flag for fewer than `low_sample` facts.
     """
-    rows = anchored(facts, when)
-    there = F.array_compact(F.array(*(F.when(in_window(when, m), F.lit(name)) for name, m in periods.items())))
-    rows = rows.withColumn("period", F.explode(there))
+    rows = anchored(facts, when).where(in_window(when, max(periods.values())))
     rows = rows.withColumn("segment", F.explode(F.array(F.lit("ALL"), F.col(segment).cast("string")))) if segment else rows.withColumn("segment", F.lit("ALL"))
-    return rows.groupBy(entity, "period", "segment").agg(
-        F.percentile(unit, 0.5).alias("median_unit"),
-        F.avg(unit).alias("mean_unit"),
-        F.percentile(amount, 0.5).alias("median_amount"),
-        F.count("*").alias("deals"),
-        F.percentile(size, 0.5).alias("median_size"),
-        F.min(when).alias("first_date"),
-        F.max(when).alias("last_date"),
-        (F.count("*") < low_sample).alias("low_sample"),
-    )
+
+    def metrics(name: str, months: int) -> Column:
+        inside = lambda c: F.when(in_window(when, months), F.col(c))
+        n = F.count_if(in_window(when, months))
+        return F.struct(
+            F.lit(name).alias("period"),
+            F.percentile(inside(unit), 0.5).alias("median_unit"),
+            F.avg(inside(unit)).alias("mean_unit"),
+            F.percentile(inside(amount), 0.5).alias("median_amount"),
+            n.alias("deals"),
+            F.percentile(inside(size), 0.5).alias("median_size"),
+            F.min(inside(when)).alias("first_date"),
+            F.max(inside(when)).alias("last_date"),
+            (n < low_sample).alias("low_sample"),
+        )
+
+    per = rows.groupBy(entity, "segment").agg(F.array(*(metrics(name, m) for name, m in periods.items())).alias("_m"))
+    return per.select(entity, "segment", F.inline("_m")).where("deals > 0")
 
 
 def period_return(facts: DataFrame, entity: str, month: str, value: str) -> DataFrame:

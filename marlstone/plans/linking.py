@@ -292,3 +292,20 @@ def still_pending(spark, d):
     done = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     left = U.pending(c, done, c.where("c_mktsegment = 'MACHINERY'"), "c_custkey")
     return left.select("c_custkey", F.when(F.col("c_acctbal") < 0, "collect").otherwise("review").alias("next_action"))
+
+
+@query("registry_completion", "SELECT o_custkey AS k, 'summary' AS source, COUNT(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY 1 UNION ALL SELECT c_custkey, 'registry', NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def registry_completion(spark, d):
+    """Summary rows, and the registry rows that they lack."""
+    s = table(spark, d, "orders").where("o_totalprice > 200000").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n")).withColumn("source", F.lit("summary"))
+    return J.with_placeholders(s, table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k").select("k", F.coalesce("source", F.lit("registry")).alias("source"), "n")
+
+
+@query("clean_records", "SELECT c_custkey, UPPER(TRIM(c_mktsegment)) AS segment, COALESCE(NULLIF(CONCAT_WS(';', CASE WHEN c_acctbal < 0 THEN 'NEGATIVE' END, CASE WHEN c_nationkey > 22 THEN 'FAR' END), ''), 'NONE') AS review, ROUND(((c_acctbal >= 0)::INT + (c_nationkey <= 22)::INT) / 2.0, 6) AS completeness FROM customer")
+def clean_records(spark, d):
+    """Cleaned records with the reasons to review them, and their completeness."""
+    from ..functions.rules import reason_text
+
+    good, near = F.col("c_acctbal") >= 0, F.col("c_nationkey") <= 22
+    share = (good.cast("int") + near.cast("int")) / 2.0
+    return table(spark, d, "customer").select("c_custkey", F.upper(F.trim("c_mktsegment")).alias("segment"), reason_text([("NEGATIVE", ~good), ("FAR", ~near)]).alias("review"), F.round(share, 6).alias("completeness"))

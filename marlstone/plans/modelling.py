@@ -155,3 +155,36 @@ def spline_curve(spark, d):
     curve = grid.withColumns(basis(F.col("x"))).withColumn("p", prediction)
     at = curve.where("x = 50").select(F.col("p").alias("p50"))
     return curve.crossJoin(F.broadcast(at)).select("x", ((F.exp(F.col("p") - F.col("p50")) - 1) * 100).alias("effect_pct"))  # one row
+
+
+@query("group_performance", f"WITH {_SAMPLE}, f AS (SELECT REGR_SLOPE(y, area) AS b, REGR_INTERCEPT(y, area) AS a FROM s), e AS (SELECT grp, y, a + b * area - y AS e FROM s, f) SELECT grp, COUNT(*) AS n, ROUND(SQRT(AVG(e * e)), 8) AS rmse, ROUND(AVG(e), 8) AS bias, ROUND(1 - SUM(e * e) / (VAR_POP(y) * COUNT(*)), 8) AS r2 FROM e GROUP BY 1")
+def group_performance(spark, d):
+    """The performance of a model in each group."""
+    s = _sample(spark, d)
+    _, _, p = M.linear_fit(s, "y", ["area"])
+    return M.evaluate(s.withColumn("p", p), "y", "p", ["grp"]).select("grp", "n", *(F.round(c, 8).alias(c) for c in ("rmse", "bias", "r2")))
+
+
+@query("partial_dependence", f"WITH {_SAMPLE}, m AS (SELECT COVAR_POP(y, area) AS ya, COVAR_POP(y, discount) AS yd, VAR_POP(area) AS aa, VAR_POP(discount) AS dd, COVAR_POP(area, discount) AS ad, AVG(y) AS y, AVG(area) AS a, AVG(discount) AS d FROM s), c AS (SELECT (ya * dd - yd * ad) / (aa * dd - ad * ad) AS b1, (yd * aa - ya * ad) / (aa * dd - ad * ad) AS b2, y, a, d FROM m) SELECT CAST(g AS DOUBLE) AS area, ROUND(y + b1 * (g - a), 8) AS mean FROM c, (SELECT UNNEST([10, 20, 40]) AS g)")
+def partial_dependence(spark, d):
+    """The mean prediction over a grid of one column."""
+    s = _sample(spark, d)
+    _, _, p = M.linear_fit(s, "y", ["area", "discount"])
+    grid = spark.range(1).select(F.explode(F.array(F.lit(10.0), F.lit(20.0), F.lit(40.0))).alias("area"))
+    return M.partial_dependence(s, p, ["area"], grid).select("area", F.round("mean", 8).alias("mean"))
+
+
+@query("fallback_pools")
+def fallback_pools(spark, d):
+    """The narrowest pool of markets with enough trades, from profile and distance; a market is a nation here."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("grp"), F.col("n_regionkey").alias("district"), (35 + F.col("n_nationkey") / 50).alias("lat"), (129 + F.col("n_nationkey") % 7 / 20).alias("lon"))
+    e = entities(spark, d).where("price is not null")
+    m = e.groupBy("grp").agg(F.sum("deals").alias("rows"), F.count("*").alias("members"), (F.avg("price") / 100).alias("profile")).join(n, "grp")
+    return M.fallback_map(m, "grp", "district", "lat", "lon", ["profile"], "rows", "members", 3000, 5).withColumn("pool", F.concat_ws(",", F.col("pool").cast("array<string>")))
+
+
+@query("feature_verdict", f"WITH {_FE}, b AS (SELECT REGR_SLOPE(y, x) AS b, REGR_R2(y, x) * 100 AS gain FROM d) SELECT CASE WHEN b > 0 AND gain > 0 AND gain < 0.5 THEN 'WEAK' WHEN b > 0 AND gain >= 0.5 THEN 'USEFUL' ELSE 'NOT_SUPPORTED' END AS verdict FROM b")
+def feature_verdict(spark, d):
+    """A verdict from a term's sign and gain."""
+    fit = M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp")
+    return fit.select(M.verdict_of(F.col("coef"), F.lit(1.0), F.col("r2") * 100).alias("verdict"))
