@@ -2,7 +2,7 @@
 
 Every word position starts a suffix of its document. Suffixes are dealt to groups by the hash of their first words:
 2 words where that makes groups that fit in memory, else 4, 8 or all `window` words. Group sizes come from an exact
-count over the corpus in hashed slots, a table of fixed size. A group's suffix tree is kept down to the depth of
+count over the corpus in hashed slots, a table of fixed size; there are as many groups as the corpus needs. A group's suffix tree is kept down to the depth of
 `window` words as a sorted array of path fingerprints; a run of equal fingerprints is an internal node of at least
 that depth, that is, a passage that occurs more than once. All its occurrences but the first are removed; neighbouring
 ones overlap, so maximal repeats go as a whole.
@@ -61,17 +61,17 @@ def _count_slots(window: int):
 
 
 def _routes(counts: np.ndarray, parts: int) -> np.ndarray:
-    """The group of each slot of each level; -1 where the suffixes go on to the next level."""
-    route = np.full(counts.shape, -1, np.int32)
+    """The group of each slot of the levels but the last; -1 where the suffixes go on to the next level.
+
+    Large slots are dealt in turn, from the largest, small ones by their number.
+    """
+    route = np.full((len(counts) - 1, SLOTS), -1, np.int32)
     fits = max(GROUP // 8, int(counts[-1].sum()) // (4 * parts))
-    load = np.zeros(parts, np.int64)
-    for i in range(len(counts)):
-        own = np.flatnonzero((counts[i] <= fits) if i < len(counts) - 1 else np.ones(SLOTS, bool))
-        size = counts[i][own] if i == 0 else np.minimum(counts[i][own], fits)
-        for slot, n in sorted(zip(own.tolist(), size.tolist(), strict=True), key=lambda x: -x[1]) if len(own) <= 4096 else zip(own.tolist(), size.tolist(), strict=True):
-            at = int(load.argmin()) if n > fits // 8 else slot % parts
-            route[i, slot] = at
-            load[at] += n
+    for level, own in zip(route, counts[:-1], strict=True):
+        slots = np.flatnonzero(own <= fits)
+        level[slots] = slots % parts
+        large = slots[own[slots] > fits // 8]
+        level[large[np.argsort(-own[large], kind="stable")]] = np.arange(len(large)) % parts
     return route
 
 
@@ -137,12 +137,15 @@ def _suffixes(window: int, lanes: int, route: np.ndarray, parts: int):
                 continue
             pick = np.flatnonzero(windows_inside(first, window, n))
             owner = np.searchsorted(first, pick, side="right") - 1
+            whole = window_hashes(h, window)[:n][pick]
             group = np.full(len(pick), -1, np.int32)
-            for i, k in enumerate(levels):
+            for i, k in enumerate(levels[:-1]):
                 todo = np.flatnonzero(group < 0)
                 if len(todo):
                     group[todo] = route[i][_slots(h, k, n)[pick[todo]]]
-            one = mix(window_hashes(h, window)[:n][pick] ^ np.uint64(0xA5A5A5A55A5A5A5A))
+            # the last level is as wide as there are groups: a prefix of all the words
+            group = np.where(group < 0, (whole % np.uint64(parts)).astype(np.int32), group)
+            one = mix(whole ^ np.uint64(0xA5A5A5A55A5A5A5A))
             fps.append(one)
             docs.append(ids[begin + owner])
             starts.append((pick - first[owner]).astype(np.int32))
