@@ -68,13 +68,14 @@ def cascade(df: DataFrame, lookups: Sequence[tuple[str, DataFrame, Sequence[str]
     return out.select(key, F.coalesce(*(f"_{name}" for name, _, _ in lookups)).alias(ident), method.alias("method"))
 
 
-def scored_matches(left: DataFrame, right: DataFrame, block: Sequence[str], left_id: str, right_id: str, scores: Sequence[tuple[str, Column, float]], near: float = 5.0, high: float = 80.0, medium: float = 50.0) -> DataFrame:
+def scored_matches(left: DataFrame, right: DataFrame, block: Sequence[str], left_id: str, right_id: str, scores: Sequence[tuple[str, Column, float]], near: float = 5.0, high: float = 80.0, medium: float = 50.0, only: Column | None = None) -> DataFrame:
     """The best partner of each left row within a block.
 
-    Each (name, condition, points) of the candidate pair adds to the score and to the reasons. Ties go to the smaller
+    Pairs that don't meet `only` are no candidates. Each (name, condition, points) of a pair adds to the score and to the reasons. Ties go to the smaller
     right id. confidence is HIGH, MEDIUM or LOW by score; HIGH falls to MEDIUM if the second candidate is nearer than `near`.
     """
     pairs = left.join(right, list(block))
+    pairs = pairs.where(only) if only is not None else pairs
     score = sum((F.when(holds(c), F.lit(p)).otherwise(F.lit(0.0)) for _, c, p in scores), F.lit(0.0))
     why = F.array_compact(F.array(*(F.when(holds(c), F.lit(name)) for name, c, _ in scores)))
     by = Window.partitionBy(left_id).orderBy(F.col("score").desc(), right_id)

@@ -59,44 +59,60 @@ def fill_ids(spark, d):
     return J.fill_by_name(known, p.withColumn("ident", F.col("p_partkey")), "ident", "p_type", [F.col("p_retailprice"), F.col("p_partkey")]).select("p_name", "ident")
 
 
-@query("resolve_names", "WITH x AS (SELECT p_partkey AS item, p_brand AS k, p_size AS s FROM part), c AS (SELECT p_partkey AS id, p_brand AS k, p_size AS s FROM part WHERE p_partkey % 17 = 0), g AS (SELECT item, COUNT(DISTINCT id) AS n, MIN(id) AS one, COUNT(DISTINCT CASE WHEN x.s = c.s THEN id END) AS m, MIN(CASE WHEN x.s = c.s THEN id END) AS two FROM x LEFT JOIN c USING (k) GROUP BY item) SELECT item, CASE WHEN n = 1 THEN one WHEN m = 1 THEN two END AS ident, CASE WHEN n = 1 THEN 'UNIQUE' WHEN m = 1 THEN 'BY_SECOND' WHEN n = 0 THEN 'NO_CANDIDATE' ELSE 'AMBIGUOUS' END AS status FROM g")
+@query("resolve_names", "WITH x AS (SELECT p_partkey AS item, p_brand AS k, p_size AS s FROM part), c AS (SELECT p_partkey AS id, p_brand AS k, p_size AS s FROM part WHERE p_type = 'PROMO'), g AS (SELECT item, COUNT(DISTINCT id) AS n, MIN(id) AS one, COUNT(DISTINCT CASE WHEN x.s = c.s THEN id END) AS m, MIN(CASE WHEN x.s = c.s THEN id END) AS two FROM x LEFT JOIN c USING (k) GROUP BY item) SELECT item, CASE WHEN n = 1 THEN one WHEN m = 1 THEN two END AS ident, CASE WHEN n = 1 THEN 'UNIQUE' WHEN m = 1 THEN 'BY_SECOND' WHEN n = 0 THEN 'NO_CANDIDATE' ELSE 'AMBIGUOUS' END AS status FROM g")
 def resolve_names(spark, d):
     """The only candidate of a name, or the only one with the same second attribute."""
     p = table(spark, d, "part")
     items = p.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("k"), F.col("p_size").alias("s"))
-    candidates = p.where("p_partkey % 17 = 0").select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("k"), F.col("p_size").alias("s"))
+    candidates = p.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("k"), F.col("p_size").alias("s"))
     return J.resolve_names(items, candidates, "item", "k", "s", "ident")
 
 
-@query("cascade_match", "WITH r AS (SELECT p_partkey AS item, p_brand AS b, p_type AS t, p_size AS s FROM part), l AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, p_size AS s FROM part WHERE p_partkey % 7 = 0), one AS (SELECT b, t, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1), two AS (SELECT b, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1) SELECT item, COALESCE(one.id, two.id) AS ident, CASE WHEN one.id IS NOT NULL THEN 'exact' WHEN two.id IS NOT NULL THEN 'brand' ELSE 'none' END AS method FROM r LEFT JOIN one USING (b, t, s) LEFT JOIN two USING (b, s)")
+@query("cascade_match", "WITH r AS (SELECT p_partkey AS item, p_brand AS b, p_type AS t, p_size AS s FROM part), l AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, p_size AS s FROM part WHERE p_type = 'PROMO'), one AS (SELECT b, t, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1), two AS (SELECT b, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1) SELECT item, COALESCE(one.id, two.id) AS ident, CASE WHEN one.id IS NOT NULL THEN 'exact' WHEN two.id IS NOT NULL THEN 'brand' ELSE 'none' END AS method FROM r LEFT JOIN one USING (b, t, s) LEFT JOIN two USING (b, s)")
 def cascade_match(spark, d):
     """Lookups by priority, each used only where it gives one id."""
     p = table(spark, d, "part")
     rows = p.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
-    lookup = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
+    lookup = p.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
     return J.cascade(rows, [("exact", lookup, ["b", "t", "s"]), ("brand", lookup, ["b", "s"])], "item", "ident")
 
 
-_SCORED = """p AS (SELECT a.p_partkey AS l, b.p_partkey AS r, (CASE WHEN a.p_type = b.p_type THEN 40.0 ELSE 0 END) + (CASE WHEN ABS(a.p_size - b.p_size) <= 3 THEN 30.0 ELSE 0 END) + (CASE WHEN ABS(a.p_retailprice - b.p_retailprice) <= 50 THEN 20.0 ELSE 0 END) AS score, CONCAT_WS(';', CASE WHEN a.p_type = b.p_type THEN 'type' END, CASE WHEN ABS(a.p_size - b.p_size) <= 3 THEN 'size' END, CASE WHEN ABS(a.p_retailprice - b.p_retailprice) <= 50 THEN 'price' END) AS reasons FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 = 1)"""
+_SCORED = """p AS (SELECT a.p_partkey AS l, b.p_partkey AS r, (CASE WHEN ABS(a.p_size - b.p_size) <= 3 THEN 40.0 ELSE 0 END) + (CASE WHEN ABS(a.p_retailprice - b.p_retailprice) <= 50 THEN 30.0 ELSE 0 END) + (CASE WHEN a.p_size = b.p_size THEN 20.0 ELSE 0 END) AS score, CONCAT_WS(';', CASE WHEN ABS(a.p_size - b.p_size) <= 3 THEN 'size' END, CASE WHEN ABS(a.p_retailprice - b.p_retailprice) <= 50 THEN 'price' END, CASE WHEN a.p_size = b.p_size THEN 'same_size' END) AS reasons FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)"""
+
+
+def _sides(spark, d):
+    """The parts twice, as a_ and b_ columns beside their block keys."""
+    p = table(spark, d, "part")
+    return [p.select("p_brand", "p_type", *(F.col(c).alias(f"{s}_{c}") for c in ("p_partkey", "p_size", "p_retailprice"))) for s in ("a", "b")]
+
+
+def _apart():
+    return F.abs(F.col("a_p_size") - F.col("b_p_size"))
+
+
+def _prices():
+    return F.abs(F.col("a_p_retailprice") - F.col("b_p_retailprice"))
+
+
+def _other():
+    return F.col("a_p_partkey") != F.col("b_p_partkey")
 
 
 @query("scored_matches", f"WITH {_SCORED}, k AS (SELECT *, LEAD(score) OVER w AS second, ROW_NUMBER() OVER w AS place, COUNT(*) OVER (PARTITION BY l) AS candidates FROM p WINDOW w AS (PARTITION BY l ORDER BY score DESC, r)) SELECT l, r, CAST(score AS DOUBLE) AS score, reasons, candidates, COALESCE(score - second < 5, FALSE) AS near_tie, CASE WHEN score >= 80 AND NOT COALESCE(score - second < 5, FALSE) THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM k WHERE place = 1")
 def scored_matches(spark, d):
     """Candidates of a block, additive scores with reasons, the best one, near ties."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    side = lambda df, s: df.select("p_brand", *(F.col(c).alias(f"{s}_{c}") for c in ("p_partkey", "p_type", "p_size", "p_retailprice")))
-    scores = [("type", F.col("a_p_type") == F.col("b_p_type"), 40.0), ("size", F.abs(F.col("a_p_size") - F.col("b_p_size")) <= 3, 30.0), ("price", F.abs(F.col("a_p_retailprice") - F.col("b_p_retailprice")) <= 50, 20.0)]
-    out = J.scored_matches(side(p.where("p_partkey % 3 = 0"), "a"), side(p.where("p_partkey % 3 = 1"), "b"), ["p_brand"], "a_p_partkey", "b_p_partkey", scores)
+    a, b = _sides(spark, d)
+    scores = [("size", _apart() <= 3, 40.0), ("price", _prices() <= 50, 30.0), ("same_size", _apart() == 0, 20.0)]
+    out = J.scored_matches(a, b, ["p_brand", "p_type"], "a_p_partkey", "b_p_partkey", scores, only=_other())
     return out.withColumnsRenamed({"a_p_partkey": "l", "b_p_partkey": "r"})
 
 
-@query("first_rule_match", f"WITH {_SCORED}, q AS (SELECT a.p_partkey AS l, b.p_partkey AS r, CASE WHEN a.p_type = b.p_type AND a.p_size = b.p_size THEN 0 WHEN ABS(a.p_size - b.p_size) <= 1 AND ABS(a.p_retailprice - b.p_retailprice) <= 100 THEN 1 END AS rule FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 = 1) SELECT l, r, CASE WHEN rule = 0 THEN 'same' ELSE 'alike' END AS rule FROM q WHERE rule IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY l ORDER BY rule, r) = 1")
+@query("first_rule_match", "WITH q AS (SELECT a.p_partkey AS l, b.p_partkey AS r, CASE WHEN a.p_size = b.p_size AND ABS(a.p_retailprice - b.p_retailprice) <= 100 THEN 0 WHEN ABS(a.p_size - b.p_size) <= 1 THEN 1 END AS rule FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) SELECT l, r, CASE WHEN rule = 0 THEN 'same' ELSE 'alike' END AS rule FROM q WHERE rule IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY l ORDER BY q.rule, r) = 1")
 def first_rule_match(spark, d):
     """The candidate of the first rule that holds."""
-    p = table(spark, d, "part")
-    side = lambda df, s: df.select("p_brand", *(F.col(c).alias(f"{s}_{c}") for c in ("p_partkey", "p_type", "p_size", "p_retailprice")))
-    pairs = side(p.where("p_partkey % 3 = 0"), "a").join(side(p.where("p_partkey % 3 = 1"), "b"), "p_brand")
-    rules = [("same", (F.col("a_p_type") == F.col("b_p_type")) & (F.col("a_p_size") == F.col("b_p_size"))), ("alike", (F.abs(F.col("a_p_size") - F.col("b_p_size")) <= 1) & (F.abs(F.col("a_p_retailprice") - F.col("b_p_retailprice")) <= 100))]
+    a, b = _sides(spark, d)
+    pairs = a.join(b, ["p_brand", "p_type"]).where(_other())
+    rules = [("same", (_apart() == 0) & (_prices() <= 100)), ("alike", _apart() <= 1)]
     return J.first_rule_match(pairs, "a_p_partkey", "b_p_partkey", rules).withColumnsRenamed({"a_p_partkey": "l", "b_p_partkey": "r"})
 
 
@@ -235,10 +251,10 @@ def _zones(spark, d):
     return z.select("zone", F.array(corner(0.0, 0.0), corner(25.0, 0.0), corner(25.0, 25.0), corner(0.0, 25.0)).alias("ring"))
 
 
-@query("nearest_zones", "WITH p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, CAST(s_suppkey * 37 % 100 AS DOUBLE) AS y FROM supplier), z AS (SELECT CAST(n_nationkey AS INT) AS zone, (n_nationkey % 5) * 20.0 AS x0, (n_nationkey // 5) * 18.0 AS y0 FROM nation WHERE n_nationkey % 2 = 0), s AS (SELECT k, zone, CASE WHEN x BETWEEN x0 AND x0 + 25 AND y BETWEEN y0 AND y0 + 25 THEN LEAST(x - x0, x0 + 25 - x, y - y0, y0 + 25 - y) ELSE SQRT(POW(GREATEST(x0 - x, 0, x - x0 - 25), 2) + POW(GREATEST(y0 - y, 0, y - y0 - 25), 2)) END AS dist FROM p, z) SELECT k, zone, ROUND(dist, 6) AS distance FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY ROUND(dist, 9), zone) = 1")
+@query("nearest_zones", "WITH p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, CAST(s_suppkey * 37 % 100 AS DOUBLE) AS y FROM supplier), z AS (SELECT CAST(n_nationkey AS INT) AS zone, (n_nationkey % 5) * 20.0 AS x0, (n_nationkey // 5) * 18.0 AS y0 FROM nation), s AS (SELECT k, zone, CASE WHEN x BETWEEN x0 AND x0 + 25 AND y BETWEEN y0 AND y0 + 25 THEN LEAST(x - x0, x0 + 25 - x, y - y0, y0 + 25 - y) ELSE SQRT(POW(GREATEST(x0 - x, 0, x - x0 - 25), 2) + POW(GREATEST(y0 - y, 0, y - y0 - 25), 2)) END AS dist FROM p, z) SELECT k, zone, ROUND(dist, 6) AS distance FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY ROUND(dist, 9), zone) = 1")
 def nearest_zones(spark, d):
     """The polygon whose border is nearest to each point."""
-    return J.nearest_polygons(_points(spark, d), _zones(spark, d).where("zone % 2 = 0"), "k", "zone", 16.0).select("k", "zone", F.round("distance", 6).alias("distance"))
+    return J.nearest_polygons(_points(spark, d), _zones(spark, d), "k", "zone", 16.0).select("k", "zone", F.round("distance", 6).alias("distance"))
 
 
 @query("union_mixed", "SELECT 'node' AS record_type, c_custkey AS id, NULL::BIGINT AS target FROM customer UNION ALL SELECT 'edge', o_custkey, o_orderkey FROM orders")
@@ -255,10 +271,10 @@ def keyed_upsert(spark, d):
     return U.upsert(old, new, ["k"])
 
 
-@query("insert_only", "WITH old AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT o_custkey AS k, MAX(o_totalprice) AS v FROM orders GROUP BY 1) SELECT k, v, 'kept' AS how FROM old UNION ALL SELECT k, v, 'inserted' FROM new WHERE k NOT IN (SELECT k FROM old) UNION ALL SELECT k, v, 'conflict' FROM new WHERE k IN (SELECT k FROM old)")
+@query("insert_only", "WITH old AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0), new AS (SELECT o_custkey AS k, MAX(o_totalprice) AS v FROM orders GROUP BY 1) SELECT k, v, 'kept' AS how FROM old UNION ALL SELECT k, v, 'inserted' FROM new WHERE k NOT IN (SELECT k FROM old) UNION ALL SELECT k, v, 'conflict' FROM new WHERE k IN (SELECT k FROM old)")
 def insert_only(spark, d):
     """Inserts of new keys; the others are conflicts."""
-    old = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    old = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     return U.insert_only(old, new, ["k"])
 

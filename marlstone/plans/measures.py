@@ -337,10 +337,10 @@ def as_of_scores(spark, d):
     return A.as_of_rows(_yearly(spark, d), "yr", [1997, 1999, 2001]).groupBy("k", "asof").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 8).alias("mean"))
 
 
-@query("crosswalk", "WITH c AS (SELECT p_brand AS g, p_type AS c, COUNT(*) AS n FROM part WHERE p_size < 4 GROUP BY ALL) SELECT g, c, n, ROUND(n / SUM(n) OVER (PARTITION BY g), 9) AS share, CASE WHEN COUNT(*) OVER (PARTITION BY g) = 1 AND COUNT(*) OVER (PARTITION BY c) = 1 THEN 'ONE_TO_ONE' WHEN COUNT(*) OVER (PARTITION BY c) = 1 THEN 'SPLIT' WHEN COUNT(*) OVER (PARTITION BY g) = 1 THEN 'MULTI' ELSE 'MIXED' END AS relation FROM c")
+@query("crosswalk", "WITH c AS (SELECT p_brand || '-' || p_size AS g, p_type AS c, COUNT(*) AS n FROM part GROUP BY ALL) SELECT g, c, n, ROUND(n / SUM(n) OVER (PARTITION BY g), 9) AS share, CASE WHEN COUNT(*) OVER (PARTITION BY g) = 1 AND COUNT(*) OVER (PARTITION BY c) = 1 THEN 'ONE_TO_ONE' WHEN COUNT(*) OVER (PARTITION BY c) = 1 THEN 'SPLIT' WHEN COUNT(*) OVER (PARTITION BY g) = 1 THEN 'MULTI' ELSE 'MIXED' END AS relation FROM c")
 def crosswalk(spark, d):
     """How groups and clusters overlap."""
-    return r9(A.crosswalk(table(spark, d, "part").where("p_size < 4").select(F.col("p_brand").alias("g"), F.col("p_type").alias("c")), "g", "c"), "share")
+    return r9(A.crosswalk(table(spark, d, "part").select(F.concat_ws("-", "p_brand", "p_size").alias("g"), F.col("p_type").alias("c")), "g", "c"), "share")
 
 
 @query("missing_impact", "WITH m AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0) SELECT c_custkey, COUNT(o_orderkey) AS facts, COUNT(DISTINCT o_orderstatus) AS kinds FROM m LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
