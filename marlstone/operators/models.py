@@ -270,11 +270,13 @@ def spline_basis(x: Column, knots: Sequence[float], degree: int = 3) -> list[Col
 def bootstrap_medians(df: DataFrame, key: str, value: str, replicates: int, seed: int = 1) -> DataFrame:
     """(key, n, positive, low, mid, high, iqr) of medians over resampled values, drawn by a hash of (key, replicate, draw).
 
-    Values of a key are an array; replicates resample it in place, so that only one row for each key and replicate moves.
+    Values of a key are an array that is dealt out once for each block of 25 replicates; replicates resample it in place.
     """
     packed = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("_v"))
     n = F.size("_v")
-    rep = packed.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    dealt = packed.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(25))))
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_b")
+    rep = dealt.withColumn("_r", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + 24, F.lit(replicates)))))
     draws = F.array_sort(F.transform(F.sequence(F.lit(1), n), lambda j: F.get("_v", F.pmod(F.xxhash64(F.col(key), F.col("_r"), j, F.lit(seed)), n).cast("int"))))
     drawn = rep.withColumn("_d", draws).withColumn("_m", (F.get("_d", F.floor((n - 1) / 2).cast("int")) + F.get("_d", F.floor(n / 2).cast("int"))) / 2)
     return drawn.groupBy(key).agg(

@@ -119,14 +119,14 @@ def value_gaps(spark, d):
 def bootstrap_medians(spark, d):
     """Stability of an entity's median under resampling by a hash."""
     t = trades(spark, d).select("entity", (F.col("unit") - 1000).alias("gap"))
-    return M.bootstrap_medians(t, "entity", "gap", 50)
+    return M.bootstrap_medians(t, "entity", "gap", 500)
 
 
 @query("cluster_range")
 def cluster_range(spark, d):
     """Clusters over a range of k with three measures of quality, and the choice."""
     e = M.robust_scaled(entities(spark, d).where("price is not null"), ["score", "price", "area"])
-    quality, _ = M.cluster_range(e, "entity", ["scaled_score", "scaled_price", "scaled_area"], [2, 3, 4])
+    quality, _ = M.cluster_range(e, "entity", ["scaled_score", "scaled_price", "scaled_area"], range(3, 16))
     return M.chosen_k(quality, 3)
 
 
@@ -140,7 +140,7 @@ def mixture_bic(spark, d):
 @query("forest_comparison")
 def forest_comparison(spark, d):
     """Random forests over feature sets on group hold-outs."""
-    return M.forest_comparison(_sample(spark, d), "y", {"base": ["area"], "with_score": ["area", "score"]}, "entity", [1], trees=10, depth=5)
+    return M.forest_comparison(_sample(spark, d), "y", {"base": ["area"], "with_score": ["area", "score"]}, "entity", [42, 52, 62], trees=60, depth=16)
 
 
 @query("spline_curve")

@@ -1,5 +1,6 @@
 """Every registered query of the library proper against its SQL in DuckDB, over the smallest tables."""
 
+import inspect
 import math
 import os
 
@@ -46,3 +47,19 @@ def test_every_query_is_documented():
 def test_runs_without_sql(spark, data, name):
     rows = catalog.queries()[name](spark, data).collect()
     assert rows and all(x is not None for x in rows[0])
+
+
+@pytest.mark.parametrize(("name", "told"), [("bootstrap_medians", {"replicates": 500}), ("cluster_range", {"ks": list(range(3, 16))}), ("forest_comparison", {"seeds": [42, 52, 62], "trees": 60, "depth": 16})])
+def test_registered_with_the_parameters_of_the_reference(spark, data, monkeypatch, name, told):
+    from marlstone.operators import models
+
+    whole, seen = getattr(models, name), {}
+
+    def spy(*args, **named):
+        seen.update(inspect.signature(whole).bind(*args, **named).arguments)
+        raise StopIteration
+
+    monkeypatch.setattr(models, name, spy)
+    with pytest.raises(StopIteration):
+        catalog.queries()[name](spark, data)
+    assert {k: list(seen[k]) if k in ("ks", "seeds") else seen[k] for k in told} == told
