@@ -211,24 +211,42 @@ def segment_distance(px: Column, py: Column, a: Column, b: Column) -> Column:
     return F.hypot(px - (a["x"] + t * dx), py - (a["y"] + t * dy))
 
 
-def nearest_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float, rings: int = 8) -> DataFrame:
-    """(point_id, polygon_id, distance): the nearest polygon of each point, found in growing rings of grid cells.
+def nearest_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float) -> DataFrame:
+    """(point_id, polygon_id, distance): the nearest polygon of each point at any distance; ties by the smaller id.
 
-    A ring's find counts once no cell further out can hold a nearer one; points without a polygon within `rings` cells
-    are left out.
+    Polygons are dealt to grid cells by the centres of their bounding boxes, and cells to cells twice as wide, up to at
+    most four. Each point goes down from these: of the cells it has reached, those stay whose bounding box is no further
+    than the far side of the nearest one. Points without coordinates and polygons without a ring are left out.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-    dealt = polygons.withColumn("_cx", F.explode(span(xs))).withColumn("_cy", F.explode(span(ys))).select(polygon_id, "ring", "_cx", "_cy")
+    box = {"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)}
+    boxed = polygons.select(polygon_id, "ring", *(c.alias(name) for name, c in box.items())).where("_x0 is not null and _y0 is not null")
+    dealt = cells(boxed, (F.col("_x0") + F.col("_x1")) / 2, (F.col("_y0") + F.col("_y1")) / 2, cell)
+    row = dealt.agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("_cx", "_cy") for f in (F.min, F.max))).first()
+    spread = 0 if row["_cx_min"] is None else max(row["_cx_max"] - row["_cx_min"], row["_cy_max"] - row["_cy_min"])
+    sides = [F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1")]
+    levels = [dealt.groupBy("_cx", "_cy").agg(*sides)]
+    for _ in range(spread.bit_length()):
+        wider = {c: F.shiftright(c, 1) for c in ("_cx", "_cy")}
+        levels.append(levels[-1].withColumns(wider).groupBy("_cx", "_cy").agg(*sides))
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        gap = lambda v, a, b: F.greatest(F.col(a) - F.col(v), F.col(v) - F.col(b), F.lit(0.0))
+        far = lambda v, a, b: F.greatest(F.col(v) - F.col(a), F.col(b) - F.col(v))
+        low, high = (F.hypot(f("x", "_x0", "_x1"), f("y", "_y0", "_y1")) for f in (gap, far))
+        least = F.min(high).over(Window.partitionBy(point_id))
+        # bounds are floats: what is next to the bound stays
+        return pairs.withColumns({"_low": low, "_least": least}).where(F.col("_low") <= F.col("_least") * (1 + 1e-9))
+
+    known = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    reached = points.select(point_id, "x", "y").where(known).crossJoin(F.broadcast(levels[-1]))  # four rows at most
+    reached = pruned(reached).select(point_id, "x", "y", "_cx", "_cy")
+    for down, level in enumerate(reversed(levels[:-1]), 1):
+        below = level.select(F.shiftright("_cx", 1).alias("_px"), F.shiftright("_cy", 1).alias("_py"), F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"), "_x0", "_x1", "_y0", "_y1")
+        below = F.broadcast(below) if down <= 6 else below  # 4 ** 7 rows at most
+        pairs = reached.join(below, (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")))
+        reached = pruned(pairs).select(point_id, "x", "y", F.col("_ox").alias("_cx"), F.col("_oy").alias("_cy"))
     edges = F.arrays_zip(F.col("ring").alias("a"), F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)).alias("b"))
     apart = F.array_min(F.transform(edges, lambda e: segment_distance(F.col("x"), F.col("y"), e["a"], e["b"])))
-    left, found, reach = cells(points, F.col("x"), F.col("y"), cell).select(point_id, "x", "y", "_cx", "_cy"), None, 1
-    while reach <= rings:
-        around = F.sequence(F.lit(-reach), F.lit(reach))
-        spread = left.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})
-        hits = spread.join(dealt, ["_cx", "_cy"]).select(point_id, polygon_id, apart.alias("distance"))
-        best = hits.groupBy(point_id).agg(F.min(F.struct("distance", polygon_id)).alias("_b")).select(point_id, F.col(f"_b.{polygon_id}"), F.col("_b.distance").alias("distance"))
-        sure = best.where(F.col("distance") <= reach * cell) if reach * 2 <= rings else best
-        found = sure if found is None else found.unionByName(sure)
-        left, reach = left.join(sure.select(point_id), point_id, "left_anti"), reach * 2
-    return found
+    hits = pruned(reached.join(dealt, ["_cx", "_cy"])).select(point_id, polygon_id, apart.alias("distance"))
+    return hits.groupBy(point_id).agg(F.min(F.struct("distance", polygon_id)).alias("_b")).select(point_id, F.col(f"_b.{polygon_id}"), F.col("_b.distance").alias("distance"))

@@ -1,6 +1,7 @@
 """Fixtures with nulls, ties, zero divisors and repeats for functions and operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,31 @@ def test_points_in_polygons_and_nearest(spark):
     assert rows(J.nearest_polygons(points.where("p = 2"), zones, "p", "zone", 40.0), "p") == [(2, "a", 50.0)]
 
 
+def test_nearest_polygons_at_any_distance(spark):
+    """Sparse and crowded squares of many sizes, and points far from all, against each pair."""
+    r = random.Random(5)
+    spots = [(r.uniform(-40, 40), r.uniform(-40, 40), r.choice([1, 3, 30])) for _ in range(60)] + [(5000.0, 5000.0, 2), (-9000.0, 300.0, 500), (9.5, 9.5, 0.2), (9.5, 0.2, 0.2)]
+    zones = [(i, [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]) for i, (x, y, s) in enumerate(spots)]
+    points = [(i, r.uniform(-60, 60), r.uniform(-60, 60)) for i in range(60)] + [(100 + i, r.uniform(-20_000, 20_000), r.uniform(-20_000, 20_000)) for i in range(60)]
+
+    def apart(x, y, ring):
+        far = []
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            far.append(math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return min(far)
+
+    polygons = spark.createDataFrame([*zones, (99, [])], "zone int, ring array<struct<x: double, y: double>>")
+    table = spark.createDataFrame([*points, (900, None, 1.0), (901, float("nan"), 1.0)], "p int, x double, y double")
+    for cell in (1.0, 50.0):
+        got = rows(J.nearest_polygons(table, polygons, "p", "zone", cell), "p")
+        assert [g[0] for g in got] == [p for p, _, _ in points]
+        for (_, zone, distance), (_, x, y) in zip(got, points, strict=True):
+            best = min((apart(x, y, ring), i) for i, ring in zones)
+            assert distance == pytest.approx(best[0], rel=1e-9) and zone == best[1]
+    assert J.nearest_polygons(table, polygons.where("zone = 99"), "p", "zone", 1.0).collect() == []
+
+
 def test_overrides_keep_originals(spark):
     base = spark.createDataFrame([(1, "A", "x"), (2, "B", "y")], "e int, m string, kind string")
     fix = spark.createDataFrame([(1, "A", "EXACT")], "e int, m string, kind string")
