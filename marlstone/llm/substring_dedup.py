@@ -34,7 +34,6 @@ LEVELS, SLOTS = (2, 4, 8), 1 << 16
 GROUP = 2_000_000
 #: Bytes of text whose suffixes a map task holds at once.
 CHUNK_BYTES = 8 << 20
-_LAST = np.iinfo(np.int64).max
 
 
 def _slots(h: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -125,7 +124,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _suffixes(window: int, lanes: int, route: np.ndarray, parts: int):
-    """mapInArrow function: (doc_id, text) to packed suffixes for their groups; places known to be repeats lack paths."""
+    """mapInArrow function: (place, text) to packed suffixes for their groups; places known to be repeats lack paths."""
     levels = [k for k in LEVELS if k < window] + [window]
 
     def packed(chunk: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -171,7 +170,7 @@ def _suffixes(window: int, lanes: int, route: np.ndarray, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            ids = batch.column("place").to_numpy()
             by_id = np.argsort(ids, kind="stable")
             raw = text_bytes(batch.column("text"))
             ids, texts = ids[by_id], [raw[i] for i in by_id]
@@ -261,6 +260,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with `place`, a number of each document: its doc_id, if no row lacks one or shares it."""
+    unclear = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if unclear.isEmpty():
+        return docs.withColumn("place", F.col("doc_id"))
+    rows = staged(docs.withColumn("row", F.monotonically_increasing_id()), "repeat-rows")
+    # rows without an id are told apart by their number, as many may have the same text
+    rows = rows.withColumns({"digest": F.xxhash64("text"), "own": F.when(F.col("doc_id").isNull(), F.col("row"))})
+    key = ["doc_id", "digest", "own"]
+    order = [F.col(c).asc_nulls_last() for c in key]
+    dealt = rows.select(*key).distinct().repartitionByRange(partitions_for(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # partitions are ranges in turn, so these numbers grow with the key
+    places = staged(dealt.withColumn("place", F.monotonically_increasing_id()), "repeat-places")
+    p = places.select(*(F.col(c).alias(f"its_{c}") for c in key), "place")
+    same = (F.col("digest") == F.col("its_digest")) & F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & F.col("own").eqNullSafe(F.col("its_own"))
+    return rows.join(small_side(p, 48), same).select("doc_id", "text", "place")
+
+
 def drop_repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256) of each row of `docs` (doc_id long, text string).
 
@@ -269,10 +286,12 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     Windows are judged on the input. kept_text joins the other words by one space.
 
     Null, empty and short texts lose nothing; no words give the digest of the empty string. A null doc_id comes
-    after all others. Rows that share a doc_id are judged as one document: the same place is no repeat of itself,
-    and what is removed at a place goes from each of them. Other columns are ignored; an empty table gives no rows.
+    after all others. Rows without a doc_id, and rows that share one, are documents of their own, in the order of a hash
+    of their text; only rows that repeat both doc_id and text are one document, which loses the same words in each.
+    Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _placed(docs)
     spark = docs.sparkSession
     levels = [k for k in LEVELS if k < window] + [window]
     counts = np.zeros(len(levels) * SLOTS, np.int64)
@@ -284,8 +303,8 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     parts = max(partitions_for(spark), -(-total // GROUP))
     route = _routes(counts, parts)
     deal = lambda df: df.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    suffixes = deal(docs.mapInArrow(_suffixes(window, lanes, route, parts), _EXCHANGED))
+    suffixes = deal(docs.select("place", "text").mapInArrow(_suffixes(window, lanes, route, parts), _EXCHANGED))
     places = deal(suffixes.mapInArrow(_repeats(lanes, parts), _EXCHANGED))
     spans = staged(places.mapInArrow(_spans_of(window), "gone_id long, spans binary"), "repeat-spans")
-    joined = docs.join(small_side(spans, 80), F.coalesce("doc_id", F.lit(int(_LAST))) == F.col("gone_id"), "left")
+    joined = docs.join(small_side(spans, 80), F.col("place") == F.col("gone_id"), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -118,6 +118,30 @@ def test_repeated_passages_equal_brute_force(docs, corpus):
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    """A third of the rows lacks an id: copies, shared passages at several places, text of its own; ids that are shared."""
+    word = lambda i, n: " ".join(f"x{i}y{j}" for j in range(n))
+    shared = word("s", 30)
+    rows = [(None, word("copy", 150))] * 40 + [(None, word(i, 50 + i) + " " + shared + " " + word(-i, 60)) for i in range(5)] + [(None, word("r", 100) + " " + word("r", 40)), (None, word("alone", 160)), (None, None), (None, "")]
+    rows += [(i, word(100 + i, 140)) for i in range(60)] + [(7, word("other", 140)), (7, word("more", 30) + " " + shared), (8, word(109, 140)), (9, word("copy", 25))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    digest = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, digest[rows[i][1]]))
+    seen, want = set(), []
+    for i in order:
+        w = (rows[i][1] or "").split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            key = tuple(w[s : s + 20])
+            if key in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(key)
+        want.append((rows[i][0], len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in drop_repeated_passages(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(r[3] == word("copy", 150) for r in got) == 0 and sum(r[0] is None and r[2] == 125 + 25 for r in got) == 39
+
+
 def test_passages_with_two_lanes_and_few_groups(docs, corpus, monkeypatch):
     import marlstone.llm.substring_dedup as S
 
