@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import partitions_for, small_side, staged
@@ -23,7 +23,7 @@ from .near_dup import grouped
 LEAF, FAN_IN = 20_000, 64
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
-_CARRIED = "doc_id long, source string, src long, size long, mass double, whole long, node long, done boolean"
+_CARRIED = "row long, digest long, doc_id long, source string, src long, size long, mass double, whole long, node long, done boolean"
 
 
 def source_targets(sizes: DataFrame, total_share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, total_share: float = 1.5, most: float = 2.0
 
 
 def _round(last: bool):
-    """mapInArrow function over nodes, sorted by (src, node, size from the largest, doc_id)."""
+    """mapInArrow function over nodes, sorted by (src, node, size from the largest, doc_id, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["src", "node"]):
@@ -104,9 +104,15 @@ def mix_sources(docs: DataFrame, total_share: float = 1.5, most: float = 2.0) ->
     Repeated rows are rounded apart, a null doc_id like any other value. A source without words has target 0. Other
     columns are ignored; an empty table gives no rows.
     """
+    none = F.lit(None).cast("long")
+    return _mixed(docs, none, none, total_share, most).drop("row")
+
+
+def _mixed(docs: DataFrame, row: Column, digest: Column, total_share: float, most: float) -> DataFrame:
+    """mix_sources() with `row` of each row; of rows with the same doc_id and size, `digest` says which come first."""
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sizes = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")), "mix-sizes")
+    sizes = staged(docs.select(row.alias("row"), digest.alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")), "mix-sizes")
     sources = source_targets(sizes, total_share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     named = sources.select("src", F.col("source").alias("of"), "docs", rate.alias("rate"))
@@ -115,7 +121,7 @@ def mix_sources(docs: DataFrame, total_share: float = 1.5, most: float = 2.0) ->
         .withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("long"))
         .withColumn("mass", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")) * F.col("size"))
         .withColumn("node", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / LEAF)))
-        .select("doc_id", "source", "src", "size", "mass", "whole", "node", F.lit(False).alias("done"))
+        .select("row", "digest", "doc_id", "source", "src", "size", "mass", "whole", "node", F.lit(False).alias("done"))
     )
     most_docs = sources.agg(F.max("docs")).first()[0] or 0
     nodes, finished, n = -(-most_docs // LEAF), [], partitions_for(spark)
@@ -123,7 +129,7 @@ def mix_sources(docs: DataFrame, total_share: float = 1.5, most: float = 2.0) ->
         last = nodes <= 1
         rounded = (
             dealt.repartition(n, "src", "node")
-            .sortWithinPartitions("src", "node", F.col("size").desc(), F.col("doc_id").asc_nulls_last())
+            .sortWithinPartitions("src", "node", F.col("size").desc(), F.col("doc_id").asc_nulls_last(), "digest")
             .mapInArrow(_round(last), _CARRIED)
         )
         rounded = staged(rounded, "mix-round")
@@ -138,17 +144,18 @@ def mix_sources(docs: DataFrame, total_share: float = 1.5, most: float = 2.0) ->
     totals = sources.select(F.col("src").alias("its"), "source_size", "target")
     copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("mass") > 0).cast("long")).otherwise(F.lit(0))
     out = out.join(small_side(totals, 40), F.col("src") == F.col("its")).withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, total_share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of `docs`, with all their columns, as often as mix_sources() takes them.
 
-    Rows with the same doc_id, source and size share their copies evenly.
+    Each row has its own copies, whether its doc_id is null, repeated or neither. Of rows with the same doc_id, source
+    and size, those are taken that come first by a hash of their columns.
     """
-    mixed = staged(mix_sources(docs, total_share, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-copies")
-    taken = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.round(F.col("copies") / F.col("rows")).cast("int").alias("_copies"))
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    joined = docs.withColumn("_words", size).join(small_side(taken, 48), same & (F.col("_words") == F.col("_size"))).where("_copies > 0")
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    digest = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    taken = _mixed(rows, F.col("_row"), digest, total_share, most).where("copies > 0")
+    taken = staged(taken.select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies")), "mix-copies")
+    joined = rows.join(small_side(taken, 24), "_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

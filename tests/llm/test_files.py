@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -134,6 +135,35 @@ def test_mixing(docs, corpus, no_docs):
     assert mixed_documents(docs).count() == sum(r.copies for r in rows)
 
 
+def sums(rows):
+    out = Counter()
+    for r in rows:
+        out[r.doc_id, r.source, r["size"]] += r.copies
+    return out
+
+
+@pytest.mark.parametrize("share", [0.4, 0.6, 1.3])
+def test_rows_that_share_a_key_get_what_the_mix_takes(spark, share):
+    """1,000 rows with neither id nor another size, and repeated ids, each text of its own or repeated."""
+    import corpus_pipeline
+
+    rows = [(None, f"own{i} w w", "a", i) for i in range(1000)] + [(i % 7, f"t{i % 20} w", "b", i) for i in range(300)] + [(i, "u " * (i % 9), None, i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    key = lambda r: (r.doc_id, r.source, len(r.text.split()))
+    mix = mix_sources(docs, share).collect()
+    out = mixed_documents(docs, share)
+    got = out.collect()
+    assert out.columns == docs.columns and Counter(map(key, got)) == +sums(mix)
+    copies = Counter((r.source, r.n) for r in got)
+    assert max(copies.values()) <= 2
+    targets = {r.source: r.target for r in mix}
+    for source, target in targets.items():
+        assert abs(sum(key(r)[2] for r in got if r.source == source) - target) <= 9
+    assert sorted(map(repr, got)) == sorted(map(repr, mixed_documents(docs.repartition(3), share).collect()))
+    staged_ = corpus_pipeline.mixing(spark, docs, "").collect()
+    assert Counter(map(key, staged_)) == +sums(mix_sources(docs).collect())
+
+
 def test_mixing_over_many_leaves(spark, monkeypatch):
     import marlstone.llm.mixing as X
 
