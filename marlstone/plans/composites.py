@@ -112,7 +112,7 @@ def _sample(spark, d) -> DataFrame:
 
 @query("x14_nested_models", f"WITH {_SAMPLE}, m AS (SELECT COUNT(*) AS n, VAR_POP(y) AS yy, COVAR_POP(y, area) AS ya, COVAR_POP(y, score) AS ys, VAR_POP(area) AS aa, VAR_POP(score) AS ss, COVAR_POP(area, score) AS sa FROM s), f AS (SELECT n, yy - ya * ya / aa AS v1, yy - (ya * ya * ss - 2 * ya * ys * sa + ys * ys * aa) / (aa * ss - sa * sa) AS v2, yy FROM m) SELECT n, ROUND(1 - v1 / yy, 9) AS r2_small, ROUND(1 - v2 / yy, 9) AS r2_large, ROUND(n * LN(v1 / v2), 4) AS lr, n * LN(v1 / v2) > 3.841 AS helps FROM f")
 def x14_nested_models(spark, d):
-    """Whether a score adds to a model, by a likelihood-ratio test."""
+    """Whether a score adds to a model, by a likelihood-ratio test."""
     s = _sample(spark, d)
     one = M.fixed_effect_ols(s, "y", ["area"]).select("n", F.col("r2").alias("a"))
     two = M.fixed_effect_ols(s, "y", ["area", "score"]).where("term = 'score'").select(F.col("r2").alias("b"))
@@ -142,7 +142,7 @@ def x17_gap_stability(spark, d):
 
 @query("x18_local_markets", f"WITH {ENTITIES}, g AS (SELECT grp, COUNT(*) AS members, MEDIAN(price) AS price, AVG(score) AS score FROM e WHERE price IS NOT NULL GROUP BY 1), k AS (SELECT e.grp, entity, ABS(e.price - g.price) AS away, ROW_NUMBER() OVER (PARTITION BY e.grp ORDER BY ABS(e.price - g.price), entity) AS p FROM e JOIN g ON g.grp = e.grp WHERE e.price IS NOT NULL) SELECT g.grp, members, ROUND(g.price, 7) AS price, CASE WHEN members >= 5 THEN 'HIGH' WHEN members >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, entity AS representative FROM g JOIN k ON k.grp = g.grp AND p = 1")
 def x18_local_markets(spark, d):
-    """Markets with their confidence and the member nearest to their centre."""
+    """M30 in part: given groups with their confidence and the one member nearest to their centre."""
     e = entities(spark, d).where("price is not null")
     g = e.groupBy("grp").agg(F.count("*").alias("members"), F.percentile("price", 0.5).alias("mid"))
     near = e.join(g, "grp").groupBy("grp").agg(F.first("members").alias("members"), F.first("mid").alias("mid"), F.min_by("entity", F.struct(F.abs(F.col("price") - F.col("mid")), "entity")).alias("representative"))
@@ -151,7 +151,7 @@ def x18_local_markets(spark, d):
 
 @query("x19_fair_price_signals", f"WITH {_SAMPLE}, g AS (SELECT grp, REGR_SLOPE(y, area) AS b, REGR_INTERCEPT(y, area) AS a, SQRT(REGR_SYY(y, area) * (1 - REGR_R2(y, area)) / (COUNT(*) - 2)) AS sigma FROM s GROUP BY 1), e AS (SELECT entity, grp, AVG(area) AS area, EXP(AVG(y)) AS price FROM s GROUP BY ALL), f AS (SELECT entity, price, EXP(a + b * area) AS fair, EXP(a + b * area - 1.96 * sigma) AS lo, EXP(a + b * area + 1.96 * sigma) AS hi FROM e JOIN g USING (grp)), p AS (SELECT entity, (fair / price - 1) * 100 AS point, (lo / price - 1) * 100 AS low, (hi / price - 1) * 100 AS high FROM f) SELECT entity, ROUND(point, 6) AS gap_pct, CASE WHEN low > 0 THEN 'STRONG_UNDER' WHEN high < 0 THEN 'STRONG_OVER' WHEN point > 3 THEN 'POTENTIAL_UNDER' WHEN point < -3 THEN 'POTENTIAL_OVER' ELSE 'WITHIN' END AS signal FROM p")
 def x19_fair_price_signals(spark, d):
-    """Fair prices from local models, gaps in percent, and signals of their intervals."""
+    """Fair prices from local models, gaps in percent, and signals of their intervals."""
     s = _sample(spark, d)
     e = s.groupBy("entity", "grp").agg(F.avg("area").alias("area"), F.exp(F.avg("y")).alias("price"))
     f = M.fair_values(e, M.group_models(s, "y", ["area"], "grp", least_rows=3), "grp", ["area"])

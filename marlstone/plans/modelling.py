@@ -117,14 +117,14 @@ def value_gaps(spark, d):
 
 @query("bootstrap_medians")
 def bootstrap_medians(spark, d):
-    """Stability of an entity's median under resampling by a hash."""
+    """Stability of an entity's median under resampling by a hash."""
     t = trades(spark, d).select("entity", (F.col("unit") - 1000).alias("gap"))
     return M.bootstrap_medians(t, "entity", "gap", 500)
 
 
 @query("cluster_range")
 def cluster_range(spark, d):
-    """Clusters over a range of k with three measures of quality, and the choice."""
+    """Clusters over a range of k with three measures of quality, and the choice."""
     e = M.robust_scaled(entities(spark, d).where("price is not null"), ["score", "price", "area"])
     quality, _ = M.cluster_range(e, "entity", ["scaled_score", "scaled_price", "scaled_area"], range(3, 16))
     return M.chosen_k(quality, 3)
