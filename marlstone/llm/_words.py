@@ -84,6 +84,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(starts, firsts)
 
 
+def segment_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes of `data`; runs start at `at` and none is empty. Places count modulo 4096."""
+    size = np.diff(at, append=len(data))
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(4095, _BASE, np.uint64)]))
+        place = (np.arange(len(data)) - np.repeat(at, size)) & 4095
+        return mix(np.add.reduceat((_BYTE[data] + np.uint64(1)) * power[place], at) + size.astype(np.uint64))
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words, at the index of its first; windows may span texts, callers drop those."""
     n = len(h) - k + 1

@@ -1,9 +1,9 @@
 """Token ids in files that are wavelet matrices, one for each shard of documents.
 
 A shard's ids stand as bit-planes, from the highest bit to the lowest; after each plane the ids are parted stably into
-those with a 0 and those with a 1. With counts of ones for each block of bits, that is enough to give the id at a place
-(access), the occurrences of an id before a place (rank) and the place of its k-th occurrence (select), all from one file.
-Planes are compressed one by one and inflated when first used.
+those with a 0 and those with a 1. A plane is cut into blocks, compressed one by one; a directory in the file's head has
+the ones before each block and where it lies. That is enough to give the id at a place (access), the occurrences of an id
+before a place (rank) and the place of its k-th occurrence (select): each reads a block or two of each plane.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,57 +21,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import partitions_for, scratch_dir, small_side, staged
-from ._tokens import TOKENIZER, encoder, read_file, write_file
-from ._words import text_bytes
+from ._tokens import PIECE_BYTES, TOKENIZER, encoder, store, with_end, write_file
+from ._words import pieces, text_bytes
 
-MAGIC = b"WVM1"
-#: Bits of a block whose ones are counted; ids of a file.
-RANK_BITS, FILE_IDS = 512, 6_000_000
+MAGIC = b"WVM2"
+#: Bits of a block; ids of a file; inflated blocks that an open matrix keeps.
+BLOCK_BITS, FILE_IDS, KEPT_BLOCKS = 1 << 16, 6_000_000, 256
 END_ID = 2
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, zeros: list[int], planes: list):
-        self.n, self.zeros, self._planes = n, zeros, planes
+    """`fetch` gives (offset, length) bytes of the blocks; zeros, ones and edges are the directory, by plane."""
 
-    @classmethod
-    def build(cls, ids: np.ndarray, planes: int) -> WaveletMatrix:
-        zeros, packed = [], []
+    def __init__(self, n: int, zeros: list[int], ones: list[np.ndarray], edges: list[np.ndarray], fetch: Callable[[int, int], bytes]):
+        self.n, self.zeros, self.ones, self.edges, self._fetch = n, zeros, ones, edges, fetch
+        self._inflate = zstandard.ZstdDecompressor().decompress
+        self._kept: dict[tuple[int, int], np.ndarray] = {}
+
+    @staticmethod
+    def to_bytes(ids: np.ndarray, planes: int) -> bytes:
+        """The matrix of `ids` as it stands in a file: head with directory, then blocks."""
+        press = zstandard.ZstdCompressor(level=1).compress
+        head, blocks, at = [struct.pack("<QBI", len(ids), planes, BLOCK_BITS)], [], 0
         for level in range(planes - 1, -1, -1):
-            bit = (ids >> ids.dtype.type(level)) & ids.dtype.type(1)
-            one = bit.view(np.uint8)[:: ids.itemsize].astype(bool) if ids.dtype.byteorder != ">" else bit.astype(bool)
-            packed.append(np.packbits(one, bitorder="little"))
+            one = ((ids >> ids.dtype.type(level)) & ids.dtype.type(1)).astype(bool)
+            plane = np.packbits(one, bitorder="little").tobytes()
+            own = [press(plane[i : i + BLOCK_BITS // 8]) for i in range(0, len(plane), BLOCK_BITS // 8)]
+            count = np.add.reduceat(one, np.arange(0, len(ids), BLOCK_BITS), dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
+            edge = at + np.cumsum([0, *map(len, own)])
             low = ids[~one]
-            zeros.append(len(low))
+            head += [struct.pack("<Q", len(low)), np.append(0, np.cumsum(count)).astype("<i8").tobytes(), edge.astype("<i8").tobytes()]
+            blocks += own
+            at = int(edge[-1])
             ids = np.concatenate([low, ids[one]])
-        return cls(len(ids), zeros, packed)
-
-    def plane(self, k: int) -> np.ndarray:
-        if isinstance(self._planes[k], bytes):
-            self._planes[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._planes[k], max_output_size=max(1, -(-self.n // 8))), np.uint8)
-        return self._planes[k]
-
-    def _ones_before(self, k: int) -> np.ndarray:
-        """Ones before each block of RANK_BITS bits of a plane, counted once."""
-        if not hasattr(self, "_ranks"):
-            self._ranks = {}
-        if k not in self._ranks:
-            step = RANK_BITS // 8
-            plane = self.plane(k)
-            padded = np.zeros(-(-max(1, len(plane)) // step) * step, np.uint8)
-            padded[: len(plane)] = plane
-            self._ranks[k] = np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, step).sum(axis=1, dtype=np.int64))])
-        return self._ranks[k]
+        return b"".join(head + blocks)
+
+    @classmethod
+    def open(cls, fetch: Callable[[int, int], bytes]) -> WaveletMatrix:
+        """The matrix that `fetch` reads; nothing but the head is read now."""
+        n, planes, bits = struct.unpack("<QBI", fetch(0, 13))
+        if bits != BLOCK_BITS:
+            raise ValueError(f"blocks of {bits} bits")
+        edges_of = -(-n // BLOCK_BITS) + 1
+        step = 8 + 16 * edges_of
+        head = fetch(13, planes * step)
+        numbers = [np.frombuffer(head, "<i8", 1 + 2 * edges_of, k * step) for k in range(planes)]
+        base = 13 + planes * step
+        return cls(n, [int(x[0]) for x in numbers], [x[1 : 1 + edges_of] for x in numbers], [x[1 + edges_of :] + base for x in numbers], fetch)
+
+    def _block(self, k: int, b: int) -> np.ndarray:
+        """The bits of a block, packed."""
+        if (k, b) not in self._kept:
+            if len(self._kept) >= KEPT_BLOCKS:
+                self._kept.pop(next(iter(self._kept)))
+            a, z = int(self.edges[k][b]), int(self.edges[k][b + 1])
+            self._kept[k, b] = np.frombuffer(self._inflate(self._fetch(a, z - a), max_output_size=BLOCK_BITS // 8), np.uint8)
+        return self._kept[k, b]
 
     def _rank1(self, k: int, i: int) -> int:
-        block, plane = i // RANK_BITS, self.plane(k)
-        bits = np.unpackbits(plane[block * RANK_BITS // 8 : -(-i // 8)], bitorder="little")
-        return int(self._ones_before(k)[block]) + int(bits[: i - block * RANK_BITS].sum())
+        block, within = divmod(i, BLOCK_BITS)
+        if not within:
+            return int(self.ones[k][block])
+        bits = self._block(k, block)
+        tail = int(bits[within >> 3]) & ((1 << (within & 7)) - 1) if within & 7 else 0
+        return int(self.ones[k][block]) + int(np.bitwise_count(bits[: within >> 3]).sum()) + tail.bit_count()
 
     def _bit(self, k: int, i: int) -> int:
-        return int(self.plane(k)[i >> 3]) >> (i & 7) & 1
+        block, within = divmod(i, BLOCK_BITS)
+        return int(self._block(k, block)[within >> 3]) >> (within & 7) & 1
 
     def access(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
         value = 0
         for k, zeros in enumerate(self.zeros):
             bit = self._bit(k, i)
@@ -106,57 +127,60 @@ class WaveletMatrix:
 
     def _find(self, k: int, one: int, nth: int) -> int:
         """The place of a plane's nth 1, or 0, from 0."""
-        ranks = self._ones_before(k)
-        counts = ranks if one else np.arange(len(ranks)) * RANK_BITS - ranks
+        ones = self.ones[k]
+        counts = ones if one else np.minimum(np.arange(len(ones)) * BLOCK_BITS, self.n) - ones
         block = int(np.searchsorted(counts, nth, side="right")) - 1
-        bits = np.unpackbits(self.plane(k)[block * RANK_BITS // 8 : (block + 1) * RANK_BITS // 8], bitorder="little")
-        return block * RANK_BITS + int(np.flatnonzero(bits == one)[nth - int(counts[block])])
+        bits = np.unpackbits(self._block(k, block), bitorder="little")
+        return block * BLOCK_BITS + int(np.flatnonzero(bits == one)[nth - int(counts[block])])
 
     def decode(self) -> np.ndarray:
         """All ids in order: the partings undone from the lowest plane up, without a jump in memory."""
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         ids = np.zeros(self.n, kind)
         for k in range(len(self.zeros) - 1, -1, -1):
-            one = np.unpackbits(self.plane(k), count=self.n, bitorder="little").view(bool)
+            edge = self.edges[k].tolist()
+            raw = self._fetch(edge[0], edge[-1] - edge[0])
+            plane = b"".join(self._inflate(raw[a - edge[0] : z - edge[0]], max_output_size=BLOCK_BITS // 8) for a, z in zip(edge[:-1], edge[1:], strict=True))
+            one = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(ids)
             above[~one] = ids[: self.zeros[k]]
             above[one] = ids[self.zeros[k] :] | kind(1 << (len(self.zeros) - 1 - k))
             ids = above
         return ids
 
-    def to_bytes(self) -> bytes:
-        press = zstandard.ZstdCompressor(level=1).compress
-        packed = [press(self.plane(k).tobytes()) for k in range(len(self.zeros))]
-        head = struct.pack("<QB", self.n, len(packed)) + b"".join(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed, strict=True))
-        return head + b"".join(packed)
 
-    @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        n, planes = struct.unpack_from("<QB", data)
-        pairs = [struct.unpack_from("<QQ", data, 9 + 16 * k) for k in range(planes)]
-        at, packed = 9 + 16 * planes, []
-        for _, size in pairs:
-            packed.append(bytes(data[at : at + size]))
-            at += size
-        return cls(n, [z for z, _ in pairs], packed)
-
-
-def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, planes: int) -> bytes:
+def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, planes: int) -> bytes:
     """A shard's file: documents and their numbers of ids, then the matrix of all ids."""
     named = pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "n"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, named.schema) as out:
         out.write_batch(named)
     head = zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
-    return MAGIC + struct.pack("<Q", len(head)) + head + WaveletMatrix.build(ids, planes).to_bytes()
+    return MAGIC + struct.pack("<Q", len(head)) + head + WaveletMatrix.to_bytes(ids, planes)
+
+
+class Shard:
+    """An open shard file: its documents, their numbers of ids, and the matrix, whose blocks are read when needed."""
+
+    def __init__(self, path: str):
+        fs, at = store(path)
+        self._file = fs.open_input_file(at)
+        if self._read(0, 4) != MAGIC:
+            raise ValueError(f"{path}: not a shard of token ids")
+        (size,) = struct.unpack("<Q", self._read(4, 8))
+        named = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self._read(12, size))).read_all()
+        self.doc_ids, self.lengths = named.column("doc_id").to_pylist(), named.column("n").to_numpy()
+        self.matrix = WaveletMatrix.open(lambda offset, length: self._read(12 + size + offset, length))
+
+    def _read(self, offset: int, length: int) -> bytes:
+        self._file.seek(offset)
+        return self._file.read(length)
 
+    def __enter__(self) -> Shard:
+        return self
 
-def open_shard(data: bytes) -> tuple[list[int | None], list[int], WaveletMatrix]:
-    if data[:4] != MAGIC:
-        raise ValueError("not a shard of token ids")
-    (size,) = struct.unpack_from("<Q", data, 4)
-    named = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data[12 : 12 + size])).read_all()
-    return named.column("doc_id").to_pylist(), named.column("n").to_pylist(), WaveletMatrix.from_bytes(data[12 + size :])
+    def __exit__(self, *_) -> None:
+        self._file.close()
 
 
 def _write(folder: str, tokenizer: str):
@@ -165,25 +189,24 @@ def _write(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         words = encoder(tokenizer)
-        end = np.array([END_ID], words.kind).tobytes()
         docs, lengths, ids, total, number = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/{part:07d}-{number:05d}-{uuid.uuid4().hex[:8]}.wvm"  # another attempt writes other files
-            write_file(path, shard_bytes(docs, lengths, np.frombuffer(b"".join(ids), words.kind), int(len(words.ends_word) - 1).bit_length()))
+            write_file(path, shard_bytes(docs, np.concatenate(lengths), np.concatenate(ids), words.largest.bit_length()))
             return pa.record_batch([pa.array([path]), pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([total], pa.int64())], ["path", "part", "number", "n_ids"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                own = words.encode(text) + end
-                n = len(own) // len(end)
-                if total and total + n > FILE_IDS:
+            names = batch.column("doc_id").to_pylist()
+            for begin, texts in pieces(text_bytes(batch.column("text")), PIECE_BYTES):
+                own, size = with_end(*words.encode_all(texts), END_ID)
+                if total and total + len(own) > FILE_IDS:
                     yield flush()
                     docs, lengths, ids, total, number = [], [], [], 0, number + 1
-                docs.append(doc)
-                lengths.append(n)
+                docs += names[begin : begin + len(texts)]
+                lengths.append(size)
                 ids.append(own)
-                total += n
+                total += len(own)
         if docs:
             yield flush()
 
@@ -197,19 +220,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER)
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    dealt = plain.repartitionByRange(partitions_for(docs.sparkSession), order[0]).sortWithinPartitions(*order)
+    dealt = plain.repartitionByRange(partitions_for(docs.sparkSession), *order).sortWithinPartitions(*order)  # the hash parts rows that share an id
     return staged(dealt.mapInArrow(_write(folder, tokenizer), "path string, part int, number int, n_ids long"), "token-files")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-            docs, lengths, matrix = open_shard(read_file(path))
-            ids = matrix.decode().astype("<u4")
-            ends = np.cumsum(lengths)
-            crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), lengths, strict=True)]
-            starts = base + ends - np.array(lengths, np.int64)
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            with Shard(path) as shard:
+                ids = shard.matrix.decode().astype("<u4")
+            ends = np.cumsum(shard.lengths)
+            starts = ends - shard.lengths
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + base), pa.array(shard.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import partitions_for, scratch_dir, staged
-from ._tokens import TOKENIZER, encoder, store
-from ._words import text_bytes
+from ._tokens import PIECE_BYTES, TOKENIZER, encoder, store, with_end
+from ._words import pieces, text_bytes
 
 #: Bytes of a block; of a file when flat files are written here.
 BLOCK_BYTES, FILE_BYTES = 4 << 20, 64 << 20
@@ -32,11 +32,10 @@ def _write_flat(folder: str, tokenizer: str, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out, size, docs = TaskContext.get().partitionId(), 0, None, 0, 0
         words = encoder(tokenizer, special_as_text=True)
-        end = np.array([separator], words.kind).tobytes()
         path = ""
         for batch in batches:
             names = []
-            for text in text_bytes(batch.column("text")):
+            for _, texts in pieces(text_bytes(batch.column("text")), PIECE_BYTES):
                 if out is None or size > FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -44,11 +43,11 @@ def _write_flat(folder: str, tokenizer: str, separator: int):
                     fs, at = store(path)
                     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(at)
-                own = words.encode(text) + end
+                own = with_end(*words.encode_all(texts), separator)[0].tobytes()
                 out.write(own)
                 size += len(own)
-                names.append((path, docs))
-                docs += 1
+                names += [(path, docs + i) for i in range(len(texts))]
+                docs += len(texts)
             paths, places = zip(*names, strict=True) if names else ((), ())
             yield pa.record_batch([batch.column("doc_id"), pa.array(paths, pa.string()), pa.array(places, pa.int64())], ["doc_id", "path", "ordinal"])
         if out is not None:

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from marlstone.llm import _tokens, token_binary
 from marlstone.llm import warc as W
 from marlstone.llm._shared import scratch_dir
 from marlstone.llm._tokens import read_file, write_file
@@ -29,20 +30,54 @@ def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_wavelet_matrix():
+def opened(ids, reads):
+    data = WaveletMatrix.to_bytes(ids, 16)
+
+    def fetch(offset, length):
+        reads.append(length)
+        return data[offset : offset + length]
+
+    return WaveletMatrix.open(fetch)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_wavelet_matrix(monkeypatch, bits):
+    monkeypatch.setattr(token_binary, "BLOCK_BITS", bits)
     ids = np.random.default_rng(3).integers(0, 49408, 3000).astype(np.uint16)
     ids[5:2000:11] = 777
-    m = WaveletMatrix.from_bytes(WaveletMatrix.build(ids, 16).to_bytes())
+    m = opened(ids, [])
     places = np.flatnonzero(ids == 777)
     assert (m.decode() == ids).all() and [m.access(i) for i in range(0, 3000, 101)] == ids[::101].tolist()
     assert m.count(777) == len(places) and [m.select(777, k) for k in range(len(places))] == places.tolist()
     assert [m.rank(777, i) for i in (0, 5, 6, 1500, 3000)] == [int((ids[:i] == 777).sum()) for i in (0, 5, 6, 1500, 3000)]
-    with pytest.raises(IndexError):
-        m.select(777, len(places))
-    empty = WaveletMatrix.from_bytes(WaveletMatrix.build(ids[:0], 16).to_bytes())
+    for wrong in (lambda: m.select(777, len(places)), lambda: m.access(3000)):
+        with pytest.raises(IndexError):
+            wrong()
+    empty = opened(ids[:0], [])
     assert empty.count(1) == 0 and len(empty.decode()) == 0
 
 
+def test_access_reads_few_blocks():
+    ids = np.random.default_rng(4).integers(0, 49408, 1_000_000).astype(np.uint16)
+    reads = []
+    m = opened(ids, reads)
+    reads.clear()
+    assert m.access(654_321) == ids[654_321]
+    assert len(reads) == 16 and sum(reads) < 16 * 9000  # one block of each plane, of 16 blocks
+
+
+def test_known_segments_are_bounded(monkeypatch, tokenizer):
+    monkeypatch.setattr(_tokens, "CACHED_SEGMENTS", 50)
+    words = _tokens.SegmentEncoder()
+    texts = [*(f"it's word{i} of,many. naïve{i} ab{i}é! x" for i in range(300)), "", "<|endoftext|> is special", "same", "same", "\u0130stanbul cafe\u0301 x\u2260y \u00a0 12ab3 it'sabc", "a" * 300_000]
+    for begin in range(0, len(texts), 40):
+        part = texts[begin : begin + 40]
+        ids, lengths = words.encode_all([x.encode() for x in part])
+        want = [x.ids for x in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+    assert len(words.known.hash) <= 50 + 200 and len(words.known.hash) == len(words.known.used)
+
+
 @pytest.mark.parametrize("file_ids", [6_000_000, 500])
 def test_token_files(docs, corpus, tokenizer, monkeypatch, file_ids):
     import marlstone.llm.token_binary as B
