@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in estimated bytes, that is handed to every executor. Beyond it joins shuffle.
@@ -19,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where that is unset in local mode."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="marlstone-")
@@ -41,12 +43,22 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` marked for broadcast if its counted rows stay under `limit` bytes; else as it is, so that joins shuffle.
+def small_side(df: DataFrame, row_bytes: int, more: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if its rows stay under `limit` bytes; else as it is, so that joins shuffle.
 
-    `df` should be a written table: it is counted here.
+    A row counts as `row_bytes` bytes, and `more` where values have any length. `df` should be a written table: it is
+    read here.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = df.agg(F.count("*") * row_bytes + (F.lit(0) if more is None else F.coalesce(F.sum(more), F.lit(0)))).first()[0]
+    return F.broadcast(df) if size <= limit else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as make it differ from all columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:

@@ -306,5 +306,5 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     suffixes = deal(docs.select("place", "text").mapInArrow(_suffixes(window, lanes, route, parts), _EXCHANGED))
     places = deal(suffixes.mapInArrow(_repeats(lanes, parts), _EXCHANGED))
     spans = staged(places.mapInArrow(_spans_of(window), "gone_id long, spans binary"), "repeat-spans")
-    joined = docs.join(small_side(spans, 80), F.col("place") == F.col("gone_id"), "left")
+    joined = docs.join(small_side(spans, 48, F.octet_length("spans")), F.col("place") == F.col("gone_id"), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
