@@ -1,26 +1,38 @@
 """Benchmark decontamination by Wu-Manber search for many word sequences at once.
 
-Patterns are windows of benchmark words. For each pattern length there is a shift table over blocks of up to three
-words: how far the search may jump when it sees that block at the end of its window. Blocks that end a pattern have no
-shift and a bucket, by their hash, of the patterns that end so; the whole window is then compared with those.
+Patterns are windows of benchmark words. For each pattern length there is a shift table over hashed blocks of up to three
+words: how far the search may jump when it sees that block at the end of its window. Blocks that may end a pattern have
+no shift; the hashes of the block and of the whole window then lead to the bucket of patterns that end so, and their bytes
+are compared.
 
-The benchmark is read in blocks of bounded size, and each block's tables are handed to the executors; all documents
-pass all blocks, one after the other within a task, without a shuffle.
+The benchmark is dealt to blocks of bounded size by a hash. A task builds each block's tables, as arrays of about 35 bytes
+a word, and writes them to the shared scratch folder; searching tasks read the tables of one block. All documents pass one
+block after the other without a shuffle, and what a block has found is written before the next is begun. Neither texts
+nor tables pass through the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import partitions_for, scratch_dir, staged
+from ._tokens import read_file, write_file
 from ._words import ALNUM_TABLE, text_bytes
+from .near_dup import grouped
 
-#: Benchmark text, in bytes, whose tables are held by a task at once.
-BLOCK_BYTES = 4 << 20
+#: Benchmark text, in bytes, whose tables a task holds at once, and the most that stays together of one item.
+BLOCK_BYTES, PART_BYTES = 6 << 20, 1 << 20
 
 
 def alnum_words(text: bytes) -> list[bytes]:
@@ -30,92 +42,192 @@ def alnum_words(text: bytes) -> list[bytes]:
 class PatternTables:
     """Shift and bucket tables of the windows of some items, by window length."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
-        by_length: dict[int, dict[tuple, set]] = {}
-        for item, words in items:
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.classes = []
-        for size, patterns in sorted(by_length.items(), reverse=True):
-            block = min(3, size)
-            shift: dict[tuple, int] = {}
-            bucket: dict[tuple, list] = {}
-            for pattern in patterns:
-                for end in range(block, size + 1):
-                    key = pattern[end - block : end]
-                    shift[key] = min(shift.get(key, size), size - end)
-                bucket.setdefault(pattern[-block:], []).append(pattern)
-            self.classes.append((size, block, shift, bucket, patterns))
+    def __init__(self, items: list[str | None], classes: list[tuple]):
+        self.items, self.classes = items, classes
+
+    @classmethod
+    def build(cls, texts: list[tuple[str | None, list[bytes]]], window: int) -> PatternTables:
+        """From (item_id, words); fewer words than `window` are one pattern."""
+        names = {name: i for i, name in enumerate(dict.fromkeys(name for name, _ in texts))}
+        by_size: dict[int, list[tuple[int, list[bytes]]]] = {}
+        for name, words in texts:
+            if words:
+                by_size.setdefault(min(window, len(words)), []).append((names[name], words))
+        classes = []
+        for size, own in sorted(by_size.items(), reverse=True):
+            block, n = min(3, size), sum(len(words) - size + 1 for _, words in own)
+            bits = max(10, (8 * n).bit_length())
+            shift = np.full(1 << bits, size - block + 1, np.uint8)
+            key, begin, end, item = np.zeros(n, np.uint64), np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+            at = base = 0
+            for number, words in own:
+                edge = np.cumsum([0, *(len(x) + 1 for x in words)])
+                count = len(words) - size + 1
+                ends = np.array([crc32(b" ".join(words[i : i + block])) for i in range(len(words) - block + 1)], np.uint32)
+                for step in range(size - block + 1):  # a block that ends `step` words before its window's end
+                    np.minimum.at(shift, ends[size - block - step : size - block - step + count] & np.uint32((1 << bits) - 1), np.uint8(step))
+                whole = np.array([crc32(b" ".join(words[i : i + size])) for i in range(count)], np.uint64)
+                key[at : at + count] = ends[size - block :].astype(np.uint64) << np.uint64(32) | whole
+                begin[at : at + count], end[at : at + count] = base + edge[:count], base + edge[size:] - 1
+                item[at : at + count] = number
+                at, base = at + count, base + int(edge[-1])
+            order = np.argsort(key, kind="stable")
+            text = b" ".join(b" ".join(words) for _, words in own)
+            classes.append((size, block, shift.tobytes(), array("Q", key[order].tobytes()), *(array("I", x[order].tobytes()) for x in (begin, end, item)), text))
+        return cls(list(names), classes)
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """(the spans of words that occur, the items they are from)."""
         spans, items = [], set()
-        for size, block, shift, bucket, patterns in self.classes:
-            jump = size - block + 1
-            at, n = size, len(words)  # the window is words[at - size : at]
-            look = shift.get
-            while at <= n:
-                key = tuple(words[at - block : at])
-                step = look(key, jump)
+        for size, block, shift, key, begin, end, item, text in self.classes:
+            mask, n, many, at, join = len(shift) - 1, len(words), len(key), size, b" ".join
+            while at <= n:  # the window is words[at - size : at]
+                tail = crc32(join(words[at - block : at]))
+                step = shift[tail & mask]
                 if step:
                     at += step
                     continue
-                seen = tuple(words[at - size : at])
-                for pattern in bucket[key]:
-                    if pattern == seen:
-                        spans.append((at - size, at))
-                        items |= patterns[pattern]
-                        break
+                seen = join(words[at - size : at])
+                wanted = tail << 32 | crc32(seen)
+                i, found = bisect_left(key, wanted), False
+                while i < many and key[i] == wanted:
+                    if text[begin[i] : end[i]] == seen:
+                        found = True
+                        items.add(self.items[item[i]])
+                    i += 1
+                if found:
+                    spans.append((at - size, at))
                 at += 1
         return spans, items
 
+    def to_bytes(self) -> bytes:
+        parts = [pa.array(self.items, pa.string()).cast(pa.binary())]
+        names = b"".join(struct.pack("<q", -1) if x is None else struct.pack("<q", len(x)) + x for x in parts[0].to_pylist())
+        out = [struct.pack("<qq", len(self.items), len(self.classes)), names]
+        for size, block, *rest in self.classes:
+            blobs = [x if isinstance(x, bytes) else x.tobytes() for x in rest]
+            out += [struct.pack("<qq6q", size, block, *map(len, blobs)), *blobs]
+        return b"".join(out)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> PatternTables:
+        n, many = struct.unpack_from("<qq", data)
+        at, items, classes = 16, [], []
+        for _ in range(n):
+            (size,) = struct.unpack_from("<q", data, at)
+            at += 8
+            items.append(None if size < 0 else data[at : at + size].decode())
+            at += max(size, 0)
+        for _ in range(many):
+            size, block, *lengths = struct.unpack_from("<qq6q", data, at)
+            at += 64
+            blobs = []
+            for x in lengths:
+                blobs.append(data[at : at + x])
+                at += x
+            shift, key, begin, end, item, text = blobs
+            classes.append((size, block, shift, array("Q", key), array("I", begin), array("I", end), array("I", item), text))
+        return cls(items, classes)
+
+
+def _parted(window: int):
+    """mapInArrow function: (item_id, text) to its normal words, long items in parts that share `window` - 1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                words = alnum_words(text)
+                if len(text) <= PART_BYTES:
+                    rows.append((item, b" ".join(words)))
+                    continue
+                begin = 0
+                while begin + window <= len(words) or begin == 0:
+                    size, stop = 0, begin
+                    while stop < len(words) and (size < PART_BYTES or stop < begin + window):
+                        size, stop = size + len(words[stop]) + 1, stop + 1
+                    rows.append((item, b" ".join(words[begin:stop])))
+                    begin = stop - window + 1 if stop < len(words) else len(words)
+            items, texts = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.record_batch([pa.array(items, pa.string()), pa.array(texts, pa.binary())], ["item_id", "words"])
+
+    return run
+
+
+def _build(folder: str, window: int):
+    """mapInArrow function over (block, item_id, words), sorted by block: a written table for each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["block"]):
+            texts = [(i, w.split()) for i, w in zip(group.column("item_id").to_pylist(), group.column("words").to_pylist(), strict=True)]
+            path = f"{folder}/{group.column('block')[0].as_py():06d}-{uuid.uuid4().hex[:8]}.wum"
+            write_file(path, PatternTables.build(texts, window).to_bytes())
+            yield pa.record_batch([pa.array([path])], ["path"])
+
+    return run
+
+
+def pattern_tables(benchmark: DataFrame, window: int) -> list[str]:
+    """Builds the tables of `benchmark` (item_id, text), block by block, in the shared scratch folder; their paths."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    parts = staged(rows.mapInArrow(_parted(window), "item_id string, words binary"), "benchmark-parts").where("octet_length(words) > 0")
+    total = parts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = -(-total // BLOCK_BYTES)
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(max(1, blocks))).cast("int")).repartition(min(max(1, blocks), partitions_for(spark)), "block").sortWithinPartitions("block")
+    made = staged(dealt.mapInArrow(_build(scratch_dir(spark, "benchmark-tables"), window), "path string"), "benchmark-paths")
+    return [row.path for row in made.sort("path").toLocalIterator()]
+
+
+_open: dict[str, PatternTables] = {}
+
+
+def _tables(path: str) -> PatternTables:
+    """The tables at `path`, kept in a Python worker until it needs others."""
+    if path not in _open:
+        _open.clear()
+        _open[path] = PatternTables.from_bytes(read_file(path))
+    return _open[path]
 
-def _search(tables, first: bool):
+
+def _search(path: str):
     """mapInArrow function: adds what this block of the benchmark finds to (spans, items) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = tables.value.search
+        search = _tables(path).search
         for batch in batches:
             spans, items = [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if not first else None
-            for text in text_bytes(batch.column("text")):
+            for text, had, had_ids in zip(text_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
                 own, ids = search(alnum_words(text))
-                had, had_ids = next(before) if before else ((), ())
-                spans.append([*had, *(x for pair in own for x in pair)])
-                items.append([*had_ids, *(x for x in ids if x is not None)])
+                spans.append(had + [x for pair in own for x in pair])
+                items.append(had_ids + [x for x in ids if x is not None])
             yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
 
     return run
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, spans, items in zip(text_bytes(batch.column("text")), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            hit = end = 0
-            for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                hit += max(0, b - max(a, end))
-                end = max(end, b)
-            ids = sorted(set(items))
-            rows.append((len(alnum_words(text)), hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+def _judge(path: str | None):
+    """mapInArrow function: the verdict of each document by what has been found before and, if given, the last block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _tables(path).search if path else lambda words: ((), ())
+        for batch in batches:
+            rows = []
+            earlier = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if "spans" in batch.schema.names else iter(lambda: ([], []), None)
+            for text, (spans, items) in zip(text_bytes(batch.column("text")), earlier):  # noqa: B905
+                words = alnum_words(text)
+                own, named = search(words)
+                hit = end = 0
+                for a, b in sorted([*zip(spans[::2], spans[1::2], strict=True), *own]):
+                    hit += max(0, b - max(a, end))
+                    end = max(end, b)
+                ids = sorted({*items, *(x for x in named if x is not None)})
+                rows.append((len(words), hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    for row in rows.toLocalIterator():
-        raw = row.text.encode()
-        if block and size + len(raw) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, alnum_words(raw)))
-        size += len(raw)
-    if block:
-        yield block
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -129,21 +241,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     count once, those without one are searched for but not counted. Repeated documents give repeated rows, a null
     doc_id stays null, an empty benchmark contaminates nothing, other columns are ignored.
     """
-    spark = docs.sparkSession
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = True
-    for block in _blocks(benchmark):
-        tables = spark.sparkContext.broadcast(PatternTables(block, window))  # of a block of bounded size
-        out = out.mapInArrow(_search(tables, first), "doc_id long, text string, spans array<long>, items array<string>")
-        first = False
-    if first:
-        out = out.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-    return out.mapInArrow(_judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    paths = pattern_tables(benchmark, window)
+    for i, path in enumerate(paths[:-1]):
+        if not i:
+            out = out.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
+        out = staged(out.mapInArrow(_search(path), "doc_id long, text string, spans array<long>, items array<string>"), "benchmark-found")
+    return out.mapInArrow(_judge(paths[-1] if paths else None), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _clean(tables):
+def _clean(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = tables.value.search
+        search = _tables(path).search
         for batch in batches:
             yield batch.filter(pa.array([not search(alnum_words(x))[0] for x in text_bytes(batch.column("text"))], pa.bool_()))
 
@@ -151,7 +260,11 @@ def _clean(tables):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of `docs`, with all their columns, that contamination() finds clean."""
-    for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(PatternTables(block, window))), docs.schema)
+    """The rows of `docs`, with all their columns, that contamination() finds clean.
+
+    Null and empty texts stay, repeated rows share one fate, columns of any name are kept as they are; an empty benchmark
+    or an empty table changes nothing.
+    """
+    for i, path in enumerate(pattern_tables(benchmark, window)):
+        docs = (staged(docs, "benchmark-clean") if i else docs).mapInArrow(_clean(path), docs.schema)
     return docs
