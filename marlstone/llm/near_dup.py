@@ -8,8 +8,8 @@ each symbol that may be wrong, with the other three as the key: all pairs under
 
 Buckets are not expanded into pairs. First each member is confirmed, or not, against the nearest of its buckets' smallest
 members, and components are contracted. Buckets that still hold several components are then searched in blocks; each
-gives only enough pairs under the threshold to connect its components, so that what may belong together forms clusters.
-A cluster's documents are at last compared in blocks on their full sets, nearest signatures first, skipping what is
+gives only enough pairs under the threshold to connect its components. Those pairs are confirmed and contracted in turn;
+components that one of them failed to join form clusters. A cluster's documents are at last compared in blocks on their full sets, nearest signatures first, skipping what is
 already connected, until every pair under the threshold that would join two components has been tried.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import partitions_for, small_side, staged
+from ._shared import fresh, partitions_for, small_side, staged
 from ._words import LOWER_TABLE, mix, pieces, short_shingle, shingle_sets, text_bytes, window_hashes, word_hashes
 
 SYMBOLS, CHUNK, DISTANCE = 64, 4, 31
@@ -178,18 +178,19 @@ def _links(a: list, b: list) -> pa.RecordBatch:
 
 
 def _bridges(percent: int):
-    """mapInArrow function over blocks of buckets: pairs of components that connect all those under the threshold."""
+    """mapInArrow function over blocks of buckets: pairs of rows that connect all components under the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for block in grouped(batches, ["key", "bi", "bj"]):
-            comp = block.column("comp").to_numpy()
+            comp, rep = block.column("comp").to_numpy(), block.column("rep").to_numpy()
             joined = _Joined(comp)
-            for x, y in zip(*(comp[side].tolist() for side in _candidates(block, percent)), strict=True):
+            for i, j in zip(*(side.tolist() for side in _candidates(block, percent)), strict=True):
+                x, y = int(comp[i]), int(comp[j])
                 if joined.root(x) != joined.root(y):
                     joined.join(x, y)
-                    a.append(min(x, y))
-                    b.append(max(x, y))
+                    a.append(int(min(rep[i], rep[j])))
+                    b.append(int(max(rep[i], rep[j])))
             if len(a) > 10_000:
                 yield _links(a, b)
                 a, b = [], []
@@ -357,6 +358,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     open_members = placed.join(open_keys, "key", "left_semi").select("key", "members", "rep", "comp").join(signs, "rep")
     bridges = staged(_blocked(open_members, BLOCK).mapInArrow(_bridges(percent), "a long, b long").distinct(), "near-bridges")
+    if not bridges.isEmpty():
+        # the pairs found are tried first: what they join needs no further search
+        labels = _relabelled(labels, staged(_confirmed(docs, bridges, shingle_words, percent), "near-links"))
+        ends = bridges
+        for side in ("a", "b"):
+            ends = ends.join(labels.select(F.col("id").alias(side), F.col("comp").alias("c" + side)), side)
+        bridges = staged(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "near-bridges")
     if not bridges.isEmpty():
         clusters = connected(bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), bridges)
         inside = staged(labels.join(clusters.select(F.col("id").alias("comp"), F.col("comp").alias("key")), "comp"), "near-inside")
@@ -373,14 +381,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 75)
 def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 75) -> DataFrame:
     """The rows of `docs`, with all their columns, without near-duplicates: of each component the smallest doc_id stays.
 
-    Of rows that share a doc_id one stays. Rows without a doc_id all stay.
+    Of rows that share a doc_id one stays. Rows without a doc_id all stay, as do those with a null or empty text; columns
+    of any name are kept as they are; an empty table gives no rows.
     """
-    judged = staged(near_duplicates(docs, shingle_words, percent), "near-judged")
-    gone = staged(judged.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
-    kept = docs.join(small_side(gone, 16), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    twice = staged(judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).count().where("count > 1").select("gone_id"), "near-twice")
+    judged, own = staged(near_duplicates(docs, shingle_words, percent), "near-judged"), fresh(docs, "gone_id")
+    gone = staged(judged.where("not kept").select(F.col("doc_id").alias(own)).distinct(), "near-gone")
+    kept = docs.join(small_side(gone, 16), F.col("doc_id") == F.col(own), "left_anti")
+    twice = staged(judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("times")).where("times > 1").select(own), "near-twice")
     if twice.isEmpty():
         return kept
     twice = small_side(twice, 16)
-    single = kept.join(twice, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col("doc_id") == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"]))
+    single = kept.join(twice, F.col("doc_id") == F.col(own), "left_anti")
+    return single.unionByName(kept.join(twice, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"]))
