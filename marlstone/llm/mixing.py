@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions_for, small_side, staged
+from ._shared import fresh, partitions_for, small_side, staged
 from .near_dup import grouped
 
 #: Documents of one leaf, and unfinished documents that are paired by one inner node.
@@ -151,11 +151,13 @@ def mixed_documents(docs: DataFrame, total_share: float = 1.5, most: float = 2.0
     """The rows of `docs`, with all their columns, as often as mix_sources() takes them.
 
     Each row has its own copies, whether its doc_id is null, repeated or neither. Of rows with the same doc_id, source
-    and size, those are taken that come first by a hash of their columns.
+    and size, those are taken that come first by a hash of their columns. A null or empty text has no words and is not
+    taken; columns of any name are kept as they are; an empty table gives no rows.
     """
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    digest = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
-    taken = _mixed(rows, F.col("_row"), digest, total_share, most).where("copies > 0")
-    taken = staged(taken.select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies")), "mix-copies")
-    joined = rows.join(small_side(taken, 24), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, copies, copy = fresh(docs, "row"), fresh(docs, "copies"), fresh(docs, "copy")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    digest = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    taken = _mixed(rows, F.col(row), digest, total_share, most).where("copies > 0")
+    taken = staged(taken.select(F.col("row").alias(row), F.col("copies").cast("int").alias(copies)), "mix-copies")
+    joined = rows.join(small_side(taken, 24), row)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
