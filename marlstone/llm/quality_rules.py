@@ -152,6 +152,28 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule | None:
     return Rule(rule) if rule else None
 
 
+def _first_of_each(marked: DataFrame) -> DataFrame:
+    """Of the written rows (doc_id, bad, place) those FIT_ROWS of each class whose hash, place, is smallest.
+
+    Hashes are spread evenly, so a bound on them leaves little more than FIT_ROWS rows of a class to be ranked; it is
+    widened until it leaves enough.
+    """
+    sizes = {row.bad: row.n for row in marked.groupBy("bad").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    slack = 2.0
+    while True:
+        bounds = {bad: -(1 << 63) + int(min(1.0, slack * FIT_ROWS / n) * ((1 << 64) - 1)) for bad, n in sizes.items()}
+        under = F.lit(False)
+        for bad, bound in bounds.items():
+            under = under | ((F.col("bad") == bad) & (F.col("place") <= F.lit(min(bound, (1 << 63) - 1)).cast("long")))
+        left = marked.where(under)
+        found = {row.bad: row.n for row in left.groupBy("bad").agg(F.count("*").alias("n")).collect()}
+        if all(found.get(bad, 0) >= min(n, FIT_ROWS) for bad, n in sizes.items()):
+            break
+        slack *= 2
+    order = Window.partitionBy("bad").orderBy("place", "doc_id")
+    return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIT_ROWS).select("doc_id", "bad")
+
+
 def learn_rules(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules for bad documents, from docs (doc_id, text) and labels (doc_id, quality: 0 is bad, 1 is good).
 
@@ -160,8 +182,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     labels, or labels of one class, give no rules. A doc_id with both labels counts as bad.
     """
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 0).cast("int").alias("bad"))
-    first = Window.partitionBy("bad").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = staged(marked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIT_ROWS).drop("place"), "rules-labels")
+    chosen = staged(_first_of_each(staged(marked.withColumn("place", F.xxhash64("doc_id")), "rules-marked")), "rules-labels")
     fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # of at most 2 * FIT_ROWS rows
     # written first: a filter on the statistics would have them computed twice
     known = staged(text_statistics(fit, "bad").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3))), "rules-statistics")
