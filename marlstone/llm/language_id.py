@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import small_side, staged
 from ._words import LOWER_TABLE
 
 #: Labelled documents that each dictionary is made of, dictionaries of a language, and bytes of a dictionary.
@@ -41,19 +42,24 @@ def fit(labelled: DataFrame) -> dict[str, list[bytes]]:
     """The dictionaries of each language of `labelled` (doc_id, text, lang), from a bounded sample of it.
 
     The sample has up to FIT_DOCS * DICTIONARIES whole documents of each language, those first in the order of a hash
-    of doc_id; documents of FIT_CHARS characters go before others. Languages come in the order of their frequency.
+    of doc_id; documents of FIT_CHARS characters go before others. A dictionary keeps the last DICTIONARY_BYTES bytes of
+    its documents' letters. Languages come in the order of their frequency.
+
+    Documents are chosen by their ids and hashes first, and only the texts of those travel.
     """
-    labelled = labelled.where("text is not null and lang is not null")
-    often = {row.lang: row.n for row in labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).toLocalIterator()}
-    fits = F.length("text").between(*FIT_CHARS)
-    order = Window.partitionBy("lang").orderBy(fits.desc(), F.xxhash64("doc_id"), "doc_id")
-    rows = (
-        labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= FIT_DOCS * DICTIONARIES)
+    key = ["doc_id", "lang", "digest"]
+    rows = labelled.where("text is not null and lang is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text")
     )
+    often = {row.lang: row.n for row in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    fits = F.length("text").between(*FIT_CHARS)
+    order = Window.partitionBy("lang").orderBy(F.col("fits").desc(), F.xxhash64("doc_id"), "doc_id", "digest")
+    places = rows.select(*key, fits.alias("fits")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIT_DOCS * DICTIONARIES)
+    chosen = staged(places.groupBy(*key).agg(F.min("place").alias("place")), "language-sample").select(*(F.col(c).alias(f"its_{c}") for c in key), "place")
+    same = F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & (F.col("digest") == F.col("its_digest")) & (F.col("lang") == F.col("its_lang"))
+    texts = rows.join(small_side(chosen, 64), same).groupBy("lang", "place").agg(F.any_value("text").alias("text"))
     found: dict[str, list[list[bytes]]] = defaultdict(lambda: [[] for _ in range(DICTIONARIES)])
-    for row in rows.sort("lang", "place").toLocalIterator():
+    for row in texts.sort("lang", "place").toLocalIterator():
         found[row.lang][row.place % DICTIONARIES].append(letters_only(row.text))
     return {lang: [b" ".join(x)[-DICTIONARY_BYTES:] for x in parts] for lang, parts in sorted(found.items(), key=lambda x: (-often[x[0]], x[0]))}
 
@@ -108,7 +114,11 @@ def identify_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that identify_languages() accepts."""
+    """The rows of `docs`, with all their columns, that identify_languages() accepts.
+
+    Null, empty and letterless texts and ties are rejected, repeated rows share one fate, columns of any name are kept
+    as they are; an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled))
     return docs.mapInArrow(_classify(model, filtering=True), docs.schema)
 
