@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import json
 import uuid
 import zlib
@@ -53,10 +54,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse(raw: bytes) -> dict:
-    """The WARC headers, lower-cased, the HTTP headers and the payload of a record."""
+    """The WARC headers, lower-cased, the HTTP headers (empty if the block is none of HTTP) and the payload of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
     block = rest[: int(fields["content-length"])]
+    if not fields.get("content-type", "").startswith("application/http"):
+        return {"fields": fields, "http": "", "payload": block}
     http, _, payload = block.partition(b"\r\n\r\n")
     return {"fields": fields, "http": http.decode("latin-1"), "payload": payload}
 
@@ -71,7 +74,10 @@ def records_of(stream: Iterator[bytes]) -> Iterator[bytes]:
             end = held.find(b"\r\n\r\n", at)
             if end < 0:
                 break
-            length = next(int(x.split(b":", 1)[1]) for x in bytes(held[at:end]).split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            told = [x.split(b":", 1)[1] for x in bytes(held[at:end]).split(b"\r\n") if x.lower().startswith(b"content-length:")]
+            if not told:
+                raise ValueError("a record without Content-Length")
+            length = int(told[0])
             if len(held) < end + 8 + length:
                 break
             yield bytes(held[at : end + 8 + length])
@@ -159,11 +165,24 @@ def read_record(path: str, offset: int, length: int) -> dict:
         return parse(gzip.decompress(file.read(length)))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def number(urn: str) -> int | None:
-        digits = urn.removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
+_RECORD = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string())])
+
+
+def described(path: str, got: dict) -> tuple:
+    """A row of _RECORD for a parsed record. A revisit's size is what its HTTP headers tell; a missing digest is computed."""
+    fields, kind = got["fields"], got["fields"].get("warc-type", "")
+    told = [int(x.split(":")[1]) for x in got["http"].split("\r\n") if x.lower().startswith("content-length:") and x.split(":")[1].strip().isdigit()]
+    size, digest = len(got["payload"]), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if kind == "revisit":
+        size = told[0] if told else None
+    elif kind == "response" and told and told[0] != size and "transfer-encoding" not in got["http"].lower():
+        raise ValueError(f"{path}: a payload of {size} bytes, not {told[0]}")
+    if digest is None and kind != "revisit":
+        digest = base32_sha1(hashlib.sha1(got["payload"]).hexdigest())
+    return fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), size, digest, fields.get("warc-refers-to")
+
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column("path").to_pylist():
             index = [json.loads(x) for x in read_file(path + ".idx").decode().splitlines()]
@@ -173,16 +192,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows = []
                     for entry in index[begin : begin + 2000]:
                         file.seek(entry["offset"])
-                        got = parse(gzip.decompress(file.read(entry["length"])))
-                        fields = got["fields"]
-                        kind = fields["warc-type"]
-                        size = next(int(x.split(":")[1]) for x in got["http"].split("\r\n") if x.startswith("Content-Length:"))
-                        if kind == "response" and size != len(got["payload"]):
-                            raise ValueError(f"{path}: a payload of {len(got['payload'])} bytes, not {size}")
-                        rows.append((number(fields["warc-record-id"]), size, fields["warc-payload-digest"].removeprefix("sha1:"), kind, number(fields["warc-refers-to"]) if kind == "revisit" else None))
-                    cols = zip(*rows, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        rows.append(described(path, parse(gzip.decompress(file.read(entry["length"])))))
+                    yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
@@ -209,9 +220,20 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
     return staged(archives.repartition(partitions_for(archives.sparkSession), "path").mapInArrow(_normalise, "path string"), "warc-members")
 
 
+def read_records(archives: DataFrame) -> DataFrame:
+    """(record_id, record_type, target_uri, payload_bytes, payload_digest, refers_to_id) of each record, of any type, of
+    normalised archives (path), from whatever program; ids are as they stand in the archive."""
+    dealt = archives.repartition(partitions_for(archives.sparkSession), "path")
+    return dealt.mapInArrow(_read, "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to_id string")
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of normalised archives (path)."""
-    return archives.repartition(partitions_for(archives.sparkSession), "path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each response and revisit of normalised
+    archives (path). Ids that write_archives() hasn't made are null; records of other types are left out."""
+    number = lambda c: F.try_to_number(F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1), F.lit("S9999999999999999999")).cast("long")
+    records = read_records(archives).where(F.col("record_type").isin("response", "revisit"))
+    refers = F.when(F.col("record_type") == "revisit", number("refers_to_id"))
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
