@@ -3,7 +3,7 @@
 Every rolling gram of three words of every text is hashed and joined with the grams of the templates. A gram at word p of
 a text and word t of a template votes for the diagonal p - t: a full occurrence puts all its votes on one diagonal, an
 altered one on neighbouring diagonals, which are merged. What has enough votes is a span, and is verified on the words
-themselves.
+themselves, in their order.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ GRAM = 3
 #: Diagonals of a span stand this close; share of a template's grams that vote for a span, all for templates of up to
 #: SHORT words; share of its words that stand there.
 GAP, VOTES, SHORT, WORDS = 2, 0.6, 12, 0.75
+#: Words of a template that its occurrence may leave out at once.
+JUMP = 5
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases of the base, then notices of the method's own, by label. Up to 62 words each.
@@ -27,15 +29,26 @@ PHRASES = [
 ]
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-3", "gnu general public license version 3"),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2", "gnu general public license version 2"),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("lgpl", "gnu lesser general public license"),
     ("agpl-3", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("mpl-2", "mozilla public license version 2"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial"),
     ("cc-by-sa", "creative commons attribution sharealike"),
 ]
 TEMPLATES = [(label, words.split(), True) for label, words in PHRASES] + [(label, words.split(), False) for label, words in NOTICES]
@@ -72,58 +85,75 @@ def _of_template(k: Column, values: list) -> Column:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, template, start, stop, votes) of what may be an occurrence: a full diagonal of a phrase, or merged ones."""
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    """(doc_id, digest, template, start, stop) of what may be an occurrence: a full diagonal of a phrase, or merged ones.
+
+    Rows vote by doc_id and a hash of their text, so that only equal ones vote together.
+    """
+    words = docs.select("doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("words"))
     last = F.size("words") - GRAM
     grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _gram(F.col("words"), i)))
-    votes = words.select("doc_id", F.posexplode(grams).alias("p", "gram")).join(F.broadcast(_template_grams(docs.sparkSession)), "gram")
+    votes = words.select("doc_id", "digest", F.posexplode(grams).alias("p", "gram")).join(F.broadcast(_template_grams(docs.sparkSession)), "gram")
+    key = ["doc_id", "digest", "template"]
     voted = (
         votes.withColumn("diagonal", F.col("p") - F.col("t"))
-        .groupBy("doc_id", "template", "diagonal")
+        .groupBy(*key, "diagonal")
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t"))).alias("seen"))
     )
-    along = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    voted = staged(voted, "license-votes")  # texts are read once; what follows are two uses of few rows
+    along = Window.partitionBy(*key).orderBy("diagonal")
     away = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
     merged = voted.withColumn("span", F.sum(away.cast("int")).over(along))
     sizes = [len(w) for _, w, _ in TEMPLATES]
     grams_in, base = _of_template(F.col("template"), [n - GRAM + 1 for n in sizes]), _of_template(F.col("template"), [b for _, _, b in TEMPLATES])
     length = _of_template(F.col("template"), sizes)
-    full = merged.where(base & (F.bit_count("seen") == grams_in)).select("doc_id", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + length).alias("stop"), F.lit(1.0).alias("votes"))
-    spans = merged.where(~base).groupBy("doc_id", "template", "span").agg(F.bit_or("seen").alias("seen"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    full = merged.where(base & (F.bit_count("seen") == grams_in)).select(*key, F.col("diagonal").alias("start"), (F.col("diagonal") + length).alias("stop"))
+    spans = merged.where(~base).groupBy(*key, "span").agg(F.bit_or("seen").alias("seen"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     share = F.bit_count("seen") / grams_in
     needed = _of_template(F.col("template"), [1.0 if n <= SHORT else VOTES for n in sizes])
-    loose = spans.where(share >= needed).select("doc_id", "template", F.greatest(F.lit(0), F.col("low")).alias("start"), (F.col("high") + length).alias("stop"), share.alias("votes"))
+    loose = spans.where(share >= needed).select(*key, F.greatest(F.lit(0), F.col("low")).alias("start"), (F.col("high") + length).alias("stop"))
     return full.unionByName(loose)
 
 
+def _in_order(words: Column, template: Column) -> Column:
+    """How many words of a span stand in the template's order; up to JUMP words of the template may be left out at once."""
+
+    def step(at: Column, word: Column) -> Column:
+        ahead = F.array_position(F.slice(template, at["next"] + 1, JUMP + 1), word).cast("int")
+        return F.struct((at["next"] + ahead).alias("next"), (at["same"] + (ahead > 0).cast("int")).alias("same"))
+
+    return F.aggregate(words, F.struct(F.lit(0).alias("next"), F.lit(0).alias("same")), step, lambda at: at["same"])
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row of `docs` (doc_id, text).
 
     n_base counts the places where a phrase of PHRASES stands, first_word and last_word are the smallest and largest
     start of those, in words from 0. base_labels has their labels, labels those of verified NOTICES as well; both
-    are distinct, sorted and joined by commas. score is 1 with a phrase, else the best share of votes.
+    are distinct, sorted and joined by commas. score is 1 with a phrase, else the best agreement of a notice: twice the
+    words that stand in the notice's order over the words of notice and span, which is 1 only for what is verbatim.
 
     Null and empty texts have no words and no labels (empty strings), null places and score 0; so have texts without a
-    license. Repeated rows give repeated results; rows that share a doc_id are voted on together but verified each on
-    its own words; a null doc_id stays null. Other columns are ignored, an empty table gives no rows.
+    license. Repeated rows give repeated results; rows that share a doc_id are judged each by its own
+    text; a null doc_id stays null. Other columns are ignored, an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = staged(find_spans(docs), "license-spans")
-    lists = staged(spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("template", "start", "stop", "votes")).alias("spans")), "license-lists")
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    joined = words.join(small_side(lists, 200), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    own = spans.groupBy(F.col("doc_id").alias("of"), F.col("digest").alias("its")).agg(F.collect_list(F.struct("template", "start", "stop")).alias("spans"))
+    lists = small_side(staged(own, "license-lists"), 48, F.size("spans") * 16)
+    words = docs.select("doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("words"))
+    joined = words.join(lists, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("its")), "left")
     template_words = lambda s: _of_template(s["template"], [w for _, w, _ in TEMPLATES])
     is_base = lambda s: _of_template(s["template"], [b for _, _, b in TEMPLATES])
     stands = lambda s: F.slice(F.col("words"), s["start"] + 1, s["stop"] - s["start"])
     exact = F.filter("spans", lambda s: is_base(s) & (stands(s) == template_words(s)))
-    alike = lambda s: F.size(F.array_intersect(stands(s), template_words(s))) >= F.size(F.array_distinct(template_words(s))) * WORDS
-    loose = F.filter("spans", lambda s: ~is_base(s) & alike(s))
+    judged = F.transform(F.filter("spans", lambda s: ~is_base(s)), lambda s: F.struct(s["template"].alias("template"), _in_order(stands(s), template_words(s)).alias("same"), F.size(stands(s)).alias("long"), F.size(template_words(s)).alias("of")))
+    loose = F.filter(judged, lambda s: s["same"] >= s["of"] * WORDS)
     label = lambda s: _of_template(s["template"], [x for x, _, _ in TEMPLATES])
     found = joined.select("doc_id", F.size("words").cast("long").alias("n_words"), exact.alias("exact"), loose.alias("loose"))
     none = F.array().cast("array<string>")
     base, own = (F.coalesce(F.transform(c, label), none) for c in ("exact", "loose"))
     starts = F.transform("exact", lambda s: s["start"].cast("long"))
-    score = F.when(F.size("exact") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("loose", lambda s: s["votes"])), F.lit(0.0)))
+    score = F.when(F.size("exact") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("loose", lambda s: 2.0 * s["same"] / (s["long"] + s["of"]))), F.lit(0.0)))
     return found.select(
         "doc_id",
         "n_words",
