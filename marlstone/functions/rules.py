@@ -56,47 +56,63 @@ def sign(value: Column, dead: float = 0.0) -> Column:
 
 
 def interval_status(point: Column, low: Column, high: Column, dead: float = 3.0) -> Column:
-    """STRONG_UNDER, POTENTIAL_UNDER, WITHIN, POTENTIAL_OVER or STRONG_OVER of a gap and its interval."""
-    return F.when(
-        point.isNotNull() & low.isNotNull() & high.isNotNull(),
-        first_match([(low > 0, "STRONG_UNDER"), (high < 0, "STRONG_OVER"), (point > dead, "POTENTIAL_UNDER"), (point < -dead, "POTENTIAL_OVER")], "WITHIN"),
-    )
+    """STRONG_UNDER, POTENTIAL_UNDER, WITHIN, POTENTIAL_OVER or STRONG_OVER of a gap and its interval.
+
+    WITHIN is closer to zero than the dead band; a missing value is INSUFFICIENT.
+    """
+    missing = point.isNull() | low.isNull() | high.isNull()
+    return first_match([(missing, "INSUFFICIENT"), (low > 0, "STRONG_UNDER"), (high < 0, "STRONG_OVER"), (F.abs(point) < dead, "WITHIN"), (point > 0, "POTENTIAL_UNDER")], "POTENTIAL_OVER")
 
 
 def sign_pattern(values: Sequence[Column], dead: float = 0.0) -> Column:
-    """Signs as text, such as '+,+,-'; a missing one is '?'."""
-    marks = [first_match([(v.isNull(), "?"), (v > dead, "+"), (v < -dead, "-")], "0") for v in values]
-    return F.concat_ws(",", *marks)
+    """Signs as text, such as '++-'; a missing one is 'NA'."""
+    return F.concat(*(first_match([(v.isNull(), "NA"), (v > dead, "+"), (v < -dead, "-")], "0") for v in values))
 
 
 def sign_stability(values: Sequence[Column], dead: float = 0.0) -> Column:
-    """STABLE_POSITIVE, STABLE_NEGATIVE, MIXED, or INSUFFICIENT when one is missing."""
-    every = lambda test: F.forall(F.array(*values), test)
+    """STABLE_POSITIVE, STABLE_NEGATIVE or MIXED of the values there are, INSUFFICIENT with fewer than two."""
+    there = F.filter(F.array(*values), lambda v: v.isNotNull())
     return first_match(
         [
-            (F.exists(F.array(*values), lambda v: v.isNull()), "INSUFFICIENT"),
-            (every(lambda v: v > dead), "STABLE_POSITIVE"),
-            (every(lambda v: v < -dead), "STABLE_NEGATIVE"),
+            (F.size(there) < 2, "INSUFFICIENT"),
+            (F.forall(there, lambda v: v > dead), "STABLE_POSITIVE"),
+            (F.forall(there, lambda v: v < -dead), "STABLE_NEGATIVE"),
         ],
         "MIXED",
     )
 
 
-def agreement(one: Column, two: Column, dead: float = 0.0) -> Column:
-    """Whether two methods agree in sign: AGREE_POSITIVE, AGREE_NEGATIVE, NEUTRAL, DISAGREE or MISSING."""
+def agreement(residual: Column, comparable: Column, dead: float = 0.5) -> Column:
+    """How two methods agree in sign: either inside the dead band is neutral, and MIXED names the one that is positive."""
     return first_match(
         [
-            (one.isNull() | two.isNull(), "MISSING"),
-            ((one > dead) & (two > dead), "AGREE_POSITIVE"),
-            ((one < -dead) & (two < -dead), "AGREE_NEGATIVE"),
-            ((F.abs(one) <= dead) & (F.abs(two) <= dead), "NEUTRAL"),
+            (residual.isNull() | comparable.isNull(), "INSUFFICIENT"),
+            ((F.abs(residual) <= dead) | (F.abs(comparable) <= dead), "NEUTRAL_OR_ZERO"),
+            ((residual > 0) & (comparable > 0), "STRONG_POSITIVE"),
+            ((residual < 0) & (comparable < 0), "STRONG_NEGATIVE"),
+            (residual > 0, "MIXED_POSITIVE_RESIDUAL"),
         ],
-        "DISAGREE",
+        "MIXED_POSITIVE_COMPARABLE",
     )
 
 
-def probability_class(p: Column) -> Column:
-    return F.when(p.isNotNull(), first_match([(p >= 0.95, "VERY_LIKELY"), (p >= 0.8, "LIKELY"), (p > 0.2, "UNCERTAIN"), (p > 0.05, "UNLIKELY")], "VERY_UNLIKELY"))
+#: Shares of positive draws from which, and up to which, a sign counts as stable.
+STABLE_SHARES = (0.90, 0.75, 0.25, 0.10)
+
+
+def probability_class(p: Column, cuts: Sequence[float] = STABLE_SHARES) -> Column:
+    """The stability of a sign by the share of draws in which it is positive; a missing share is INSUFFICIENT."""
+    very_high, high, low, very_low = cuts
+    return first_match(
+        [
+            (p.isNull() | F.isnan(p), "INSUFFICIENT"),
+            (p >= very_high, "VERY_STABLE_POSITIVE"),
+            (p >= high, "STABLE_POSITIVE"),
+            (p <= very_low, "VERY_STABLE_NEGATIVE"),
+            (p <= low, "STABLE_NEGATIVE"),
+        ],
+        "MIXED",
+    )
 
 
 def quadrant(one: Column, two: Column, dead: float = 0.0) -> Column:
@@ -132,12 +148,24 @@ def keyword_class(text: Column, exclude: Sequence[str], include: Sequence[str])
     return first_match([(any_of(exclude), "EXCLUDED"), (any_of(include), "INCLUDED")], "OTHER")
 
 
-def difference_cause(one: Column, two: Column, minor: int = 2, parts: int = 2) -> Column:
-    """Why two counts differ: EXACT, MINOR, SPLIT (one is a whole multiple), UNKNOWN, or MISSING."""
-    apart = F.abs(one - two)
-    low, high = F.least(one, two), F.greatest(one, two)
-    split = (low > 0) & (high >= parts * low) & (F.when(low > 0, high % low) == 0)
-    return first_match([(one.isNull() | two.isNull(), "MISSING"), (apart == 0, "EXACT"), (apart <= minor, "MINOR"), (split, "SPLIT")], "UNKNOWN")
+#: Shortfalls that are numbers of rental households of known complexes.
+RENTAL_SHORTFALLS = (15, 32, 46, 48, 64, 71, 75, 80)
+
+
+def difference_cause(listed: Column, registered: Column, minor: int = 3, rental: Sequence[int] = RENTAL_SHORTFALLS, split: int = 100) -> Column:
+    """Why a listed count differs from the registered one: EXACT, MINOR_DIFFERENCE (up to `minor`), RENTAL_DIFFERENCE (a
+    listed shortfall), SPLIT_OR_UNREGISTERED (a shortfall of `split` or more), DATA_DIFFERENCE, or MISSING."""
+    apart = listed - registered
+    return first_match(
+        [
+            (apart.isNull(), "MISSING"),
+            (apart == 0, "EXACT"),
+            (F.abs(apart) <= minor, "MINOR_DIFFERENCE"),
+            ((-apart).isin(*rental), "RENTAL_DIFFERENCE"),
+            (apart <= -split, "SPLIT_OR_UNREGISTERED"),
+        ],
+        "DATA_DIFFERENCE",
+    )
 
 
 def shrunk(value: Column, n: Column, neutral: Column, k: float) -> Column:

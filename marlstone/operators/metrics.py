@@ -118,19 +118,26 @@ def recency_weighted(df: DataFrame, entity: str, period: str, value: str, latest
 
 
 def cohort_growth(df: DataFrame, entity: str, year: str, grades: Sequence[str]) -> DataFrame:
-    """(entity, growth): a grade over the grade below it a year before, less the same in the whole population, on average."""
+    """(entity, raw, growth): a grade over the grade below it a year before, on average; growth is less the population's.
+
+    The population's growth is the quotient of the sums over all rows of both years, matched or not.
+    """
     cells = F.array(*(F.struct(F.lit(i).alias("grade"), F.col(g).alias("n")) for i, g in enumerate(grades)))
     long = df.select(entity, year, F.inline(cells))
-    before = long.select(entity, (F.col(year) + 1).alias(year), (F.col("grade") + 1).alias("grade"), F.col("n").alias("n0"))
-    pairs = long.join(before, [entity, year, "grade"]).where("n0 > 0 and n is not null")
-    whole = pairs.groupBy(year, "grade").agg((F.sum("n") / F.sum("n0") - 1).alias("_w"))
-    return pairs.join(F.broadcast(whole), [year, "grade"]).groupBy(entity).agg(F.avg(F.col("n") / F.col("n0") - 1 - F.col("_w")).alias("growth"))  # a row for each year and grade
+    later = lambda rows: rows.withColumns({year: F.col(year) + 1, "grade": F.col("grade") + 1}).withColumnRenamed("n", "n0")
+    sums = long.groupBy(year, "grade").agg(F.sum("n").alias("n"))
+    whole = sums.join(later(sums), [year, "grade"]).select(year, "grade", (F.col("n") / F.nullif(F.col("n0"), F.lit(0)) - 1).alias("_w"))
+    pairs = long.join(later(long), [entity, year, "grade"]).where("n0 > 0 and n is not null")
+    change = F.col("n") / F.col("n0") - 1
+    return pairs.join(F.broadcast(whole), [year, "grade"]).groupBy(entity).agg(F.avg(change).alias("raw"), F.avg(change - F.col("_w")).alias("growth"))  # a row for each year and grade
 
 
-def trend(df: DataFrame, entity: str, order: str, value: str, least: int = 2) -> DataFrame:
-    """(entity, span_growth, slope, slope_rate, periods) of a series by period; the slope is over the row number."""
-    row = F.row_number().over(Window.partitionBy(entity).orderBy(order)) - 1
-    rows = df.where(F.col(value).isNotNull()).withColumn("_i", row)
+def trend(df: DataFrame, entity: str, order: str, value: str, least: int = 2, by_row: bool = False) -> DataFrame:
+    """(entity, span_growth, slope, slope_rate, periods) of a series by period, which may have gaps.
+
+    The slope is over `order`, a number, or over the row number where that is wanted.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(entity).orderBy(order)) - 1 if by_row else F.col(order))
     out = rows.groupBy(entity).agg(
         (F.max_by(value, order) / F.nullif(F.min_by(value, order), F.lit(0)) - 1).alias("span_growth"), F.regr_slope(value, "_i").alias("slope"), (F.regr_slope(value, "_i") / F.nullif(F.avg(value), F.lit(0))).alias("slope_rate"), F.count("*").alias("periods")
     )
@@ -144,32 +151,70 @@ def set_statistics(edges: DataFrame, group: str, member: str, value: str) -> Dat
     return d.join(q, group).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("high"), F.min(value).alias("low"), F.avg(F.when(F.col(value) >= F.col("_q"), F.col(value))).alias("top_quarter"))
 
 
-def feeder_scores(relations: DataFrame, target: str, score: str, weight: str, quality: str) -> DataFrame:
-    """Scores of the entities that relations lead to: weighted mean, extremes, spread, reliability and a composite in 0 to 100."""
+#: Weight and quality of a relation by its type; parts of a composite and of exclusivity.
+RELATION_WEIGHTS = {"EXACT": 1.0, "ELIGIBLE": 0.8, "CONDITIONAL": 0.5, "GROUP_MEMBERSHIP": 0.25, "UNRESOLVED": 0.0}
+RELATION_QUALITY = {"EXACT": 100.0, "ELIGIBLE": 85.0, "CONDITIONAL": 65.0, "GROUP_MEMBERSHIP": 45.0, "UNRESOLVED": 0.0}
+COMPOSITE = {"mean": 0.65, "low": 0.15, "exclusivity": 0.10, "quality": 0.10}
+EXCLUSIVITY = {"exact": 0.40, "concentration": 0.30, "strong": 0.30}
+
+
+def by_kind(kind: Column, values: Mapping[str, float]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[kind]
+
+
+def feeder_scores(relations: DataFrame, target: str, member: str, kind: str, score: str, weight: str, quality: str, parts: Mapping[str, float] = COMPOSITE, exclusive: Mapping[str, float] = EXCLUSIVITY) -> DataFrame:
+    """Scores of the entities that relations lead to: weighted mean, extremes, spread, exclusivity and a composite in 0 to 100.
+
+    Relations without a score or weight are counted only. Exclusivity is the weight's share of exact relations, the
+    inverse number of distinct members, and the share of exact and eligible ones, weighed by `exclusive`; the composite
+    weighs the weighted mean, the lowest score, exclusivity (times 100) and the weighted quality by `parts`.
+    """
     there = F.col(score).isNotNull() & (F.col(weight) > 0)
+    own = lambda c: F.when(there, c)
+    total = F.sum(own(F.col(weight)))
+    share = lambda *kinds: F.sum(own(F.when(F.col(kind).isin(*kinds), F.col(weight)).otherwise(0.0))) / total
     out = relations.groupBy(target).agg(
-        (F.sum(F.when(there, F.col(score) * F.col(weight))) / F.sum(F.when(there, F.col(weight)))).alias("mean"),
-        F.min(F.when(there, F.col(score))).alias("low"),
-        F.max(F.when(there, F.col(score))).alias("high"),
-        F.percentile(F.when(there, F.col(score)), 0.5).alias("median"),
-        F.stddev_pop(F.when(there, F.col(score))).alias("deviation"),
-        F.avg(F.when(there, F.col(quality))).alias("reliability"),
+        (F.sum(own(F.col(score) * F.col(weight))) / total).alias("mean"),
+        F.avg(own(F.col(score))).alias("plain_mean"),
+        F.min(own(F.col(score))).alias("low"),
+        F.max(own(F.col(score))).alias("high"),
+        F.percentile(own(F.col(score)), 0.5).alias("median"),
+        F.stddev_pop(own(F.col(score))).alias("deviation"),
+        (F.sum(own(F.col(quality) * F.col(weight))) / total).alias("quality"),
+        F.avg(own(F.col(weight))).alias("_weight"),
+        share("EXACT").alias("_exact"),
+        share("EXACT", "ELIGIBLE").alias("_strong"),
+        F.count_distinct(own(F.col(member))).alias("_members"),
         F.count_if(there).alias("scored"),
         F.count("*").alias("relations"),
     )
-    composite = F.col("mean") * F.col("reliability") - F.col("deviation") * 0.2
-    return out.withColumns({"spread": F.col("high") - F.col("low"), "variation": F.col("deviation") / F.nullif(F.col("mean"), F.lit(0)), "composite": F.when(F.col("mean").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), composite)))})
+    clip = lambda c, top: F.when(F.col("scored") > 0, F.greatest(F.lit(0.0), F.least(F.lit(top), c)))
+    alone = exclusive["exact"] * F.col("_exact") + exclusive["concentration"] / F.greatest(F.col("_members"), F.lit(1)) + exclusive["strong"] * F.col("_strong")
+    out = out.withColumn("exclusivity", clip(alone, 1.0))
+    composite = parts["mean"] * F.col("mean") + parts["low"] * F.col("low") + parts["exclusivity"] * F.col("exclusivity") * 100 + parts["quality"] * F.col("quality")
+    out = out.withColumns({"spread": F.col("high") - F.col("low"), "variation": F.col("deviation") / F.nullif(F.col("plain_mean"), F.lit(0)), "uncertainty": clip(F.col("deviation") * 2 + (1 - F.col("_weight")) * 25, 100.0), "composite": clip(composite, 100.0)})
+    return out.drop("_weight", "_exact", "_strong", "_members")
+
 
+def dispersion(df: DataFrame, value: str, definitions: Mapping[str, str], change: str | None = None) -> DataFrame:
+    """(definition, rows, groups, within, ratio, mad, iqr, change) of a price under several ways of grouping.
 
-def dispersion(df: DataFrame, value: str, definitions: Mapping[str, str], least: int = 2) -> DataFrame:
-    """(definition, groups, within, ratio, mad, iqr): how close values stand under several ways of grouping."""
-    total = df.agg(F.var_samp(value).alias("_t"))
+    within is the sample variance of the logarithms about their groups' means, ratio that over their own variance; mad
+    the median distance from the groups' medians, iqr the groups' mean interquartile range, change the sample variance
+    of `change` about its groups' means.
+    """
+    price = df.where(F.col(value) > 0).select(F.col(value).alias("_v"), F.ln(value).alias("_l"), (F.col(change) if change else F.lit(None)).cast("double").alias("_c"), *dict.fromkeys(definitions.values()))
+    total = price.agg(F.var_samp("_l").alias("_t"))
     named = F.array(*(F.struct(F.lit(name).alias("definition"), F.col(c).cast("string").alias("_g")) for name, c in definitions.items()))
-    rows = df.select(F.col(value).alias("_v"), F.inline(named)).where("_v is not null and _g is not null")
-    rows = rows.withColumns({"_m": F.avg("_v").over(Window.partitionBy("definition", "_g")), "_n": F.count("*").over(Window.partitionBy("definition", "_g"))}).where(F.col("_n") >= least)
-    per = rows.groupBy("definition", "_g").agg((F.percentile("_v", 0.75) - F.percentile("_v", 0.25)).alias("_iqr"), F.sum(F.pow(F.col("_v") - F.col("_m"), 2)).alias("_ss"), F.sum(F.abs(F.col("_v") - F.col("_m"))).alias("_ad"), F.count("*").alias("_k"))
-    out = per.groupBy("definition").agg(F.count("*").alias("groups"), (F.sum("_ss") / F.sum("_k")).alias("within"), (F.sum("_ad") / F.sum("_k")).alias("mad"), F.avg("_iqr").alias("iqr"))
-    return out.crossJoin(F.broadcast(total)).withColumn("ratio", F.col("within") / F.nullif(F.col("_t"), F.lit(0.0))).drop("_t")  # one row
+    rows = price.select("_v", "_l", "_c", F.inline(named)).where("_g is not null")
+    per = rows.groupBy("definition", "_g").agg(
+        F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), (F.var_pop("_l") * F.count("*")).alias("_ss"), (F.var_pop("_c") * F.count("_c")).alias("_cs"), F.count("_c").alias("_cn"), F.count("*").alias("_n")
+    )
+    sums = per.groupBy("definition").agg(
+        F.sum("_n").alias("rows"), F.count("*").alias("groups"), (F.sum("_ss") / F.nullif(F.sum("_n") - 1, F.lit(0))).alias("within"), F.avg(F.col("_q")[2] - F.col("_q")[0]).alias("iqr"), (F.sum("_cs") / F.nullif(F.sum("_cn") - 1, F.lit(0))).alias("change")
+    )
+    mad = rows.join(per.select("definition", "_g", F.col("_q")[1].alias("_m")), ["definition", "_g"]).groupBy("definition").agg(F.percentile(F.abs(F.col("_v") - F.col("_m")), 0.5).alias("mad"))
+    return sums.join(mad, "definition").crossJoin(F.broadcast(total)).withColumn("ratio", F.col("within") / F.nullif(F.col("_t"), F.lit(0.0))).drop("_t")  # one row
 
 
 def dominant(df: DataFrame, key: str, value: str) -> DataFrame:

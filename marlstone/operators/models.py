@@ -57,57 +57,66 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.where(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in columns))
 
 
-def demeaned(df: DataFrame, columns: Sequence[str], by: str | None) -> DataFrame:
-    """df with _d_* columns: the columns less their means, of each group if there are fixed effects."""
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    if by:
-        return df.withColumns({f"_d_{c}": F.col(c) - F.avg(c).over(w) for c in columns})
-    means = df.agg(*(F.avg(c).alias(f"_m_{c}") for c in columns))
-    return df.crossJoin(F.broadcast(means)).withColumns({f"_d_{c}": F.col(c) - F.col(f"_m_{c}") for c in columns})  # one row
+def _moments(columns: Sequence[str]) -> list[Column]:
+    """Means, sums of products about the means, and the number of rows: what merges into any larger group's."""
+    c = list(columns)
+    pairs = [(i, j) for i in range(len(c)) for j in range(i, len(c))]
+    return [F.avg(x).alias(f"_m{i}") for i, x in enumerate(c)] + [(F.covar_pop(c[i], c[j]) * F.count("*")).alias(f"_c{i}_{j}") for i, j in pairs] + [F.count("*").alias("_n")]
 
 
 def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None, cluster: str | None = None) -> DataFrame:
-    """(term, coef, se, t, p, n, clusters, r2, adj_r2, aic, bic, rmse) of y on xs with fixed effects.
+    """(term, coef, se, t, p, n, clusters, r2, r2_within, adj_r2, aic, bic, rmse) of y on xs with fixed effects.
 
-    Effects are absorbed by demeaning. Standard errors are clustered, with (G/(G-1)) ((N-1)/(N-k)) and G - 1 degrees of
+    Effects are absorbed: rows are read once, for the moments of each cell of effect and cluster, and all sums within the
+    effects follow from the cells. r2 and adj_r2 are about the overall mean, so that effects count as explained; r2_within
+    is about the effects' means. Standard errors are clustered, with (G/(G-1)) ((N-1)/(N-k)) and G - 1 degrees of
     freedom, or classical without clusters; k counts the effects as parameters. Rows with a missing value are left out;
     a term without variation within the effects gets nulls.
     """
     spark, xs = df.sparkSession, list(xs)
-    rows = demeaned(complete_cases(df, [y, *xs]), [y, *xs], effect)
-    names = [f"_d_{c}" for c in (*xs, y)]
-    extra = [F.count_distinct(effect).alias("_groups")] if effect else []
-    extra += [F.var_pop(x).alias(f"_var{i}") for i, x in enumerate(xs)]
-    one = rows.agg(*gram_columns(names), *extra).first()
-    q, n = len(xs), one.n
+    q, names = len(xs), [*xs, y]
+    by = [F.col(effect).alias("_e") if effect else F.lit(0).alias("_e"), *([F.col(cluster).alias("_k")] if cluster else [])]
+    cells = complete_cases(df, names).groupBy(*by).agg(*_moments(names)).persist()  # a row for each cell, used twice
+    # about the overall means, so that sums of squares don't lose digits
+    whole = cells.agg(*((F.sum(F.col(f"_m{i}") * F.col("_n")) / F.sum("_n")).alias(f"w{i}") for i in range(q + 1)), F.sum("_n").alias("n")).first()
+    n = whole.n or 0
+    about = [F.col(f"_m{i}") - F.lit(float(whole[f"w{i}"] or 0.0)) for i in range(q + 1)]
+    means = cells.groupBy(F.col("_e").alias("_of")).agg(*((F.sum(a * F.col("_n")) / F.sum("_n")).alias(f"_g{i}") for i, a in enumerate(about)))
+    near = cells.join(means, F.col("_e").eqNullSafe(F.col("_of")))
+    pairs = [(i, j) for i in range(q + 1) for j in range(i, q + 1)]
+    inside = {(i, j): F.col(f"_c{i}_{j}") + F.col("_n") * (about[i] - F.col(f"_g{i}")) * (about[j] - F.col(f"_g{j}")) for i, j in pairs}
+    total = [F.sum(F.col(f"_c{i}_{i}") + F.col("_n") * about[i] * about[i]).alias(f"t{i}") for i in range(q + 1)]
+    one = near.agg(*(F.sum(v).alias(f"g_{i}_{j}") for (i, j), v in inside.items()), *total, F.count_distinct(F.coalesce(F.col("_e").cast("string"), F.lit("\0"))).alias("effects")).first()
     g = gram_matrix(one, q + 1)
-    k = q + (one._groups if effect else 1)
-    # a term that doesn't vary within the effects has no coefficient; what demeaning leaves of it is rounding
-    known = [i for i in range(q) if g[i, i] > 1e-12 * n * max(one[f"_var{i}"] or 0.0, 1e-300)]
+    k = q + (one.effects if effect else 1)
+    # a term that doesn't vary within the effects has no coefficient; what absorbing leaves of it is rounding
+    known = [i for i in range(q) if g[i, i] > 1e-12 * max(one[f"t{i}"] or 0.0, 1e-300)]
     inverse, coef = np.zeros((q, q)), np.zeros(q)
     if known:
         inverse[np.ix_(known, known)] = np.linalg.pinv(g[np.ix_(known, known)])
         coef = inverse @ g[:q, q]
     sse = float(g[q, q] - coef @ g[:q, q])
     if cluster:
-        resid = F.col(names[-1]) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(coef, names[:-1], strict=True)), F.lit(0.0))
-        scores = rows.groupBy(cluster).agg(*(F.sum(F.col(c) * resid).alias(f"_s{i}") for i, c in enumerate(names[:-1])))
+        pair = lambda i, j: inside[min(i, j), max(i, j)]
+        score = [pair(i, q) - sum((F.lit(float(coef[j])) * pair(i, j) for j in range(q)), F.lit(0.0)) for i in range(q)]
+        scores = near.groupBy("_k").agg(*(F.sum(s).alias(f"_s{i}") for i, s in enumerate(score)))
         two = scores.agg(*gram_columns([f"_s{i}" for i in range(q)])).first()
         groups = two.n
         cov = inverse @ gram_matrix(two, q) @ inverse * (groups / max(groups - 1, 1)) * ((n - 1) / max(n - k, 1))
         dof = groups - 1
     else:
         cov, dof, groups = inverse * sse / max(n - k, 1), n - k, None
-    tss = one[f"g_{q}_{q}"]
-    r2 = 1 - sse / tss if tss else float("nan")
+    cells.unpersist()
+    part = lambda whole: 1 - sse / whole if whole else float("nan")
+    r2 = part(one[f"t{q}"])
     log = n * math.log(max(sse, 1e-300) / n) if n else float("nan")
-    fit = (n, groups, r2, 1 - (1 - r2) * (n - 1) / max(n - k, 1), log + 2 * k, log + k * math.log(max(n, 1)), math.sqrt(max(sse, 0) / max(n, 1)))
+    fit = (n, groups, r2, float(part(g[q, q])), 1 - (1 - r2) * (n - 1) / max(n - k, 1), log + 2 * k, log + k * math.log(max(n, 1)), math.sqrt(max(sse, 0) / max(n, 1)))
     out = []
     for i, x in enumerate(xs):
         se = math.sqrt(max(cov[i, i], 0.0))
         t = float(coef[i]) / se if se else float("nan")
         out.append((x, float(coef[i]), se, t, t_p_value(t, dof), *fit) if i in known else (x, None, None, None, None, *fit))
-    return spark.createDataFrame(out, "term string, coef double, se double, t double, p double, n long, clusters long, r2 double, adj_r2 double, aic double, bic double, rmse double")
+    return spark.createDataFrame(out, "term string, coef double, se double, t double, p double, n long, clusters long, r2 double, r2_within double, adj_r2 double, aic double, bic double, rmse double")
 
 
 def percent_effect(coef: Column, se: Column, step: float = 10.0) -> dict[str, Column]:
@@ -131,23 +140,34 @@ def likelihood_ratio(n: int, sse_small: float, sse_large: float, added: int) ->
     return stat, max(0.0, 1.0 - math.exp(-x + s * math.log(x) - math.lgamma(s)) * total)
 
 
-def evaluate(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, rmse, mae, mape, r2, bias, slope, intercept, median_ape) of predictions."""
+def evaluate(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = (), log: bool = False) -> DataFrame:
+    """(keys, n, rmse, mae, mape, r2, bias, slope, intercept, median_ape) of predictions.
+
+    With `log` values are logarithms: percentage errors are of what they are logarithms of.
+    """
     a, p = F.col(actual), F.col(predicted)
     e = p - a
+    percent = F.abs(F.exp(e) - 1) if log else F.abs(e / F.nullif(a, F.lit(0.0)))
     return complete_cases(df, [actual, predicted]).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        F.avg(F.abs(e / F.nullif(a, F.lit(0.0)))).alias("mape"),
+        F.avg(percent).alias("mape"),
         (1 - F.sum(e * e) / F.nullif(F.var_pop(a) * F.count("*"), F.lit(0.0))).alias("r2"),
         F.avg(e).alias("bias"),
         F.regr_slope(a, p).alias("slope"),
         F.regr_intercept(a, p).alias("intercept"),
-        F.percentile(F.abs(e / F.nullif(a, F.lit(0.0))), 0.5).alias("median_ape"),
+        F.percentile(percent, 0.5).alias("median_ape"),
     )
 
 
+def weighted_rmse(df: DataFrame, actual: str, predicted: str, key: str) -> DataFrame:
+    """(groups, rmse): the root of the mean over `key` of each one's mean square, so that each counts the same."""
+    e = F.col(predicted) - F.col(actual)
+    per = complete_cases(df, [actual, predicted]).groupBy(key).agg(F.avg(e * e).alias("_s"))
+    return per.agg(F.count("*").alias("groups"), F.sqrt(F.avg("_s")).alias("rmse"))
+
+
 def temporal_split(df: DataFrame, when: str, share: float = 0.75) -> DataFrame:
     """df with is_test: later than the given quantile of its dates."""
     days = F.datediff(F.col(when), F.lit("1970-01-01").cast("date"))

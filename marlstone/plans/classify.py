@@ -71,21 +71,21 @@ def _gaps(spark, d):
     return e.select("entity", "grp", ((F.col("price") / F.avg("price").over(Window.partitionBy("grp")) - 1) * 100).alias("gap"), ((F.col("score") / 5000 - 1) * 10).alias("other"), "price", "deals")
 
 
-@query("sign_and_interval", f"WITH {_GAPS} SELECT entity, CASE WHEN gap > 1 THEN 1 WHEN gap < -1 THEN -1 ELSE 0 END AS sgn, CASE WHEN gap - 5 > 0 THEN 'STRONG_UNDER' WHEN gap + 5 < 0 THEN 'STRONG_OVER' WHEN gap > 3 THEN 'POTENTIAL_UNDER' WHEN gap < -3 THEN 'POTENTIAL_OVER' ELSE 'WITHIN' END AS status FROM g")
+@query("sign_and_interval", f"WITH {_GAPS} SELECT entity, CASE WHEN gap > 1 THEN 1 WHEN gap < -1 THEN -1 ELSE 0 END AS sgn, CASE WHEN gap IS NULL THEN 'INSUFFICIENT' WHEN gap - 5 > 0 THEN 'STRONG_UNDER' WHEN gap + 5 < 0 THEN 'STRONG_OVER' WHEN ABS(gap) < 3 THEN 'WITHIN' WHEN gap > 0 THEN 'POTENTIAL_UNDER' ELSE 'POTENTIAL_OVER' END AS status FROM g")
 def sign_and_interval(spark, d):
     """Signs with a dead band, and the status of a gap with its interval."""
     g = _gaps(spark, d)
     return g.select("entity", P.sign(F.col("gap"), 1).alias("sgn"), P.interval_status(F.col("gap"), F.col("gap") - 5, F.col("gap") + 5).alias("status"))
 
 
-@query("sign_patterns", f"WITH {_GAPS}, p AS (SELECT entity, CASE WHEN gap > 0 THEN '+' WHEN gap < 0 THEN '-' ELSE '0' END || ',' || CASE WHEN other > 0 THEN '+' WHEN other < 0 THEN '-' ELSE '0' END AS pattern, gap, other FROM g) SELECT entity, pattern, CASE WHEN pattern = '+,+' THEN 'STABLE_POSITIVE' WHEN pattern = '-,-' THEN 'STABLE_NEGATIVE' ELSE 'MIXED' END AS stability, CASE WHEN gap > 1 AND other > 1 THEN 'AGREE_POSITIVE' WHEN gap < -1 AND other < -1 THEN 'AGREE_NEGATIVE' WHEN ABS(gap) <= 1 AND ABS(other) <= 1 THEN 'NEUTRAL' ELSE 'DISAGREE' END AS agreement FROM p")
+@query("sign_patterns", f"WITH {_GAPS}, p AS (SELECT entity, CASE WHEN gap > 0 THEN '+' WHEN gap < 0 THEN '-' ELSE '0' END || CASE WHEN other > 0 THEN '+' WHEN other < 0 THEN '-' ELSE '0' END AS pattern, gap, other FROM g) SELECT entity, pattern, CASE WHEN pattern = '++' THEN 'STABLE_POSITIVE' WHEN pattern = '--' THEN 'STABLE_NEGATIVE' ELSE 'MIXED' END AS stability, CASE WHEN ABS(gap) <= 0.5 OR ABS(other) <= 0.5 THEN 'NEUTRAL_OR_ZERO' WHEN gap > 0 AND other > 0 THEN 'STRONG_POSITIVE' WHEN gap < 0 AND other < 0 THEN 'STRONG_NEGATIVE' WHEN gap > 0 THEN 'MIXED_POSITIVE_RESIDUAL' ELSE 'MIXED_POSITIVE_COMPARABLE' END AS agreement FROM p")
 def sign_patterns(spark, d):
     """Patterns of signs over several values, and the agreement of two methods."""
     g, both = _gaps(spark, d), [F.col("gap"), F.col("other")]
-    return g.select("entity", P.sign_pattern(both).alias("pattern"), P.sign_stability(both).alias("stability"), P.agreement(*both, dead=1).alias("agreement"))
+    return g.select("entity", P.sign_pattern(both).alias("pattern"), P.sign_stability(both).alias("stability"), P.agreement(*both).alias("agreement"))
 
 
-@query("signal_classes", f"WITH {_GAPS}, p AS (SELECT *, LEAST(1, GREATEST(0, 0.5 + gap / 20)) AS prob FROM g) SELECT entity, CASE WHEN prob >= 0.95 THEN 'VERY_LIKELY' WHEN prob >= 0.8 THEN 'LIKELY' WHEN prob > 0.2 THEN 'UNCERTAIN' WHEN prob > 0.05 THEN 'UNLIKELY' ELSE 'VERY_UNLIKELY' END AS likely, CASE WHEN gap > 2 THEN 'HIGH' WHEN gap < -2 THEN 'LOW' ELSE 'NEUTRAL' END || '_' || CASE WHEN other > 2 THEN 'HIGH' WHEN other < -2 THEN 'LOW' ELSE 'NEUTRAL' END AS quadrant, CASE WHEN (gap > 4)::INT + (other > 4)::INT >= 2 THEN 'UP' WHEN (gap < -4)::INT + (other < -4)::INT >= 2 THEN 'DOWN' ELSE 'NONE' END AS lasting FROM p")
+@query("signal_classes", f"WITH {_GAPS}, p AS (SELECT *, LEAST(1, GREATEST(0, 0.5 + gap / 20)) AS prob FROM g) SELECT entity, CASE WHEN prob >= 0.9 THEN 'VERY_STABLE_POSITIVE' WHEN prob >= 0.75 THEN 'STABLE_POSITIVE' WHEN prob <= 0.1 THEN 'VERY_STABLE_NEGATIVE' WHEN prob <= 0.25 THEN 'STABLE_NEGATIVE' ELSE 'MIXED' END AS likely, CASE WHEN gap > 2 THEN 'HIGH' WHEN gap < -2 THEN 'LOW' ELSE 'NEUTRAL' END || '_' || CASE WHEN other > 2 THEN 'HIGH' WHEN other < -2 THEN 'LOW' ELSE 'NEUTRAL' END AS quadrant, CASE WHEN (gap > 4)::INT + (other > 4)::INT >= 2 THEN 'UP' WHEN (gap < -4)::INT + (other < -4)::INT >= 2 THEN 'DOWN' ELSE 'NONE' END AS lasting FROM p")
 def signal_classes(spark, d):
     """Probability classes, quadrants of two signals, persistent signals."""
     g = _gaps(spark, d)
@@ -125,11 +125,11 @@ def bands_and_bins(spark, d):
     return p.select("p_partkey", P.band(size, [(10, 100), (20, 70), (40, 40)], 10).alias("band_score"), grade.alias("grade"), P.bin_label(size, edges, labels).alias("right_bin"), P.bin_label(size, edges, labels, right=False).alias("left_bin"))
 
 
-@query("difference_causes", "WITH a AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1), b AS (SELECT o_custkey, COUNT(DISTINCT o_orderstatus) AS m FROM orders GROUP BY 1) SELECT o_custkey, n, m, CASE WHEN n = m THEN 'EXACT' WHEN ABS(n - m) <= 2 THEN 'MINOR' WHEN GREATEST(n, m) >= 2 * LEAST(n, m) AND GREATEST(n, m) % LEAST(n, m) = 0 THEN 'SPLIT' ELSE 'UNKNOWN' END AS cause FROM a JOIN b USING (o_custkey)")
+@query("difference_causes", "WITH a AS (SELECT l_suppkey AS k, COUNT(*) AS n, COUNT(DISTINCT l_orderkey) AS m FROM lineitem GROUP BY 1) SELECT k, m AS listed, n AS registered, CASE WHEN m = n THEN 'EXACT' WHEN ABS(m - n) <= 3 THEN 'MINOR_DIFFERENCE' WHEN n - m IN (15, 32, 46, 48, 64, 71, 75, 80) THEN 'RENTAL_DIFFERENCE' WHEN n - m >= 100 THEN 'SPLIT_OR_UNREGISTERED' ELSE 'DATA_DIFFERENCE' END AS cause FROM a")
 def difference_causes(spark, d):
-    """Why two counts differ."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderstatus").alias("m"))
-    return o.select("o_custkey", "n", "m", P.difference_cause(F.col("n"), F.col("m")).alias("cause"))
+    """Why two counts of one entity differ."""
+    o = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count_distinct("l_orderkey").alias("listed"), F.count("*").alias("registered"))
+    return o.select("k", "listed", "registered", P.difference_cause(F.col("listed"), F.col("registered")).alias("cause"))
 
 
 @query("gate_router", "SELECT c_custkey, CASE WHEN NOT COALESCE(c_acctbal > 0, false) THEN 'PENDING' WHEN NOT c_nationkey < 20 THEN 'PENDING' WHEN NOT c_mktsegment <> 'MACHINERY' THEN 'PENDING' ELSE 'VERIFIED' END AS status, CASE WHEN NOT COALESCE(c_acctbal > 0, false) THEN 'NO_BALANCE' WHEN NOT c_nationkey < 20 THEN 'FAR_NATION' WHEN NOT c_mktsegment <> 'MACHINERY' THEN 'SEGMENT' END AS reason, CASE WHEN NOT COALESCE(c_acctbal > 0, false) THEN 'collect' WHEN NOT c_nationkey < 20 THEN 'review' WHEN NOT c_mktsegment <> 'MACHINERY' THEN 'review' END AS action FROM customer")

@@ -53,13 +53,15 @@ def x5_entity_score(spark, d):
     return r.select("k", "recent", F.round(R.percentile_rank("recent"), 9).alias("score"), R.min_rank_desc("recent").cast("long").alias("place"))
 
 
-@query("x6_relation_scores", "WITH o AS (SELECT o_orderkey, o_custkey AS k, o_totalprice / 5000 AS score, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 ELSE 0.5 END AS w FROM orders), s AS (SELECT k, SUM(score * w) / SUM(w) AS mean, STDDEV_POP(score) AS sd, AVG(w) AS q FROM o GROUP BY 1), c AS (SELECT k, ROUND(GREATEST(0, LEAST(100, mean * q - sd * 0.2)), 7) AS composite FROM s) SELECT k, composite, RANK() OVER (ORDER BY composite DESC) AS place, CASE WHEN composite >= 40 THEN 'A' WHEN composite >= 30 THEN 'B' WHEN composite >= 20 THEN 'C' ELSE 'D' END AS grade FROM c")
+@query("x6_relation_scores", "WITH o AS (SELECT o_orderkey, o_custkey AS k, o_totalprice / 5000 AS score, o_orderstatus AS kind, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 ELSE 0.5 END AS w, CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 85 ELSE 65 END AS q FROM orders), s AS (SELECT k, SUM(score * w) / SUM(w) AS mean, MIN(score) AS low, SUM(q * w) / SUM(w) AS q, LEAST(1, 0.4 * SUM(CASE WHEN kind = 'F' THEN w ELSE 0 END) / SUM(w) + 0.3 / COUNT(DISTINCT o_orderkey) + 0.3 * SUM(CASE WHEN kind <> 'P' THEN w ELSE 0 END) / SUM(w)) AS x FROM o GROUP BY 1), c AS (SELECT k, ROUND(GREATEST(0, LEAST(100, 0.65 * mean + 0.15 * low + 10 * x + 0.1 * q)), 7) AS composite FROM s) SELECT k, composite, RANK() OVER (ORDER BY composite DESC) AS place, CASE WHEN composite >= 60 THEN 'A' WHEN composite >= 50 THEN 'B' WHEN composite >= 40 THEN 'C' ELSE 'D' END AS grade FROM c")
 def x6_relation_scores(spark, d):
     """Relations with weights by type to composite scores, ranks and grades."""
-    weight = F.create_map(*(F.lit(x) for kv in (("F", 1.0), ("O", 0.8), ("P", 0.5)) for x in kv))[F.col("o_orderstatus")]
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_totalprice") / 5000).alias("score"), weight.alias("w"))
-    s = A.feeder_scores(o.withColumn("q", F.col("w")), "k", "score", "w", "q").select("k", F.round("composite", 7).alias("composite"))
-    return s.select("k", "composite", R.min_rank_desc("composite").cast("long").alias("place"), P.first_match([(F.col("composite") >= x, g) for x, g in ((40, "A"), (30, "B"), (20, "C"))], "D").alias("grade"))
+    kinds = {"F": "EXACT", "O": "ELIGIBLE", "P": "CONDITIONAL"}
+    kind = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.col("o_orderstatus")]
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("member"), (F.col("o_totalprice") / 5000).alias("score"), kind.alias("kind"))
+    o = o.withColumns({"w": A.by_kind(F.col("kind"), A.RELATION_WEIGHTS), "q": A.by_kind(F.col("kind"), A.RELATION_QUALITY)})
+    s = A.feeder_scores(o, "k", "member", "kind", "score", "w", "q").select("k", F.round("composite", 7).alias("composite"))
+    return s.select("k", "composite", R.min_rank_desc("composite").cast("long").alias("place"), P.first_match([(F.col("composite") >= x, g) for x, g in ((60, "A"), (50, "B"), (40, "C"))], "D").alias("grade"))
 
 
 @query("x7_spatial_assignment", "WITH p AS (SELECT s_suppkey AS k, s_acctbal / 100 AS x, CAST(s_suppkey * 37 % 100 AS DOUBLE) AS y FROM supplier), z AS (SELECT n_nationkey AS zone, (n_nationkey % 5) * 20.0 AS x0, (n_nationkey // 5) * 18.0 AS y0 FROM nation), m AS (SELECT k, COUNT(*) AS zones, MIN(zone) AS first_zone FROM p, z WHERE y >= y0 AND y < y0 + 25 AND x >= x0 AND x < x0 + 25 GROUP BY 1) SELECT k, COALESCE(zones, 0) AS zones, CASE WHEN zones > 1 THEN 'SHARED' WHEN zones = 1 THEN 'MATCHED' ELSE 'OUTSIDE' END AS status FROM p LEFT JOIN m USING (k)")
@@ -82,7 +84,7 @@ def x8_score_vs_price(spark, d):
     return p.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(c)).select("q", "n", F.round("p", 7).alias("price"), F.round(F.col("p") - F.col("p1"), 7).alias("over_first"), F.round("r", 9).alias("pearson"))  # one row each
 
 
-@query("x10_demand_score", "WITH y AS (SELECT o_custkey AS k, YEAR(o_orderdate) AS yr, COUNT(*) AS n FROM orders GROUP BY ALL), i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY yr) - 1 AS i FROM y), f AS (SELECT k, SUM(n) AS total, ROUND(REGR_SLOPE(n, i), 9) AS slope, ROUND(CAST(ARG_MAX(n, yr) AS DOUBLE) / ARG_MIN(n, yr) - 1, 9) AS growth FROM i GROUP BY k HAVING COUNT(*) >= 2), r AS (SELECT k, 100.0 * (RANK() OVER (ORDER BY slope) + (COUNT(*) OVER (PARTITION BY slope) - 1) / 2.0) / COUNT(*) OVER () AS a, 100.0 * (RANK() OVER (ORDER BY growth) + (COUNT(*) OVER (PARTITION BY growth) - 1) / 2.0) / COUNT(*) OVER () AS b, total FROM f) SELECT k, ROUND(0.6 * a + 0.4 * b, 8) AS score, CASE WHEN total >= 12 THEN 'HIGH' WHEN total >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM r")
+@query("x10_demand_score", "WITH y AS (SELECT o_custkey AS k, YEAR(o_orderdate) AS yr, COUNT(*) AS n FROM orders GROUP BY ALL), f AS (SELECT k, SUM(n) AS total, ROUND(REGR_SLOPE(n, yr), 9) AS slope, ROUND(CAST(ARG_MAX(n, yr) AS DOUBLE) / ARG_MIN(n, yr) - 1, 9) AS growth FROM y GROUP BY k HAVING COUNT(*) >= 2), r AS (SELECT k, 100.0 * (RANK() OVER (ORDER BY slope) + (COUNT(*) OVER (PARTITION BY slope) - 1) / 2.0) / COUNT(*) OVER () AS a, 100.0 * (RANK() OVER (ORDER BY growth) + (COUNT(*) OVER (PARTITION BY growth) - 1) / 2.0) / COUNT(*) OVER () AS b, total FROM f) SELECT k, ROUND(0.6 * a + 0.4 * b, 8) AS score, CASE WHEN total >= 12 THEN 'HIGH' WHEN total >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM r")
 def x10_demand_score(spark, d):
     """Longitudinal features to percentile ranks to a weighted score."""
     y = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("yr")).agg(F.count("*").alias("n"))
@@ -130,7 +132,7 @@ def x15_premium_index(spark, d):
     return top.select("entity", "premium", grade.alias("confidence"), F.row_number().over(Window.orderBy(F.col("premium").desc(), "entity")).cast("long").alias("place"))  # thirty rows
 
 
-@query("x17_gap_stability", f"WITH {TRADES}, w AS (SELECT MAX(deal_date) AS last FROM t), m AS (SELECT entity, MEDIAN(unit) FILTER (WHERE deal_date > last - INTERVAL 6 MONTH) AS a, MEDIAN(unit) FILTER (WHERE deal_date > last - INTERVAL 12 MONTH) AS b, MEDIAN(unit) AS c FROM t, w WHERE deal_date > last - INTERVAL 24 MONTH GROUP BY 1), g AS (SELECT entity, (a / (AVG(a) OVER ()) - 1) * 100 AS a, (b / (AVG(b) OVER ()) - 1) * 100 AS b, (c / (AVG(c) OVER ()) - 1) * 100 AS c FROM m) SELECT entity, CONCAT_WS(',', CASE WHEN a IS NULL THEN '?' WHEN a > 0.5 THEN '+' WHEN a < -0.5 THEN '-' ELSE '0' END, CASE WHEN b IS NULL THEN '?' WHEN b > 0.5 THEN '+' WHEN b < -0.5 THEN '-' ELSE '0' END, CASE WHEN c IS NULL THEN '?' WHEN c > 0.5 THEN '+' WHEN c < -0.5 THEN '-' ELSE '0' END) AS pattern, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'INSUFFICIENT' WHEN LEAST(a, b, c) > 0.5 THEN 'STABLE_POSITIVE' WHEN GREATEST(a, b, c) < -0.5 THEN 'STABLE_NEGATIVE' ELSE 'MIXED' END AS stability FROM g")
+@query("x17_gap_stability", f"WITH {TRADES}, w AS (SELECT MAX(deal_date) AS last FROM t), m AS (SELECT entity, MEDIAN(unit) FILTER (WHERE deal_date > last - INTERVAL 6 MONTH) AS a, MEDIAN(unit) FILTER (WHERE deal_date > last - INTERVAL 12 MONTH) AS b, MEDIAN(unit) AS c FROM t, w WHERE deal_date > last - INTERVAL 24 MONTH GROUP BY 1), g AS (SELECT entity, (a / (AVG(a) OVER ()) - 1) * 100 AS a, (b / (AVG(b) OVER ()) - 1) * 100 AS b, (c / (AVG(c) OVER ()) - 1) * 100 AS c FROM m) SELECT entity, CONCAT(CASE WHEN a IS NULL THEN 'NA' WHEN a > 0.5 THEN '+' WHEN a < -0.5 THEN '-' ELSE '0' END, CASE WHEN b IS NULL THEN 'NA' WHEN b > 0.5 THEN '+' WHEN b < -0.5 THEN '-' ELSE '0' END, CASE WHEN c IS NULL THEN 'NA' WHEN c > 0.5 THEN '+' WHEN c < -0.5 THEN '-' ELSE '0' END) AS pattern, CASE WHEN (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT < 2 THEN 'INSUFFICIENT' WHEN LEAST(a, b, c) > 0.5 THEN 'STABLE_POSITIVE' WHEN GREATEST(a, b, c) < -0.5 THEN 'STABLE_NEGATIVE' ELSE 'MIXED' END AS stability FROM g")
 def x17_gap_stability(spark, d):
     """Gaps over three windows, and how stable their signs are."""
     m = A.multi_window(trades(spark, d), "entity", "deal_date", "unit", [6, 12, 24])
@@ -149,7 +151,7 @@ def x18_local_markets(spark, d):
     return near.select("grp", "members", F.round("mid", 7).alias("price"), P.first_match([(F.col("members") >= 5, "HIGH"), (F.col("members") >= 3, "MEDIUM")], "LOW").alias("confidence"), "representative")
 
 
-@query("x19_fair_price_signals", f"WITH {_SAMPLE}, g AS (SELECT grp, REGR_SLOPE(y, area) AS b, REGR_INTERCEPT(y, area) AS a, SQRT(REGR_SYY(y, area) * (1 - REGR_R2(y, area)) / (COUNT(*) - 2)) AS sigma FROM s GROUP BY 1), e AS (SELECT entity, grp, AVG(area) AS area, EXP(AVG(y)) AS price FROM s GROUP BY ALL), f AS (SELECT entity, price, EXP(a + b * area) AS fair, EXP(a + b * area - 1.96 * sigma) AS lo, EXP(a + b * area + 1.96 * sigma) AS hi FROM e JOIN g USING (grp)), p AS (SELECT entity, (fair / price - 1) * 100 AS point, (lo / price - 1) * 100 AS low, (hi / price - 1) * 100 AS high FROM f) SELECT entity, ROUND(point, 6) AS gap_pct, CASE WHEN low > 0 THEN 'STRONG_UNDER' WHEN high < 0 THEN 'STRONG_OVER' WHEN point > 3 THEN 'POTENTIAL_UNDER' WHEN point < -3 THEN 'POTENTIAL_OVER' ELSE 'WITHIN' END AS signal FROM p")
+@query("x19_fair_price_signals", f"WITH {_SAMPLE}, g AS (SELECT grp, REGR_SLOPE(y, area) AS b, REGR_INTERCEPT(y, area) AS a, SQRT(REGR_SYY(y, area) * (1 - REGR_R2(y, area)) / (COUNT(*) - 2)) AS sigma FROM s GROUP BY 1), e AS (SELECT entity, grp, AVG(area) AS area, EXP(AVG(y)) AS price FROM s GROUP BY ALL), f AS (SELECT entity, price, EXP(a + b * area) AS fair, EXP(a + b * area - 1.96 * sigma) AS lo, EXP(a + b * area + 1.96 * sigma) AS hi FROM e JOIN g USING (grp)), p AS (SELECT entity, (fair / price - 1) * 100 AS point, (lo / price - 1) * 100 AS low, (hi / price - 1) * 100 AS high FROM f) SELECT entity, ROUND(point, 6) AS gap_pct, CASE WHEN low > 0 THEN 'STRONG_UNDER' WHEN high < 0 THEN 'STRONG_OVER' WHEN ABS(point) < 3 THEN 'WITHIN' WHEN point > 0 THEN 'POTENTIAL_UNDER' ELSE 'POTENTIAL_OVER' END AS signal FROM p")
 def x19_fair_price_signals(spark, d):
     """Fair prices from local models, gaps in percent, and signals of their intervals."""
     s = _sample(spark, d)

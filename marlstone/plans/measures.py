@@ -115,26 +115,30 @@ def two_hop(spark, d):
     return x.groupBy("deal").agg(F.count("*").alias("options"), F.round(F.avg("v"), 8).alias("mean"), F.max("v").alias("high"), F.min("v").alias("low"), F.round(F.max("v") - F.min("v"), 8).alias("spread"), (F.min("n") == F.max("n")).alias("guaranteed"))
 
 
-_FEEDER = "f AS (SELECT l_orderkey AS k, s_acctbal / 100 AS score, 1 - l_discount * 5 AS w, 1 - l_tax AS q FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), s AS (SELECT k, SUM(score * w) / SUM(w) AS mean, MIN(score) AS low, MAX(score) AS high, MEDIAN(score) AS median, STDDEV_POP(score) AS deviation, AVG(q) AS reliability FROM f WHERE w > 0 GROUP BY 1)"
+_FEEDER = """f AS (SELECT l_orderkey AS k, l_suppkey AS m, s_acctbal / 100 AS score, l_returnflag AS kind, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.5 END AS w, CASE l_returnflag WHEN 'A' THEN 100 WHEN 'N' THEN 85 ELSE 65 END AS q FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+  s AS (SELECT k, SUM(score * w) / SUM(w) AS mean, MIN(score) AS low, MAX(score) AS high, MEDIAN(score) AS median, STDDEV_POP(score) AS deviation, STDDEV_POP(score) / NULLIF(AVG(score), 0) AS variation, SUM(q * w) / SUM(w) AS quality, AVG(w) AS aw,
+  LEAST(1, 0.4 * SUM(CASE WHEN kind = 'A' THEN w ELSE 0 END) / SUM(w) + 0.3 / COUNT(DISTINCT m) + 0.3 * SUM(CASE WHEN kind <> 'R' THEN w ELSE 0 END) / SUM(w)) AS exclusivity FROM f GROUP BY 1)"""
 
 
 def _feeder(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") / 100).alias("score"))
-    f = table(spark, d, "lineitem").join(s, "l_suppkey").select(F.col("l_orderkey").alias("k"), "score", (1 - F.col("l_discount") * 5).alias("w"), (1 - F.col("l_tax")).alias("q"))
-    return A.feeder_scores(f, "k", "score", "w", "q").where("scored > 0")
+    kind = A.by_kind(F.col("l_returnflag"), {"A": "EXACT", "N": "ELIGIBLE", "R": "CONDITIONAL"})
+    f = table(spark, d, "lineitem").join(s, "l_suppkey").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("m"), "score", kind.alias("kind"))
+    f = f.withColumns({"w": A.by_kind(F.col("kind"), A.RELATION_WEIGHTS), "q": A.by_kind(F.col("kind"), A.RELATION_QUALITY)})
+    return A.feeder_scores(f, "k", "m", "kind", "score", "w", "q").where("scored > 0")
 
 
-@query("feeder_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 11) AS mean, ROUND(low, 11) AS low, ROUND(high, 11) AS high, ROUND(median, 11) AS median, ROUND(deviation, 11) AS deviation, ROUND(reliability, 11) AS reliability, ROUND(GREATEST(0, LEAST(100, mean * reliability - deviation * 0.2)), 11) AS composite FROM s")
+@query("feeder_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 9) AS mean, ROUND(low, 9) AS low, ROUND(high, 9) AS high, ROUND(median, 9) AS median, ROUND(deviation, 9) AS deviation, ROUND(variation, 7) AS variation, ROUND(quality, 9) AS quality, ROUND(exclusivity, 9) AS exclusivity, ROUND(GREATEST(0, LEAST(100, deviation * 2 + (1 - aw) * 25)), 9) AS uncertainty, ROUND(GREATEST(0, LEAST(100, 0.65 * mean + 0.15 * low + 10 * exclusivity + 0.1 * quality)), 9) AS composite FROM s")
 def feeder_scores(spark, d):
     """Weighted scores of the entities that relations lead to."""
-    names = ["mean", "low", "high", "median", "deviation", "reliability", "composite"]
-    return r11(_feeder(spark, d).select("k", *names), *names)
+    names = ["mean", "low", "high", "median", "deviation", "quality", "exclusivity", "uncertainty", "composite"]
+    return r9(_feeder(spark, d).select("k", *names, F.round("variation", 7).alias("variation")), *names)
 
 
-@query("scenario_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 11) AS base, ROUND(0.5 * mean + 0.5 * low, 11) AS cautious, ROUND(0.5 * mean + 0.5 * high, 11) AS hopeful, CASE WHEN reliability >= 0.97 THEN 'SOLID' WHEN reliability >= 0.94 THEN 'FAIR' ELSE 'WEAK' END AS status FROM s")
+@query("scenario_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 11) AS base, ROUND(0.5 * mean + 0.5 * low, 11) AS cautious, ROUND(0.5 * mean + 0.5 * high, 11) AS hopeful, CASE WHEN quality >= 90 THEN 'SOLID' WHEN quality >= 80 THEN 'FAIR' ELSE 'WEAK' END AS status FROM s")
 def scenario_scores(spark, d):
     """A score under three weightings, with its status."""
-    status = F.when(F.col("reliability") >= 0.97, "SOLID").when(F.col("reliability") >= 0.94, "FAIR").otherwise("WEAK")
+    status = F.when(F.col("quality") >= 90, "SOLID").when(F.col("quality") >= 80, "FAIR").otherwise("WEAK")
     s = _feeder(spark, d)
     return s.select("k", F.round("mean", 11).alias("base"), F.round(0.5 * F.col("mean") + 0.5 * F.col("low"), 11).alias("cautious"), F.round(0.5 * F.col("mean") + 0.5 * F.col("high"), 11).alias("hopeful"), status.alias("status"))
 
@@ -175,15 +179,15 @@ def component_score(spark, d):
     return c.select(F.col("c_custkey").alias("k"), F.round(weighted_score([(0.5, a), (0.3, b), (0.2, e)]), 9).alias("score"), F.round(sum_with_least([a, b, e], 2), 9).alias("sum_two"))
 
 
-@query("cohort_growth", f"WITH y AS (SELECT o_custkey % 200 AS k, CAST(YEAR(o_orderdate) AS INT) AS yr, COUNT(*) FILTER (WHERE MONTH(o_orderdate) <= 4) AS g0, COUNT(*) FILTER (WHERE MONTH(o_orderdate) BETWEEN 5 AND 8) AS g1, COUNT(*) FILTER (WHERE MONTH(o_orderdate) >= 9) AS g2 FROM orders GROUP BY ALL), l AS (SELECT k, yr, 0 AS grade, g0 AS n FROM y UNION ALL SELECT k, yr, 1, g1 FROM y UNION ALL SELECT k, yr, 2, g2 FROM y), p AS (SELECT a.k, a.yr, a.grade, a.n, b.n AS n0 FROM l a JOIN l b ON a.k = b.k AND a.yr = b.yr + 1 AND a.grade = b.grade + 1 WHERE b.n > 0), w AS (SELECT yr, grade, SUM(n) / SUM(n0) - 1 AS w FROM p GROUP BY ALL) SELECT k, ROUND(AVG(n / n0 - 1 - w), 9) AS growth FROM p JOIN w USING (yr, grade) GROUP BY k")
+@query("cohort_growth", f"WITH y AS (SELECT o_custkey % 200 AS k, CAST(YEAR(o_orderdate) AS INT) AS yr, COUNT(*) FILTER (WHERE MONTH(o_orderdate) <= 4) AS g0, COUNT(*) FILTER (WHERE MONTH(o_orderdate) BETWEEN 5 AND 8) AS g1, COUNT(*) FILTER (WHERE MONTH(o_orderdate) >= 9) AS g2 FROM orders GROUP BY ALL), l AS (SELECT k, yr, 0 AS grade, g0 AS n FROM y UNION ALL SELECT k, yr, 1, g1 FROM y UNION ALL SELECT k, yr, 2, g2 FROM y), p AS (SELECT a.k, a.yr, a.grade, a.n, b.n AS n0 FROM l a JOIN l b ON a.k = b.k AND a.yr = b.yr + 1 AND a.grade = b.grade + 1 WHERE b.n > 0), v AS (SELECT yr, grade, SUM(n) AS n FROM l GROUP BY ALL), w AS (SELECT a.yr, a.grade, a.n / b.n - 1 AS w FROM v a JOIN v b ON a.yr = b.yr + 1 AND a.grade = b.grade + 1) SELECT k, ROUND(AVG(n / n0 - 1), 9) AS raw, ROUND(AVG(n / n0 - 1 - w), 9) AS growth FROM p JOIN w USING (yr, grade) GROUP BY k")
 def cohort_growth(spark, d):
     """Growth of cohorts against the population's."""
     o, m = table(spark, d, "orders"), F.month("o_orderdate")
     y = o.groupBy((F.col("o_custkey") % 200).alias("k"), F.year("o_orderdate").alias("yr")).agg(F.count_if(m <= 4).alias("g0"), F.count_if(m.between(5, 8)).alias("g1"), F.count_if(m >= 9).alias("g2"))
-    return r9(A.cohort_growth(y, "k", "yr", ["g0", "g1", "g2"]), "growth")
+    return r9(A.cohort_growth(y, "k", "yr", ["g0", "g1", "g2"]), "raw", "growth")
 
 
-@query("trends", f"WITH {_YEARLY}, i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY yr) - 1 AS i FROM y) SELECT k, ROUND(ARG_MAX(n, yr) / ARG_MIN(n, yr) - 1, 9) AS span_growth, ROUND(REGR_SLOPE(n, i), 9) AS slope, ROUND(REGR_SLOPE(n, i) / AVG(n), 9) AS slope_rate, COUNT(*) AS periods FROM i GROUP BY k HAVING COUNT(*) >= 2")
+@query("trends", f"WITH {_YEARLY} SELECT k, ROUND(ARG_MAX(n, yr) / ARG_MIN(n, yr) - 1, 9) AS span_growth, ROUND(REGR_SLOPE(n, yr), 9) AS slope, ROUND(REGR_SLOPE(n, yr) / AVG(n), 9) AS slope_rate, COUNT(*) AS periods FROM y GROUP BY k HAVING COUNT(*) >= 2")
 def trends(spark, d):
     """Growth over the span, and the slope of a linear trend."""
     return r9(A.trend(_yearly(spark, d), "k", "yr", "n"), "span_growth", "slope", "slope_rate")
@@ -201,15 +205,16 @@ def structure_index(spark, d):
 def log_trend(spark, d):
     """The yearly slope of the logarithm of monthly medians."""
     m = trades(spark, d).groupBy("entity", F.date_format("deal_date", "yyyy-MM").alias("month")).agg(F.ln(F.percentile("unit", 0.5)).alias("v"))
-    t = A.trend(m, "entity", "month", "v", 6)
+    t = A.trend(m, "entity", "month", "v", 6, by_row=True)
     return t.select("entity", F.round(F.col("slope") * 12, 8).alias("yearly"), F.col("periods").alias("months"))
 
 
-@query("dispersion", "WITH r AS (SELECT c_acctbal AS v, 'nation' AS definition, CAST(c_nationkey AS VARCHAR) AS g FROM customer UNION ALL SELECT c_acctbal, 'segment', c_mktsegment FROM customer), m AS (SELECT *, AVG(v) OVER (PARTITION BY definition, g) AS m FROM r), p AS (SELECT definition, g, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, SUM((v - m) * (v - m)) AS ss, SUM(ABS(v - m)) AS ad, COUNT(*) AS k FROM m GROUP BY ALL HAVING COUNT(*) >= 2) SELECT definition, COUNT(*) AS groups, ROUND(SUM(ss) / SUM(k), 2) AS within, ROUND(SUM(ad) / SUM(k), 4) AS mad, ROUND(AVG(iqr), 4) AS iqr, ROUND(SUM(ss) / SUM(k) / (SELECT VAR_SAMP(c_acctbal) FROM customer), 9) AS ratio FROM p GROUP BY 1")
+@query("dispersion", "WITH c AS (SELECT c_acctbal + 2000 AS v, LN(c_acctbal + 2000) AS l, c_custkey % 11 AS c, c_nationkey, c_mktsegment FROM customer), r AS (SELECT v, l, c, 'nation' AS definition, CAST(c_nationkey AS VARCHAR) AS g FROM c UNION ALL SELECT v, l, c, 'segment', c_mktsegment FROM c), m AS (SELECT *, l - AVG(l) OVER w AS e, c - AVG(c) OVER w AS ce, v - MEDIAN(v) OVER w AS d FROM r WINDOW w AS (PARTITION BY definition, g)), q AS (SELECT definition, AVG(i) AS iqr, COUNT(*) AS groups FROM (SELECT definition, g, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS i FROM r GROUP BY ALL) GROUP BY 1) SELECT definition, ANY_VALUE(groups) AS groups, COUNT(*) AS n, ROUND(VAR_SAMP(e), 9) AS within, ROUND(VAR_SAMP(e) / (SELECT VAR_SAMP(l) FROM c), 9) AS ratio, ROUND(MEDIAN(ABS(d)), 4) AS mad, ROUND(ANY_VALUE(iqr), 4) AS iqr, ROUND(VAR_SAMP(ce), 7) AS change FROM m JOIN q USING (definition) GROUP BY 1")
 def dispersion(spark, d):
-    """Dispersion under several ways of grouping."""
-    o = A.dispersion(table(spark, d, "customer"), "c_acctbal", {"nation": "c_nationkey", "segment": "c_mktsegment"})
-    return o.select("definition", "groups", F.round("within", 2).alias("within"), F.round("mad", 4).alias("mad"), F.round("iqr", 4).alias("iqr"), F.round("ratio", 9).alias("ratio"))
+    """Dispersion of prices and of their changes under several ways of grouping."""
+    c = table(spark, d, "customer").select((F.col("c_acctbal") + 2000).alias("v"), (F.col("c_custkey") % 11).alias("c"), "c_nationkey", "c_mktsegment")
+    o = A.dispersion(c, "v", {"nation": "c_nationkey", "segment": "c_mktsegment"}, "c")
+    return o.select("definition", "groups", F.col("rows").alias("n"), F.round("within", 9).alias("within"), F.round("ratio", 9).alias("ratio"), F.round("mad", 4).alias("mad"), F.round("iqr", 4).alias("iqr"), F.round("change", 7).alias("change"))
 
 
 @query("correlation_scopes", f"WITH {ENTITIES}, s AS (SELECT 'all' AS scope, 'ALL' AS member, score, price FROM e WHERE price IS NOT NULL UNION ALL SELECT 'group', CAST(grp AS VARCHAR), score, price FROM e WHERE price IS NOT NULL), k AS (SELECT *, RANK() OVER (PARTITION BY scope, member ORDER BY score) + (COUNT(*) OVER (PARTITION BY scope, member, score) - 1) / 2.0 AS a, RANK() OVER (PARTITION BY scope, member ORDER BY price) + (COUNT(*) OVER (PARTITION BY scope, member, price) - 1) / 2.0 AS b FROM s) SELECT scope, member, CASE WHEN COUNT(*) >= 3 THEN ROUND(CORR(score, price), 9) END AS pearson, CASE WHEN COUNT(*) >= 3 THEN ROUND(CORR(a, b), 9) END AS spearman, COUNT(*) AS n FROM k GROUP BY ALL")

@@ -15,7 +15,7 @@ def _sample(spark, d):
 
 
 _SAMPLE = f"""{TRADES}, s AS (SELECT entity, s_nationkey % 5 AS grp, s_acctbal / 100 AS score, area, discount, deal_date, LN(unit) AS y FROM t JOIN supplier ON s_suppkey = entity)"""
-_FE = f"{_SAMPLE}, d AS (SELECT entity, y - AVG(y) OVER (PARTITION BY grp) AS y, score - AVG(score) OVER (PARTITION BY grp) AS x, grp FROM s)"
+_FE = f"{_SAMPLE}, d AS (SELECT entity, y AS raw, y - AVG(y) OVER (PARTITION BY grp) AS y, score - AVG(score) OVER (PARTITION BY grp) AS x, grp FROM s)"
 
 
 @query("fixed_effect_ols", f"WITH {_FE}, b AS (SELECT SUM(x * y) / SUM(x * x) AS b, SUM(x * x) AS xx, COUNT(*) AS n, COUNT(DISTINCT grp) + 1 AS k FROM d), c AS (SELECT entity, SUM(x * (y - b * x)) AS s FROM d, b GROUP BY 1), m AS (SELECT SUM(s * s) AS meat, COUNT(*) AS g FROM c) SELECT 'score' AS term, ROUND(b, 9) AS coef, ROUND(SQRT(meat * g / (g - 1) * (n - 1) / (n - k)) / xx, 9) AS se, n, g AS clusters FROM b, m")
@@ -24,17 +24,17 @@ def fixed_effect_ols(spark, d):
     return M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp", "entity").select("term", F.round("coef", 9).alias("coef"), F.round("se", 9).alias("se"), "n", "clusters")
 
 
-@query("fit_metrics", f"WITH {_FE}, b AS (SELECT REGR_R2(y, x) AS r2, COUNT(*) AS n, COUNT(DISTINCT grp) + 1 AS k, REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse FROM d) SELECT ROUND(r2, 9) AS r2, ROUND(1 - (1 - r2) * (n - 1) / (n - k), 9) AS adj_r2, ROUND(n * LN(sse / n) + 2 * k, 4) AS aic, ROUND(SQRT(sse / n), 9) AS rmse FROM b")
+@query("fit_metrics", f"WITH {_FE}, b AS (SELECT 1 - REGR_SYY(y, x) * (1 - REGR_R2(y, x)) / (VAR_POP(raw) * COUNT(*)) AS r2, REGR_R2(y, x) AS rw, COUNT(*) AS n, COUNT(DISTINCT grp) + 1 AS k, REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse FROM d) SELECT ROUND(r2, 9) AS r2, ROUND(rw, 9) AS r2_within, ROUND(1 - (1 - r2) * (n - 1) / (n - k), 9) AS adj_r2, ROUND(n * LN(sse / n) + 2 * k, 4) AS aic, ROUND(SQRT(sse / n), 9) AS rmse FROM b")
 def fit_metrics(spark, d):
     """M2: metrics of a fit."""
-    return M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp").select(F.round("r2", 9).alias("r2"), F.round("adj_r2", 9).alias("adj_r2"), F.round("aic", 4).alias("aic"), F.round("rmse", 9).alias("rmse"))
+    return M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp").select(F.round("r2", 9).alias("r2"), F.round("r2_within", 9).alias("r2_within"), F.round("adj_r2", 9).alias("adj_r2"), F.round("aic", 4).alias("aic"), F.round("rmse", 9).alias("rmse"))
 
 
-@query("percent_effects", f"WITH {_FE}, b AS (SELECT REGR_SLOPE(y, x) AS b FROM d) SELECT 'score' AS term, ROUND((EXP(b * 10) - 1) * 100, 6) AS pct FROM b")
+@query("percent_effects", f"WITH {_FE}, b AS (SELECT REGR_SLOPE(y, x) AS b, SQRT(REGR_SYY(y, x) * (1 - REGR_R2(y, x)) / (COUNT(*) - COUNT(DISTINCT grp) - 1) / REGR_SXX(y, x)) AS se FROM d) SELECT 'score' AS term, ROUND((EXP(b * 10) - 1) * 100, 6) AS pct, ROUND((EXP((b - 1.96 * se) * 10) - 1) * 100, 6) AS pct_low, ROUND((EXP((b + 1.96 * se) * 10) - 1) * 100, 6) AS pct_high FROM b")
 def percent_effects(spark, d):
     """M3, M4: a coefficient as percent a step."""
     fit = M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp")
-    return fit.select("term", F.round(M.percent_effect(F.col("coef"), F.col("se"))["pct"], 6).alias("pct"))
+    return fit.select("term", *(F.round(c, 6).alias(name) for name, c in M.percent_effect(F.col("coef"), F.col("se")).items()))
 
 
 @query("multi_term_ols", f"WITH {_SAMPLE}, m AS (SELECT COVAR_POP(y, area) AS ya, COVAR_POP(y, discount) AS yd, VAR_POP(area) AS aa, VAR_POP(discount) AS dd, COVAR_POP(area, discount) AS ad FROM s) SELECT UNNEST(['area', 'discount']) AS term, ROUND(UNNEST([(ya * dd - yd * ad) / (aa * dd - ad * ad), (yd * aa - ya * ad) / (aa * dd - ad * ad)]), 8) AS coef FROM m")
@@ -43,13 +43,15 @@ def multi_term_ols(spark, d):
     return M.fixed_effect_ols(_sample(spark, d), "y", ["area", "discount"]).select("term", F.round("coef", 8).alias("coef"))
 
 
-@query("temporal_evaluation", f"WITH {_SAMPLE}, c AS (SELECT quantile_cont(DATE_DIFF('day', DATE '1970-01-01', deal_date), 0.75) AS cut FROM s), x AS (SELECT s.*, DATE_DIFF('day', DATE '1970-01-01', deal_date) > cut AS test FROM s, c), f AS (SELECT REGR_SLOPE(y, area) AS b, REGR_INTERCEPT(y, area) AS a FROM x WHERE NOT test), e AS (SELECT a + b * area - y AS e, y FROM x, f WHERE test) SELECT COUNT(*) AS n, ROUND(SQRT(AVG(e * e)), 8) AS rmse, ROUND(AVG(ABS(e)), 8) AS mae, ROUND(AVG(ABS(e / y)), 8) AS mape, ROUND(1 - SUM(e * e) / (VAR_POP(y) * COUNT(*)), 8) AS r2 FROM e")
+@query("temporal_evaluation", f"WITH {_SAMPLE}, c AS (SELECT quantile_cont(DATE_DIFF('day', DATE '1970-01-01', deal_date), 0.75) AS cut FROM s), x AS (SELECT s.*, DATE_DIFF('day', DATE '1970-01-01', deal_date) > cut AS test FROM s, c), f AS (SELECT REGR_SLOPE(y, area) AS b, REGR_INTERCEPT(y, area) AS a FROM x WHERE NOT test), e AS (SELECT a + b * area - y AS e, y, entity, grp FROM x, f WHERE test) SELECT (SELECT ROUND(SQRT(AVG(m)), 8) FROM (SELECT AVG(e * e) AS m FROM e GROUP BY entity)) AS entity_rmse, (SELECT ROUND(SQRT(AVG(m)), 8) FROM (SELECT AVG(e * e) AS m FROM e GROUP BY grp)) AS group_rmse, ROUND(MEDIAN(ABS(EXP(e) - 1)), 8) AS median_ape, COUNT(*) AS n, ROUND(SQRT(AVG(e * e)), 8) AS rmse, ROUND(AVG(ABS(e)), 8) AS mae, ROUND(AVG(ABS(EXP(e) - 1)), 8) AS mape, ROUND(1 - SUM(e * e) / (VAR_POP(y) * COUNT(*)), 8) AS r2 FROM e")
 def temporal_evaluation(spark, d):
     """Trained on the earlier dates, judged on the later."""
     s = M.temporal_split(_sample(spark, d), "deal_date")
     _, _, prediction = M.linear_fit(s, "y", ["area"], ~F.col("is_test"))
-    e = M.evaluate(s.where("is_test").withColumn("p", prediction), "y", "p")
-    return e.select("n", *(F.round(c, 8).alias(c) for c in ("rmse", "mae", "mape", "r2")))
+    test = s.where("is_test").withColumn("p", prediction)
+    even = [M.weighted_rmse(test, "y", "p", key).select(F.round("rmse", 8).alias(name)) for key, name in (("entity", "entity_rmse"), ("grp", "group_rmse"))]
+    e = M.evaluate(test, "y", "p", log=True).select("n", *(F.round(c, 8).alias(c) for c in ("rmse", "mae", "mape", "r2", "median_ape")))
+    return e.crossJoin(even[0]).crossJoin(even[1])  # one row each
 
 
 @query("leave_one_group_out", f"WITH {_SAMPLE}, g AS (SELECT grp, COUNT(*) AS n, SUM(area) AS x, SUM(y) AS y, SUM(area * area) AS xx, SUM(area * y) AS xy FROM s GROUP BY 1), w AS (SELECT SUM(n) AS n, SUM(x) AS x, SUM(y) AS y, SUM(xx) AS xx, SUM(xy) AS xy FROM g) SELECT grp, ROUND(((w.n - g.n) * (w.xy - g.xy) - (w.x - g.x) * (w.y - g.y)) / ((w.n - g.n) * (w.xx - g.xx) - (w.x - g.x) * (w.x - g.x)), 8) AS coef, CAST(w.n - g.n AS BIGINT) AS n FROM g, w")
@@ -183,8 +185,8 @@ def fallback_pools(spark, d):
     return M.fallback_map(m, "grp", "district", "lat", "lon", ["profile"], "rows", "members", 3000, 5).withColumn("pool", F.concat_ws(",", F.col("pool").cast("array<string>")))
 
 
-@query("feature_verdict", f"WITH {_FE}, b AS (SELECT REGR_SLOPE(y, x) AS b, REGR_R2(y, x) * 100 AS gain FROM d) SELECT CASE WHEN b > 0 AND gain > 0 AND gain < 0.5 THEN 'WEAK' WHEN b > 0 AND gain >= 0.5 THEN 'USEFUL' ELSE 'NOT_SUPPORTED' END AS verdict FROM b")
+@query("feature_verdict", f"WITH {_FE}, b AS (SELECT REGR_SLOPE(y, x) AS b, REGR_R2(y, x) * 100 AS gain, REGR_SLOPE(y, x) / SQRT(REGR_SYY(y, x) * (1 - REGR_R2(y, x)) / (COUNT(*) - COUNT(DISTINCT grp) - 1) / REGR_SXX(y, x)) AS t FROM d) SELECT CASE WHEN b > 0 AND t > 1.96 AND gain >= 1 THEN 'STRONG' WHEN b > 0 AND gain > 0 AND gain < 0.5 THEN 'WEAK' WHEN b > 0 AND gain >= 0.5 THEN 'USEFUL' ELSE 'NOT_SUPPORTED' END AS verdict FROM b")
 def feature_verdict(spark, d):
     """A verdict from a term's sign and gain."""
     fit = M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp")
-    return fit.select(M.verdict_of(F.col("coef"), F.lit(1.0), F.col("r2") * 100).alias("verdict"))
+    return fit.select(M.verdict_of(F.col("coef"), F.col("p"), F.col("r2_within") * 100).alias("verdict"))

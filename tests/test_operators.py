@@ -47,6 +47,18 @@ def test_rules(spark):
     null = F.lit(None).cast("double")
     r = one.select(P.sign(null), P.ratio(F.lit(1.0), F.lit(0.0)), P.first_match([(null > 1, "x")], "none"), P.weighted_score([(1.0, null)]), P.sign_stability([F.lit(1.0), null]), P.reason_text([("a", null > 0)])).first()
     assert list(r) == [None, None, "none", None, "INSUFFICIENT", "NONE"]
+    more = one.select(
+        status(3.0, -1.0, 9.0), status(-3.0, -9.0, 1.0), P.interval_status(null, F.lit(1.0), F.lit(2.0)), P.sign_stability([F.lit(1.0), null, F.lit(2.0)]), P.sign_pattern([F.lit(1.0), null, F.lit(-2.0), F.lit(0.0)]),
+        *(P.agreement(F.lit(a), F.lit(b)) for a, b in ((0.5, 9.0), (1.0, 2.0), (-1.0, -2.0), (1.0, -2.0), (-1.0, 2.0))), P.agreement(null, F.lit(1.0)),
+        *(P.probability_class(F.lit(p)) for p in (0.9, 0.75, 0.5, 0.25, 0.1)), P.probability_class(null),
+        *(P.difference_cause(F.lit(a), F.lit(b)) for a, b in ((5, 5), (5, 8), (485, 500), (400, 500), (450, 500), (600, 500))),
+    ).first()
+    assert list(more) == [
+        "POTENTIAL_UNDER", "POTENTIAL_OVER", "INSUFFICIENT", "STABLE_POSITIVE", "+NA-0",
+        "NEUTRAL_OR_ZERO", "STRONG_POSITIVE", "STRONG_NEGATIVE", "MIXED_POSITIVE_RESIDUAL", "MIXED_POSITIVE_COMPARABLE", "INSUFFICIENT",
+        "VERY_STABLE_POSITIVE", "STABLE_POSITIVE", "MIXED", "STABLE_NEGATIVE", "VERY_STABLE_NEGATIVE", "INSUFFICIENT",
+        "EXACT", "MINOR_DIFFERENCE", "RENTAL_DIFFERENCE", "SPLIT_OR_UNREGISTERED", "DATA_DIFFERENCE", "DATA_DIFFERENCE",
+    ]
     assert one.select(P.shrunk(F.lit(0.5), F.lit(10), F.lit(0.1), 100.0)).first()[0] == pytest.approx(15 / 110)
 
 
@@ -256,3 +268,30 @@ def test_selected_model(spark):
     pick = lambda *r: M.selected_model(spark.createDataFrame(r, schema), "linear").where("chosen").first().model
     assert pick(("linear", 1.0, 1.0, True), ("spline", 0.99, 0.99, True), ("bins", 0.9, 0.9, False)) == "spline"
     assert pick(("linear", 1.0, 1.0, True), ("spline", 0.999, 0.9, True)) == "linear"
+
+
+def test_cohort_growth_counts_all_rows_of_both_years(spark):
+    df = spark.createDataFrame([("a", 1, 10, 0), ("a", 2, 0, 20), ("b", 2, 0, 10), ("c", 1, 30, 0)], "k string, yr int, g0 int, g1 int")
+    (r,) = A.cohort_growth(df, "k", "yr", ["g0", "g1"]).collect()
+    assert (r.k, r.raw) == ("a", pytest.approx(1.0)) and r.growth == pytest.approx(1.0 - (30 / 40 - 1))
+
+
+def test_trend_is_over_the_year(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 4, 7.0), ("b", 1, 1.0)], "k string, yr int, n double")
+    assert [(r.k, r.slope) for r in A.trend(df, "k", "yr", "n").collect()] == [("a", pytest.approx(2.0))]
+    assert [(r.k, r.slope) for r in A.trend(df, "k", "yr", "n", by_row=True).collect()] == [("a", pytest.approx(6.0))]
+
+
+def test_feeder_composite(spark):
+    rel = spark.createDataFrame([("x", 1, "EXACT", 80.0), ("x", 2, "CONDITIONAL", 40.0), ("x", 3, "UNRESOLVED", 99.0), ("y", 1, "EXACT", None)], "k string, m int, kind string, score double")
+    rel = rel.withColumns({"w": A.by_kind(F.col("kind"), A.RELATION_WEIGHTS), "q": A.by_kind(F.col("kind"), A.RELATION_QUALITY)})
+    got = {r.k: r for r in A.feeder_scores(rel, "k", "m", "kind", "score", "w", "q").collect()}
+    mean, alone, quality = (80 + 20) / 1.5, 0.4 / 1.5 + 0.3 / 2 + 0.3 / 1.5, (100 + 32.5) / 1.5
+    assert got["x"].composite == pytest.approx(0.65 * mean + 0.15 * 40 + 10 * alone + 0.1 * quality) and got["x"].relations == 3
+    assert got["y"].composite is None and got["y"].scored == 0
+
+
+def test_fixed_effects_count_as_explained(spark):
+    data = [(c, c % 3, float(c % 7), 2.0 * (c % 3) + 0.1 * (c % 7)) for c in range(60)]
+    fit = M.fixed_effect_ols(spark.createDataFrame([(c, None if g == 2 else g, x, y) for c, g, x, y in data], "c int, g int, x double, y double"), "y", ["x"], "g").first()
+    assert fit.coef == pytest.approx(0.1) and fit.r2 == pytest.approx(1.0) and fit.r2_within == pytest.approx(1.0) and fit.n == 60
