@@ -217,7 +217,7 @@ def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def write_file(path: str, data: bytes) -> None:
     fs, at = store(path)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(at) as out:
+    with fs.open_output_stream(at, compression=None) as out:
         out.write(data)
 
 
