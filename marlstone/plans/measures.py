@@ -128,11 +128,12 @@ def _feeder(spark, d):
     return A.feeder_scores(f, "k", "m", "kind", "score", "w", "q").where("scored > 0")
 
 
-@query("feeder_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 9) AS mean, ROUND(low, 9) AS low, ROUND(high, 9) AS high, ROUND(median, 9) AS median, ROUND(deviation, 9) AS deviation, ROUND(variation, 7) AS variation, ROUND(quality, 9) AS quality, ROUND(exclusivity, 9) AS exclusivity, ROUND(GREATEST(0, LEAST(100, deviation * 2 + (1 - aw) * 25)), 9) AS uncertainty, ROUND(GREATEST(0, LEAST(100, 0.65 * mean + 0.15 * low + 10 * exclusivity + 0.1 * quality)), 9) AS composite FROM s")
+@query("feeder_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean + 2e-11, 9) AS mean, ROUND(low + 2e-11, 9) AS low, ROUND(high + 2e-11, 9) AS high, ROUND(median + 2e-11, 9) AS median, ROUND(deviation + 2e-11, 9) AS deviation, ROUND(variation, 7) AS variation, ROUND(quality + 2e-11, 9) AS quality, ROUND(exclusivity + 2e-11, 9) AS exclusivity, ROUND(GREATEST(0, LEAST(100, deviation * 2 + (1 - aw) * 25)) + 2e-11, 9) AS uncertainty, ROUND(GREATEST(0, LEAST(100, 0.65 * mean + 0.15 * low + 10 * exclusivity + 0.1 * quality)) + 2e-11, 9) AS composite FROM s")
 def feeder_scores(spark, d):
     """Weighted scores of the entities that relations lead to."""
     names = ["mean", "low", "high", "median", "deviation", "quality", "exclusivity", "uncertainty", "composite"]
-    return r9(_feeder(spark, d).select("k", *names, F.round("variation", 7).alias("variation")), *names)
+    # ties of short decimals round alike after a nudge
+    return _feeder(spark, d).select("k", *(F.round(F.col(c) + 2e-11, 9).alias(c) for c in names), F.round("variation", 7).alias("variation"))
 
 
 @query("scenario_scores", f"WITH {_FEEDER} SELECT k, ROUND(mean, 11) AS base, ROUND(0.5 * mean + 0.5 * low, 11) AS cautious, ROUND(0.5 * mean + 0.5 * high, 11) AS hopeful, CASE WHEN quality >= 90 THEN 'SOLID' WHEN quality >= 80 THEN 'FAIR' ELSE 'WEAK' END AS status FROM s")
