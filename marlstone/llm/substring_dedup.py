@@ -1,17 +1,18 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees.
+"""Removal of repeated passages by partitioned suffix trees.
 
-Every word position starts a suffix of its document. Suffixes are dealt to groups by the hash of their first words:
-2 words where that makes groups that fit in memory, else 4, 8 or all `window` words. Group sizes come from an exact
-count over the corpus in hashed slots, a table of fixed size; there are as many groups as the corpus needs. A group's suffix tree is kept down to the depth of
-`window` words as a sorted array of path fingerprints; a run of equal fingerprints is an internal node of at least
-that depth, that is, a passage that occurs more than once. All its occurrences but the first are removed; neighbouring
-ones overlap, so maximal repeats go as a whole.
+Every word position starts a suffix of its document, of which the first `window` words matter. Suffixes are dealt to
+groups by the smallest run of k words within those, by hash: k is 2 where that makes groups that fit in memory, else 4, 8
+or all `window` words. Equal suffixes meet in one group, and neighbouring ones mostly share their smallest run, so that
+a piece of text travels once for about ten suffixes, with all its words. Group sizes come from an exact count over the
+corpus in hashed slots, a table of fixed size; there are as many groups as the corpus needs.
 
-A map task passes on only its own first occurrence of each path, so a passage that a third of all documents share
-reaches its group once for each task. Fingerprints travel packed, about ten bytes a word.
+A group sorts its suffixes by their words and takes common-prefix lengths of neighbours: a run of lengths of `window` or
+more is an internal node of the suffix tree that deep, a passage that occurs more than once. Suffixes whose fingerprint
+occurs once have no such node above them and aren't sorted; equality is always judged on words. All of a node's
+occurrences but the first are removed; neighbouring ones overlap, so maximal repeats go as a whole.
 
-Two different passages are confused only if they share both their slot and their fingerprint: 64 bits up to 2**30
-words, 128 bits beyond.
+A map task passes on only its own first occurrence of each suffix in a chunk of text, so a passage that a third of all
+documents share reaches its group once for each chunk.
 """
 
 from __future__ import annotations
@@ -30,18 +31,34 @@ from ._words import mix, pieces, text_bytes, window_hashes, windows_inside, word
 from .near_dup import grouped
 
 LEVELS, SLOTS = (2, 4, 8), 1 << 16
-#: Suffixes of one group that are sorted together.
+#: Suffixes of one group.
 GROUP = 2_000_000
+#: Suffixes that are sorted by their words at once; equal ones stay together.
+LEAVES = 200_000
 #: Bytes of text whose suffixes a map task holds at once.
 CHUNK_BYTES = 8 << 20
 
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
-def _slots(h: np.ndarray, k: int, n: int) -> np.ndarray:
-    return (window_hashes(h, k)[:n] >> np.uint64(48)).astype(np.int64)
+
+def _anchors(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, slot) of the smallest k words, the first of equal ones, of each window."""
+    grams = window_hashes(h, k)
+    low, width, span = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), 1, window - k + 1
+    while width < span:
+        step = min(width, span - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    place = (low & _LOW).astype(np.int64)
+    return place, (mix(grams[place] ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(48)).astype(np.int64)
+
+
+def _levels(window: int) -> list[int]:
+    return [k for k in LEVELS if k < window] + [window]
 
 
 def _count_slots(window: int):
-    levels = [k for k in LEVELS if k < window] + [window]
+    levels = _levels(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(levels), SLOTS), np.int64)
@@ -52,7 +69,7 @@ def _count_slots(window: int):
                 if n > 0:
                     ok = windows_inside(first, window, n)
                     for i, k in enumerate(levels):
-                        total[i] += np.bincount(_slots(h, k, n)[ok], minlength=SLOTS)
+                        total[i] += np.bincount(_anchors(h, k, window)[1][ok], minlength=SLOTS)
         slot = np.flatnonzero(total.ravel())
         yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(total.ravel()[slot])], ["slot", "n"])
 
@@ -123,48 +140,83 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(part, pa.int32()), pa.array(paths, pa.binary()), pa.array(places, pa.binary())], ["part", "paths", "places"])
 
 
-def _suffixes(window: int, lanes: int, route: np.ndarray, parts: int):
-    """mapInArrow function: (place, text) to packed suffixes for their groups; places known to be repeats lack paths."""
-    levels = [k for k in LEVELS if k < window] + [window]
+def _alike(codes: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows at `a` and at `b` have the same words."""
+    same = np.ones(len(a), bool)
+    for j in range(window):
+        same &= codes[a + j] == codes[b + j]
+    return same
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _pack_words(words: list[bytes], codes: np.ndarray, windows: np.ndarray) -> bytes:
+    """Pieces of text: windows of each, and their words as numbers in a list of the words that occur."""
+    own, inside = np.unique(codes, return_inverse=True)
+    listed = b" ".join([words[i] for i in own.tolist()])
+    planes = b"".join(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(len(x), 4).T).tobytes() for x in (windows, inside.ravel()))
+    return np.array([len(windows), len(codes)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(planes + listed)
+
+
+def _unpack_words(blob: bytes, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of each piece, words of all pieces as numbers in `known`, which takes up new words)."""
+    n, m = np.frombuffer(blob[:16], np.int64).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(blob[16:])
+    flat = np.frombuffer(raw, np.uint8, 4 * (n + m))
+    windows, inside = (np.ascontiguousarray(x.reshape(4, -1).T).reshape(-1).view(np.int32) for x in (flat[: 4 * n], flat[4 * n :]))
+    mine = np.array([known.setdefault(w, len(known)) for w in raw[4 * (n + m) :].split()], np.int32)
+    return windows.astype(np.int64), mine[inside]
+
+
+def _suffixes(window: int, route: np.ndarray, parts: int):
+    """mapInArrow function: (place, text) to packed suffixes for their groups; places known to be repeats lack words."""
+    levels = _levels(window)
 
     def packed(chunk: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fps, docs, starts, groups = [], [], [], []
-        for begin, part in pieces(chunk):
-            h, first = word_hashes(part)
-            n = len(h) - window + 1
-            if n <= 0:
-                continue
-            pick = np.flatnonzero(windows_inside(first, window, n))
-            owner = np.searchsorted(first, pick, side="right") - 1
-            whole = window_hashes(h, window)[:n][pick]
-            group = np.full(len(pick), -1, np.int32)
-            for i, k in enumerate(levels[:-1]):
-                todo = np.flatnonzero(group < 0)
-                if len(todo):
-                    group[todo] = route[i][_slots(h, k, n)[pick[todo]]]
-            # the last level is as wide as there are groups: a prefix of all the words
-            group = np.where(group < 0, (whole % np.uint64(parts)).astype(np.int32), group)
-            one = mix(whole ^ np.uint64(0xA5A5A5A55A5A5A5A))
-            fps.append(one)
-            docs.append(ids[begin + owner])
-            starts.append((pick - first[owner]).astype(np.int32))
-            groups.append(group)
-            if lanes == 2:
-                fps[-1] = np.stack([one, window_hashes(mix(h ^ np.uint64(0x1234567)), window)[:n][pick]])
-        if not fps:
+        known: dict[bytes, int] = {}
+        codes, sizes = [], [0]
+        for text in chunk:
+            own = [known.setdefault(w, len(known)) for w in text.split()]
+            sizes.append(len(own))
+            codes.append(np.array(own, np.int32))
+        codes, first, words = np.concatenate(codes), np.cumsum(sizes), list(known)
+        n = len(codes) - window + 1
+        pick = np.flatnonzero(windows_inside(first, window, n))
+        if not len(pick):
             return
-        path = np.concatenate(fps, axis=-1).reshape(lanes, -1)
-        docs, starts, groups = (np.concatenate(x) for x in (docs, starts, groups))
-        order = np.argsort(path[0], kind="stable") if lanes == 1 else np.lexsort((path[1], path[0]))
-        same = np.concatenate([[False], (path[:, order[1:]] == path[:, order[:-1]]).all(axis=0)])
-        # of equal paths the first in the order of documents stays; one at the very same place is no repeat of it
-        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        later = same & ((docs[order] != docs[head]) | (starts[order] != starts[head]))
-        gone = np.sort(order[later])
-        keep = np.sort(order[~later])
+        h = word_hashes([b" ".join(words)])[0][codes]
+        owner = np.searchsorted(first, pick, side="right") - 1
+        docs, starts = ids[owner], (pick - first[owner]).astype(np.int32)
+        whole = window_hashes(h, window)[pick]
+        order = np.argsort(whole, kind="stable")
+        same = np.concatenate([[False], whole[order[1:]] == whole[order[:-1]]])
+        # of equal suffixes the first in the order of documents stays; one at the very same place is no repeat of it
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))][same]
+        later = order[same]
+        true = _alike(codes, pick[later], pick[head], window)
+        later, head = later[true], head[true]
+        gone = np.sort(later[(docs[later] != docs[head]) | (starts[later] != starts[head])])
         rows = [(p, None, blob) for p, _, blob in _places(_doc_part(docs[gone], parts), docs[gone], starts[gone], parts)]
-        kd, ks, kp = docs[keep], starts[keep], path[:, keep]
-        rows += [(p, kp[:, pick].tobytes(), blob) for p, pick, blob in _places(groups[keep], kd, ks, parts)]
+        stays = np.ones(len(pick), bool)
+        stays[later] = False
+        docs, starts, pick = docs[stays], starts[stays], pick[stays]
+        group, anchor = np.full(len(pick), -1, np.int64), np.zeros(len(pick), np.int64)
+        for i, k in enumerate(levels):
+            todo = np.flatnonzero(group < 0)
+            if len(todo):
+                place, slot = (x[pick[todo]] for x in _anchors(h, k, window))
+                # the last level is as wide as there are groups
+                group[todo] = route[i][slot] if i < len(route) else whole[stays][todo] % np.uint64(parts)
+                anchor[todo] = place * len(levels) + i
+        cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (pick[1:] != pick[:-1] + 1)]))
+        windows = np.diff(np.append(cut, len(pick)))
+        for p, mine, blob in _places(group[cut], docs[cut], starts[cut], parts):
+            text = codes[_runs(pick[cut[mine]], windows[mine] + window - 1)]
+            rows.append((p, _pack_words(words, text, windows[mine]), blob))
         for i in range(0, len(rows), 32):
             yield _batch(rows[i : i + 32])
 
@@ -180,36 +232,54 @@ def _suffixes(window: int, lanes: int, route: np.ndarray, parts: int):
     return run
 
 
-def _repeats(lanes: int, parts: int):
-    """mapInArrow function over one group at a time: the places of all but the first occurrence of each path."""
+def _deep_nodes(codes: np.ndarray, at: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, node) of the suffixes at `at`, by their words and then their places; a new node starts where the common
+    prefix with the suffix before is shorter than `window` words."""
+    table = codes[at[:, None] + np.arange(window)]
+    order = np.lexsort((starts, docs, *table.T[::-1]))
+    equal = table[order[1:]] == table[order[:-1]]
+    common = np.where(equal.all(axis=1), window, equal.argmin(axis=1))
+    return order, np.cumsum(np.concatenate([[0], common < window]))
+
+
+def _repeats(window: int, parts: int):
+    """mapInArrow function over one group at a time: the places of all but the first occurrence of each deep node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["part"]):
-            paths, docs, starts = [], [], []
+            known: dict[bytes, int] = {}
+            codes, windows, docs, starts = [], [], [], []
             for p, blob in zip(group.column("paths").to_pylist(), group.column("places").to_pylist(), strict=True):
                 if p is None:
                     yield _batch([(group.column("part")[0].as_py(), None, blob)])
                     continue
-                paths.append(np.frombuffer(p, np.uint64).reshape(lanes, -1))
-                d, s = _unpack(blob)
-                docs.append(d)
-                starts.append(s)
-            if not paths:
+                for out, x in zip((windows, codes, docs, starts), (*_unpack_words(p, known), *_unpack(blob)), strict=True):
+                    out.append(x)
+            if not codes:
                 continue
-            path = np.concatenate(paths, axis=1)
-            docs, starts = np.concatenate(docs), np.concatenate(starts)
-            order = np.argsort(path[0], kind="stable")
-            sorted_path = path[0][order]
-            twin = sorted_path[1:] == sorted_path[:-1]
+            codes, windows, docs, starts = (np.concatenate(x) for x in (codes, windows, docs, starts))
+            size = windows + window - 1
+            at = _runs(np.cumsum(size) - size, windows)
+            path = window_hashes(mix(np.arange(1, len(known) + 1, dtype=np.uint64))[codes], window)[at]
+            order = np.argsort(path, kind="stable")
+            twin = path[order[1:]] == path[order[:-1]]
             several = order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
             if not len(several):
                 continue
-            several = several[np.lexsort((starts[several], docs[several], *path[:, several][::-1]))]
-            d, s, p = docs[several], starts[several], path[:, several]
-            same = np.concatenate([[False], (p[:, 1:] == p[:, :-1]).all(axis=0)])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
-            later = same & ((d != d[head]) | (s != s[head]))
-            d, s = d[later], s[later]
+            piece = np.repeat(np.arange(len(windows)), windows)[several]
+            begin = (np.cumsum(windows) - windows)[piece]
+            docs, starts = docs[piece], starts[piece] + (several - begin).astype(np.int32)
+            path, at = path[several], at[several]
+            edge = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+            cuts = [*edge[np.unique(np.searchsorted(edge, np.arange(0, len(path), LEAVES)).clip(max=len(edge) - 1))].tolist(), len(path)]
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                order, node = _deep_nodes(codes, at[a:b], docs[a:b], starts[a:b], window)
+                d, s = docs[a:b][order], starts[a:b][order]
+                head = np.searchsorted(node, node)
+                later = (d != d[head]) | (s != s[head])
+                found.append((d[later], s[later]))
+            d, s = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((s, d))
             d, s = d[order], s[order]
             for q, _, blob in _places(_doc_part(d, parts), d, s, parts):
@@ -293,18 +363,17 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = _placed(docs)
     spark = docs.sparkSession
-    levels = [k for k in LEVELS if k < window] + [window]
+    levels = _levels(window)
     counts = np.zeros(len(levels) * SLOTS, np.int64)
     for row in docs.select("text").mapInArrow(_count_slots(window), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.slot] = row.n  # a table of fixed size
     counts = counts.reshape(len(levels), SLOTS)
     total = int(counts[-1].sum())
-    lanes = 1 if total <= 1 << 30 else 2
     parts = max(partitions_for(spark), -(-total // GROUP))
     route = _routes(counts, parts)
     deal = lambda df: df.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    suffixes = deal(docs.select("place", "text").mapInArrow(_suffixes(window, lanes, route, parts), _EXCHANGED))
-    places = deal(suffixes.mapInArrow(_repeats(lanes, parts), _EXCHANGED))
+    suffixes = deal(docs.select("place", "text").mapInArrow(_suffixes(window, route, parts), _EXCHANGED))
+    places = deal(suffixes.mapInArrow(_repeats(window, parts), _EXCHANGED))
     spans = staged(places.mapInArrow(_spans_of(window), "gone_id long, spans binary"), "repeat-spans")
     joined = docs.join(small_side(spans, 48, F.octet_length("spans")), F.col("place") == F.col("gone_id"), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

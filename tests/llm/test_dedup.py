@@ -3,6 +3,10 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from marlstone.llm.near_dup import connected, near_duplicates, one_of_each
 from marlstone.llm.substring_dedup import drop_repeated_passages
 
@@ -142,17 +146,55 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
     assert sum(r[3] == word("copy", 150) for r in got) == 0 and sum(r[0] is None and r[2] == 125 + 25 for r in got) == 39
 
 
-def test_passages_with_two_lanes_and_few_groups(docs, corpus, monkeypatch):
+def test_passages_with_many_small_groups(docs, corpus, monkeypatch):
     import marlstone.llm.substring_dedup as S
 
-    whole = S._suffixes
-    monkeypatch.setattr(S, "_suffixes", lambda window, lanes, route, parts: whole(window, 2, route, parts))
-    repeats = S._repeats
-    monkeypatch.setattr(S, "_repeats", lambda lanes, parts: repeats(2, parts))
     monkeypatch.setattr(S, "GROUP", 500)
     want = brute_passages(corpus)
     assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in drop_repeated_passages(docs).collect())
 
 
+@pytest.mark.parametrize("window", [2, 3, 20])
+def test_passages_of_equal_fingerprints_are_told_apart_by_their_words(monkeypatch, window):
+    """Hashes of a few bits only: most suffixes share theirs, so that words alone decide."""
+    import marlstone.llm.substring_dedup as S
+
+    strong, parts = S.window_hashes, 3
+    monkeypatch.setattr(S, "window_hashes", lambda h, k: strong(h, k) & np.uint64(0x7000000000000007))
+    monkeypatch.setattr(S, "LEAVES", 40)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, 60)) for _ in range(30)]
+    texts += [" ".join(texts[3].split()[7:55]), texts[4], "", "w1", texts[5] + " " + texts[5]]
+    route = np.full((len(S._levels(window)) - 1, S.SLOTS), -1, np.int32)
+    route[:, ::2] = 1
+    sent = []
+    for at in range(0, len(texts), 8):
+        batch = pa.record_batch([pa.array(range(at, at + len(texts[at : at + 8]))), pa.array(texts[at : at + 8])], ["place", "text"])
+        sent += [b for b in S._suffixes(window, route, parts)(iter([batch]))]
+    table = pa.Table.from_batches(sent).sort_by("part")
+    found = set()
+    for b in S._repeats(window, parts)(iter(table.to_batches())):
+        for blob in b.column("places").to_pylist():
+            found |= set(zip(*(x.tolist() for x in S._unpack(blob)), strict=True))
+    first, want = set(), set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            want |= {(i, s)} if key in first else set()
+            first.add(key)
+    assert want and found == want
+
+
+def test_passages_of_a_long_text(spark):
+    """One text of millions of bytes that repeats itself and is repeated by others."""
+    long = " ".join(f"v{i % 230_000}" for i in range(500_000))
+    rows = [(1, long), (2, "start " + " ".join(f"v{i}" for i in range(100, 160)) + " end"), (None, long[:4_000_000])]
+    got = {r.doc_id: r for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_removed) == (500_000, 270_000)
+    assert (got[2].n_removed, got[2].kept_text) == (60, "start end")
+    assert got[None].n_words - got[None].n_removed <= 1
+
+
 def test_passages_of_nothing(no_docs):
     assert drop_repeated_passages(no_docs).collect() == []
