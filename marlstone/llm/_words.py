@@ -56,11 +56,8 @@ def pieces(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[
         yield begin, texts[begin:]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every SPACED word of the texts in order, number of words before each text; one more entry than texts).
-
-    For ALNUM words give texts that have been through ALNUM_TABLE.
-    """
+def _edges(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, start of each SPACED word, its end, number of words before each text and in all)."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     firsts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(x) + 1 for x in texts], out=firsts[1:])
@@ -68,7 +65,27 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(buf) and inside[0]:
         edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
+    return buf, edge[0::2], edge[1::2], np.searchsorted(edge[0::2], firsts)
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(SPACED words of the texts in order, number of words before each text; one more entry than texts)."""
+    buf, starts, ends, first = _edges(texts)
+    return binary_array(ends - starts, buf[~_space[buf]].tobytes()), first
+
+
+def binary_array(sizes: np.ndarray, data: bytes) -> pa.Array:
+    """The runs of `data` of the given sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every SPACED word of the texts in order, number of words before each text; one more entry than texts).
+
+    For ALNUM words give texts that have been through ALNUM_TABLE.
+    """
+    buf, starts, ends, first = _edges(texts)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     longest = int((ends - starts).max())
@@ -81,7 +98,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         value = _BYTE[buf[starts[0] :]] * power[place]
         h = np.add.reduceat(value, starts - starts[0])
         h = mix(h + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, firsts)
+    return h, first
 
 
 def segment_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import partitions_for, small_side, staged
-from ._words import mix, pieces, text_bytes, window_hashes, windows_inside, word_hashes
+from ._words import binary_array, mix, pieces, split_words, text_bytes, window_hashes, windows_inside, word_hashes
 from .near_dup import grouped
 
 LEVELS, SLOTS = (2, 4, 8), 1 << 16
@@ -154,22 +154,27 @@ def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _pack_words(words: list[bytes], codes: np.ndarray, windows: np.ndarray) -> bytes:
+def _planes(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(len(x), 4).T).tobytes() for x in columns)
+
+
+def _pack_words(words: pa.Array, codes: np.ndarray, windows: np.ndarray) -> bytes:
     """Pieces of text: windows of each, and their words as numbers in a list of the words that occur."""
     own, inside = np.unique(codes, return_inverse=True)
-    listed = b" ".join([words[i] for i in own.tolist()])
-    planes = b"".join(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(len(x), 4).T).tobytes() for x in (windows, inside.ravel()))
-    return np.array([len(windows), len(codes)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(planes + listed)
+    listed = words.take(pa.array(own))
+    offsets = np.frombuffer(listed.buffers()[1], np.int64, len(own) + 1)
+    body = _planes(windows, inside.ravel(), np.diff(offsets)) + listed.buffers()[2].to_pybytes()[: offsets[-1]]
+    return np.array([len(windows), len(codes), len(own)], np.int64).tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def _unpack_words(blob: bytes, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(windows of each piece, words of all pieces as numbers in `known`, which takes up new words)."""
-    n, m = np.frombuffer(blob[:16], np.int64).tolist()
-    raw = zstandard.ZstdDecompressor().decompress(blob[16:])
-    flat = np.frombuffer(raw, np.uint8, 4 * (n + m))
-    windows, inside = (np.ascontiguousarray(x.reshape(4, -1).T).reshape(-1).view(np.int32) for x in (flat[: 4 * n], flat[4 * n :]))
-    mine = np.array([known.setdefault(w, len(known)) for w in raw[4 * (n + m) :].split()], np.int32)
-    return windows.astype(np.int64), mine[inside]
+def _unpack_words(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(windows of each piece, numbers of the words of all pieces, list of words)."""
+    sizes = np.frombuffer(blob[:24], np.int64)
+    raw = zstandard.ZstdDecompressor().decompress(blob[24:])
+    ends = 4 * np.cumsum(sizes)
+    flat = np.frombuffer(raw, np.uint8, ends[-1])
+    windows, inside, lengths = (np.ascontiguousarray(x.reshape(4, -1).T).reshape(-1).view(np.int32) for x in np.split(flat, ends[:-1]))
+    return windows.astype(np.int64), inside, binary_array(lengths, raw[ends[-1] :])
 
 
 def _suffixes(window: int, route: np.ndarray, parts: int):
@@ -177,18 +182,14 @@ def _suffixes(window: int, route: np.ndarray, parts: int):
     levels = _levels(window)
 
     def packed(chunk: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        codes, sizes = [], [0]
-        for text in chunk:
-            own = [known.setdefault(w, len(known)) for w in text.split()]
-            sizes.append(len(own))
-            codes.append(np.array(own, np.int32))
-        codes, first, words = np.concatenate(codes), np.cumsum(sizes), list(known)
+        words, first = split_words(chunk)
+        coded = words.dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary
         n = len(codes) - window + 1
         pick = np.flatnonzero(windows_inside(first, window, n))
         if not len(pick):
             return
-        h = word_hashes([b" ".join(words)])[0][codes]
+        h = word_hashes(chunk)[0]
         owner = np.searchsorted(first, pick, side="right") - 1
         docs, starts = ids[owner], (pick - first[owner]).astype(np.int32)
         whole = window_hashes(h, window)[pick]
@@ -247,20 +248,23 @@ def _repeats(window: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["part"]):
-            known: dict[bytes, int] = {}
-            codes, windows, docs, starts = [], [], [], []
+            windows, inside, words, docs, starts = [], [], [], [], []
             for p, blob in zip(group.column("paths").to_pylist(), group.column("places").to_pylist(), strict=True):
                 if p is None:
                     yield _batch([(group.column("part")[0].as_py(), None, blob)])
                     continue
-                for out, x in zip((windows, codes, docs, starts), (*_unpack_words(p, known), *_unpack(blob)), strict=True):
+                for out, x in zip((windows, inside, words, docs, starts), (*_unpack_words(p), *_unpack(blob)), strict=True):
                     out.append(x)
-            if not codes:
+            if not words:
                 continue
-            codes, windows, docs, starts = (np.concatenate(x) for x in (codes, windows, docs, starts))
+            # equal words have equal numbers in the whole group
+            number = pa.concat_arrays(words).dictionary_encode().indices.to_numpy()
+            before = np.cumsum([0, *map(len, words)])
+            codes = number[np.concatenate([x + b for x, b in zip(inside, before[:-1], strict=True)])]
+            windows, docs, starts = (np.concatenate(x) for x in (windows, docs, starts))
             size = windows + window - 1
             at = _runs(np.cumsum(size) - size, windows)
-            path = window_hashes(mix(np.arange(1, len(known) + 1, dtype=np.uint64))[codes], window)[at]
+            path = window_hashes(mix(np.arange(1, number.max() + 2, dtype=np.uint64))[codes], window)[at]
             order = np.argsort(path, kind="stable")
             twin = path[order[1:]] == path[order[:-1]]
             several = order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
