@@ -47,13 +47,13 @@ def fill_by_name(df: DataFrame, lookup: DataFrame, ident: str, name_key: str, or
 
 
 def resolve_names(items: DataFrame, candidates: DataFrame, item: str, key: str, second: str, ident: str) -> DataFrame:
-    """(item, ident, status): by a name's only candidate, else by the only one that shares a second attribute."""
-    c = candidates.select(F.col(key), F.col(second).alias("_second"), F.col(ident).alias("_id"))
-    pairs = items.select(item, key, second).join(c, key, "left")
-    same = holds(F.col(second) == F.col("_second"))
-    stats = pairs.groupBy(item).agg(
-        F.count_distinct("_id").alias("n"), F.min("_id").alias("one"), F.count_distinct(F.when(same, F.col("_id"))).alias("m"), F.min(F.when(same, F.col("_id"))).alias("two")
-    )
+    """(item, ident, status): by a name's only candidate, else by the only one that shares a second attribute.
+
+    Items are unique. Candidates are counted by name and by name and attribute first, so that no pairs are made.
+    """
+    c = candidates.select(F.col(key), F.col(second), F.col(ident).alias("_id"))
+    count = lambda cols, n, one: c.groupBy(*cols).agg(F.count_distinct("_id").alias(n), F.min("_id").alias(one))
+    stats = items.select(item, key, second).join(count([key], "n", "one"), key, "left").join(count([key, second], "m", "two"), [key, second], "left").fillna(0, ["n", "m"])
     status = F.when(F.col("n") == 1, "UNIQUE").when(F.col("m") == 1, "BY_SECOND").when(F.col("n") == 0, "NO_CANDIDATE").otherwise("AMBIGUOUS")
     return stats.select(item, F.when(F.col("n") == 1, F.col("one")).when(F.col("m") == 1, F.col("two")).alias(ident), status.alias("status"))
 

@@ -59,21 +59,21 @@ def fill_ids(spark, d):
     return J.fill_by_name(known, p.withColumn("ident", F.col("p_partkey")), "ident", "p_type", [F.col("p_retailprice"), F.col("p_partkey")]).select("p_name", "ident")
 
 
-@query("resolve_names", "WITH x AS (SELECT p_partkey AS item, p_brand AS k, p_size AS s FROM part), c AS (SELECT p_partkey AS id, p_brand AS k, p_size AS s FROM part WHERE p_type = 'PROMO'), g AS (SELECT item, COUNT(DISTINCT id) AS n, MIN(id) AS one, COUNT(DISTINCT CASE WHEN x.s = c.s THEN id END) AS m, MIN(CASE WHEN x.s = c.s THEN id END) AS two FROM x LEFT JOIN c USING (k) GROUP BY item) SELECT item, CASE WHEN n = 1 THEN one WHEN m = 1 THEN two END AS ident, CASE WHEN n = 1 THEN 'UNIQUE' WHEN m = 1 THEN 'BY_SECOND' WHEN n = 0 THEN 'NO_CANDIDATE' ELSE 'AMBIGUOUS' END AS status FROM g")
+@query("resolve_names", "WITH x AS (SELECT p_partkey AS item, p_brand AS k, p_size AS s FROM part), c AS (SELECT p_partkey AS id, p_brand AS k, p_size AS s FROM part), g AS (SELECT item, COUNT(DISTINCT id) AS n, MIN(id) AS one, COUNT(DISTINCT CASE WHEN x.s = c.s THEN id END) AS m, MIN(CASE WHEN x.s = c.s THEN id END) AS two FROM x LEFT JOIN c USING (k) GROUP BY item) SELECT item, CASE WHEN n = 1 THEN one WHEN m = 1 THEN two END AS ident, CASE WHEN n = 1 THEN 'UNIQUE' WHEN m = 1 THEN 'BY_SECOND' WHEN n = 0 THEN 'NO_CANDIDATE' ELSE 'AMBIGUOUS' END AS status FROM g")
 def resolve_names(spark, d):
     """The only candidate of a name, or the only one with the same second attribute."""
     p = table(spark, d, "part")
     items = p.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("k"), F.col("p_size").alias("s"))
-    candidates = p.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("k"), F.col("p_size").alias("s"))
+    candidates = p.select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("k"), F.col("p_size").alias("s"))
     return J.resolve_names(items, candidates, "item", "k", "s", "ident")
 
 
-@query("cascade_match", "WITH r AS (SELECT p_partkey AS item, p_brand AS b, p_type AS t, p_size AS s FROM part), l AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, p_size AS s FROM part WHERE p_type = 'PROMO'), one AS (SELECT b, t, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1), two AS (SELECT b, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1) SELECT item, COALESCE(one.id, two.id) AS ident, CASE WHEN one.id IS NOT NULL THEN 'exact' WHEN two.id IS NOT NULL THEN 'brand' ELSE 'none' END AS method FROM r LEFT JOIN one USING (b, t, s) LEFT JOIN two USING (b, s)")
+@query("cascade_match", "WITH r AS (SELECT p_partkey AS item, p_brand AS b, p_type AS t, p_size AS s FROM part), l AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, p_size AS s FROM part), one AS (SELECT b, t, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1), two AS (SELECT b, s, MIN(id) AS id FROM l GROUP BY ALL HAVING COUNT(DISTINCT id) = 1) SELECT item, COALESCE(one.id, two.id) AS ident, CASE WHEN one.id IS NOT NULL THEN 'exact' WHEN two.id IS NOT NULL THEN 'brand' ELSE 'none' END AS method FROM r LEFT JOIN one USING (b, t, s) LEFT JOIN two USING (b, s)")
 def cascade_match(spark, d):
     """Lookups by priority, each used only where it gives one id."""
     p = table(spark, d, "part")
     rows = p.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
-    lookup = p.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
+    lookup = p.select(F.col("p_partkey").alias("ident"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
     return J.cascade(rows, [("exact", lookup, ["b", "t", "s"]), ("brand", lookup, ["b", "s"])], "item", "ident")
 
 

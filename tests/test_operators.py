@@ -295,3 +295,10 @@ def test_fixed_effects_count_as_explained(spark):
     data = [(c, c % 3, float(c % 7), 2.0 * (c % 3) + 0.1 * (c % 7)) for c in range(60)]
     fit = M.fixed_effect_ols(spark.createDataFrame([(c, None if g == 2 else g, x, y) for c, g, x, y in data], "c int, g int, x double, y double"), "y", ["x"], "g").first()
     assert fit.coef == pytest.approx(0.1) and fit.r2 == pytest.approx(1.0) and fit.r2_within == pytest.approx(1.0) and fit.n == 60
+
+
+def test_names_resolve_without_pairs(spark):
+    items = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, "b", None), (4, "c", 1), (5, None, 1), (6, "b", 6)], "item int, k string, s int")
+    candidates = spark.createDataFrame([(10, "a", 9), (10, "a", None), (20, "b", 5), (21, "b", 6), (22, "b", 6), (23, "b", None), (30, None, 1)], "ident int, k string, s int")
+    got = {r.item: (r.ident, r.status) for r in J.resolve_names(items, candidates, "item", "k", "s", "ident").collect()}
+    assert got == {1: (10, "UNIQUE"), 2: (20, "BY_SECOND"), 3: (None, "AMBIGUOUS"), 4: (None, "NO_CANDIDATE"), 5: (None, "NO_CANDIDATE"), 6: (None, "AMBIGUOUS")}
