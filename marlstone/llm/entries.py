@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from ._shared import read_table
 from .decontaminate import contamination
+from .filter_audit import audit_filters
 from .language_id import held_out, identify_languages
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .packing import pack_documents
 from .quality_rules import judge_quality
 from .substring_dedup import drop_repeated_passages
 from .token_binary import token_files_round_trip
 from .token_counts import token_counts
+from .tokenizer_alignment import align_tokenizers
 from .warc import warc_round_trip
 
 
@@ -60,6 +63,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(read_table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +86,9 @@ QUERIES = {
     "op8_token_binary": op8_token_binary,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -108,5 +126,24 @@ _OP9 = f"""WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, regexp_extract_a
   t AS (SELECT r, COUNT(DISTINCT item) AS n_items, STRING_AGG(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)"""
 
+_OP11 = f"""WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+  d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+  x AS (SELECT doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > MIN(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails FROM d LEFT JOIN l USING (doc_id)),
+  m AS (SELECT part, fails, COUNT(*) AS n, COUNT(*) FILTER (good) AS good, COUNT(*) FILTER (toxic) AS toxic FROM x GROUP BY ALL),
+  c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+  o AS (SELECT a.f || b.f || c1.f || d1.f || e.f AS filter_order FROM c a, c b, c c1, c d1, c e WHERE a.bit + b.bit + c1.bit + d1.bit + e.bit = 31 AND (a.bit | b.bit | c1.bit | d1.bit | e.bit) = 31),
+  s AS (SELECT filter_order, CAST(step AS INT) AS step, (SELECT COALESCE(SUM(bit), 0) FROM c WHERE contains(left(filter_order, step - 1), f)) AS before, (SELECT bit FROM c WHERE f = substr(filter_order, step, 1)) AS own FROM o, range(1, 6) r(step)),
+  y AS (SELECT part, filter_order, step, own, SUM(n * ((fails & (before + own)) = 0)::INT) AS kept,
+    SUM(n * ((fails & before) = 0 AND (fails & own) <> 0)::INT) AS removed, SUM(n * ((fails & before) <> 0 AND (fails & own) <> 0)::INT) AS redundant,
+    SUM(n * (fails = own)::INT) AS unique_fails, SUM(good * ((fails & before) = 0 AND (fails & own) <> 0)::INT) AS good_lost, SUM(toxic * ((fails & before) = 0 AND (fails & own) <> 0)::INT) AS toxic_lost
+    FROM (SELECT part, CAST(fails AS BIGINT) AS fails, n, good, toxic FROM m), (SELECT filter_order, step, CAST(before AS BIGINT) AS before, CAST(own AS BIGINT) AS own FROM s) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM y"""
+
 #: What the contracts fix as a whole. The other queries learn, draw or tokenize; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_near_dup": _OP1, "op2_substring_dedup": _OP2, "op4_warc": _OP4, "op9_decontaminate": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_near_dup": _OP1, "op2_substring_dedup": _OP2, "op4_warc": _OP4, "op9_decontaminate": _OP9, "op11_filter_audit": _OP11}
