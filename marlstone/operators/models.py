@@ -384,39 +384,6 @@ def forest_comparison(df: DataFrame, y: str, feature_sets: Mapping[str, Sequence
     return out
 
 
-def fallback_map(markets: DataFrame, market: str, district: str, lat: str, lon: str, profile: Sequence[str], rows: str, entities: str, least_rows: int, least_entities: int, reach_km: float = 10.0, alike: float = 2.0) -> DataFrame:
-    """(market, level, pool, pool_rows): the narrowest pool that meets both minima.
-
-    L0 the market itself; L1 with the most similar markets of its district by profile distance, as few as suffice; L2 its
-    district; L3 markets within reach whose profiles are alike; L4 all. markets has a row for each market.
-    """
-    names = list(dict.fromkeys((market, district, lat, lon, rows, entities, *profile)))
-    a, b = (markets.select(*(F.col(c).alias(f"{s}_{c}") for c in names)) for s in ("a", "b"))
-    apart = F.sqrt(sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in profile), F.lit(0.0)) / len(profile))
-    km = 111.0 * F.hypot(F.col(f"b_{lat}") - F.col(f"a_{lat}"), (F.col(f"b_{lon}") - F.col(f"a_{lon}")) * F.cos(F.radians((F.col(f"a_{lat}") + F.col(f"b_{lat}")) / 2)))
-    same = F.col(f"a_{district}") == F.col(f"b_{district}")
-    pairs = a.join(b, same | ((F.abs(F.col(f"a_{lat}") - F.col(f"b_{lat}")) * 111.0 <= reach_km) & (km <= reach_km) & (apart <= alike)))
-    pairs = pairs.select(F.col(f"a_{market}").alias(market), F.col(f"b_{market}").alias("_m"), F.coalesce(same, F.lit(False)).alias("_same"), apart.alias("_d"), F.col(f"b_{rows}").alias("_r"), F.col(f"b_{entities}").alias("_e"), ((km <= reach_km) & (apart <= alike)).alias("_near"))
-    own = F.col("_m") == F.col(market)
-    by = Window.partitionBy(market).orderBy(F.when(own, -1.0).otherwise(F.when(F.col("_same"), F.col("_d")).otherwise(F.lit(1e300))), "_m").rowsBetween(Window.unboundedPreceding, 0)
-    part = lambda c: F.sum(F.when(F.col("_same"), F.col(c)).otherwise(0)).over(by)
-    pairs = pairs.withColumns({"_cr": part("_r"), "_ce": part("_e"), "_k": F.sum(F.col("_same").cast("int")).over(by)})
-    enough = (F.col("_cr") >= least_rows) & (F.col("_ce") >= least_entities) & F.col("_same")
-    level = pairs.groupBy(market).agg(
-        F.bool_or(own & enough).alias("_l0"), F.min(F.when(enough, F.col("_k"))).alias("_k1"), F.sum(F.when(F.col("_same"), F.col("_r"))).alias("_r2"), F.count_if("_same").alias("_n2"),
-        F.sum(F.when(F.col("_near") | F.col("_same"), F.col("_r"))).alias("_r3"), F.sum(F.when(F.col("_near") | F.col("_same"), F.col("_e"))).alias("_e3"),
-    )
-    ok3 = (F.col("_r3") >= least_rows) & (F.col("_e3") >= least_entities)
-    name = F.when(F.col("_l0"), "L0").when(F.col("_k1") < F.col("_n2"), "L1").when(F.col("_k1").isNotNull(), "L2").when(ok3, "L3").otherwise("L4")
-    chosen = level.select(market, name.alias("level"), "_k1")
-    total = markets.agg(F.sum(rows).alias("_all"))
-    used = pairs.join(chosen, market).where(
-        ((F.col("level") == "L0") & own) | ((F.col("level") == "L1") & F.col("_same") & (F.col("_k") <= F.col("_k1"))) | ((F.col("level") == "L2") & F.col("_same")) | ((F.col("level") == "L3") & (F.col("_same") | F.col("_near"))) | ((F.col("level") == "L4") & own)
-    )
-    pools = used.groupBy(market, "level").agg(F.array_sort(F.collect_list("_m")).alias("pool"), F.sum("_r").alias("_r")).crossJoin(F.broadcast(total))  # one row
-    return pools.select(market, "level", F.when(F.col("level") == "L4", F.array().cast(dict(pools.dtypes)["pool"])).otherwise(F.col("pool")).alias("pool"), F.when(F.col("level") == "L4", F.col("_all")).otherwise(F.col("_r")).alias("pool_rows"))
-
-
 def selected_model(results: DataFrame, base: str, gain: float = 0.005) -> DataFrame:
     """results (model, rmse, mae, monotone) with chosen: the best monotone model that beats `base` by a share in both errors, else base."""
     b = results.where(F.col("model") == base).select(F.col("rmse").alias("_r"), F.col("mae").alias("_m"))

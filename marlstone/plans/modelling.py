@@ -176,15 +176,6 @@ def partial_dependence(spark, d):
     return M.partial_dependence(s, p, ["area"], grid).select("area", F.round("mean", 8).alias("mean"))
 
 
-@query("fallback_pools")
-def fallback_pools(spark, d):
-    """The narrowest pool of markets with enough trades, from profile and distance; a market is a nation here."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("grp"), F.col("n_regionkey").alias("district"), (35 + F.col("n_nationkey") / 50).alias("lat"), (129 + F.col("n_nationkey") % 7 / 20).alias("lon"))
-    e = entities(spark, d).where("price is not null")
-    m = e.groupBy("grp").agg(F.sum("deals").alias("rows"), F.count("*").alias("members"), (F.avg("price") / 100).alias("profile")).join(n, "grp")
-    return M.fallback_map(m, "grp", "district", "lat", "lon", ["profile"], "rows", "members", 3000, 5).withColumn("pool", F.concat_ws(",", F.col("pool").cast("array<string>")))
-
-
 @query("feature_verdict", f"WITH {_FE}, b AS (SELECT REGR_SLOPE(y, x) AS b, REGR_R2(y, x) * 100 AS gain, REGR_SLOPE(y, x) / SQRT(REGR_SYY(y, x) * (1 - REGR_R2(y, x)) / (COUNT(*) - COUNT(DISTINCT grp) - 1) / REGR_SXX(y, x)) AS t FROM d) SELECT CASE WHEN b > 0 AND t > 1.96 AND gain >= 1 THEN 'STRONG' WHEN b > 0 AND gain > 0 AND gain < 0.5 THEN 'WEAK' WHEN b > 0 AND gain >= 0.5 THEN 'USEFUL' ELSE 'NOT_SUPPORTED' END AS verdict FROM b")
 def feature_verdict(spark, d):
     """A verdict from a term's sign and gain."""

@@ -256,13 +256,6 @@ def test_name_similarity(spark):
     assert got[1] >= 0.9 and got[2] == 0.0 and got[3] == pytest.approx(0.75) and got[4] is None
 
 
-def test_fallback_map(spark):
-    markets = [("a", "d1", 35.0, 129.0, 0.0, 40, 3), ("b", "d1", 35.5, 129.0, 0.1, 25, 1), ("c", "d1", 35.6, 129.0, 5.0, 5, 1), ("e", "d2", 35.0, 129.01, 0.2, 1, 1), ("f", "d3", 10.0, 10.0, 0.0, 2, 1)]
-    df = spark.createDataFrame(markets, "m string, d string, lat double, lon double, p double, n int, e int")
-    got = {r.m: (r.level, list(r.pool), r.pool_rows) for r in M.fallback_map(df, "m", "d", "lat", "lon", ["p"], "n", "e", 30, 2).collect()}
-    assert got == {"a": ("L0", ["a"], 40), "b": ("L1", ["a", "b"], 65), "c": ("L1", ["b", "c"], 30), "e": ("L3", ["a", "e"], 41), "f": ("L4", [], 73)}
-
-
 def test_selected_model(spark):
     schema = "model string, rmse double, mae double, monotone boolean"
     pick = lambda *r: M.selected_model(spark.createDataFrame(r, schema), "linear").where("chosen").first().model
