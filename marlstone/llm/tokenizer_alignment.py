@@ -37,7 +37,7 @@ PIECE_BYTES = 3 << 20
 #: A tokens of a stretch with its own pointers; segments longer than KEPT_BYTES aren't kept.
 STRETCH, KEPT_BYTES = 256, 128
 #: Links that are written out at once, and links of one group from which its repeated ids are counted first.
-LINKS, BIG_GROUP = 2 << 20, 1 << 20
+LINKS, BIG_GROUP = 1 << 20, 1 << 20
 #: Different pairs, summed over the documents of a chunk.
 CHUNK_PAIRS = 4 << 20
 _BAD, _B = np.uint32(0xFFFFFFFF), np.uint32(1 << 16)
@@ -330,10 +330,8 @@ def _aligned(a: str, b: str, chunk_pairs: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal rows, total, chunk
-            joined = np.concatenate([np.zeros(0, np.uint32), *(x[6] for x in rows)])
-            pairs, number, docs = np.unique(joined, return_inverse=True, return_counts=True)
-            edge = np.cumsum([0, *(len(x[6]) for x in rows)])
-            told = [(chunk, *x[:6], x[8], number[p:q].astype("<u4").tobytes(), x[7].astype("<u4").tobytes(), x[9]) for x, p, q in zip(rows, edge[:-1], edge[1:], strict=True)]
+            pairs, docs = np.unique(np.concatenate([np.zeros(0, np.uint32), *(x[6] for x in rows)]), return_counts=True)
+            told = [(chunk, *x[:6], x[8], np.searchsorted(pairs, x[6]).astype("<u4").tobytes(), x[7].tobytes(), x[9]) for x in rows]
             told.append((chunk, None, None, None, None, None, None, None, pairs.astype("<u4").tobytes(), docs.astype("<u4").tobytes(), None))
             rows, total, chunk = [], 0, chunk + 1
             names = [x.split()[0] for x in _CHUNK.split(", ")]
@@ -349,7 +347,7 @@ def _aligned(a: str, b: str, chunk_pairs: int):
                     if rows and total + len(pairs) > chunk_pairs:
                         yield flush()
                     n = x.n.tolist() if i == 0 else [0] * 4  # further rows of a document only have pairs
-                    rows.append((row, doc_id, *n, pairs, x.times[i : i + chunk_pairs], sha, len(x.pairs) <= chunk_pairs))
+                    rows.append((row, doc_id, *n, pairs, x.times[i : i + chunk_pairs].astype("<u4"), sha, len(x.pairs) <= chunk_pairs))
                     total += len(pairs)
         if rows:
             yield flush()
@@ -357,8 +355,16 @@ def _aligned(a: str, b: str, chunk_pairs: int):
     return run
 
 
+def _forget() -> None:
+    """Frees what this Python worker keeps for encoding, before a task of another kind."""
+    pair_encoder.cache_clear()
+    _numerals.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of chunks, a row each."""
+    _forget()
     for batch in batches:
         for chunk, pairs, docs in zip(batch.column("chunk").to_pylist(), batch.column("pairs").to_pylist(), batch.column("times").to_pylist(), strict=True):
             pairs, docs = np.frombuffer(pairs, "<u4"), np.frombuffer(docs, "<u4")
@@ -370,15 +376,19 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(docs: pa.Table, counts: pa.Table) -> pa.Table:
     """The sums of a chunk's documents over their links, from the counts of the chunk's pairs."""
+    _forget()
     n = counts.num_rows
     total, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = counts.column("at").to_numpy()
     total[at], best[at] = counts.column("total").to_numpy(), counts.column("best").to_numpy()
-    numbers = [np.frombuffer(x, "<u4") for x in docs.column("pairs").to_pylist()]
-    times = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in docs.column("times").to_pylist())]).astype(np.int64)
-    number, each = np.concatenate([np.zeros(0, "<u4"), *numbers]), np.array([len(x) for x in numbers])
-    sums = [pa.array(_sums(values[number] * times, each)) for values in (best, total)]
-    return docs.drop_columns(["chunk", "pairs", "times"]).append_column("n_best", sums[0]).append_column("count_sum", sums[1])
+    sums = []
+    for pairs, times in zip(docs.column("pairs").to_pylist(), docs.column("times").to_pylist(), strict=True):
+        own, times = np.frombuffer(pairs, "<u4"), np.frombuffer(times, "<u4").astype(np.int64)
+        sums.append((int(best[own] @ times), int(total[own] @ times)))
+    out = docs.drop_columns(["chunk", "pairs", "times"])
+    for k, name in enumerate(("n_best", "count_sum")):
+        out = out.append_column(name, pa.array([x[k] for x in sums], pa.int64()))
+    return out
 
 
 _DIGEST = "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"
