@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import small_side, written
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1.0 / max(1e-300, 1.0 - (a + b) * x / (a + 1.0)) if 1.0 - (a + b) * x / (a + 1.0) > 0 else 1.0
@@ -64,23 +67,50 @@ def _moments(columns: Sequence[str]) -> list[Column]:
     return [F.avg(x).alias(f"_m{i}") for i, x in enumerate(c)] + [(F.covar_pop(c[i], c[j]) * F.count("*")).alias(f"_c{i}_{j}") for i, j in pairs] + [F.count("*").alias("_n")]
 
 
-def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None, cluster: str | None = None) -> DataFrame:
-    """(term, coef, se, t, p, n, clusters, r2, r2_within, adj_r2, aic, bic, rmse) of y on xs with fixed effects.
-
-    Effects are absorbed: rows are read once, for the moments of each cell of effect and cluster, and all sums within the
-    effects follow from the cells. r2 and adj_r2 are about the overall mean, so that effects count as explained; r2_within
-    is about the effects' means. Standard errors are clustered, with (G/(G-1)) ((N-1)/(N-k)) and G - 1 degrees of
-    freedom, or classical without clusters; k counts the effects as parameters. Rows with a missing value are left out;
-    a term without variation within the effects gets nulls.
+@dataclass
+class AbsorbedFit:
+    """A least-squares fit with absorbed effects: coefficients of `xs`, their covariance, and what was fitted."""
+
+    xs: list[str]
+    coef: np.ndarray
+    cov: np.ndarray
+    known: list[int]  # terms that vary within the effects
+    dof: float
+    n: int
+    k: int  # parameters, effects included
+    clusters: int | None
+    sse: float
+    total: float  # squares about the mean
+    within: float  # squares about the effects' means
+    intercepts: DataFrame  # (_of, intercept) of each effect
+
+    def log_likelihood(self) -> float:
+        return -self.n / 2 * (math.log(2 * math.pi) + 1 + math.log(max(self.sse / self.n, 1e-15))) if self.n else float("nan")
+
+    def metrics(self) -> dict[str, float]:
+        part = lambda whole: 1 - self.sse / whole if whole else float("nan")
+        r2, log = part(self.total), self.log_likelihood()
+        adjusted = 1 - (1 - r2) * (self.n - 1) / max(self.n - self.k, 1)
+        return {"r2": r2, "r2_within": part(self.within), "adj_r2": adjusted, "aic": 2 * self.k - 2 * log, "bic": self.k * math.log(max(self.n, 1)) - 2 * log, "rmse": math.sqrt(max(self.sse, 0.0) / max(self.n, 1))}
+
+
+def absorbed_fit(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None, cluster: str | None = None) -> AbsorbedFit:
+    """Least squares of y on xs with fixed effects, which are absorbed.
+
+    Rows are read once, for the moments of each cell of effect and cluster; all sums within the effects follow from the
+    cells. The covariance is clustered, with (G/(G-1)) ((N-1)/(N-k)) and G - 1 degrees of freedom, or classical without
+    clusters; k counts the effects as parameters. Rows with a missing value are left out; a term without variation within
+    the effects has coefficient 0 and isn't `known`.
     """
-    spark, xs = df.sparkSession, list(xs)
+    xs = list(xs)
     q, names = len(xs), [*xs, y]
     by = [F.col(effect).alias("_e") if effect else F.lit(0).alias("_e"), *([F.col(cluster).alias("_k")] if cluster else [])]
-    cells = complete_cases(df, names).groupBy(*by).agg(*_moments(names)).persist()  # a row for each cell, used twice
+    cells = written(complete_cases(df, names).groupBy(*by).agg(*_moments(names)), "fit-cells")  # a row for each cell
     # about the overall means, so that sums of squares don't lose digits
     whole = cells.agg(*((F.sum(F.col(f"_m{i}") * F.col("_n")) / F.sum("_n")).alias(f"w{i}") for i in range(q + 1)), F.sum("_n").alias("n")).first()
     n = whole.n or 0
-    about = [F.col(f"_m{i}") - F.lit(float(whole[f"w{i}"] or 0.0)) for i in range(q + 1)]
+    centre = [float(whole[f"w{i}"] or 0.0) for i in range(q + 1)]
+    about = [F.col(f"_m{i}") - F.lit(c) for i, c in enumerate(centre)]
     means = cells.groupBy(F.col("_e").alias("_of")).agg(*((F.sum(a * F.col("_n")) / F.sum("_n")).alias(f"_g{i}") for i, a in enumerate(about)))
     near = cells.join(means, F.col("_e").eqNullSafe(F.col("_of")))
     pairs = [(i, j) for i in range(q + 1) for j in range(i, q + 1)]
@@ -96,6 +126,7 @@ def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | Non
         inverse[np.ix_(known, known)] = np.linalg.pinv(g[np.ix_(known, known)])
         coef = inverse @ g[:q, q]
     sse = float(g[q, q] - coef @ g[:q, q])
+    groups = None
     if cluster:
         pair = lambda i, j: inside[min(i, j), max(i, j)]
         score = [pair(i, q) - sum((F.lit(float(coef[j])) * pair(i, j) for j in range(q)), F.lit(0.0)) for i in range(q)]
@@ -103,20 +134,37 @@ def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | Non
         two = scores.agg(*gram_columns([f"_s{i}" for i in range(q)])).first()
         groups = two.n
         cov = inverse @ gram_matrix(two, q) @ inverse * (groups / max(groups - 1, 1)) * ((n - 1) / max(n - k, 1))
-        dof = groups - 1
     else:
-        cov, dof, groups = inverse * sse / max(n - k, 1), n - k, None
-    cells.unpersist()
-    part = lambda whole: 1 - sse / whole if whole else float("nan")
-    r2 = part(one[f"t{q}"])
-    log = n * math.log(max(sse, 1e-300) / n) if n else float("nan")
-    fit = (n, groups, r2, float(part(g[q, q])), 1 - (1 - r2) * (n - 1) / max(n - k, 1), log + 2 * k, log + k * math.log(max(n, 1)), math.sqrt(max(sse, 0) / max(n, 1)))
+        cov = inverse * sse / max(n - k, 1)
+    level = F.col(f"_g{q}") + F.lit(centre[q]) - sum((F.lit(float(b)) * (F.col(f"_g{i}") + F.lit(centre[i])) for i, b in enumerate(coef)), F.lit(0.0))
+    return AbsorbedFit(xs, coef, cov, known, groups - 1 if cluster else n - k, n, k, groups, sse, one[f"t{q}"] or 0.0, float(g[q, q]), means.select("_of", level.alias("intercept")))
+
+
+def with_fit(df: DataFrame, fit: AbsorbedFit, effect: str | None = None, name: str = "fitted") -> DataFrame:
+    """df with a fit's values. An effect that the fit hasn't seen counts as the first that it has."""
+    slope = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fit.coef, fit.xs, strict=True)), F.lit(0.0))
+    levels = written(fit.intercepts, "fit-levels")
+    first = levels.agg(F.min_by("intercept", "_of").alias("_first"))
+    own = F.lit(0) if effect is None else F.col(effect)
+    met = df.join(small_side(levels, 24), own.eqNullSafe(F.col("_of")), "left").crossJoin(F.broadcast(first))  # one row
+    return met.withColumn(name, F.coalesce("intercept", "_first") + slope).drop("_of", "intercept", "_first")
+
+
+def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None, cluster: str | None = None) -> DataFrame:
+    """(term, coef, se, t, p, n, clusters, r2, r2_within, adj_r2, aic, bic, rmse) of absorbed_fit().
+
+    r2 and adj_r2 are about the overall mean, so that effects count as explained; r2_within is about the effects' means.
+    aic and bic are of the normal log-likelihood. A term without variation within the effects gets nulls.
+    """
+    fit = absorbed_fit(df, y, xs, effect, cluster)
+    m = fit.metrics()
+    last = (fit.n, fit.clusters, m["r2"], m["r2_within"], m["adj_r2"], m["aic"], m["bic"], m["rmse"])
     out = []
-    for i, x in enumerate(xs):
-        se = math.sqrt(max(cov[i, i], 0.0))
-        t = float(coef[i]) / se if se else float("nan")
-        out.append((x, float(coef[i]), se, t, t_p_value(t, dof), *fit) if i in known else (x, None, None, None, None, *fit))
-    return spark.createDataFrame(out, "term string, coef double, se double, t double, p double, n long, clusters long, r2 double, r2_within double, adj_r2 double, aic double, bic double, rmse double")
+    for i, x in enumerate(fit.xs):
+        se = math.sqrt(max(fit.cov[i, i], 0.0))
+        t = float(fit.coef[i]) / se if se else float("nan")
+        out.append((x, float(fit.coef[i]), se, t, t_p_value(t, fit.dof), *last) if i in fit.known else (x, None, None, None, None, *last))
+    return df.sparkSession.createDataFrame(out, "term string, coef double, se double, t double, p double, n long, clusters long, r2 double, r2_within double, adj_r2 double, aic double, bic double, rmse double")
 
 
 def percent_effect(coef: Column, se: Column, step: float = 10.0) -> dict[str, Column]:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, composites, linking, market_discovery, measures, modelling, price_models, quality, ranking, releases
+from . import classify, composites, dual_signals, effects, linking, market_discovery, measures, modelling, price_models, quality, ranking, releases
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "market_metrics"
-MODULES = (classify, composites, linking, market_discovery, measures, modelling, price_models, quality, ranking, releases)
+MODULES = (classify, composites, dual_signals, effects, linking, market_discovery, measures, modelling, price_models, quality, ranking, releases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,10 +24,20 @@ def fixed_effect_ols(spark, d):
     return M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp", "entity").select("term", F.round("coef", 9).alias("coef"), F.round("se", 9).alias("se"), "n", "clusters")
 
 
-@query("fit_metrics", f"WITH {_FE}, b AS (SELECT 1 - REGR_SYY(y, x) * (1 - REGR_R2(y, x)) / (VAR_POP(raw) * COUNT(*)) AS r2, REGR_R2(y, x) AS rw, COUNT(*) AS n, COUNT(DISTINCT grp) + 1 AS k, REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse FROM d) SELECT ROUND(r2, 9) AS r2, ROUND(rw, 9) AS r2_within, ROUND(1 - (1 - r2) * (n - 1) / (n - k), 9) AS adj_r2, ROUND(n * LN(sse / n) + 2 * k, 4) AS aic, ROUND(SQRT(sse / n), 9) AS rmse FROM b")
+@query(
+    "fit_metrics",
+    f"""WITH {_FE}, b AS (SELECT 1 - REGR_SYY(y, x) * (1 - REGR_R2(y, x)) / (VAR_POP(raw) * COUNT(*)) AS r2, REGR_R2(y, x) AS rw, COUNT(*) AS n, COUNT(DISTINCT grp) + 1 AS k,
+  REGR_SYY(y, x) * (1 - REGR_R2(y, x)) AS sse, REGR_SLOPE(y, x) AS b FROM d)
+SELECT ROUND(r2, 9) AS r2, ROUND(rw, 9) AS r2_within, ROUND(1 - (1 - r2) * (n - 1) / (n - k), 9) AS adj_r2, ROUND(n * (LN(sse / n) + 1 + LN(2 * PI())) + 2 * k, 4) AS aic,
+  ROUND(n * (LN(sse / n) + 1 + LN(2 * PI())) + k * LN(n), 4) AS bic, ROUND(SQRT(sse / n), 9) AS rmse, (SELECT ROUND(AVG(ABS(y - b * x)), 9) FROM d, b) AS mae FROM b""",
+)
 def fit_metrics(spark, d):
     """M2: metrics of a fit."""
-    return M.fixed_effect_ols(_sample(spark, d), "y", ["score"], "grp").select(F.round("r2", 9).alias("r2"), F.round("r2_within", 9).alias("r2_within"), F.round("adj_r2", 9).alias("adj_r2"), F.round("aic", 4).alias("aic"), F.round("rmse", 9).alias("rmse"))
+    s = _sample(spark, d)
+    fit = M.absorbed_fit(s, "y", ["score"], "grp")
+    mae = M.with_fit(s, fit, "grp").agg(F.round(F.avg(F.abs(F.col("y") - F.col("fitted"))), 9).alias("mae"))
+    digits = {"r2": 9, "r2_within": 9, "adj_r2": 9, "aic": 4, "bic": 4, "rmse": 9}
+    return mae.select(*(F.round(F.lit(fit.metrics()[c]), k).alias(c) for c, k in digits.items()), "mae")
 
 
 @query("percent_effects", f"WITH {_FE}, b AS (SELECT REGR_SLOPE(y, x) AS b, SQRT(REGR_SYY(y, x) * (1 - REGR_R2(y, x)) / (COUNT(*) - COUNT(DISTINCT grp) - 1) / REGR_SXX(y, x)) AS se FROM d) SELECT 'score' AS term, ROUND((EXP(b * 10) - 1) * 100, 6) AS pct, ROUND((EXP((b - 1.96 * se) * 10) - 1) * 100, 6) AS pct_low, ROUND((EXP((b + 1.96 * se) * 10) - 1) * 100, 6) AS pct_high FROM b")
