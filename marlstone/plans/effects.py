@@ -31,6 +31,18 @@ _SQL_ROWS = f"""{TRADES},
   cut AS (SELECT quantile_cont(DATE_DIFF('day', DATE '1970-01-01', deal_date), 0.75) AS cut FROM x)"""
 
 
+def _part_rows(spark, d) -> DataFrame:
+    """Trades with the part as the entity, its brand as the group, and twice its size, 2 to 100, as the score."""
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("grp"), (F.col("p_size") * 2.0).alias("score"))
+    t = trades(spark, d).select(F.col("part").alias("entity"), "deal_date", "area", (F.col("discount") * 100).alias("discount"), "unit", F.ln("unit").alias("y"))
+    return written(M.temporal_split(t.join(s, "entity"), "deal_date"), "effect-rows")
+
+
+_SQL_PARTS = f"""{TRADES},
+  x AS (SELECT t.part AS entity, p_brand AS grp, p_size * 2.0 AS score, deal_date, area, discount * 100 AS discount, unit, LN(unit) AS y FROM t JOIN part ON p_partkey = t.part),
+  cut AS (SELECT quantile_cont(DATE_DIFF('day', DATE '1970-01-01', deal_date), 0.75) AS cut FROM x)"""
+
+
 def _sql_basis(model: str, x: str) -> dict[str, str]:
     """score_basis() in SQL."""
     if model == "LINEAR":
@@ -90,10 +102,10 @@ def _sql_curves(model: str) -> str:
   ROUND((EXP(log_effect + 1.96 * error) - 1) * 100, 5) AS high_pct FROM (WITH {_sql_fit(model)}, gr AS (SELECT CAST(i AS DOUBLE) AS x FROM range(0, 101, 5) r(i)), {_sql_curve(model, "gr", "cv")} SELECT * FROM cv)"""
 
 
-@query("effect_curves", f"WITH {_SQL_ROWS}\n" + "\nUNION ALL ".join(_sql_curves(m) for m in E.MODELS[1:]))
+@query("effect_curves", f"WITH {_SQL_PARTS}\n" + "\nUNION ALL ".join(_sql_curves(m) for m in E.MODELS[1:]))
 def effect_curves(spark, d):
     """Linear, quadratic, binned and spline curves against a reference score, with intervals by the delta method."""
-    rows = _rows(spark, d)
+    rows = _part_rows(spark, d)
     grid, out = spark.range(0, 101, 5).select(F.col("id").cast("double").alias("score")), None
     for model in E.MODELS[1:]:
         fit = E.fitted_model(rows, "y", CONTROLS, model, "grp", "entity" if model != "BINNED" else None)
@@ -123,7 +135,7 @@ def _sql_model(model: str) -> str:
 
 @query(
     "effect_models",
-    f"WITH {_SQL_ROWS},\n  cm AS (" + "\nUNION ALL ".join(_sql_model(m) for m in E.MODELS) + """),
+    f"WITH {_SQL_PARTS},\n  cm AS (" + "\nUNION ALL ".join(_sql_model(m) for m in E.MODELS) + """),
   ok AS (SELECT cm.*, cm.model NOT IN ('NONE', 'LINEAR') AND cm.monotone AND cm.rmse <= l.rmse * 0.995 AND cm.mae <= l.mae * 0.995 AS better FROM cm, cm l WHERE l.model = 'LINEAR'),
   pk AS (SELECT COALESCE((SELECT model FROM ok WHERE better ORDER BY rmse, mae, parameters LIMIT 1), 'LINEAR') AS pick)
 SELECT model, parameters, ROUND(adj_r2, 8) AS adj_r2, ROUND(aic, 3) AS aic, ROUND(bic, 3) AS bic, ROUND(rmse_in, 8) AS rmse_in, ROUND(mae_in, 8) AS mae_in, ROUND(rmse, 8) AS rmse, ROUND(mae, 8) AS mae, ROUND(r2, 7) AS r2,
@@ -131,7 +143,7 @@ SELECT model, parameters, ROUND(adj_r2, 8) AS adj_r2, ROUND(aic, 3) AS aic, ROUN
 )
 def effect_models(spark, d):
     """The models of a score's effect in and out of sample, and the choice."""
-    compared, _ = E.compared_models(_rows(spark, d), "y", CONTROLS, "grp", "entity")
+    compared, _ = E.compared_models(_part_rows(spark, d), "y", CONTROLS, "grp", "entity")
     digits = {"adj_r2": 8, "aic": 3, "bic": 3, "rmse_in": 8, "mae_in": 8, "rmse": 8, "mae": 8, "r2": 7, "slope": 5, "intercept": 4}
     return compared.select("model", "parameters", "monotone", "chosen", *(F.round(c, k).alias(c) for c, k in digits.items()))
 
@@ -211,7 +223,7 @@ def x16_value_gaps(spark, d):
     return g.select("entity", "grade", "rule", "comparables", *(F.round(c, 6).alias(c) for c in ("expected_pct", "residual_gap", "comparable_gap", "observed_pct", "gap", "total_gap")), "confidence", "quality")
 
 
-_SEGMENTS = {"ALL": "true", "LARGE": "area >= 25", "SMALL": "area < 25", "SAME_GROUP_0": "grp = 0", "DISCOUNTED": "discount >= 5"}
+_SEGMENTS = {"ALL": "true", "LARGE": "area >= 25", "SMALL": "area < 25", "MIDDLE": "area BETWEEN 15 AND 35", "DISCOUNTED": "discount >= 5"}
 
 
 @query(
