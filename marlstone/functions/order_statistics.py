@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import small_side, written
+from .staging import written
 
 #: A sketch is right to one part in ACCURACY of a group's rows; groups of up to ten times as many rows need none.
 ACCURACY = 10_000
@@ -49,9 +49,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         )
         for i in range(len(shares))
     ]
-    told = written(sketch.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_c").alias("_of"), F.array(*bounds).alias("_bounds")), "quantile-bounds")
+    told = sketch.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_c").alias("_of"), F.array(*bounds).alias("_bounds"))
     own = _same([*map(F.col, keys), F.col("_c")], [*(F.col(f"_k_{k}") for k in keys), F.col("_of")])
-    met = long.join(small_side(told, 64 + 48 * len(shares)), own)
+    met = long.join(told, own)  # adaptive execution broadcasts the bounds if they are small, and splits hot keys if not
     # a value below the bound counts as null: such rows are one row of each task
     looked = F.explode(F.transform(F.filter("_bounds", lambda b: F.col("_x") <= b["_to"]), lambda b: F.struct(b["_p"].alias("_p"), b["_k"].alias("_k"), b["_place"].alias("_place"), F.when(F.col("_x") >= b["_from"], F.col("_x")).alias("_v"))))
     counts = met.select(*keys, "_c", looked.alias("_b")).groupBy(*keys, "_c", "_b").agg(F.count("*").alias("_m"))
@@ -82,10 +82,10 @@ def value_ranks(df: DataFrame, column: str, groups: Sequence[str] = (), descendi
     totals = dealt.groupBy("_range", *groups).agg(F.sum("ties").alias("_sum"))
     ahead = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({"_ahead": F.coalesce(F.sum("_sum").over(ahead), F.lit(0)), "rows": F.sum("_sum").over(Window.partitionBy(*groups))}).drop("_sum")
-    totals = written(totals.select(F.col("_range").alias("_of"), *(F.col(g).alias(f"_k_{g}") for g in groups), "_ahead", "rows"), "rank-totals")
+    totals = totals.select(F.col("_range").alias("_of"), *(F.col(g).alias(f"_k_{g}") for g in groups), "_ahead", "rows")
     own = (F.col("_range") == F.col("_of")) & _same([F.col(g) for g in groups], [F.col(f"_k_{g}") for g in groups])
     within = F.coalesce(F.sum("ties").over(Window.partitionBy("_range", *groups).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_within", within).join(small_side(totals, 64), own).select(*groups, column, (F.col("_ahead") + F.col("_within")).alias("before"), "ties", "rows")
+    return dealt.withColumn("_within", within).join(totals, own).select(*groups, column, (F.col("_ahead") + F.col("_within")).alias("before"), "ties", "rows")
 
 
 def ranked(df: DataFrame, column: str, groups: Sequence[str] = (), descending: bool = False, **names: str) -> DataFrame:
@@ -96,8 +96,8 @@ def ranked(df: DataFrame, column: str, groups: Sequence[str] = (), descending: b
     """
     groups = list(groups)
     at = value_ranks(df, column, groups, descending)
-    at = written(at.select(*(F.col(g).alias(f"_k_{g}") for g in groups), F.col(column).alias("_v"), "before", "ties", F.col("rows").alias("_rows")), "rank-values")
-    joined = df.join(small_side(at, 64), _same([F.col(g) for g in groups], [F.col(f"_k_{g}") for g in groups]) & (F.col(column) == F.col("_v")), "left")
+    at = at.select(*(F.col(g).alias(f"_k_{g}") for g in groups), F.col(column).alias("_v"), "before", "ties", F.col("rows").alias("_rows"))
+    joined = df.join(at, _same([F.col(g) for g in groups], [F.col(f"_k_{g}") for g in groups]) & (F.col(column) == F.col("_v")), "left")
     mean = F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
     told = {"first": F.col("before") + 1, "mean": mean, "share": mean / F.col("_rows") * 100, "rows": F.col("_rows")}
     return joined.select(*(F.col(c) for c in df.columns), *(told[k].alias(name) for k, name in names.items()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import exact_quantiles, ranked
+
 
 def _by(groups: list[str] | None):
     return Window.partitionBy(*(groups or []))
@@ -47,10 +49,18 @@ def row_quantile(column: str, buckets: int, ties: str, groups: list[str] | None
     return F.greatest(F.lit(1), F.ceil(F.lit(buckets) * (r - 1) / F.greatest(n - 1, F.lit(1)))).cast("int")
 
 
+def with_row_quantile(df: DataFrame, column: str, buckets: int, ties: str, name: str) -> DataFrame:
+    """df with row_quantile() over all rows, numbered in ranges: no task sorts them all."""
+    of = df.withColumn("_order", F.struct(F.col(column).isNull(), F.col(column), F.col(ties)))
+    out = ranked(of, "_order", first="_first", rows="_rows").drop("_order")
+    bucket = F.greatest(F.lit(1), F.ceil(F.lit(buckets) * (F.col("_first") - 1) / F.greatest(F.col("_rows") - 1, F.lit(1)))).cast("int")
+    return out.withColumn(name, bucket).drop("_first", "_rows")
+
+
 def with_quantiles(df: DataFrame, column: str, **shares: float) -> DataFrame:
-    """df with exact quantiles of a column, each under its name: one aggregate, joined as a single row."""
-    one = df.agg(*(F.percentile(column, p).alias(name) for name, p in shares.items()))
-    return df.crossJoin(F.broadcast(one))  # one row
+    """df with exact quantiles of a column, each under its name, joined as a single row; no buffer holds the column."""
+    one = exact_quantiles(df, [], [column], list(shares.values())).select(*(F.get(column, F.lit(i)).alias(name) for i, name in enumerate(shares)))
+    return df.join(F.broadcast(one), F.lit(True), "left")  # one row, or none without values
 
 
 def winsorised(df: DataFrame, column: str, low: float, high: float, name: str) -> DataFrame:

@@ -173,14 +173,23 @@ def carried_groups(lines: DataFrame, doc: str, line_no: str, group: str) -> Data
     return lines.withColumn(group, F.last(F.col(group), ignorenulls=True).over(up_to))
 
 
-def relation_type(text: Column) -> Column:
-    """A relation's kind in a closed set: EXACT, ELIGIBLE, CONDITIONAL, GROUP, else UNRESOLVED."""
-    t = F.upper(F.trim(text))
-    return first_match([(t.rlike("^(EXACT|CONFIRMED|지정)"), "EXACT"), (t.rlike("^(ELIGIBLE|가능)"), "ELIGIBLE"), (t.rlike("^(CONDITIONAL|조건)"), "CONDITIONAL"), (t.rlike("^(GROUP|학교군)"), "GROUP")], "UNRESOLVED")
+#: The kinds of relations by the words that name them, and their weights.
+RELATION_KINDS = {
+    "exact": "EXACT", "guaranteed": "EXACT", "confirmed": "EXACT",
+    "eligible": "ELIGIBLE", "official_eligibility": "ELIGIBLE",
+    "conditional": "CONDITIONAL", "conditional_not_guaranteed": "CONDITIONAL", "general_priority": "CONDITIONAL", "preference": "CONDITIONAL",
+    "group_only": "GROUP_MEMBERSHIP", "group_membership": "GROUP_MEMBERSHIP", "group": "GROUP_MEMBERSHIP",
+    "unresolved": "UNRESOLVED",
+}
+RELATION_WEIGHTS = {"EXACT": 1.0, "ELIGIBLE": 0.8, "CONDITIONAL": 0.5, "GROUP_MEMBERSHIP": 0.25, "UNRESOLVED": 0.0}
 
 
-#: Weights of relations by kind.
-RELATION_WEIGHTS = {"EXACT": 1.0, "ELIGIBLE": 0.8, "CONDITIONAL": 0.5, "GROUP": 0.25, "UNRESOLVED": 0.0}
+def relation_type(text: Column) -> Column:
+    """A relation's kind in a closed set: EXACT, ELIGIBLE, CONDITIONAL, GROUP_MEMBERSHIP, else UNRESOLVED; also for null."""
+    t = F.lower(F.trim(text))
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in RELATION_KINDS.items() for x in kv)), t)
+    native = first_match([(t.rlike("^지정"), "EXACT"), (t.rlike("^가능"), "ELIGIBLE"), (t.rlike("^조건"), "CONDITIONAL"), (t.rlike("^학교군"), "GROUP_MEMBERSHIP")], "UNRESOLVED")
+    return F.coalesce(named, native)
 
 
 def relation_weight(kind: Column) -> Column:

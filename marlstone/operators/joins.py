@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import holds
+from ..functions.staging import written
 from .guards import assert_unique
 
 
@@ -125,7 +129,8 @@ def pairs_within(df: DataFrame, ident: str, group: str, conditions: Column, colu
 def relaxed_comparables(df: DataFrame, ident: str, group: str, columns: Sequence[str], rules: Sequence[tuple[str, Column]], value: str, least: int) -> DataFrame:
     """(ident, rule, matches, comparable): the median of `value` over the group's members under the first rule with enough.
 
-    Rules state conditions on a_ (the row) and b_ (the comparable). One self-join counts for all rules.
+    Rules state any conditions on a_ (the row) and b_ (the comparable), so a group's pairs are formed; where a rule is
+    equalities and one tolerance, banded_comparables() needs none.
     """
     a, b = (df.select(F.col(group), *(F.col(c).alias(f"{side}_{c}") for c in dict.fromkeys((ident, *columns, value)))) for side in ("a", "b"))
     pairs = a.join(b, group).where(F.col(f"a_{ident}") != F.col(f"b_{ident}"))
@@ -136,13 +141,91 @@ def relaxed_comparables(df: DataFrame, ident: str, group: str, columns: Sequence
     return per.select(ident, pick(F.lit, F.lit("NONE")).alias("rule"), pick(lambda n: F.col(f"n_{n}"), F.lit(0)).alias("matches"), pick(lambda n: F.col(f"m_{n}"), F.lit(None).cast("double")).alias("comparable"))
 
 
+def banded_comparables(df: DataFrame, ident: str, group: str, rules: Sequence[tuple[str, Sequence[str], str, float]], value: str, least: int) -> DataFrame:
+    """relaxed_comparables() for rules (name, equal columns, column, tolerance): equal there, and no further apart than that.
+
+    Rows with the same columns of a rule look at the same values, so only their distinct profiles meet the distinct values,
+    in bands as wide as the tolerance; a row's own value is taken out of the median by its rank. A row that a rule has
+    served leaves the ladder. Rows that are alone in their group, or without a group, are left out.
+    """
+    names = list(dict.fromkeys(c for _, equal, band, _ in rules for c in (*equal, band)))
+    many = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_all")).where("_all > 1").select("_g")
+    rows = df.select(F.col(ident), F.col(group), *(F.col(c) for c in names), F.col(value).cast("double").alias("_value")).join(many, F.col(group) == F.col("_g"), "left_semi")
+    left, out = written(rows, "comparables"), None
+    for name, equal, band, tolerance in rules:
+        keys = [group, *equal, band]
+        wide = tolerance or 1.0
+        asked = left.select(*keys).distinct().withColumn("_bucket", F.explode(F.array(*(F.floor(F.col(band) / wide) + i for i in (-1, 0, 1)))))
+        given = rows.where("_value is not null").groupBy(*keys, "_value").agg(F.count("*").alias("_n")).withColumn("_bucket", F.floor(F.col(band) / wide)).withColumnRenamed(band, "_b")
+        met = asked.join(given, [group, *equal, "_bucket"]).where(F.abs(F.col(band) - F.col("_b")) <= tolerance).groupBy(*keys, "_value").agg(F.sum("_n").alias("_n"))
+        by = Window.partitionBy(*keys)
+        met = met.withColumns({"_upto": F.sum("_n").over(by.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)), "_m": F.sum("_n").over(by)})
+        at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_value")))
+        m = F.col("_m")
+        # the middle places of all values, and of all but one: those, or the next, depending on which one is taken out
+        low, high = F.floor((m - 2) / 2), F.ceil((m - 2) / 2)
+        places = {"_f0": F.floor((m - 1) / 2), "_f1": F.ceil((m - 1) / 2), "_l0": low, "_l1": low + 1, "_h0": high, "_h1": high + 1}
+        per = met.groupBy(*keys).agg(F.first("_m").alias("_m"), *(at(k).alias(c) for c, k in places.items()))
+        per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_m", *places)
+        same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+        found = left.join(per, reduce(lambda x, y: x & y, same), "left")
+        own = F.col("_value")
+        without = lambda c: F.when(own <= F.col(f"_{c}0"), F.col(f"_{c}1")).otherwise(F.col(f"_{c}0"))  # noqa: B023, E731
+        middle = F.when(own.isNull(), (F.col("_f0") + F.col("_f1")) / 2).otherwise((without("l") + without("h")) / 2)
+        found = found.withColumns({"matches": F.coalesce(F.col("_m") - own.isNotNull().cast("int"), F.lit(0)), "comparable": middle})
+        found = written(found.select(*left.columns, "matches", "comparable"), "comparables")
+        served = found.where(F.col("matches") >= least).select(ident, F.lit(name).alias("rule"), "matches", "comparable")
+        out = served if out is None else out.unionByName(served)
+        left = found.where(F.col("matches") < least).select(*left.columns)
+    rest = left.select(ident, F.lit("NONE").alias("rule"), F.lit(0).cast("long").alias("matches"), F.lit(None).cast("double").alias("comparable"))
+    return rest if out is None else out.unionByName(rest)
+
+
 def nearest_in_pool(df: DataFrame, ident: str, pool: str, features: Sequence[str], k: int) -> DataFrame:
-    """(ident, other, distance, place): the k nearest of the same pool by root mean square of the given columns."""
-    a, b = (df.select(F.col(pool), *(F.col(c).alias(f"{side}_{c}") for c in (ident, *features))) for side in ("a", "b"))
-    apart = F.sqrt(sum((F.pow(F.col(f"a_{f}") - F.col(f"b_{f}"), 2) for f in features), F.lit(0.0)) / len(features))
-    pairs = a.join(b, pool).where(F.col(f"a_{ident}") != F.col(f"b_{ident}")).select(F.col(f"a_{ident}").alias(ident), F.col(f"b_{ident}").alias("other"), apart.alias("distance"))
-    by = Window.partitionBy(ident).orderBy("distance", "other")
-    return pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+    """(ident, other, distance, place): the k nearest of the same pool by root mean square of the given columns.
+
+    Ties go to the smaller id. Points meet in cells as wide as a radius; where k others lie within it they are the nearest,
+    and the other points look again with twice the radius. Rows with equal columns are one point, of which the first k + 1 ids
+    count, so that repeated rows form no pairs. Rows without a pool or a column are left out.
+    """
+    spark, f = df.sparkSession, [f"_f{i}" for i in range(len(features))]
+    rows = df.select(F.col(ident).alias("_id"), F.col(pool).alias("_pool"), *(F.col(c).cast("double").alias(x) for c, x in zip(features, f, strict=True))).dropna()
+    points = ["_pool", *f]
+    rows = written(rows, "nearest-rows")
+    few = written(rows.withColumn("_p", F.row_number().over(Window.partitionBy(*points).orderBy("_id"))).where(F.col("_p") <= k + 1).drop("_p"), "nearest-points")
+    span = few.groupBy("_pool").agg(F.count("*").alias("_n"), *((F.max(c) - F.min(c)).alias(c) for c in f)).agg(F.max("_n").alias("n"), *(F.max(c).alias(c) for c in f)).first()
+    if span.n is None:
+        return spark.createDataFrame([], f"`{ident}` {dict(df.dtypes)[ident]}, other {dict(df.dtypes)[ident]}, distance double, place int")
+    widest = max(span[c] for c in f)
+    size = math.prod(max(span[c], widest * 1e-6) for c in f)  # of the pool's box
+    radius = (size * 2 * (k + 1) / span.n) ** (1 / len(f)) / math.sqrt(len(f)) or 1.0
+    asked, found = few.select(*points).distinct(), None
+    while True:
+        last = radius >= widest  # no two points of a pool are further apart
+        width = radius * math.sqrt(len(f)) * (1 + 1e-9)
+        cell = [F.floor(F.col(c) / width) for c in f]
+        about = F.array(*(F.array(*(c + o for c, o in zip(cell, offset, strict=True))) for offset in product((-1, 0, 1), repeat=len(f))))
+        near = asked.withColumn("_cell", F.explode(about))
+        there = few.withColumn("_cell", F.array(*cell)).select("_id", "_pool", "_cell", *(F.col(c).alias(f"_o{c}") for c in f))
+        apart = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_o{c}"), 2) for c in f), F.lit(0.0)) / len(f))
+        met = near.join(there, ["_pool", "_cell"]).withColumn("_d", apart)
+        met = met if last else met.where(F.col("_d") <= radius)
+        place = F.row_number().over(Window.partitionBy(*points).orderBy("_d", "_id"))
+        top = written(met.select(*points, "_id", "_d").withColumn("_place", place).where(F.col("_place") <= k + 1), "nearest")
+        full = top.groupBy(*points).agg(F.count("*").alias("_c")).where(F.lit(last) | (F.col("_c") > k)).drop("_c")
+        done = top.join(full, points, "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            break
+        asked = written(asked.join(full, points, "left_anti"), "nearest-left")
+        if asked.isEmpty():
+            break
+        radius *= 2
+    one = found.select(*(F.col(c).alias(f"_k{c}") for c in points), F.col("_id").alias("_other"), "_d", "_place")
+    own = reduce(lambda x, y: x & y, (F.col(c) == F.col(f"_k{c}") for c in points))
+    pairs = rows.join(one, own).where(F.col("_id") != F.col("_other"))
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("_id").orderBy("_place"))).where(F.col("place") <= k)  # k + 1 rows at most
+    return pairs.select(F.col("_id").alias(ident), F.col("_other").alias("other"), F.col("_d").alias("distance"), "place")
 
 
 def sequence_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], take: str) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import exact_quantiles
 from ..functions.rules import first_match, holds
+from ..functions.texts import RELATION_WEIGHTS  # noqa: F401
 
 
 def anchored(df: DataFrame, when: str) -> DataFrame:
@@ -151,8 +153,7 @@ def set_statistics(edges: DataFrame, group: str, member: str, value: str) -> Dat
     return d.join(q, group).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("high"), F.min(value).alias("low"), F.avg(F.when(F.col(value) >= F.col("_q"), F.col(value))).alias("top_quarter"))
 
 
-#: Weight and quality of a relation by its type; parts of a composite and of exclusivity.
-RELATION_WEIGHTS = {"EXACT": 1.0, "ELIGIBLE": 0.8, "CONDITIONAL": 0.5, "GROUP_MEMBERSHIP": 0.25, "UNRESOLVED": 0.0}
+#: Quality of a relation by its type; parts of a composite and of exclusivity.
 RELATION_QUALITY = {"EXACT": 100.0, "ELIGIBLE": 85.0, "CONDITIONAL": 65.0, "GROUP_MEMBERSHIP": 45.0, "UNRESOLVED": 0.0}
 COMPOSITE = {"mean": 0.65, "low": 0.15, "exclusivity": 0.10, "quality": 0.10}
 EXCLUSIVITY = {"exact": 0.40, "concentration": 0.30, "strong": 0.30}
@@ -184,7 +185,7 @@ def feeder_scores(relations: DataFrame, target: str, member: str, kind: str, sco
         F.avg(own(F.col(weight))).alias("_weight"),
         share("EXACT").alias("_exact"),
         share("EXACT", "ELIGIBLE").alias("_strong"),
-        F.count_distinct(own(F.col(member))).alias("_members"),
+        F.size(F.collect_set(own(F.col(member)))).alias("_members"),  # a target's own members
         F.count_if(there).alias("scored"),
         F.count("*").alias("relations"),
     )
@@ -199,12 +200,12 @@ def feeder_scores(relations: DataFrame, target: str, member: str, kind: str, sco
 def dispersion(df: DataFrame, value: str, definitions: Mapping[str, str], change: str | None = None) -> DataFrame:
     """(definition, rows, groups, within, ratio, mad, iqr, change) of a price under several ways of grouping.
 
-    within is the sample variance of the logarithms about their groups' means, ratio that over their own variance; mad
+    within is the sample variance of the logarithms about their groups' means, ratio that over their own variance (of the
+    rows that have a group under the definition); mad
     the median distance from the groups' medians, iqr the groups' mean interquartile range, change the sample variance
     of `change` about its groups' means.
     """
     price = df.where(F.col(value) > 0).select(F.col(value).alias("_v"), F.ln(value).alias("_l"), (F.col(change) if change else F.lit(None)).cast("double").alias("_c"), *dict.fromkeys(definitions.values()))
-    total = price.agg(F.var_samp("_l").alias("_t"))
     named = F.array(*(F.struct(F.lit(name).alias("definition"), F.col(c).cast("string").alias("_g")) for name, c in definitions.items()))
     rows = price.select("_v", "_l", "_c", F.inline(named)).where("_g is not null")
     per = rows.groupBy("definition", "_g").agg(
@@ -213,8 +214,10 @@ def dispersion(df: DataFrame, value: str, definitions: Mapping[str, str], change
     sums = per.groupBy("definition").agg(
         F.sum("_n").alias("rows"), F.count("*").alias("groups"), (F.sum("_ss") / F.nullif(F.sum("_n") - 1, F.lit(0))).alias("within"), F.avg(F.col("_q")[2] - F.col("_q")[0]).alias("iqr"), (F.sum("_cs") / F.nullif(F.sum("_cn") - 1, F.lit(0))).alias("change")
     )
-    mad = rows.join(per.select("definition", "_g", F.col("_q")[1].alias("_m")), ["definition", "_g"]).groupBy("definition").agg(F.percentile(F.abs(F.col("_v") - F.col("_m")), 0.5).alias("mad"))
-    return sums.join(mad, "definition").crossJoin(F.broadcast(total)).withColumn("ratio", F.col("within") / F.nullif(F.col("_t"), F.lit(0.0))).drop("_t")  # one row
+    away = rows.join(per.select("definition", "_g", F.col("_q")[1].alias("_m")), ["definition", "_g"]).withColumn("mad", F.abs(F.col("_v") - F.col("_m")))
+    mad = exact_quantiles(away, ["definition"], ["mad"], [0.5]).select("definition", F.get("mad", F.lit(0)).alias("mad"))
+    total = rows.groupBy("definition").agg(F.var_samp("_l").alias("_t"))
+    return sums.join(mad, "definition").join(total, "definition").withColumn("ratio", F.col("within") / F.nullif(F.col("_t"), F.lit(0.0))).drop("_t")
 
 
 def dominant(df: DataFrame, key: str, value: str) -> DataFrame:

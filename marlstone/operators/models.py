@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import exact_quantiles
 from ..functions.staging import small_side, written
 
 
@@ -245,8 +246,8 @@ def linear_fit(df: DataFrame, y: str, xs: Sequence[str], train: Column | None =
 def robust_scaled(df: DataFrame, columns: Sequence[str], clip: tuple[float, float] | None = None) -> DataFrame:
     """df with scaled_*: (x - median) / interquartile range, after clipping to quantiles if asked for; constants give 0."""
     low, high = clip or (0.0, 1.0)
-    one = df.agg(*(F.percentile(c, F.array(*map(F.lit, (low, 0.25, 0.5, 0.75, high)))).alias(f"_q_{c}") for c in columns))
-    out = df.crossJoin(F.broadcast(one))  # one row
+    one = exact_quantiles(df, [], columns, [low, 0.25, 0.5, 0.75, high]).select(*(F.col(c).alias(f"_q_{c}") for c in columns))
+    out = df.join(F.broadcast(one), F.lit(True), "left")  # one row, or none without values
     for c in columns:
         q = F.col(f"_q_{c}")
         x = F.least(F.greatest(F.col(c), q[0]), q[4]) if clip else F.col(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import exact_quantiles
 from ..functions import rules as P
 from ..functions import texts as X
 from .registry import ENTITIES, TRADES, entities, query, table, trades
@@ -109,8 +110,7 @@ def quantile_groups(spark, d):
     """Two-by-two groups at several cutoffs at once."""
     e = entities(spark, d).where("price is not null")
     shares = [0.2, 0.3, 0.5]
-    cut = lambda c: F.percentile(c, F.array(*(F.lit(1 - k) for k in shares)))
-    one = e.agg(cut("score").alias("s"), cut("price").alias("p"))
+    one = exact_quantiles(e, [], ["score", "price"], [1 - k for k in shares]).select(F.col("score").alias("s"), F.col("price").alias("p"))
     grid = one.select(F.inline(F.arrays_zip(F.array(*map(F.lit, shares)).alias("k"), "s", "p")))
     side = lambda v, c: F.when(F.col(v) >= F.col(c), "HIGH").otherwise("LOW")
     return e.crossJoin(F.broadcast(grid)).groupBy("k", F.concat_ws("_", side("score", "s"), side("price", "p")).alias("cell")).agg(F.count("*").alias("n"))  # a row for each share

@@ -170,9 +170,8 @@ def pair_search(spark, d):
 def relaxed_comparables(spark, d):
     """Comparables under the first rule of a ladder that finds enough."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_brand", "p_type", "p_size", "p_retailprice")
-    apart, same = F.abs(F.col("a_p_size") - F.col("b_p_size")), F.col("a_p_type") == F.col("b_p_type")
-    rules = [("tight", (apart <= 2) & same), ("wide", (apart <= 5) & same), ("loose", apart <= 10)]
-    return J.relaxed_comparables(p, "k", "p_brand", ["p_size", "p_type"], rules, "p_retailprice", 3).withColumn("comparable", F.round("comparable", 4))
+    rules = [("tight", ["p_type"], "p_size", 2), ("wide", ["p_type"], "p_size", 5), ("loose", [], "p_size", 10)]
+    return J.banded_comparables(p, "k", "p_brand", rules, "p_retailprice", 3).withColumn("comparable", F.round("comparable", 4))
 
 
 @query("nearest_comparables", "SELECT a.p_partkey AS k, b.p_partkey AS other, ROW_NUMBER() OVER w AS place FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WINDOW w AS (PARTITION BY a.p_partkey ORDER BY SQRT((POW(a.p_size / 10.0 - b.p_size / 10.0, 2) + POW(a.p_retailprice / 100 - b.p_retailprice / 100, 2)) / 2), b.p_partkey) QUALIFY place <= 5")

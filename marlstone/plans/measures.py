@@ -227,9 +227,9 @@ def correlation_scopes(spark, d):
 @query("quintile_profile", "WITH q AS (SELECT c_acctbal, c_nationkey, CAST(GREATEST(1, CEIL(5.0 * (ROW_NUMBER() OVER (ORDER BY c_acctbal, c_custkey) - 1) / GREATEST(COUNT(*) OVER () - 1, 1))) AS INT) AS q FROM customer) SELECT q, COUNT(*) AS n, ROUND(AVG(c_acctbal), 4) AS mean, ROUND(MEDIAN(c_acctbal), 4) AS median FROM q GROUP BY 1")
 def quintile_profile(spark, d):
     """A profile by quintile."""
-    from ..functions.ranks import row_quantile
+    from ..functions.ranks import with_row_quantile
 
-    q = table(spark, d, "customer").withColumn("q", row_quantile("c_acctbal", 5, "c_custkey"))
+    q = with_row_quantile(table(spark, d, "customer"), "c_acctbal", 5, "c_custkey", "q")
     return q.groupBy("q").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.percentile("c_acctbal", 0.5), 4).alias("median"))
 
 

@@ -6,21 +6,25 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks as R
+from ..functions.order_statistics import ranked
 from .registry import ENTITIES, TRADES, entities, query, table, trades
 
 
 @query("rank_percentile", "SELECT c_custkey, c_nationkey, ROUND(100.0 * (RANK() OVER (ORDER BY c_acctbal) + (COUNT(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0) / COUNT(c_acctbal) OVER (), 6) AS pct, ROUND(100.0 * (RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (COUNT(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0) / COUNT(c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS group_pct FROM customer")
 def rank_percentile(spark, d):
     """Tie-averaged percentile ranks, over all rows and by group."""
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", "c_nationkey", F.round(R.percentile_rank("c_acctbal"), 6).alias("pct"), F.round(R.percentile_rank("c_acctbal", ["c_nationkey"]), 6).alias("group_pct"))
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    c = ranked(ranked(c, "c_acctbal", share="pct"), "c_acctbal", ["c_nationkey"], share="group_pct")
+    return c.select("c_custkey", "c_nationkey", F.round("pct", 6).alias("pct"), F.round("group_pct", 6).alias("group_pct"))
 
 
 @query("rank_min_desc", "SELECT p_partkey, p_brand, RANK() OVER (ORDER BY p_size DESC) AS rank_all, RANK() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS rank_brand, ROUND((COUNT(*) OVER () - RANK() OVER (ORDER BY p_size DESC)) * 100.0 / GREATEST(COUNT(*) OVER () - 1, 1), 6) AS reverse_pct FROM part")
 def rank_min_desc(spark, d):
     """Minimum ranks from the largest, and the reverse percentile."""
-    p = table(spark, d, "part")
-    return p.select("p_partkey", "p_brand", R.min_rank_desc("p_size").cast("long").alias("rank_all"), R.min_rank_desc("p_size", ["p_brand"]).cast("long").alias("rank_brand"), F.round(R.reverse_percentile("p_size"), 6).alias("reverse_pct"))
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    p = ranked(ranked(p, "p_size", descending=True, first="rank_all", rows="n"), "p_size", ["p_brand"], descending=True, first="rank_brand")
+    reverse = (F.col("n") - F.col("rank_all")) / F.greatest(F.col("n") - 1, F.lit(1)) * 100
+    return p.select("p_partkey", "p_brand", "rank_all", "rank_brand", F.round(reverse, 6).alias("reverse_pct"))
 
 
 @query("winsorise", "WITH q AS (SELECT quantile_cont(c_acctbal, 0.05) AS lo, quantile_cont(c_acctbal, 0.95) AS hi FROM customer) SELECT c_custkey, ROUND(LEAST(GREATEST(c_acctbal, lo), hi), 4) AS clipped FROM customer, q")
@@ -84,8 +88,9 @@ def latest_row(spark, d):
 @query("quintiles", "WITH p AS (SELECT c_custkey, 100.0 * (RANK() OVER (ORDER BY c_acctbal) + (COUNT(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0) / COUNT(*) OVER () AS pct, ROW_NUMBER() OVER (ORDER BY c_acctbal, c_custkey) AS r, COUNT(*) OVER () AS n FROM customer) SELECT c_custkey, CAST(GREATEST(1, CEIL(pct / 20)) AS INT) AS by_rank, CAST(GREATEST(1, CEIL(5.0 * (r - 1) / GREATEST(n - 1, 1))) AS INT) AS by_row FROM p")
 def quintiles(spark, d):
     """Quintiles from percentile ranks, and from row numbers."""
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", R.quintile("c_acctbal").alias("by_rank"), R.row_quantile("c_acctbal", 5, "c_custkey").alias("by_row"))
+    c = ranked(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", share="pct")
+    by_rank = F.greatest(F.lit(1), F.ceil(F.col("pct") / 20)).cast("int")
+    return R.with_row_quantile(c, "c_acctbal", 5, "c_custkey", "by_row").select("c_custkey", by_rank.alias("by_rank"), "by_row")
 
 
 @query("row_statistics", "SELECT l_orderkey, l_linenumber, l_partkey, ROUND(LEAST(a, b, c), 6) AS low, ROUND(GREATEST(a, b, c), 6) AS high, ROUND(GREATEST(a, b, c) - LEAST(a, b, c), 6) AS spread, ROUND(a + b + c - LEAST(a, b, c) - GREATEST(a, b, c), 6) AS middle FROM (SELECT *, l_discount AS a, l_tax AS b, l_quantity / 100 AS c FROM lineitem)")
@@ -101,8 +106,9 @@ def row_statistics(spark, d):
 def outlier_flags(spark, d):
     """Flags above the 90th percentile of absolute gaps, and by z-score."""
     e = entities(spark, d).where("price is not null")
-    everyone = Window.partitionBy()
-    g = e.withColumns({"gap": F.col("price") - F.avg("price").over(Window.partitionBy("grp")), "z": (F.col("price") - F.avg("price").over(everyone)) / F.stddev_samp("price").over(everyone)})
+    whole = e.agg(F.avg("price").alias("m"), F.stddev_samp("price").alias("s"))
+    e = e.crossJoin(F.broadcast(whole))  # one row
+    g = e.withColumns({"gap": F.col("price") - F.avg("price").over(Window.partitionBy("grp")), "z": (F.col("price") - F.col("m")) / F.col("s")})
     g = R.with_quantiles(g.withColumn("size", F.abs("gap")), "size", p90=0.9)
     return g.select("entity", (F.col("size") >= F.col("p90")).alias("large_gap"), (F.abs("z") > 2).alias("outlier"))
 
@@ -112,7 +118,8 @@ def capital_ranking(spark, d):
     """Ranks by a total, over all rows and by group."""
     c = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy("o_custkey", "c_nationkey").agg(F.sum("o_totalprice").alias("sum"))
     c = c.withColumn("cap", F.round("sum", 2))
-    return c.select("o_custkey", F.round(F.col("sum") / 1e6, 4).alias("cap_m"), R.min_rank_desc("cap").cast("long").alias("rank_all"), R.min_rank_desc("cap", ["c_nationkey"]).cast("long").alias("rank_group"))
+    c = ranked(ranked(c, "cap", descending=True, first="rank_all"), "cap", ["c_nationkey"], descending=True, first="rank_group")
+    return c.select("o_custkey", F.round(F.col("sum") / 1e6, 4).alias("cap_m"), "rank_all", "rank_group")
 
 
 @query("top_lists", "(SELECT 'largest' AS list, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30) UNION ALL (SELECT 'smallest', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 30) UNION ALL (SELECT 'urgent', o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30)")
