@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
-from .models import AbsorbedFit, absorbed_fit, complete_cases, with_fit
+from ..functions.staging import written
+from .models import AbsorbedFit, EffectMoments, absorbed_fit, complete_cases, with_fit, with_fits
 
 #: The score that effects are told against, and the knots of the spline and of the bins.
 REFERENCE, KNOTS = 50.0, (0.0, 20.0, 40.0, 60.0, 80.0, 100.0)
@@ -62,13 +64,13 @@ def effect_curve(fit: AbsorbedFit, model: str, grid: DataFrame, score: str = "sc
     here, there = score_basis(F.col(score), model), score_basis(F.lit(REFERENCE), model)
     names = list(here)
     at = [fit.xs.index(c) for c in names]
-    delta = [here[c] - there[c] for c in names]
+    grid = grid.withColumns({f"_delta{i}": here[c] - there[c] for i, c in enumerate(names)})  # each is looked at many times
     coef, cov = fit.coef[at], fit.cov[np.ix_(at, at)]
-    log = sum((F.lit(float(b)) * x for b, x in zip(coef, delta, strict=True)), F.lit(0.0))
-    square = sum((F.lit(float(cov[i, j])) * delta[i] * delta[j] for i in range(len(at)) for j in range(len(at))), F.lit(0.0))
+    log = F.expr(" + ".join(["0.0D", *(f"({float(b)!r}D) * _delta{i}" for i, b in enumerate(coef))]))
+    square = F.expr(" + ".join(["0.0D", *(f"({float(cov[i, j])!r}D) * _delta{i} * _delta{j}" for i in range(len(at)) for j in range(len(at)))]))
     told = grid.withColumns({"log_effect": log, "error": F.sqrt(F.greatest(square, F.lit(0.0)))})
     percent = lambda s: F.expm1(F.col("log_effect") + s * 1.96 * F.col("error")) * 100
-    return told.withColumns({"effect_pct": percent(0), "low_pct": percent(-1), "high_pct": percent(1)})
+    return told.withColumns({"effect_pct": percent(0), "low_pct": percent(-1), "high_pct": percent(1)}).drop(*(f"_delta{i}" for i in range(len(names))))
 
 
 def fitted_model(df: DataFrame, y: str, controls: Sequence[str], model: str, effect: str | None, cluster: str | None, score: str = "score") -> AbsorbedFit:
@@ -84,25 +86,31 @@ def compared_models(df: DataFrame, y: str, controls: Sequence[str], effect: str,
     (the curve from 0 to 100 never falls) and chosen: a monotone model beyond LINEAR that is half a percent better than it
     in both errors out of sample, the best by rmse, mae and parameters; else LINEAR.
     """
-    rows = complete_cases(df, [y, score, *controls])
-    out, fits = [], {}
-    for model in models:
-        basis = score_basis(F.col(score), model)
-        own = rows.withColumns(basis) if basis else rows
-        names = [*controls, *basis]
-        fit = fits[model] = absorbed_fit(own, y, names, effect, cluster if model != "BINNED" else None)
-        early = absorbed_fit(own.where("not is_test"), y, names, effect)
-        e, p = F.col(y) - F.col("_p"), F.col("_p")
-        inside = with_fit(own, fit, effect, "_p").agg(F.avg(F.abs(e)).alias("mae")).first()
-        later = with_fit(own.where("is_test"), early, effect, "_p").agg(
-            F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))).alias("r2"), F.regr_slope(F.col(y), p).alias("slope"), F.regr_intercept(F.col(y), p).alias("intercept")
-        ).first()
+    bases = {model: score_basis(F.col(score), model) for model in models}
+    columns = {f"{model}_{c}": x for model, basis in bases.items() for c, x in basis.items()}
+    rows = written(complete_cases(df, [y, score, *controls]).withColumns(columns), "effect-models")
+    # one pass over all rows and one over the early ones serve all models
+    names = [*controls, *columns]
+    every, early = EffectMoments(rows, y, names, effect, cluster), EffectMoments(rows.where("not is_test"), y, names, effect)
+    of = {model: [*controls, *(f"{model}_{c}" for c in basis)] for model, basis in bases.items()}
+    whole = {model: every.fit(xs, clustered=model != "BINNED") for model, xs in of.items()}
+    then = {model: early.fit(xs) for model, xs in of.items()}
+    e = lambda name: F.col(y) - F.col(name)
+    inside = with_fits(rows, {f"_{m}": f for m, f in whole.items()}, effect).agg(*(F.avg(F.abs(e(f"_{m}"))).alias(m) for m in of)).first()
+    judged = []
+    for m in of:
+        p = f"_{m}"
+        judged += [F.sqrt(F.avg(e(p) ** 2)).alias(f"{m}_rmse"), F.avg(F.abs(e(p))).alias(f"{m}_mae"), (1 - F.sum(e(p) ** 2) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))).alias(f"{m}_r2"), F.regr_slope(F.col(y), F.col(p)).alias(f"{m}_slope"), F.regr_intercept(F.col(y), F.col(p)).alias(f"{m}_intercept")]
+    later = with_fits(rows.where("is_test"), {f"_{m}": f for m, f in then.items()}, effect).agg(*judged).first()
+    fits = {m: replace(f, xs=[*controls, *bases[m]]) for m, f in whole.items()}
+    out = []
+    for model, fit in fits.items():
         m, rising = fit.metrics(), True
         if model != "NONE":
             grid = df.sparkSession.range(101).select(F.col("id").cast("double").alias(score))
             effects = [r.log_effect for r in effect_curve(fit, model, grid, score).orderBy(score).collect()]  # 101 rows
             rising = all(b - a >= -1e-7 for a, b in zip(effects, effects[1:], strict=False))
-        out.append((model, fit.k, m["adj_r2"], m["aic"], m["bic"], m["rmse"], inside.mae, later.rmse, later.mae, later.r2, later.slope, later.intercept, rising))
+        out.append((model, fit.k, m["adj_r2"], m["aic"], m["bic"], m["rmse"], inside[model], *(later[f"{model}_{c}"] for c in ("rmse", "mae", "r2", "slope", "intercept")), rising))
     base = next((r for r in out if r[0] == "LINEAR"), None)
     better = [r for r in out if base and base[7] is not None and r[0] not in ("NONE", "LINEAR") and r[12] and r[7] <= base[7] * 0.995 and r[8] <= base[8] * 0.995]
     chosen = min(better, key=lambda r: (r[7], r[8], r[1]))[0] if better else "LINEAR"

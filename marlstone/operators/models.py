@@ -61,13 +61,6 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.where(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in columns))
 
 
-def _moments(columns: Sequence[str]) -> list[Column]:
-    """Means, sums of products about the means, and the number of rows: what merges into any larger group's."""
-    c = list(columns)
-    pairs = [(i, j) for i in range(len(c)) for j in range(i, len(c))]
-    return [F.avg(x).alias(f"_m{i}") for i, x in enumerate(c)] + [(F.covar_pop(c[i], c[j]) * F.count("*")).alias(f"_c{i}_{j}") for i, j in pairs] + [F.count("*").alias("_n")]
-
-
 @dataclass
 class AbsorbedFit:
     """A least-squares fit with absorbed effects: coefficients of `xs`, their covariance, and what was fitted."""
@@ -83,7 +76,8 @@ class AbsorbedFit:
     sse: float
     total: float  # squares about the mean
     within: float  # squares about the effects' means
-    intercepts: DataFrame  # (_of, intercept) of each effect
+    means: DataFrame  # (_of, ...) a row for each effect
+    level: Column  # its intercept
 
     def log_likelihood(self) -> float:
         return -self.n / 2 * (math.log(2 * math.pi) + 1 + math.log(max(self.sse / self.n, 1e-15))) if self.n else float("nan")
@@ -95,60 +89,98 @@ class AbsorbedFit:
         return {"r2": r2, "r2_within": part(self.within), "adj_r2": adjusted, "aic": 2 * self.k - 2 * log, "bic": self.k * math.log(max(self.n, 1)) - 2 * log, "rmse": math.sqrt(max(self.sse, 0.0) / max(self.n, 1))}
 
 
+def _double(x: float) -> str:
+    """A number as SQL has it: long expressions are made as text, which is one call for each."""
+    return f"({float(x)!r}D)"
+
+
+class EffectMoments:
+    """Sums of products of columns within effects, from one pass over the rows: any subset of the columns can be fitted.
+
+    Rows are read once, for the moments of each cell of effect and cluster; all sums within the effects follow from the
+    cells. Rows with a missing value in any of the columns are left out.
+    """
+
+    def __init__(self, df: DataFrame, y: str, columns: Sequence[str], effect: str | None = None, cluster: str | None = None):
+        self.columns, self.effect, self.cluster = list(columns), effect, cluster
+        names = [*self.columns, y]
+        q = len(self.columns)
+        by = [F.col(effect).alias("_e") if effect else F.lit(0).alias("_e"), *([F.col(cluster).alias("_k")] if cluster else [])]
+        rows = complete_cases(df, names)
+        whole = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(names)), F.count("*").alias("n")).first()
+        self.n = whole.n
+        # about the overall means, so that sums of squares don't lose digits
+        self._centre = [float(whole[f"m{i}"] or 0.0) for i in range(q + 1)]
+        about = [F.col(c).cast("double") - F.lit(m) for c, m in zip(names, self._centre, strict=True)]
+        pairs = [(i, j) for i in range(q + 1) for j in range(i, q + 1)]
+        near = rows.select(*by, *(x.alias(f"_x{i}") for i, x in enumerate(about)))
+        sums = [F.expr(f"sum(_x{i}) AS _s{i}") for i in range(q + 1)] + [F.expr(f"sum(_x{i} * _x{j}) AS _p{i}_{j}") for i, j in pairs]
+        cells = written(near.groupBy("_e", *(["_k"] if cluster else [])).agg(*sums, F.count("*").alias("_n")), "fit-cells")  # a row for each cell
+        self._means = cells.groupBy(F.col("_e").alias("_of")).agg(*(F.expr(f"sum(_s{i}) / sum(_n) AS _g{i}") for i in range(q + 1)))
+        near = cells.join(self._means, F.col("_e").eqNullSafe(F.col("_of")))
+        self._near = near.selectExpr("*", *(f"_s{i} / _n AS _a{i}" for i in range(q + 1)), *(f"_s{i} / _n - _g{i} AS _d{i}" for i in range(q + 1)))
+        total = [F.expr(f"sum(_p{i}_{i}) AS t{i}") for i in range(q + 1)]
+        one = self._near.agg(*(F.expr(f"sum({self._inside(i, j)}) AS g_{i}_{j}") for i, j in pairs), *total, F.count_distinct(F.coalesce(F.col("_e").cast("string"), F.lit("\0"))).alias("effects")).first()
+        self._gram, self._total, self._effects = gram_matrix(one, q + 1), [one[f"t{i}"] or 0.0 for i in range(q + 1)], one.effects
+
+    def _inside(self, i: int, j: int) -> str:
+        """A cell's sum of products of two columns about their effect's means."""
+        i, j = min(i, j), max(i, j)
+        return f"(_p{i}_{j} + _n * (_d{i} * _d{j} - _a{i} * _a{j}))"
+
+    def fit(self, xs: Sequence[str], clustered: bool = True) -> AbsorbedFit:
+        """Least squares of y on some of the columns; see absorbed_fit()."""
+        xs, last = list(xs), len(self.columns)
+        at = [self.columns.index(x) for x in xs]
+        q, g = len(xs), self._gram[np.ix_([*at, last], [*at, last])]
+        k = q + (self._effects if self.effect else 1)
+        # a term that doesn't vary within the effects has no coefficient; what absorbing leaves of it is rounding
+        known = [i for i in range(q) if g[i, i] > 1e-12 * max(self._total[at[i]], 1e-300)]
+        inverse, coef = np.zeros((q, q)), np.zeros(q)
+        if known:
+            inverse[np.ix_(known, known)] = np.linalg.pinv(g[np.ix_(known, known)])
+            coef = inverse @ g[:q, q]
+        sse, groups = float(g[q, q] - coef @ g[:q, q]), None
+        if self.cluster and clustered:
+            score = [" - ".join([self._inside(a, last), *(f"{_double(b)} * {self._inside(a, c)}" for b, c in zip(coef, at, strict=True))]) for a in at]
+            scores = self._near.groupBy("_k").agg(*(F.expr(f"sum({s}) AS _score{i}") for i, s in enumerate(score)))
+            two = scores.agg(*gram_columns([f"_score{i}" for i in range(q)])).first()
+            groups = two.n
+            cov = inverse @ gram_matrix(two, q) @ inverse * (groups / max(groups - 1, 1)) * ((self.n - 1) / max(self.n - k, 1))
+        else:
+            cov = inverse * sse / max(self.n - k, 1)
+        level = F.expr(" - ".join([f"_g{last} + {_double(self._centre[last])}", *(f"{_double(b)} * (_g{a} + {_double(self._centre[a])})" for a, b in zip(at, coef, strict=True))]))
+        return AbsorbedFit(xs, coef, cov, known, self.n - k if groups is None else groups - 1, self.n, k, groups, sse, self._total[last], float(g[q, q]), self._means, level)
+
+
 def absorbed_fit(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None, cluster: str | None = None) -> AbsorbedFit:
     """Least squares of y on xs with fixed effects, which are absorbed.
 
-    Rows are read once, for the moments of each cell of effect and cluster; all sums within the effects follow from the
-    cells. The covariance is clustered, with (G/(G-1)) ((N-1)/(N-k)) and G - 1 degrees of freedom, or classical without
-    clusters; k counts the effects as parameters. Rows with a missing value are left out; a term without variation within
-    the effects has coefficient 0 and isn't `known`.
+    The covariance is clustered, with (G/(G-1)) ((N-1)/(N-k)) and G - 1 degrees of freedom, or classical without clusters; k
+    counts the effects as parameters. Rows with a missing value are left out; a term without variation within the effects
+    has coefficient 0 and isn't `known`.
     """
-    xs = list(xs)
-    q, names = len(xs), [*xs, y]
-    by = [F.col(effect).alias("_e") if effect else F.lit(0).alias("_e"), *([F.col(cluster).alias("_k")] if cluster else [])]
-    cells = written(complete_cases(df, names).groupBy(*by).agg(*_moments(names)), "fit-cells")  # a row for each cell
-    # about the overall means, so that sums of squares don't lose digits
-    whole = cells.agg(*((F.sum(F.col(f"_m{i}") * F.col("_n")) / F.sum("_n")).alias(f"w{i}") for i in range(q + 1)), F.sum("_n").alias("n")).first()
-    n = whole.n or 0
-    centre = [float(whole[f"w{i}"] or 0.0) for i in range(q + 1)]
-    about = [F.col(f"_m{i}") - F.lit(c) for i, c in enumerate(centre)]
-    means = cells.groupBy(F.col("_e").alias("_of")).agg(*((F.sum(a * F.col("_n")) / F.sum("_n")).alias(f"_g{i}") for i, a in enumerate(about)))
-    near = cells.join(means, F.col("_e").eqNullSafe(F.col("_of")))
-    pairs = [(i, j) for i in range(q + 1) for j in range(i, q + 1)]
-    inside = {(i, j): F.col(f"_c{i}_{j}") + F.col("_n") * (about[i] - F.col(f"_g{i}")) * (about[j] - F.col(f"_g{j}")) for i, j in pairs}
-    total = [F.sum(F.col(f"_c{i}_{i}") + F.col("_n") * about[i] * about[i]).alias(f"t{i}") for i in range(q + 1)]
-    one = near.agg(*(F.sum(v).alias(f"g_{i}_{j}") for (i, j), v in inside.items()), *total, F.count_distinct(F.coalesce(F.col("_e").cast("string"), F.lit("\0"))).alias("effects")).first()
-    g = gram_matrix(one, q + 1)
-    k = q + (one.effects if effect else 1)
-    # a term that doesn't vary within the effects has no coefficient; what absorbing leaves of it is rounding
-    known = [i for i in range(q) if g[i, i] > 1e-12 * max(one[f"t{i}"] or 0.0, 1e-300)]
-    inverse, coef = np.zeros((q, q)), np.zeros(q)
-    if known:
-        inverse[np.ix_(known, known)] = np.linalg.pinv(g[np.ix_(known, known)])
-        coef = inverse @ g[:q, q]
-    sse = float(g[q, q] - coef @ g[:q, q])
-    groups = None
-    if cluster:
-        pair = lambda i, j: inside[min(i, j), max(i, j)]
-        score = [pair(i, q) - sum((F.lit(float(coef[j])) * pair(i, j) for j in range(q)), F.lit(0.0)) for i in range(q)]
-        scores = near.groupBy("_k").agg(*(F.sum(s).alias(f"_s{i}") for i, s in enumerate(score)))
-        two = scores.agg(*gram_columns([f"_s{i}" for i in range(q)])).first()
-        groups = two.n
-        cov = inverse @ gram_matrix(two, q) @ inverse * (groups / max(groups - 1, 1)) * ((n - 1) / max(n - k, 1))
-    else:
-        cov = inverse * sse / max(n - k, 1)
-    level = F.col(f"_g{q}") + F.lit(centre[q]) - sum((F.lit(float(b)) * (F.col(f"_g{i}") + F.lit(centre[i])) for i, b in enumerate(coef)), F.lit(0.0))
-    return AbsorbedFit(xs, coef, cov, known, groups - 1 if cluster else n - k, n, k, groups, sse, one[f"t{q}"] or 0.0, float(g[q, q]), means.select("_of", level.alias("intercept")))
+    return EffectMoments(df, y, xs, effect, cluster).fit(xs)
+
+
+def with_fits(df: DataFrame, fits: Mapping[str, AbsorbedFit], effect: str | None = None) -> DataFrame:
+    """df with the values of fits of one EffectMoments, each under its name. An effect that it hasn't seen counts as its first."""
+    out, own = df, F.lit(0) if effect is None else F.col(effect)
+    means = next(iter(fits.values())).means
+    if any(fit.means is not means for fit in fits.values()):
+        raise ValueError("the fits are of different rows")
+    levels = written(means.select("_of", *(fit.level.alias(f"_i{i}") for i, fit in enumerate(fits.values()))), "fit-levels")
+    first = levels.agg(*(F.min_by(f"_i{i}", "_of").alias(f"_f{i}") for i in range(len(fits))))
+    out = out.join(small_side(levels, 8 + 8 * len(fits)), own.eqNullSafe(F.col("_of")), "left").crossJoin(F.broadcast(first))  # one row
+    for i, (name, fit) in enumerate(fits.items()):
+        slope = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fit.coef, fit.xs, strict=True)), F.lit(0.0))
+        out = out.withColumn(name, F.coalesce(f"_i{i}", f"_f{i}") + slope)
+    return out.drop("_of", *(f"_{s}{i}" for i in range(len(fits)) for s in "if"))
 
 
 def with_fit(df: DataFrame, fit: AbsorbedFit, effect: str | None = None, name: str = "fitted") -> DataFrame:
-    """df with a fit's values. An effect that the fit hasn't seen counts as the first that it has."""
-    slope = sum((F.lit(float(b)) * F.col(x) for b, x in zip(fit.coef, fit.xs, strict=True)), F.lit(0.0))
-    levels = written(fit.intercepts, "fit-levels")
-    first = levels.agg(F.min_by("intercept", "_of").alias("_first"))
-    own = F.lit(0) if effect is None else F.col(effect)
-    met = df.join(small_side(levels, 24), own.eqNullSafe(F.col("_of")), "left").crossJoin(F.broadcast(first))  # one row
-    return met.withColumn(name, F.coalesce("intercept", "_first") + slope).drop("_of", "intercept", "_first")
+    """df with a fit's values; see with_fits()."""
+    return with_fits(df, {name: fit}, effect)
 
 
 def fixed_effect_ols(df: DataFrame, y: str, xs: Sequence[str], effect: str | None = None, cluster: str | None = None) -> DataFrame:

@@ -116,10 +116,11 @@ def _sample(spark, d) -> DataFrame:
 def x14_nested_models(spark, d):
     """Whether a score adds to a model, by a likelihood-ratio test."""
     s = _sample(spark, d)
-    one = M.fixed_effect_ols(s, "y", ["area"]).select("n", F.col("r2").alias("a"))
-    two = M.fixed_effect_ols(s, "y", ["area", "score"]).where("term = 'score'").select(F.col("r2").alias("b"))
+    moments = M.EffectMoments(s, "y", ["area", "score"])  # one pass serves both fits
+    one, two = (moments.fit(xs).metrics()["r2"] for xs in (["area"], ["area", "score"]))
     lr = F.col("n") * F.ln((1 - F.col("a")) / (1 - F.col("b")))
-    return one.crossJoin(two).select("n", F.round("a", 9).alias("r2_small"), F.round("b", 9).alias("r2_large"), F.round(lr, 4).alias("lr"), (lr > 3.841).alias("helps"))  # one row each
+    row = spark.createDataFrame([(moments.n, one, two)], "n long, a double, b double")
+    return row.select("n", F.round("a", 9).alias("r2_small"), F.round("b", 9).alias("r2_large"), F.round(lr, 4).alias("lr"), (lr > 3.841).alias("helps"))
 
 
 @query("x15_premium_index", f"WITH {ENTITIES}, p AS (SELECT entity, deals, score, (price / (SELECT MEDIAN(price) FROM e) - 1) * 100 AS premium FROM e WHERE price IS NOT NULL) SELECT entity, ROUND(premium, 8) AS premium, CASE WHEN deals >= 600 AND score > 0 THEN 'A' WHEN deals >= 560 THEN 'B' ELSE 'C' END AS confidence, ROW_NUMBER() OVER (ORDER BY ROUND(premium, 8) DESC, entity) AS place FROM p QUALIFY place <= 30")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,10 +107,13 @@ def _sql_curves(model: str) -> str:
 def effect_curves(spark, d):
     """Linear, quadratic, binned and spline curves against a reference score, with intervals by the delta method."""
     rows = _part_rows(spark, d)
+    bases = {model: E.score_basis(F.col("score"), model) for model in E.MODELS[1:]}
+    columns = {f"{model}_{c}": x for model, basis in bases.items() for c, x in basis.items()}
+    moments = M.EffectMoments(written(rows.withColumns(columns), "effect-bases"), "y", [*CONTROLS, *columns], "grp", "entity")  # one pass for all
     grid, out = spark.range(0, 101, 5).select(F.col("id").cast("double").alias("score")), None
-    for model in E.MODELS[1:]:
-        fit = E.fitted_model(rows, "y", CONTROLS, model, "grp", "entity" if model != "BINNED" else None)
-        curve = E.effect_curve(fit, model, grid).select(F.lit(model).alias("model"), "score", *(F.round(c, 5).alias(c) for c in ("effect_pct", "low_pct", "high_pct")))
+    for model, basis in bases.items():
+        fit = moments.fit([*CONTROLS, *(f"{model}_{c}" for c in basis)], clustered=model != "BINNED")
+        curve = E.effect_curve(replace(fit, xs=[*CONTROLS, *basis]), model, grid).select(F.lit(model).alias("model"), "score", *(F.round(c, 5).alias(c) for c in ("effect_pct", "low_pct", "high_pct")))
         out = curve if out is None else out.unionByName(curve)
     return out
 
