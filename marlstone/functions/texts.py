@@ -261,11 +261,13 @@ def _matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similarity(one: Column, two: Column, unit: str = "차|단지") -> Column:
-    """Likeness of two names from 0 to 1: matching blocks of their keys, 0 on conflicting ordinals, at least 0.9 if one holds the other.
+    """Likeness of two names from 0 to 1: matching blocks of their keys, 0 on conflicting ordinals; if one
+    holds the other at least 0.9, and 0.1 times their lengths' ratio more.
 
     Runs in Python over batches; use it on distinct pairs, after a block key has made them.
     """
     a, b = entity_name(one), entity_name(two)
     holds = (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a))
     base = _matching_blocks(a, b)
-    return F.when(ordinal_conflict(one, two, unit), 0.0).when(holds, F.greatest(base, F.lit(0.9))).otherwise(base)
+    held = 0.9 + 0.1 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
+    return F.when(ordinal_conflict(one, two, unit), 0.0).when(holds, F.greatest(base, held)).otherwise(base)

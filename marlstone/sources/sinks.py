@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import written
 from .readers import manifest
 
 
@@ -34,16 +35,22 @@ def write_metrics(spark: SparkSession, metrics: Mapping[str, object], path: str)
 
 
 def archive(df: DataFrame, content: str, path: str) -> DataFrame:
-    """Appends the rows whose content isn't in the archive yet, by its digest; gives what was added."""
+    """Appends the rows whose content isn't in the archive yet, by its digest; gives what was added.
+
+    Of rows with the same content the least by all columns is taken, so that a run that repeats picks the same; what is
+    returned is read from what was written.
+    """
     spark = df.sparkSession
-    hashed = df.withColumn("digest", F.sha2(F.col(content), 256)).dropDuplicates(["digest"])
+    digest = F.sha2(F.col(content), 256)
+    first = df.groupBy(digest.alias("digest")).agg(F.min(F.struct(*df.columns)).alias("_row"))
+    hashed = first.select("_row.*", "digest")
     try:
         known = spark.read.parquet(path).select("digest")
-        fresh = hashed.join(known, "digest", "left_anti")
+        hashed = hashed.join(known, "digest", "left_anti").select(*df.columns, "digest")
     except Exception as error:  # the archive doesn't exist yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        fresh = hashed
+    fresh = written(hashed, "archive")
     fresh.write.mode("append").parquet(path)
     return fresh
 

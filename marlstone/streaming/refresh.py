@@ -16,15 +16,17 @@ def live_metrics(facts: DataFrame, entity: str, when: str, value: str, window: s
     return out.select(entity, F.col("w.start").alias("from"), F.col("w.end").alias("until"), "n", "mean", "low", "high")
 
 
-def guarded_refresh(updates: DataFrame, state_dir: str, checkpoint: str, key: str, value: str, good: str, reviewed: str) -> StreamingQuery:
+def guarded_refresh(updates: DataFrame, state_dir: str, checkpoint: str, key: str, value: str, good: str, reviewed: str, when: str | None = None) -> StreamingQuery:
     """Merges each batch of updates into a table of last good values; each batch is a new version, named by its number.
 
-    A batch that runs again after a failure writes the same version, so it counts once.
+    A batch that runs again after a failure writes the same version, so it counts once. Of several updates of a key in a
+    batch a good one counts, the latest by `when` if that is given, then the reviewed one, then the largest value.
     """
     spark = updates.sparkSession
+    order = F.struct(F.coalesce(F.col(good), F.lit(False)), *([F.col(when)] if when else []), F.coalesce(F.col(reviewed), F.lit(False)), F.col(value))
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy(key).agg(F.max_by(F.struct(value, good, reviewed), F.col(good).cast("int")).alias("s")).select(key, f"s.{value}", f"s.{good}", f"s.{reviewed}")
+        new = batch.groupBy(key).agg(F.max_by(F.struct(value, good, reviewed), order).alias("s")).select(key, f"s.{value}", f"s.{good}", f"s.{reviewed}")
         if number:
             old = spark.read.parquet(f"{state_dir}/version={number - 1}")
             kept = last_good(old, new, key, value, good, reviewed)

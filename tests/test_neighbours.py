@@ -74,3 +74,18 @@ def test_dispersion_leaves_out_rows_without_a_group(spark):
         assert got[name].within == pytest.approx(within) and got[name].ratio == pytest.approx(within / statistics.variance([math.log(x[0]) for x in own]))
         mids = {k: statistics.median([x[0] for x in own if x[at] == k]) for k in logs}
         assert got[name].mad == pytest.approx(statistics.median([abs(x[0] - mids[x[at]]) for x in own]))
+
+
+def test_an_archive_gives_what_it_has_added(spark, tmp_path):
+    from marlstone.sources import sinks as K
+
+    df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y")], "k int, c string").repartition(3)
+    path = f"file://{tmp_path}/history"
+    assert sorted((r.k, r.c) for r in K.archive(df, "c", path).collect()) == [(1, "x"), (2, "y")]
+    more = K.archive(df.unionByName(spark.createDataFrame([(9, "z"), (8, "z")], "k int, c string")), "c", path)
+    assert [(r.k, r.c) for r in more.collect()] == [(8, "z")] and spark.read.parquet(path).count() == 3
+
+
+def test_a_name_that_holds_another(spark):
+    got = [r[0] for r in spark.createDataFrame([("abcdefgh", "ab"), ("abcd", "abcd"), ("abcdefgh", "abcdefg")], "a string, b string").select(X.similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == [pytest.approx(0.925), 1.0, pytest.approx(0.9 + 0.1 * 7 / 8)]

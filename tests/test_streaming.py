@@ -22,3 +22,11 @@ def test_guarded_refresh(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         guarded_refresh(stream, f"file://{tmp_path}/state", f"{tmp_path}/c", "k", "v", "good", "reviewed").awaitTermination(60)
         assert number == 0 or {r.k: r.v for r in spark.read.parquet(f"{tmp_path}/state/version=1").collect()} == {1: 1.0, 2: 2.0, 3: 7.0, 4: 4.0}
+
+
+def test_of_several_good_updates_the_latest_counts(spark, tmp_path):
+    rows = [(1, 5.0, True, False, 1), (1, 4.0, True, False, 3), (1, 9.0, True, False, 2), (1, 8.0, False, False, 9), (2, 1.0, True, False, 1), (2, 2.0, True, True, 1)]
+    spark.createDataFrame(rows, "k int, v double, good boolean, reviewed boolean, at int").repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, v double, good boolean, reviewed boolean, at int").parquet(f"{tmp_path}/in")
+    guarded_refresh(stream, f"file://{tmp_path}/state", f"{tmp_path}/c", "k", "v", "good", "reviewed", when="at").awaitTermination(60)
+    assert {r.k: r.v for r in spark.read.parquet(f"{tmp_path}/state/version=0").collect()} == {1: 4.0, 2: 2.0}
