@@ -1,6 +1,7 @@
 """Named cases: clashing columns, archives of other programs, altered licenses, bounded samples, a larger benchmark."""
 
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,37 @@ def test_a_benchmark_of_many_blocks_and_long_items(spark, monkeypatch):
     assert plan.count("MapInArrow") <= 4 and docs.count() == len(got)
 
 
+def test_equal_benchmark_items_are_one_text(spark, monkeypatch):
+    """Copies of one item share an entry, whose table keeps its bound; all their ids count."""
+    monkeypatch.setattr(D, "ENTRY_IDS", 500)
+    copied = " ".join(f"c{j}" for j in range(400))
+    ids = [f"i{k:05d}" for k in range(20_000)]
+    bench = spark.createDataFrame([*((k, copied) for k in ids), (ids[0], copied), (None, copied), ("other", "something else of four words")], "item_id string, text string")
+    paths = D.pattern_tables(bench, 10)
+    tables = [D.PatternTables.from_bytes(D.read_file(p)) for p in paths]
+    assert len(paths) == 1 and len(D.read_file(paths[0])) < 2 * D.BLOCK_BYTES
+    sizes = [len(x) for t in tables for x in t.items]
+    assert sum(sizes) == 20_001 and max(sizes) < 1000
+    docs = spark.createDataFrame([(1, "x " + copied[:200] + " y"), (2, "nothing of it"), (3, None), (3, None)], "doc_id long, text string")
+    want = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    for size in (D.BLOCK_BYTES, 20_000):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        got = {r.doc_id: r for r in D.contamination(docs, bench).collect()}
+        assert got[1].n_items == 20_000 and got[1].items_sha256 == want and not got[2].contaminated and not got[3].contaminated
+        assert D.contamination(docs, bench).count() == 4
+        assert sorted(r.doc_id for r in D.clean_documents(docs, bench).collect()) == [2, 3, 3]
+
+
+@pytest.mark.parametrize("window", [1, 2, 300])
+def test_windows_of_any_length(spark, window):
+    """Also such as jump further than a byte can say, and a document of megabytes."""
+    item = [f"w{j % 977}" for j in range(700)]
+    text = " ".join(["q"] * 300_000 + item[100:420] + ["q"] * 300_000)
+    docs = spark.createDataFrame([(1, text), (2, " ".join(item[:299])), (3, " ".join(item[5:305]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in D.contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), window).collect()}
+    assert got == {1: (600_320, 320), 2: (299, 0 if window == 300 else 299), 3: (300, 300)}
+
+
 def test_a_family_of_alterations_and_a_long_text(spark):
     """Texts that share most words in a chain: each is near its neighbours only; and one of millions of characters."""
     base = [f"w{i}" for i in range(300)]
