@@ -4,7 +4,8 @@ Every word position starts a suffix of its document, of which the first `window`
 groups by the smallest run of k words within those, by hash: k is 2 where that makes groups that fit in memory, else 4, 8
 or all `window` words. Equal suffixes meet in one group, and neighbouring ones mostly share their smallest run, so that
 a piece of text travels once for about ten suffixes, with all its words. Group sizes come from an exact count over the
-corpus in hashed slots, a table of fixed size; there are as many groups as the corpus needs.
+corpus in hashed slots; there are as many slots and groups as the corpus needs. Tasks read a written table of the few slots
+that are too large or dealt in turn; all others go by their number.
 
 A group sorts its suffixes by their words and takes common-prefix lengths of neighbours: a run of lengths of `window` or
 more is an internal node of the suffix tree that deep, a passage that occurs more than once. Suffixes whose fingerprint
@@ -18,6 +19,7 @@ documents share reaches its group once for each chunk.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import partitions_for, small_side, staged
+from ._shared import partitions_for, scratch_dir, small_side, staged
+from ._tokens import read_file, write_file
 from ._words import binary_array, mix, pieces, split_words, text_bytes, window_hashes, windows_inside, word_hashes
 from .near_dup import grouped
 
-LEVELS, SLOTS = (2, 4, 8), 1 << 16
+LEVELS = (2, 4, 8)
+#: Fewest bits of a slot's number, the most of those that a map task counts in an array, and slots of a mean group's quarter.
+SLOT_BITS, ARRAY_BITS, SPREAD = 16, 18, 16
 #: Suffixes of one group.
 GROUP = 2_000_000
 #: Suffixes that are sorted by their words at once; equal ones stay together.
@@ -41,7 +46,7 @@ CHUNK_BYTES = 8 << 20
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
-def _anchors(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(h: np.ndarray, k: int, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, slot) of the smallest k words, the first of equal ones, of each window."""
     grams = window_hashes(h, k)
     low, width, span = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), 1, window - k + 1
@@ -50,18 +55,27 @@ def _anchors(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray
         low = np.minimum(low[:-step], low[step:])
         width += step
     place = (low & _LOW).astype(np.int64)
-    return place, (mix(grams[place] ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(48)).astype(np.int64)
+    return place, (mix(grams[place] ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _levels(window: int) -> list[int]:
     return [k for k in LEVELS if k < window] + [window]
 
 
-def _count_slots(window: int):
-    levels = _levels(window)
+def _slot_bits(suffixes: int) -> int:
+    """Bits of a slot's number, so that a mean slot has a SPREADth of what may stay together."""
+    return max(SLOT_BITS, (SPREAD * suffixes // (GROUP // 4)).bit_length())
+
+
+def _count_slots(window: int, bits: int):
+    """mapInArrow function: (level, slot, n) of the suffixes of a task, or of each piece of text where slots are many."""
+    levels = _levels(window)[:-1]
+
+    def rows(level: int, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(slot), level, np.int32)), pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], ["level", "slot", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(levels), SLOTS), np.int64)
+        total = np.zeros((len(levels), 1 << bits), np.int64) if bits <= ARRAY_BITS else None
         for batch in batches:
             for _, part in pieces(text_bytes(batch.column("text"))):
                 h, first = word_hashes(part)
@@ -69,26 +83,74 @@ def _count_slots(window: int):
                 if n > 0:
                     ok = windows_inside(first, window, n)
                     for i, k in enumerate(levels):
-                        total[i] += np.bincount(_anchors(h, k, window)[1][ok], minlength=SLOTS)
-        slot = np.flatnonzero(total.ravel())
-        yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(total.ravel()[slot])], ["slot", "n"])
+                        slot = _anchors(h, k, window, bits)[1][ok]
+                        if total is None:
+                            yield rows(i, *np.unique(slot, return_counts=True))
+                        else:
+                            total[i] += np.bincount(slot, minlength=1 << bits)
+        for i, own in enumerate([] if total is None else total):
+            slot = np.flatnonzero(own)
+            yield rows(i, slot, own[slot])
 
     return run
 
 
-def _routes(counts: np.ndarray, parts: int) -> np.ndarray:
-    """The group of each slot of the levels but the last; -1 where the suffixes go on to the next level.
+def _routes(slot: np.ndarray, n: np.ndarray, fits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots in order, their groups) of those slots of a level that don't go by their number.
 
-    Large slots are dealt in turn, from the largest, small ones by their number.
+    Suffixes of a slot of more than `fits` go on to the next level (-1), the other slots are dealt in turn from the largest.
     """
-    route = np.full((len(counts) - 1, SLOTS), -1, np.int32)
-    fits = max(GROUP // 8, int(counts[-1].sum()) // (4 * parts))
-    for level, own in zip(route, counts[:-1], strict=True):
-        slots = np.flatnonzero(own <= fits)
-        level[slots] = slots % parts
-        large = slots[own[slots] > fits // 8]
-        level[large[np.argsort(-own[large], kind="stable")]] = np.arange(len(large)) % parts
-    return route
+    order = np.argsort(slot)
+    slot, n = slot[order], n[order]
+    group = np.full(len(slot), -1, np.int64)
+    own = np.flatnonzero(n <= fits)
+    group[own[np.argsort(-n[own], kind="stable")]] = np.arange(len(own)) % parts
+    return slot, group
+
+
+def _write_routes(folder: str, fits: int, parts: int):
+    """mapInArrow function over (level, slot, n), sorted by level: a written table for each level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ["level"]):
+            level, path = rows.column("level")[0].as_py(), f"{folder}/{uuid.uuid4().hex}.routes"
+            write_file(path, np.stack(_routes(rows.column("slot").to_numpy(), rows.column("n").to_numpy(), fits, parts)).tobytes())
+            yield pa.record_batch([pa.array([level], pa.int32()), pa.array([path])], ["level", "path"])
+
+    return run
+
+
+def _routing(texts: DataFrame, window: int) -> tuple[list[str | None], int, int]:
+    """(path of each level's table of routes but the last, bits of a slot's number, groups) for `texts` (text).
+
+    A table names the slots that are too large and those of eight times the mean and more, at most an eighth of all.
+    """
+    spark, levels = texts.sparkSession, _levels(window)[:-1]
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = _slot_bits(size // 4)
+    counts = staged(texts.mapInArrow(_count_slots(window, bits), "level int, slot long, n long").groupBy("level", "slot").agg(F.sum("n").alias("n")), "repeat-slots")
+    total = counts.where("level = 0").agg(F.sum("n")).first()[0] or size // 4
+    parts = max(partitions_for(spark), -(-total // GROUP))
+    fits = max(GROUP // 8, total // (4 * parts))
+    named = counts.where(F.col("n") > min(fits, max(fits // 8, 8 * (total >> bits)))).repartition(len(levels) or 1, "level").sortWithinPartitions("level")
+    made = staged(named.mapInArrow(_write_routes(scratch_dir(spark, "repeat-routes"), fits, parts), "level int, path string"), "repeat-paths")
+    paths = {row.level: row.path for row in made.collect()}  # a row a level
+    return [paths.get(i) for i in range(len(levels))], bits, parts
+
+
+def _read_routes(path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    slot, group = np.frombuffer(read_file(path) if path else b"", np.int64).reshape(2, -1)
+    return slot, group
+
+
+def _group_of(slot: np.ndarray, table: tuple[np.ndarray, np.ndarray], parts: int) -> np.ndarray:
+    """The group of each slot; -1 where it goes on to the next level."""
+    named, to = table
+    group = slot % parts
+    if len(named):
+        at = np.searchsorted(named, slot).clip(max=len(named) - 1)
+        group = np.where(named[at] == slot, to[at], group)
+    return group
 
 
 def _pack(docs: np.ndarray, starts: np.ndarray) -> bytes:
@@ -177,11 +239,11 @@ def _unpack_words(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return windows.astype(np.int64), inside, binary_array(lengths, raw[ends[-1] :])
 
 
-def _suffixes(window: int, route: np.ndarray, parts: int):
+def _suffixes(window: int, paths: list[str | None], bits: int, parts: int):
     """mapInArrow function: (place, text) to packed suffixes for their groups; places known to be repeats lack words."""
     levels = _levels(window)
 
-    def packed(chunk: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def packed(chunk: list[bytes], ids: np.ndarray, routes: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words, first = split_words(chunk)
         coded = words.dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary
@@ -209,9 +271,9 @@ def _suffixes(window: int, route: np.ndarray, parts: int):
         for i, k in enumerate(levels):
             todo = np.flatnonzero(group < 0)
             if len(todo):
-                place, slot = (x[pick[todo]] for x in _anchors(h, k, window))
+                place, slot = (x[pick[todo]] for x in _anchors(h, k, window, bits))
                 # the last level is as wide as there are groups
-                group[todo] = route[i][slot] if i < len(route) else whole[stays][todo] % np.uint64(parts)
+                group[todo] = _group_of(slot, routes[i], parts) if i < len(routes) else whole[stays][todo] % np.uint64(parts)
                 anchor[todo] = place * len(levels) + i
         cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (pick[1:] != pick[:-1] + 1)]))
         windows = np.diff(np.append(cut, len(pick)))
@@ -222,13 +284,14 @@ def _suffixes(window: int, route: np.ndarray, parts: int):
             yield _batch(rows[i : i + 32])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routes = [_read_routes(path) for path in paths]
         for batch in batches:
             ids = batch.column("place").to_numpy()
             by_id = np.argsort(ids, kind="stable")
             raw = text_bytes(batch.column("text"))
             ids, texts = ids[by_id], [raw[i] for i in by_id]
             for at, chunk in pieces(texts, CHUNK_BYTES):
-                yield from packed(chunk, ids[at : at + len(chunk)])
+                yield from packed(chunk, ids[at : at + len(chunk)], routes)
 
     return run
 
@@ -366,17 +429,9 @@ def drop_repeated_passages(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = _placed(docs)
-    spark = docs.sparkSession
-    levels = _levels(window)
-    counts = np.zeros(len(levels) * SLOTS, np.int64)
-    for row in docs.select("text").mapInArrow(_count_slots(window), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row.slot] = row.n  # a table of fixed size
-    counts = counts.reshape(len(levels), SLOTS)
-    total = int(counts[-1].sum())
-    parts = max(partitions_for(spark), -(-total // GROUP))
-    route = _routes(counts, parts)
+    paths, bits, parts = _routing(docs.select("text"), window)
     deal = lambda df: df.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    suffixes = deal(docs.select("place", "text").mapInArrow(_suffixes(window, route, parts), _EXCHANGED))
+    suffixes = deal(docs.select("place", "text").mapInArrow(_suffixes(window, paths, bits, parts), _EXCHANGED))
     places = deal(suffixes.mapInArrow(_repeats(window, parts), _EXCHANGED))
     spans = staged(places.mapInArrow(_spans_of(window), "gone_id long, spans binary"), "repeat-spans")
     joined = docs.join(small_side(spans, 48, F.octet_length("spans")), F.col("place") == F.col("gone_id"), "left")

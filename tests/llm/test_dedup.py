@@ -154,8 +154,38 @@ def test_passages_with_many_small_groups(docs, corpus, monkeypatch):
     assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in drop_repeated_passages(docs).collect())
 
 
+def test_passages_with_more_slots_than_an_array_counts(docs, corpus, monkeypatch):
+    """Slots are counted a piece of text at a time, and most are named by no table."""
+    import marlstone.llm.substring_dedup as S
+
+    monkeypatch.setattr(S, "SLOT_BITS", S.ARRAY_BITS + 2)
+    monkeypatch.setattr(S, "GROUP", 500)
+    want = brute_passages(corpus)
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in drop_repeated_passages(docs).collect())
+
+
+@pytest.mark.parametrize("total", [10**8, 10**10, 10**11])
+def test_slots_grow_with_the_corpus(total):
+    """Slots of heavy tails, drawn apart for each level: few suffixes reach the last level, groups stay even, tables small."""
+    import marlstone.llm.substring_dedup as S
+
+    slots, parts = 1 << S._slot_bits(total), max(8, total // S.GROUP)
+    left, rng = 1.0, np.random.default_rng(1)
+    for _ in S.LEVELS:
+        n = rng.pareto(1.5, slots)
+        n = (n * (total / n.sum())).astype(np.int64)
+        fits = max(S.GROUP // 8, total // (4 * parts))
+        named = np.flatnonzero(n > min(fits, max(fits // 8, 8 * total // slots)))
+        group = S._group_of(np.arange(slots), S._routes(named, n[named], fits, parts), parts)
+        went = group >= 0
+        assert len(named) <= slots / 8 and not (n[went] > fits).any()
+        assert np.bincount(group[went], n[went], parts).max() < 3 * S.GROUP
+        left *= 1 - n[went].sum() / n.sum()
+    assert left < 0.05
+
+
 @pytest.mark.parametrize("window", [2, 3, 20])
-def test_passages_of_equal_fingerprints_are_told_apart_by_their_words(monkeypatch, window):
+def test_passages_of_equal_fingerprints_are_told_apart_by_their_words(monkeypatch, tmp_path, window):
     """Hashes of a few bits only: most suffixes share theirs, so that words alone decide."""
     import marlstone.llm.substring_dedup as S
 
@@ -165,12 +195,14 @@ def test_passages_of_equal_fingerprints_are_told_apart_by_their_words(monkeypatc
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, 60)) for _ in range(30)]
     texts += [" ".join(texts[3].split()[7:55]), texts[4], "", "w1", texts[5] + " " + texts[5]]
-    route = np.full((len(S._levels(window)) - 1, S.SLOTS), -1, np.int32)
-    route[:, ::2] = 1
+    path = f"file://{tmp_path}/every.routes"  # even slots to group 1, odd ones to the next level
+    slots = np.arange(1 << S.SLOT_BITS)
+    S.write_file(path, np.stack([slots, np.where(slots % 2, -1, 1)]).tobytes())
+    paths = [path] * (len(S._levels(window)) - 1)
     sent = []
     for at in range(0, len(texts), 8):
         batch = pa.record_batch([pa.array(range(at, at + len(texts[at : at + 8]))), pa.array(texts[at : at + 8])], ["place", "text"])
-        sent += [b for b in S._suffixes(window, route, parts)(iter([batch]))]
+        sent += [b for b in S._suffixes(window, paths, S.SLOT_BITS, parts)(iter([batch]))]
     table = pa.Table.from_batches(sent).sort_by("part")
     found = set()
     for b in S._repeats(window, parts)(iter(table.to_batches())):
