@@ -38,6 +38,13 @@ def letters_only(text: str) -> bytes:
     return b" ".join(text.encode().translate(_plain).translate(LOWER_TABLE).split())
 
 
+def _kept_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (lang, place, text) with the part of the text's letters that a dictionary may keep."""
+    for batch in batches:
+        letters = [letters_only(text)[-DICTIONARY_BYTES:] for text in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("lang"), batch.column("place"), pa.array(letters, pa.binary())], ["lang", "place", "letters"])
+
+
 def fit(labelled: DataFrame) -> dict[str, list[bytes]]:
     """The dictionaries of each language of `labelled` (doc_id, text, lang), from a bounded sample of it.
 
@@ -45,7 +52,7 @@ def fit(labelled: DataFrame) -> dict[str, list[bytes]]:
     of doc_id; documents of FIT_CHARS characters go before others. A dictionary keeps the last DICTIONARY_BYTES bytes of
     its documents' letters. Languages come in the order of their frequency.
 
-    Documents are chosen by their ids and hashes first, and only the texts of those travel.
+    Documents are chosen by their ids and hashes first, and only the letters of those travel, cut to a dictionary's bytes.
     """
     key = ["doc_id", "lang", "digest"]
     rows = labelled.where("text is not null and lang is not null").select(
@@ -57,10 +64,11 @@ def fit(labelled: DataFrame) -> dict[str, list[bytes]]:
     places = rows.select(*key, fits.alias("fits")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIT_DOCS * DICTIONARIES)
     chosen = staged(places.groupBy(*key).agg(F.min("place").alias("place")), "language-sample").select(*(F.col(c).alias(f"its_{c}") for c in key), "place")
     same = F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & (F.col("digest") == F.col("its_digest")) & (F.col("lang") == F.col("its_lang"))
-    texts = rows.join(small_side(chosen, 64), same).groupBy("lang", "place").agg(F.any_value("text").alias("text"))
+    own = rows.join(small_side(chosen, 64), same).select("lang", "place", "text").mapInArrow(_kept_letters, "lang string, place int, letters binary")
+    texts = own.groupBy("lang", "place").agg(F.any_value("letters").alias("letters"))
     found: dict[str, list[list[bytes]]] = defaultdict(lambda: [[] for _ in range(DICTIONARIES)])
     for row in texts.sort("lang", "place").toLocalIterator():
-        found[row.lang][row.place % DICTIONARIES].append(letters_only(row.text))
+        found[row.lang][row.place % DICTIONARIES].append(bytes(row.letters))
     return {lang: [b" ".join(x)[-DICTIONARY_BYTES:] for x in parts] for lang, parts in sorted(found.items(), key=lambda x: (-often[x[0]], x[0]))}
 
 

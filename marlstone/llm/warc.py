@@ -89,18 +89,31 @@ def records_of(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(file, piece: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file, of one member or several, in pieces."""
-    engine = zlib.decompressobj(31)
+    """The bytes of a gzip file, of one member or several, in pieces of at most `piece` bytes but for a member's last.
+
+    Zeros before, between and behind members are padding; a member without its end is an error.
+    """
+    engine = None
     while data := file.read(piece):
         while data:
-            yield engine.decompress(data)
-            data = engine.unused_data
-            if engine.eof:
+            if engine is None:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
                 engine = zlib.decompressobj(31)
+            yield engine.decompress(data, piece)
+            data, engine = (engine.unused_data, None) if engine.eof else (engine.unconsumed_tail, engine)
+    if engine is not None:
+        yield engine.flush()
+        if not engine.eof:
+            raise ValueError("the archive ends within a gzip member")
 
 
 def normalise(source: str, target: str) -> list[tuple[int, int]]:
-    """Rewrites the archive `source` as `target`, with an index at target + ".idx"; (offset, length) of each record."""
+    """Rewrites the archive `source` as `target`, with an index at target + ".idx"; (offset, length) of each record.
+
+    One record at a time is held whole, inflated, beside its compressed form. A damaged archive is an error.
+    """
     index, offset = [], 0
     fs, at = store(source)
     out_fs, out_at = store(target)

@@ -2,11 +2,14 @@
 
 import gzip
 import hashlib
+import io
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate as D
+from marlstone.llm import language_id as L
 from marlstone.llm import quality_rules as Q
 from marlstone.llm import warc as W
 from marlstone.llm._shared import fresh, scratch_dir
@@ -101,6 +104,47 @@ def test_a_benchmark_of_many_blocks_and_long_items(spark, monkeypatch):
     assert plan.count("MapInArrow") <= 4 and docs.count() == len(got)
 
 
+def test_padded_and_damaged_archives():
+    """Zeros around members are padding; a member that lacks bytes of its end is refused, whatever the pieces read."""
+    body = [b"WARC/1.0 " + bytes([65 + i]) * 5000 for i in range(3)]
+    one = gzip.compress(b"".join(body))
+    padded = b"\0" * 7 + b"".join(gzip.compress(x) + b"\0" * 600 for x in body)
+    for piece in (1, 13, 512, 1 << 20):
+        for data in (one, padded, one + b"\0" * 1024):
+            found = list(W.inflated(io.BytesIO(data), piece))
+            assert b"".join(found) == b"".join(body) and max(map(len, found)) <= max(piece, 15_100)
+        for missing in (1, 4, 8, 9, 40):
+            with pytest.raises(ValueError):
+                list(W.inflated(io.BytesIO(one[:-missing]), piece))
+    bomb = gzip.compress(b"\0" * (64 << 20))
+    assert max(map(len, W.inflated(io.BytesIO(bomb)))) <= 2 << 20
+    assert list(W.inflated(io.BytesIO(b""))) == []
+
+
+def test_languages_by_a_plain_loop(spark, corpus):
+    """The same dictionaries, tried one after the other on each text; and one labelled document of megabytes."""
+    langs = ["en", "de", "fr"]
+    labelled = [(i, t, langs[i % 3]) for i, (_, t, *_) in enumerate(corpus)] + [(1000, "Lang " * 400_000, "fr")]
+    table = spark.createDataFrame(labelled, "doc_id long, text string, lang string")
+    model = L.fit(table)
+    assert set(model) == set(langs) and all(len(x) <= L.DICTIONARY_BYTES for parts in model.values() for x in parts)
+    alone = L.fit(table.where("doc_id = 1000"))["fr"]
+    assert alone == [b"", L.letters_only("Lang " * 400_000)[-L.DICTIONARY_BYTES :]]
+    tools = {k: [zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for x in parts] for k, parts in model.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(table, table).collect()}
+    for i, text, _ in labelled:
+        if text is None or not any(c.isalpha() for c in text):
+            assert got[i] == ("und", 0.0)
+            continue
+        plain = b" " + L.letters_only(text) + b" "
+        parts = [plain[j : j + L.SEGMENT] for j in range(0, len(plain), L.SEGMENT)]
+        size = {}
+        for k, own in tools.items():
+            size[k] = sum(len(own[j % 2].compress(x)) for j, x in enumerate(parts)) if len(parts) > 1 else sum(len(c.compress(plain)) for c in own)
+        best, second = sorted(size.values())[:2]
+        assert size[got[i][0]] == best and got[i][1] == (second - best) / second
+
+
 def test_equal_benchmark_items_are_one_text(spark, monkeypatch):
     """Copies of one item share an entry, whose table keeps its bound; all their ids count."""
     monkeypatch.setattr(D, "ENTRY_IDS", 500)
