@@ -98,7 +98,8 @@ class EffectMoments:
     """Sums of products of columns within effects, from one pass over the rows: any subset of the columns can be fitted.
 
     Rows are read once, for the moments of each cell of effect and cluster; all sums within the effects follow from the
-    cells. Rows with a missing value in any of the columns are left out.
+    cells. Rows with a missing value in any of the columns are left out. With clusters, rows go to their cell before they are
+    summed: a task mostly has too few of a cell for partial sums to pay, which are as wide as the square of the columns.
     """
 
     def __init__(self, df: DataFrame, y: str, columns: Sequence[str], effect: str | None = None, cluster: str | None = None):
@@ -114,6 +115,7 @@ class EffectMoments:
         about = [F.col(c).cast("double") - F.lit(m) for c, m in zip(names, self._centre, strict=True)]
         pairs = [(i, j) for i in range(q + 1) for j in range(i, q + 1)]
         near = rows.select(*by, *(x.alias(f"_x{i}") for i, x in enumerate(about)))
+        near = near.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_e", "_k") if cluster else near
         sums = [F.expr(f"sum(_x{i}) AS _s{i}") for i in range(q + 1)] + [F.expr(f"sum(_x{i} * _x{j}) AS _p{i}_{j}") for i, j in pairs]
         cells = written(near.groupBy("_e", *(["_k"] if cluster else [])).agg(*sums, F.count("*").alias("_n")), "fit-cells")  # a row for each cell
         self._means = cells.groupBy(F.col("_e").alias("_of")).agg(*(F.expr(f"sum(_s{i}) / sum(_n) AS _g{i}") for i in range(q + 1)))
