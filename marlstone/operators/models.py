@@ -370,21 +370,57 @@ def spline_basis(x: Column, knots: Sequence[float], degree: int = 3) -> list[Col
     return b
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return h ^ (h >> np.uint64(32))
+
+
+def hashed_on(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """xxhash64(..., x) of ints below 2 ** 31, where h (unsigned) is the hash of the columns before."""
+    h = (h + np.uint64(0x27D4EB2F165667C5 + 4)) ^ (x.astype(np.uint64) * np.uint64(0x9E3779B185EBCA87))
+    return _mixed(((h << np.uint64(23)) | (h >> np.uint64(41))) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+
+
 def bootstrap_medians(df: DataFrame, key: str, value: str, replicates: int, seed: int = 1) -> DataFrame:
-    """(key, n, positive, low, mid, high, iqr) of medians over resampled values, drawn by a hash of (key, replicate, draw).
+    """(key, n, positive, low, mid, high, iqr) of medians over resampled values, drawn by xxhash64(key, replicate, draw, seed).
 
-    Values of a key are an array that is dealt out once for each block of 25 replicates; replicates resample it in place.
+    Values of a key are an array that travels once, or once for each block of replicates where there are very many; a task
+    draws a few replicates of a key at a time.
     """
-    packed = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("_v"))
+    spark, block = df.sparkSession, 50_000_000
+    packed = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"))
     n = F.size("_v")
-    dealt = packed.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(25))))
-    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_b")
-    rep = dealt.withColumn("_r", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + 24, F.lit(replicates)))))
-    draws = F.array_sort(F.transform(F.sequence(F.lit(1), n), lambda j: F.get("_v", F.pmod(F.xxhash64(F.col(key), F.col("_r"), j, F.lit(seed)), n).cast("int"))))
-    drawn = rep.withColumn("_d", draws).withColumn("_m", (F.get("_d", F.floor((n - 1) / 2).cast("int")) + F.get("_d", F.floor(n / 2).cast("int"))) / 2)
-    return drawn.groupBy(key).agg(
-        F.first(n).alias("n"), F.avg((F.col("_m") > 0).cast("double")).alias("positive"), *(F.percentile("_m", p).alias(name) for p, name in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))), (F.percentile("_m", 0.75) - F.percentile("_m", 0.25)).alias("iqr")
-    )
+    step = F.greatest(F.lit(1), F.floor(F.lit(block) / n)).cast("int")
+    dealt = packed.select(F.col(key), "_v", F.xxhash64(key).alias("_h"), F.explode(F.sequence(F.lit(1), F.lit(replicates), F.least(step, F.lit(replicates)))).alias("_b"), step.alias("_step"))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key, "_b")
+
+    def draws(batches):
+        for pdf in batches:
+            out = []
+            for k, v, h, first, step in zip(pdf[key], pdf["_v"], pdf["_h"], pdf["_b"], pdf["_step"], strict=True):
+                v, size = np.asarray(v), len(v)
+                reps, js, low = np.arange(first, min(first + step, replicates + 1)), np.arange(1, size + 1), (size - 1) // 2
+                medians, at_once = [], max(1, 60_000 // size)
+                for i in range(0, len(reps), at_once):
+                    own = hashed_on(np.array([h], np.int64).view(np.uint64), reps[i : i + at_once])
+                    drawn = hashed_on(hashed_on(own[:, None], js[None, :]), np.array([[seed]])).view(np.int64)
+                    drawn = drawn - drawn // size * size
+                    drawn.partition((low, size // 2), axis=1)
+                    medians.append((v[drawn[:, low]] + v[drawn[:, size // 2]]) / 2)
+                out.append((k, size, np.concatenate(medians)))
+            yield pd.DataFrame(out, columns=[key, "n", "_m"])
+
+    drawn = dealt.mapInPandas(draws, f"`{key}` {dict(df.dtypes)[key]}, n int, _m array<double>")
+    per = drawn.groupBy(key).agg(F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("_m"))).alias("_m"))
+
+    def at(p: float) -> Column:
+        """percentile() of the medians."""
+        place = p * (replicates - 1)
+        low, high = (F.get("_m", F.lit(f(place))) for f in (math.floor, math.ceil))
+        return F.when(low == high, low).otherwise((math.ceil(place) - place) * low + (place - math.floor(place)) * high)
+
+    return per.select(key, "n", (F.size(F.filter("_m", lambda m: m > 0)) / F.lit(float(replicates))).alias("positive"), *(at(p).alias(name) for p, name in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))), (at(0.75) - at(0.25)).alias("iqr"))
 
 
 def label_agreement(df: DataFrame, one: str, two: str) -> DataFrame:

@@ -20,3 +20,19 @@ def test_cells_of_clusters_are_summed_behind_the_shuffle(spark, monkeypatch):
     df = spark.createDataFrame([(i % 7, i % 3, r.random(), r.random()) for i in range(60)], "e int, g int, x double, y double")
     M.absorbed_fit(df, "y", ["x"], "g", "e")
     assert plans["fit-cells"].index("partial_sum") < plans["fit-cells"].index("Exchange hashpartitioning")
+
+
+def test_bootstrap_draws_are_those_of_the_hash(spark):
+    r = random.Random(2)
+    rows = [(k, r.gauss(0, 1)) for k in range(5) for _ in range(k * 3 + 1)] + [(9, None)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    n, hashed = F.size("_v"), F.xxhash64("k", "_r", F.col("_j").cast("int"), F.lit(1))
+    packed = df.where("v is not null").groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("_v")).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    drawn = packed.withColumn("_j", F.explode(F.sequence(F.lit(1), n))).select("k", "_r", F.get("_v", F.pmod(hashed, n).cast("int")).alias("x"))
+    medians = drawn.groupBy("k", "_r").agg(F.percentile("x", 0.5).alias("m"))
+    want = {x.k: x for x in medians.groupBy("k").agg(F.avg((F.col("m") > 0).cast("double")).alias("positive"), F.percentile("m", 0.025).alias("low"), (F.percentile("m", 0.75) - F.percentile("m", 0.25)).alias("iqr")).collect()}
+    out = M.bootstrap_medians(df, "k", "v", 30)
+    assert "transform(" not in plan_of(out)  # draws are made in arrays of many, not one by one
+    got = {x.k: x for x in out.collect()}
+    assert got.keys() == want.keys() == set(range(5))
+    assert all(got[k][c] == pytest.approx(want[k][c], abs=1e-12) for k in want for c in ("positive", "low", "iqr"))
