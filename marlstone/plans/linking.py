@@ -94,16 +94,12 @@ def _prices():
     return F.abs(F.col("a_p_retailprice") - F.col("b_p_retailprice"))
 
 
-def _other():
-    return F.col("a_p_partkey") != F.col("b_p_partkey")
-
-
 @query("scored_matches", f"WITH {_SCORED}, k AS (SELECT *, LEAD(score) OVER w AS second, ROW_NUMBER() OVER w AS place, COUNT(*) OVER (PARTITION BY l) AS candidates FROM p WINDOW w AS (PARTITION BY l ORDER BY score DESC, r)) SELECT l, r, CAST(score AS DOUBLE) AS score, reasons, candidates, COALESCE(score - second < 5, FALSE) AS near_tie, CASE WHEN score >= 80 AND NOT COALESCE(score - second < 5, FALSE) THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM k WHERE place = 1")
 def scored_matches(spark, d):
     """Candidates of a block, additive scores with reasons, the best one, near ties."""
     a, b = _sides(spark, d)
     scores = [("size", _apart() <= 3, 40.0), ("price", _prices() <= 50, 30.0), ("same_size", _apart() == 0, 20.0)]
-    out = J.scored_matches(a, b, ["p_brand", "p_type"], "a_p_partkey", "b_p_partkey", scores, only=_other())
+    out = J.scored_matches(a, b, ["p_brand", "p_type"], "a_p_partkey", "b_p_partkey", scores)
     return out.withColumnsRenamed({"a_p_partkey": "l", "b_p_partkey": "r"})
 
 
@@ -111,9 +107,8 @@ def scored_matches(spark, d):
 def first_rule_match(spark, d):
     """The candidate of the first rule that holds."""
     a, b = _sides(spark, d)
-    pairs = a.join(b, ["p_brand", "p_type"]).where(_other())
     rules = [("same", (_apart() == 0) & (_prices() <= 100)), ("alike", _apart() <= 1)]
-    return J.first_rule_match(pairs, "a_p_partkey", "b_p_partkey", rules).withColumnsRenamed({"a_p_partkey": "l", "b_p_partkey": "r"})
+    return J.first_rule_match(a, b, ["p_brand", "p_type"], "a_p_partkey", "b_p_partkey", rules).withColumnsRenamed({"a_p_partkey": "l", "b_p_partkey": "r"})
 
 
 @query("parts_to_whole", "WITH s AS (SELECT l_orderkey AS k, COUNT(*) AS parts, SUM(CAST(l_quantity AS BIGINT)) AS parts_size FROM lineitem GROUP BY 1) SELECT k, parts, CAST(parts_size AS BIGINT) AS parts_size, CAST(o_totalprice / 2000 AS BIGINT) AS size, ABS(parts_size - CAST(o_totalprice / 2000 AS BIGINT)) <= 5 AS matched FROM s JOIN orders ON o_orderkey = k")

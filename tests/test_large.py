@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions.order_statistics import exact_quantiles
 from marlstone.operators import joins as J
 from marlstone.operators import models as M
 
@@ -59,3 +60,39 @@ def test_polygons_as_near_to_nine_decimals_go_by_id(spark):
     assert (got.z, got.distance) == (1, pytest.approx(0.1))
     far = J.nearest_polygons(points, spark.createDataFrame([(1, box(0.3 + 1e-10, 0.0)), (2, box(-24.9, 0.0))], zones.schema), "k", "z", 16.0).first()
     assert far.z == 1
+
+
+def test_matches_of_a_block_with_many_copies(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice("gh"), r.choice([None, 1, 2, 5]), r.choice([1.0, 2.0])) for i in range(60)] + [(100, "alone", 1, 1.0)]
+    rows += [(1000 + i, "copies", 3, 1.0) for i in range(3000)]  # nine million pairs
+    df = spark.createDataFrame(rows, "id int, g string, s int, p double")
+    a, b = (df.select("g", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "s", "p"))) for x in "ab")
+    apart = F.abs(F.col("a_s") - F.col("b_s"))
+    scores = [("size", apart <= 1, 40.0), ("price", F.col("a_p") == F.col("b_p"), 42.0)]
+    got = {x.a_id: tuple(x)[1:] for x in J.scored_matches(a, b, ["g"], "a_id", "b_id", scores).collect()}
+    first = {x.a_id: (x.b_id, x.rule) for x in J.first_rule_match(a, b, ["g"], "a_id", "b_id", [("same", (apart == 0) & (F.col("a_p") == F.col("b_p"))), ("near", apart <= 1)]).collect()}
+    want, ruled = {}, {}
+    for i, g, s, p in rows[:60]:
+        told = []
+        for j, h, t, q in rows[:60]:
+            if h == g and j != i:
+                size, price = s is not None and t is not None and abs(s - t) <= 1, p == q
+                told.append((-(40.0 * size + 42.0 * price), j, ";".join(["size"] * size + ["price"] * price)))
+                if size:
+                    ruled[i] = min(ruled.get(i, (9, 0)), (0 if s == t and price else 1, j))
+        told.sort()
+        score, tie = -told[0][0], told[1][0] - told[0][0] < 5
+        want[i] = (told[0][1], score, told[0][2], len(told), tie, "HIGH" if score >= 80 and not tie else "MEDIUM" if score >= 50 else "LOW")
+    assert {i: got[i] for i in want} == want and 100 not in got
+    assert {i: first[i] for i in first if i < 60} == {i: (j, ("same", "near")[k]) for i, (k, j) in ruled.items()}
+    assert got[1000][0] == 1001 and got[1001][0] == 1000 and got[2500] == (1000, 82.0, "size;price", 2999, True, "MEDIUM") and first[2500] == (1000, "same")
+    top = J.best_candidates(a, b, ["g"], "a_id", "b_id", [F.lit(0)], 1)
+    assert top.count() == 60 + 3000
+
+
+def test_bounds_of_quantiles_are_broadcast(spark):
+    df = spark.createDataFrame([(i % 3, float(i)) for i in range(99)], "g int, x double")
+    out = exact_quantiles(df, ["g"], ["x"], [0.25, 0.5])
+    assert "SortMergeJoin" not in plan_of(out)  # which would sort a group's rows in one task
+    assert {r.g: r.x for r in out.collect()} == {g: [g + 24.0, g + 48.0] for g in range(3)}
