@@ -202,17 +202,20 @@ def draw(*parts: Column) -> Column:
 def resampled_medians(rows: DataFrame, ident: str, value: str, ties: str, replicates: int, seed: int = 0) -> DataFrame:
     """(rep, ident, median): of as many draws with replacement as an entity has values, for replicates 0, 1, ...
 
-    Values are numbered in their order, so that the median of the draws is that of the drawn numbers; draws are made for
-    each row and replicate where the row is, and aggregated before they meet.
+    Values travel once, as an array in their order, or once for each block of replicates where an entity has very many; a
+    replicate is drawn where the array is, and its median is that of the drawn places.
     """
-    numbered = rows.where(F.col(value).isNotNull()).select(ident, F.col(value).cast("double").alias("_v"), ties)
-    numbered = numbered.select(ident, "_v", (F.row_number().over(Window.partitionBy(ident).orderBy("_v", ties)) - 1).alias("_i"), F.count("*").over(Window.partitionBy(ident)).alias("_n"))
-    numbered = written(numbered, "numbered")
-    drawn = numbered.select(ident, "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"), "_i")
-    drawn = drawn.groupBy("rep", ident).agg(F.sort_array(F.collect_list(F.pmod(draw(F.lit(seed), F.col(ident), F.col("rep"), F.col("_i")), F.col("_n")))).alias("_d"), F.first("_n").alias("_n"))
-    middle = drawn.select("rep", ident, F.explode(F.array(F.get("_d", F.floor((F.col("_n") - 1) / 2).cast("int")), F.get("_d", F.floor(F.col("_n") / 2).cast("int")))).alias("_i"))
-    met = middle.join(numbered.select(F.col(ident).alias("_id"), F.col("_i").alias("_at"), "_v"), (F.col(ident) == F.col("_id")) & (F.col("_i") == F.col("_at")))
-    return met.groupBy("rep", ident).agg(F.avg("_v").alias("median"))
+    kept = rows.where(F.col(value).isNotNull()).select(ident, F.struct(F.col(value).cast("double").alias("v"), F.col(ties).alias("t")).alias("_x"))
+    packed = kept.groupBy(ident).agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["v"]).alias("_v"))
+    n = F.size("_v")
+    step = F.least(F.lit(replicates), F.greatest(F.lit(1), F.floor(F.lit(5_000_000) / n)).cast("int"))
+    dealt = packed.select(ident, "_v", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), step)).alias("_b"))
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ident, "_b")
+    reps = F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + F.col("_step") - 1, F.lit(replicates - 1))))
+    drawn = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(draw(F.lit(seed), F.col(ident), F.col("rep"), i), n).cast("int")))
+    found = dealt.select(ident, "_v", reps.alias("rep")).withColumn("_d", drawn)
+    at = lambda f: F.get("_v", F.get("_d", f((n - 1) / 2).cast("int")))
+    return found.select("rep", ident, ((at(F.floor) + at(F.ceil)) / 2).alias("median"))
 
 
 def assignment_stability(aligned: DataFrame, ident: str, replicates: int) -> DataFrame:
