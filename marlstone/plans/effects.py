@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.staging import written
 from ..operators import effects as E
 from ..operators import models as M
-from ..operators.joins import relaxed_comparables
+from ..operators.joins import banded_comparables
 from ..operators.metrics import anchored, in_window
 from .registry import TRADES, query, table, trades
 from .systems import solved
@@ -203,9 +203,8 @@ def _gaps(spark, d) -> DataFrame:
     recent = anchored(rows, "deal_date").where(in_window("deal_date", 12))
     me = recent.groupBy("entity").agg(F.first("nation").alias("nation"), F.first("grp").alias("grp"), F.first("score").alias("score"), F.percentile("unit", 0.5).alias("price"), F.percentile(F.col("unit") * F.col("area"), 0.5).alias("amount"), F.avg("area").alias("area"))
     me = written(me, "gap-entities")
-    same, apart = F.col("a_nation") == F.col("b_nation"), F.abs(F.col("b_area") / F.col("a_area") - 1)
-    rules = [("STRICT", same & (apart <= 0.10)), ("RELAXED", same & (apart <= 0.20)), ("ALL_SAME_MARKET", same), ("DISTRICT", apart <= 0.20)]
-    found = relaxed_comparables(me, "entity", "grp", ["nation", "area"], rules, "price", 5)
+    rules = [("STRICT", ["nation"], "area", 0.10), ("RELAXED", ["nation"], "area", 0.20), ("ALL_SAME_MARKET", ["nation"], None, 0.0), ("DISTRICT", [], "area", 0.20)]
+    found = banded_comparables(me, "entity", "grp", rules, "price", 5, relative=True)
     met = _premiums(spark, d, rows).join(me, "entity").join(found, "entity", "left")
     grade = F.when(F.col("score") >= 50, "A").when(F.col("score") >= 10, "B").otherwise("C")
     told = met.withColumns({

@@ -153,12 +153,10 @@ def tolerance_prices(spark, d):
 @query("pair_search", f"WITH {ENTITIES} SELECT a.grp, a.entity AS a_entity, b.entity AS b_entity, ROUND(ABS(a.price - b.price), 4) AS gap FROM e a JOIN e b ON a.grp = b.grp AND a.entity < b.entity WHERE ABS(a.area - b.area) <= 0.3 * GREATEST(a.area, b.area) AND ABS(a.score - b.score) >= 1000 QUALIFY ROW_NUMBER() OVER (PARTITION BY a.grp ORDER BY ABS(a.price - b.price) DESC, a.entity, b.entity) <= 2")
 def pair_search(spark, d):
     """Constrained pairs within a group, the two of largest gap."""
-    from ..functions.ranks import top_per_group
-
     e = entities(spark, d).select("entity", "grp", "area", "score", "price")
     near = (F.abs(F.col("a_area") - F.col("b_area")) <= 0.3 * F.greatest("a_area", "b_area")) & (F.abs(F.col("a_score") - F.col("b_score")) >= 1000)
-    pairs = J.pairs_within(e, "entity", "grp", near, ["area", "score", "price"]).withColumn("raw", F.abs(F.col("a_price") - F.col("b_price")))
-    return top_per_group(pairs, ["grp"], [F.col("raw").desc(), F.col("a_entity"), F.col("b_entity")], 2).select("grp", "a_entity", "b_entity", F.round("raw", 4).alias("gap"))
+    pairs = J.widest_pairs(e, "entity", "grp", near, ["area", "score", "price"], F.abs(F.col("a_price") - F.col("b_price")), 2)
+    return pairs.select("grp", "a_entity", "b_entity", F.round("raw", 4).alias("gap"))
 
 
 @query("relaxed_comparables", "WITH p AS (SELECT a.p_partkey AS k, b.p_retailprice AS v, ABS(a.p_size - b.p_size) <= 2 AND a.p_type = b.p_type AS r1, ABS(a.p_size - b.p_size) <= 5 AND a.p_type = b.p_type AS r2, ABS(a.p_size - b.p_size) <= 10 AS r3 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey), g AS (SELECT k, COUNT(*) FILTER (WHERE r1) AS n1, COUNT(*) FILTER (WHERE r2) AS n2, COUNT(*) FILTER (WHERE r3) AS n3, quantile_cont(v, 0.5) FILTER (WHERE r1) AS m1, quantile_cont(v, 0.5) FILTER (WHERE r2) AS m2, quantile_cont(v, 0.5) FILTER (WHERE r3) AS m3 FROM p GROUP BY 1) SELECT k, CASE WHEN n1 >= 3 THEN 'tight' WHEN n2 >= 3 THEN 'wide' WHEN n3 >= 3 THEN 'loose' ELSE 'NONE' END AS rule, CASE WHEN n1 >= 3 THEN n1 WHEN n2 >= 3 THEN n2 WHEN n3 >= 3 THEN n3 ELSE 0 END AS matches, ROUND(CASE WHEN n1 >= 3 THEN m1 WHEN n2 >= 3 THEN m2 WHEN n3 >= 3 THEN m3 END, 4) AS comparable FROM g")

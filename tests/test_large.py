@@ -96,3 +96,34 @@ def test_bounds_of_quantiles_are_broadcast(spark):
     out = exact_quantiles(df, ["g"], ["x"], [0.25, 0.5])
     assert "SortMergeJoin" not in plan_of(out)  # which would sort a group's rows in one task
     assert {r.g: r.x for r in out.collect()} == {g: [g + 24.0, g + 48.0] for g in range(3)}
+
+
+def test_widest_pairs_of_a_group(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice("gh"), r.choice([1.0, 2.0, 5.0, 9.0]), r.choice([0.0, 1.0])) for i in range(50)] + [(100, "two", 1.0, 0.0), (101, "two", 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, g string, v double, s double")
+    for apart in (0, 1):
+        got = {}
+        for x in J.widest_pairs(df, "id", "g", F.abs(F.col("a_s") - F.col("b_s")) >= apart, ["v", "s"], F.abs(F.col("a_v") - F.col("b_v")), 2).collect():
+            got.setdefault(x.g, set()).add((x.raw, x.a_id, x.b_id))
+        for g in ("g", "h", "two"):
+            pairs = sorted((-abs(v - w), i, j) for i, a, v, s in rows for j, b, w, t in rows if a == b == g and i < j and abs(s - t) >= apart)
+            assert got[g] == {(-d, i, j) for d, i, j in pairs[:2]}
+    assert plan_of(J.pairs_within(df, "id", "g", F.lit(True), ["v"])).count("_slice") > 2
+
+
+def test_comparables_by_shares(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice("gh"), r.choice("xy"), r.choice([10.0, 11.0, 12.0, 30.0, 8.0]), r.choice([None, 1.0, 2.0, 4.0])) for i in range(60)] + [(99, "alone", "x", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, g string, t string, s double, v double")
+    rules = [("strict", ["t"], "s", 0.1), ("same", ["t"], None, 0.0), ("wide", [], "s", 0.2)]
+    got = {x.id: tuple(x)[1:] for x in J.banded_comparables(df, "id", "g", rules, "v", 7, relative=True).collect()}
+    want = {}
+    for i, g, t, s, _ in rows[:60]:
+        want[i] = ("NONE", 0, None)
+        for name, equal, band, within in rules:
+            own = [w for j, h, u, z, w in rows if h == g and j != i and w is not None and (not equal or u == t) and (not band or abs(z / s - 1) <= within)]
+            if len(own) >= 7:
+                want[i] = (name, len(own), statistics.median(own))
+                break
+    assert got == want
