@@ -19,6 +19,10 @@ from ..functions.order_statistics import exact_quantiles
 from ..functions.staging import small_side, written
 
 
+#: Partitions of points that are read many times.
+_DEALT = 12
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1.0 / max(1e-300, 1.0 - (a + b) * x / (a + 1.0)) if 1.0 - (a + b) * x / (a + 1.0) > 0 else 1.0
     h = d
@@ -444,7 +448,9 @@ def cluster_range(df: DataFrame, ident: str, columns: Sequence[str], ks: Sequenc
     from pyspark.ml.feature import VectorAssembler
 
     spark = df.sparkSession
-    points = VectorAssembler(inputCols=list(columns), outputCol="features").transform(complete_cases(df, columns)).select(ident, *columns, "features")
+    # written, as each step reads them; dealt by ident, as starts are drawn by partition
+    points = written(complete_cases(df, columns).select(ident, *columns), "cluster-points").repartition(_DEALT, ident).sortWithinPartitions(ident)
+    points = VectorAssembler(inputCols=list(columns), outputCol="features").transform(points).cache()
     n_all, labels, quality = points.count(), None, []
     for k in ks:
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
@@ -462,6 +468,8 @@ def cluster_range(df: DataFrame, ident: str, columns: Sequence[str], ks: Sequenc
         quality.append((k, silhouette, ch, db, min(r.n for r in per.values())))
         mine = own.select(ident, F.lit(k).alias("k"), "cluster")
         labels = mine if labels is None else labels.unionByName(mine)
+    labels = written(labels, "cluster-labels") if labels is not None else None
+    points.unpersist()
     return spark.createDataFrame(quality, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, least long"), labels
 
 
@@ -479,11 +487,14 @@ def mixture_bic(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed:
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    points, d, out = VectorAssembler(inputCols=list(columns), outputCol="features").transform(complete_cases(df, columns)), len(columns), []
+    # written, as each step reads them
+    points = written(complete_cases(df, columns).select(*columns), "mixture-points").repartition(_DEALT, *columns).sortWithinPartitions(*columns)
+    points, d, out = VectorAssembler(inputCols=list(columns), outputCol="features").transform(points).cache(), len(columns), []
     n = points.count()
     for k in ks:
         ll = float(GaussianMixture(k=k, seed=seed).fit(points).summary.logLikelihood)
         out.append((k, ll, (k - 1 + k * d + k * d * (d + 1) / 2) * math.log(n) - 2 * ll))
+    points.unpersist()
     return df.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double")
 
 
