@@ -67,15 +67,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return per.groupBy(*keys).agg(*arrays)
 
 
-def value_ranks(df: DataFrame, column: str, groups: Sequence[str] = (), descending: bool = False) -> DataFrame:
+def value_ranks(df: DataFrame, column: str, groups: Sequence[str] = (), descending: bool = False, weight: str | None = None) -> DataFrame:
     """(groups, column, before, ties, rows): of each distinct value, how many rows of its group lie before it and have it.
 
-    Nulls are left out of all three; there is a row for each value, so that rows with many ties stay where they are.
+    A row counts as many times as its `weight` says. Nulls are left out of all three; there is a row for each value, so that rows with many ties stay where they are.
     Values are dealt by range of (groups, column), whatever the groups' sizes.
     """
     groups = list(groups)
     spark = df.sparkSession
-    per = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("ties"))
+    per = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg((F.sum(weight) if weight else F.count("*")).alias("ties"))
     order = [*(F.col(g).asc() for g in groups), F.col(column).desc() if descending else F.col(column).asc()]
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = written(per.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranks")

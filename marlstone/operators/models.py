@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order_statistics import exact_quantiles
+from ..functions.order_statistics import exact_quantiles, value_ranks
 from ..functions.staging import small_side, written
 
 
@@ -498,22 +498,208 @@ def mixture_bic(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed:
     return df.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double")
 
 
-def forest_comparison(df: DataFrame, y: str, feature_sets: Mapping[str, Sequence[str]], key: str, seeds: Sequence[int], trees: int = 60, depth: int = 12) -> DataFrame:
-    """(features, seed, rmse, mae) of random forests over feature sets on group hold-outs."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    out = None
-    for name, columns in feature_sets.items():
-        rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(complete_cases(df, [y, *columns]))
-        for seed in seeds:
-            split = group_holdout(rows, key, seed)
-            model = RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=10, subsamplingRate=0.8, seed=seed).fit(split.where("not is_test"))
-            e = evaluate(model.transform(split.where("is_test")), y, "prediction").select(F.lit(name).alias("features"), F.lit(seed).alias("seed"), "rmse", "mae")
-            out = e if out is None else out.unionByName(e)
+def _poisson_limits(mean: float) -> np.ndarray:
+    """Hashes of 32 bits from limits[k - 1] on draw k or more."""
+    p, upto, limits = math.exp(-mean), 0.0, []
+    for k in range(1, 100):
+        upto += p
+        p *= mean / k
+        if upto * 2**32 >= 2**32 - 1:
+            break
+        limits.append(math.ceil(upto * 2**32))
+    return np.array(limits, np.uint32)
+
+
+def poisson_draws(h: np.ndarray, times: np.ndarray, seed: int, trees: int, mean: float = 0.8) -> np.ndarray:
+    """(trees, rows): how often a tree draws a row, by a hash of the row, which copy of it, the seed and a pair of trees."""
+    out, limits = np.zeros((trees, len(h))), _poisson_limits(mean)
+    # a look at the upper 16 bits tells all but those that a limit falls within
+    known = np.searchsorted(limits, np.arange(2**16, dtype=np.uint32) << np.uint32(16), "right").astype(np.uint8)
+    known[limits >> np.uint32(16)] = 255
+    for i in np.flatnonzero(times > 16):  # drawn as a whole
+        out[:, i] = np.random.Generator(np.random.Philox(key=int(hashed_on(h[i : i + 1], np.array([seed]))[0]))).poisson(mean * times[i], trees)
+    copy, left = 0, np.flatnonzero(times <= 16)
+    while len(left):
+        own = hashed_on(hashed_on(h[left], np.array([copy])), np.array([seed]))
+        for i in range(0, trees, 2):
+            halves = hashed_on(own, np.array([i])).astype("<u8").view("<u4")
+            drawn = known[halves >> np.uint32(16)]
+            unclear = np.flatnonzero(drawn == 255)
+            drawn[unclear] = np.searchsorted(limits, halves[unclear], "right")
+            pair = drawn.reshape(-1, 2).T[: trees - i]
+            if len(left) == len(h):
+                out[i : i + 2] += pair
+            else:
+                out[i : i + 2, left] += pair
+        copy += 1
+        left = left[times[left] > copy]
     return out
 
 
+def feature_edges(long: DataFrame, bins: int) -> dict[tuple[int, int], list[float]]:
+    """Borders of up to `bins` bins of equal frequency for each (_m, _c) of long's values _x, `times` each, halfway between values."""
+    at = written(value_ranks(long, "_x", ["_m", "_c"], weight="times"), "feature-ranks")
+    few = at.groupBy("_m", "_c").agg((F.count("*") <= bins).alias("_few"))
+    share = F.floor((F.col("before") + F.col("ties") / 2) / F.col("rows") * bins)
+    # a row for each bin
+    per = at.join(F.broadcast(few), ["_m", "_c"]).groupBy("_m", "_c", F.when(F.col("_few"), F.col("before")).otherwise(share).alias("_b")).agg(F.min("_x").alias("low"), F.max("_x").alias("high"))
+    edges, last = {}, {}
+    for r in sorted(per.collect(), key=lambda r: (r["_m"], r["_c"], r.low)):
+        own = (r["_m"], r["_c"])
+        if own in last and r.low < math.inf:
+            mid = last[own] + (r.low - last[own]) / 2
+            # what lies halfway belongs below, and a bin starts with its border
+            edges.setdefault(own, []).append(math.nextafter(mid, math.inf) if last[own] < mid < r.low else r.low)
+        last[own] = r.high
+    return edges
+
+
+def _looked_at() -> Column:
+    """The third of a cell's features that its node may split by, by a hash."""
+    drawn = F.transform(F.sequence(F.lit(0), F.size("bins") - 1), lambda f: F.struct(F.xxhash64("m", "tree", "node", f).alias("h"), f.alias("f")))
+    return F.transform(F.slice(F.sort_array(drawn), 1, F.ceil(F.size("bins") / 3).cast("int")), lambda x: x["f"])
+
+
+def _gain(f: str, x: str, least: int) -> Column:
+    """(gain, -f, -bin) of a cut behind bin x of feature f, from a of t rows and their sums of y; null if it is none."""
+    a, ay, t, ty = map(F.col, ("_a", "_ay", "_t", "_ty"))
+    apart = ay / a - (ty - ay) / (t - a)
+    return F.when((a >= least) & (t - a >= least) & (apart != 0), F.struct((a * (t - a) / t * apart * apart).alias("gain"), (-F.col(f)).alias("f"), (-F.col(x)).alias("bin")))
+
+
+def _child(best: str) -> Column:
+    beyond = F.get("bins", -F.col(best)["f"]) > -F.col(best)["bin"]
+    return F.when(F.col(best).isNull(), F.col("node")).otherwise(F.col("node") * 2 + beyond.cast("long")).alias("node")
+
+
+def _level_by_sums(cells: DataFrame, least: int) -> DataFrame:
+    """Cells with the nodes of the next level, by sums of bins that are made before any shuffle."""
+    node = ["m", "tree", "node"]
+    looked = cells.select(*node, "bins", "w", "wy", F.explode(_looked_at()).alias("_f"))
+    sums = looked.groupBy(*node, "_f", F.get("bins", F.col("_f")).alias("_x")).agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+    whole = Window.partitionBy(*node, "_f")  # a row for each bin
+    upto = whole.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    cut = sums.select(*node, "_f", "_x", *(F.sum(c).over(w).alias(n) for w, names in ((upto, ("_a", "_ay")), (whole, ("_t", "_ty"))) for c, n in zip(("w", "wy"), names, strict=True)))
+    best = cut.groupBy(*node).agg(F.max(_gain("_f", "_x", least)).alias("_s"))
+    return cells.join(best, node).select("m", "tree", "bins", "w", "wy", _child("_s"))
+
+
+def grown_forests(cells: DataFrame, depth: int, features: int, least: int = 10, largest: int = 100_000) -> DataFrame:
+    """(m, bins, p): the mean over trees of what each one predicts for a cell of up to `features` bins.
+
+    `cells` is (m, tree, bins, w, wy): a cell's drawn rows and their sum of y, 0 where a tree has drawn none. All trees of
+    all forests grow by a level at a time. A node splits by the bin that lowers its squares most, of a third of the
+    features, where both sides have `least` rows; one that hasn't split never does. While a node has more than `largest`
+    cells a level is made of sums; after that a node's cells stay in one task, which sorts them.
+    """
+    now = written(cells.select("m", "tree", "bins", "w", "wy", F.lit(1).cast("long").alias("node")), "forest-level")
+    level, before = 0, None
+    while level < depth:
+        # splitting ends where no node of the large ones has lost cells
+        sizes = now.groupBy("m", "tree", "node").agg(F.count("*").alias("n")).where(F.col("n") > largest).agg(F.count("*").alias("nodes"), F.sum("n").alias("cells")).first()
+        if not sizes.nodes or sizes == before:
+            break
+        now, level, before = written(_level_by_sums(now, least), "forest-level"), level + 1, sizes
+    root = ["m", "tree", "root"]
+    now = now.withColumn("root", F.col("node")).repartition(*root)
+    whole = Window.partitionBy(*root, "node")  # up to `largest` cells
+    for _ in range(level, depth):
+        now, gains = now.withColumn("_looked", _looked_at()), []
+        for i in range(-(-features // 3)):
+            f = F.get("_looked", F.lit(i))
+            now = now.withColumns({"_f": f, "_x": F.get("bins", f)})
+            upto = whole.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            now = now.withColumns({n: F.sum(c).over(w) for w, names in ((upto, ("_a", "_ay")), (whole, ("_t", "_ty"))) for c, n in zip(("w", "wy"), names, strict=True)})
+            now = now.withColumn(f"_g{i}", _gain("_f", "_x", least))
+            gains.append(F.col(f"_g{i}"))
+        now = now.withColumn("_s", F.max(F.greatest(*gains) if len(gains) > 1 else gains[0]).over(whole))
+        now = now.select("m", "tree", "bins", "w", "wy", "root", _child("_s"))
+    leaf = F.sum("wy").over(whole) / F.nullif(F.sum("w").over(whole), F.lit(0.0))
+    return now.select("m", "bins", leaf.alias("p")).groupBy("m", "bins").agg(F.avg("p").alias("p"))
+
+
+def forest_comparison(df: DataFrame, y: str, feature_sets: Mapping[str, Sequence[str]], key: str, seeds: Sequence[int], trees: int = 60, depth: int = 12) -> DataFrame:
+    """(features, seed, rmse, mae) of random forests over feature sets on group hold-outs.
+
+    Trees see features by up to 32 bins, so a tree needs the rows that it draws (0.8 of them, with replacement) as sums
+    of cells of bins only. All forests share one pass that draws, and grow together.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    names, seeds = list(feature_sets), [int(s) for s in seeds]
+    columns = list(dict.fromkeys(c for f in feature_sets.values() for c in f))
+    models = [(i, j) for i in range(len(names)) for j in range(len(seeds))]
+    has = [" and ".join(f"x{columns.index(c)} is not null" for c in feature_sets[n]) for n in names]
+    told = complete_cases(df, [y]).select(F.col(key).alias("key"), F.col(y).cast("double").alias("y"), *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{k}") for k, c in enumerate(columns)))
+    told = told.where(" or ".join(f"({x})" for x in has))
+    # equal rows once, with their number, as they are told apart by it alone
+    rows = written(told.groupBy(*told.columns).agg(F.count("*").alias("times")), "forest-rows")
+    for j, seed in enumerate(seeds):
+        rows = group_holdout(rows, "key", seed).withColumnRenamed("is_test", f"t{j}")
+
+    # values with their numbers first, as they are far fewer than rows
+    flags = {f"t{j}": F.col(f"t{j}") for j in range(len(seeds))} | {f"has{i}": F.expr(x) for i, x in enumerate(has)}
+    long = None
+    for k, c in enumerate(columns):
+        own = [F.when(F.col(f"has{i}") & ~F.col(f"t{j}"), F.lit(m)) for m, (i, j) in enumerate(models) if c in feature_sets[names[i]]]
+        values = rows.groupBy(F.col(f"x{k}").alias("_x"), *(x.alias(n) for n, x in flags.items())).agg(F.sum("times").alias("times"))
+        values = values.select("_x", "times", F.lit(k).alias("_c"), F.explode(F.array_compact(F.array(*own))).alias("_m"))
+        long = values if long is None else long.unionByName(values)
+    edges = feature_edges(long, 32)
+    cuts = {(m, k): f"b{m}_{k}" for m, (i, _) in enumerate(models) for k in (columns.index(c) for c in feature_sets[names[i]])}
+    splits = [[-math.inf, *edges.get(own, [0.0]), math.inf] for own in cuts]
+    binned = Bucketizer(splitsArray=splits, inputCols=[f"x{k}" for _, k in cuts], outputCols=list(cuts.values()), handleInvalid="keep").transform(rows)
+    binned = binned.select(F.xxhash64("key", "y", *(f"x{k}" for k in range(len(columns)))).alias("h"), "y", "times", *(f"t{j}" for j in range(len(seeds))), *(F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in cuts.values()), *(F.expr(x).alias(f"has{i}") for i, x in enumerate(has)))
+    binned = written(binned, "forest-bins")
+    own_bins = [[cuts[m, columns.index(c)] for c in feature_sets[names[i]]] for m, (i, _) in enumerate(models)]
+
+    def sums(batches):
+        held: dict[tuple, int] = {}
+        room = np.zeros((1024, 2, trees))
+
+        def told():
+            cells = list(held)
+            return pd.DataFrame({"m": [c[0] for c in cells], "bins": [list(c[1:]) for c in cells], "w": list(room[: len(cells), 0]), "wy": list(room[: len(cells), 1])})
+
+        for pdf in batches:
+            h, values, times = pdf["h"].to_numpy().view(np.uint64), pdf["y"].to_numpy(), pdf["times"].to_numpy()
+            for j, seed in enumerate(seeds):
+                drawn = poisson_draws(h, times, seed, trees) * ~pdf[f"t{j}"].to_numpy()
+                for m, (i, of) in enumerate(models):
+                    at = np.flatnonzero(pdf[f"has{i}"].to_numpy())
+                    if of != j or not len(at):
+                        continue
+                    own, code = pdf[own_bins[m]].iloc[at], np.zeros(len(at), np.int64)
+                    for c in own_bins[m]:
+                        code = np.unique(code * 64 + own[c].to_numpy(), return_inverse=True)[1]
+                    first = np.unique(code, return_index=True)[1]
+                    slots = [held.setdefault((m, *c), len(held)) for c in own.iloc[first].itertuples(index=False, name=None)]
+                    while len(held) > len(room):
+                        room = np.concatenate([room, np.zeros_like(room)])
+                    y_at, part = values[at], np.empty((2, trees, len(first)))
+                    for t, w in enumerate(drawn if len(at) == len(pdf) else drawn[:, at]):
+                        part[0, t] = np.bincount(code, w, len(first))
+                        part[1, t] = np.bincount(code, w * y_at, len(first))
+                    room[slots] += part.transpose(2, 0, 1)
+            if len(held) > 50_000:
+                yield told()
+                held.clear()
+                room = np.zeros((1024, 2, trees))
+        if held:
+            yield told()
+
+    each = binned.mapInPandas(sums, "m int, bins array<int>, w array<double>, wy array<double>").select("m", "bins", F.posexplode(F.arrays_zip("w", "wy")).alias("tree", "_s"))
+    cells = each.groupBy("m", "tree", "bins").agg(F.sum("_s.w").alias("w"), F.sum("_s.wy").alias("wy"))
+    guess = written(grown_forests(cells, depth, max(map(len, own_bins))), "forest-cells")
+
+    tests = [F.when(F.col(f"has{i}") & F.col(f"t{j}"), F.struct(F.lit(m).alias("m"), F.array(*own_bins[m]).alias("bins"))) for m, (i, j) in enumerate(models)]
+    tested = binned.select("y", "times", F.explode(F.array_compact(F.array(*tests))).alias("_t")).select("y", "times", "_t.*")
+    e = F.col("p") - F.col("y")
+    got = tested.join(small_side(guess, 64 + 4 * len(columns)), ["m", "bins"]).where("p is not null").groupBy("m").agg(F.sqrt(F.sum(e * e * F.col("times")) / F.sum("times")).alias("rmse"), (F.sum(F.abs(e) * F.col("times")) / F.sum("times")).alias("mae"))
+    named = df.sparkSession.createDataFrame([(m, names[i], seeds[j]) for m, (i, j) in enumerate(models)], "m int, features string, seed int")
+    return named.join(got, "m", "left").select("features", "seed", "rmse", "mae")
+
+
 def selected_model(results: DataFrame, base: str, gain: float = 0.005) -> DataFrame:
     """results (model, rmse, mae, monotone) with chosen: the best monotone model that beats `base` by a share in both errors, else base."""
     b = results.where(F.col("model") == base).select(F.col("rmse").alias("_r"), F.col("mae").alias("_m"))
