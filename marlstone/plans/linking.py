@@ -98,7 +98,8 @@ def _prices():
 def scored_matches(spark, d):
     """Candidates of a block, additive scores with reasons, the best one, near ties."""
     a, b = _sides(spark, d)
-    scores = [("size", _apart() <= 3, 40.0), ("price", _prices() <= 50, 30.0), ("same_size", _apart() == 0, 20.0)]
+    size, price = ("a_p_size", "b_p_size"), ("a_p_retailprice", "b_p_retailprice")
+    scores = [("size", J.Within(*size, 3), 40.0), ("price", J.Within(*price, 50), 30.0), ("same_size", J.Within(*size, 0), 20.0)]
     out = J.scored_matches(a, b, ["p_brand", "p_type"], "a_p_partkey", "b_p_partkey", scores)
     return out.withColumnsRenamed({"a_p_partkey": "l", "b_p_partkey": "r"})
 
