@@ -25,6 +25,27 @@ def starts(codes: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=n))])
 
 
+def places_in_ranges(values: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The value at a place, from 0, of the sorted values of each range [low, high) of rows; a row counts as often as its weight.
+
+    Places below 0 are the first; those behind a range give NaN. Values are told apart a bit of their rank at a time: rows with
+    a zero move to the front, each range becomes one of those or of the others, and only one such step is held at a time.
+    """
+    upto = np.concatenate([[0], np.cumsum(weights)])
+    there, left, found = (low < high) & (places < upto[high] - upto[low]), np.maximum(places, 0), np.zeros(len(low), int)
+    known, codes = np.unique(values, return_inverse=True)
+    for bit in reversed(range((len(known) - 1).bit_length() if len(known) else 0)):
+        zero = (codes >> bit) & 1 == 0
+        front, below = np.concatenate([[0], np.cumsum(zero)]), np.concatenate([[0], np.cumsum(np.where(zero, weights, 0))])
+        less = below[high] - below[low]
+        on = left >= less
+        left, found = left - np.where(on, less, 0), found | (on.astype(int) << bit)
+        low, high = (np.where(on, front[-1] + x - front[x], front[x]) for x in (low, high))
+        order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+        codes, weights = codes[order], weights[order]
+    return np.where(there, known[np.where(there, found, 0)], np.nan) if len(known) else np.full(len(low), np.nan)
+
+
 class BoxTree:
     """Points by their ranks in each dimension, no two alike; their order is that of the rows."""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions.range_search import BoxTree
+from marlstone.functions.range_search import BoxTree, places_in_ranges
 from marlstone.operators import joins as J
 
 
@@ -47,3 +47,28 @@ def test_matches_by_bands_are_those_of_pairs(spark, monkeypatch, slices):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     empty = J.scored_matches(a.limit(0), b, ["g"], "a_id", "b_id", bands)
     assert empty.count() == 0 and J.scored_matches(a, b.limit(0), ["g"], "a_id", "b_id", bands).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_places_in_ranges(n):
+    r = np.random.default_rng(n)
+    values, weights = r.choice([-1.0, 0.5, 2.0, *r.normal(size=20)], n), r.integers(1, 4, n)
+    low, high, places = r.integers(0, n + 1, 90), r.integers(0, n + 1, 90), r.integers(-1, 2 * n, 90)
+    for got, a, b, k in zip(places_in_ranges(values, weights, low, high, places), low, high, places, strict=True):
+        whole = np.sort(np.repeat(values[a:b], weights[a:b]))
+        assert got == whole[max(k, 0)] if k < len(whole) and a < b else np.isnan(got)
+    assert np.isnan(places_in_ranges(values[:0], weights[:0], low * 0, high * 0, places)).all()
+
+
+def test_comparables_of_a_group_form_no_pairs(spark, monkeypatch):
+    plans, whole = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, what: (plans.append(plan_of(df)), whole(df, what))[1])
+    r = random.Random(2)
+    rows = [(i, "g", r.choice([0.0, None, float("nan"), -1.0, -1.05, *(r.gauss(25, 1) for _ in range(20))]), r.choice([None, r.gauss(5, 1)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, s double, v double")
+    for relative, within in ((True, 0.02), (False, 0.5)):
+        got = {x.id: tuple(x)[1:] for x in J.banded_comparables(df, "id", "g", [("near", [], "s", within)], "v", 3, relative).collect()}
+        for i, _, s, _ in rows:
+            own = [w for j, _, z, w in rows if j != i and None not in (s, z, w) and (s or not relative) and (abs(z / s - 1) if relative else abs(z - s)) <= within]
+            assert got[i] == (("near", len(own), float(np.median(own))) if len(own) >= 3 else ("NONE", 0, None)), i
+    assert any("FlatMapCoGroupsInPandas" in x for x in plans) and not any("unboundedpreceding" in x for x in plans)
