@@ -67,6 +67,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return per.groupBy(*keys).agg(*arrays)
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, _c, _x, _n): how many rows of a group have which value in which of the columns, without nulls and NaN."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in columns)))
+    return df.select(*keys, pairs.alias("_pair")).select(*keys, "_pair.*").where("_x is not null and not isnan(_x)").groupBy(*keys, "_c", "_x").agg(F.count("*").alias("_n"))
+
+
+def counted_quantiles(counts: DataFrame, keys: Sequence[str], columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """exact_quantiles() of the rows behind value_counts(), whose counts of a group and value add up; null keys are a group."""
+    keys, named = list(keys), [*keys, "_c"]
+    at = value_ranks(counts, "_x", named, weight="_n")
+    place = [F.lit(float(p)) * (F.col("rows") - 1) for p in shares]
+    here = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("ties")), F.col("_x")))
+    per = at.groupBy(*named).agg(*(here(F.floor(x) + more).alias(f"_{name}{i}") for i, x in enumerate(place) for more, name in enumerate("az")), F.first("rows").alias("rows"))
+
+    def between(i: int) -> Column:
+        a, z, k = F.col(f"_a{i}"), F.col(f"_z{i}"), F.floor(place[i])
+        return F.when((place[i] == k) | (a == z), a).otherwise((k + 1 - place[i]) * a + (place[i] - k) * z)
+
+    per = per.select(*named, F.array(*map(between, range(len(shares)))).alias("_q"))
+    return per.groupBy(*keys).agg(*(F.max(F.when(F.col("_c") == c, F.col("_q"))).alias(c) for c in columns))
+
+
 def value_ranks(df: DataFrame, column: str, groups: Sequence[str] = (), descending: bool = False, weight: str | None = None) -> DataFrame:
     """(groups, column, before, ties, rows): of each distinct value, how many rows of its group lie before it and have it.
 

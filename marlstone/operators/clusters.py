@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import middle_draws
 from ..functions.order_statistics import exact_quantiles
 from ..functions.staging import small_side, written
 
@@ -194,28 +195,31 @@ def aligned_labels(labels: DataFrame, reference: DataFrame, ident: str) -> DataF
     return labels.join(names, (F.col("rep") == F.col("_rep")) & (F.col("cluster") == F.col("_from")), "left").drop("_rep", "_from").withColumn("aligned", F.coalesce("aligned", "cluster"))
 
 
-def draw(*parts: Column) -> Column:
-    """A number below 2 ** 32 that only depends on the parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
-
-
 def resampled_medians(rows: DataFrame, ident: str, value: str, ties: str, replicates: int, seed: int = 0) -> DataFrame:
     """(rep, ident, median): of as many draws with replacement as an entity has values, for replicates 0, 1, ...
 
-    Values travel once, as an array in their order, or once for each block of replicates where an entity has very many; a
-    replicate is drawn where the array is, and its median is that of the drawn places.
+    Draws depend on the number of values alone: the middle ones of each replicate are found without the values, in blocks of
+    replicates where an entity has very many, and looked up in the array of the entity's values in their order.
     """
     kept = rows.where(F.col(value).isNotNull()).select(ident, F.struct(F.col(value).cast("double").alias("v"), F.col(ties).alias("t")).alias("_x"))
     packed = kept.groupBy(ident).agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["v"]).alias("_v"))
-    n = F.size("_v")
-    step = F.least(F.lit(replicates), F.greatest(F.lit(1), F.floor(F.lit(5_000_000) / n)).cast("int"))
-    dealt = packed.select(ident, "_v", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), step)).alias("_b"))
-    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ident, "_b")
-    reps = F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + F.col("_step") - 1, F.lit(replicates - 1))))
-    drawn = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(draw(F.lit(seed), F.col(ident), F.col("rep"), i), n).cast("int")))
-    found = dealt.select(ident, "_v", reps.alias("rep")).withColumn("_d", drawn)
-    at = lambda f: F.get("_v", F.get("_d", f((n - 1) / 2).cast("int")))
-    return found.select("rep", ident, ((at(F.floor) + at(F.ceil)) / 2).alias("median"))
+    packed = written(packed.withColumn("_n", F.size("_v")), "resampled-values")
+    step = F.least(F.lit(replicates), F.greatest(F.lit(1), F.floor(F.lit(5_000_000) / F.col("_n"))).cast("int"))
+    text = F.concat(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string")), F.lit("|"))
+    asked = packed.select(F.col(ident).alias("_id"), text.alias("text"), F.col("_n").alias("n"), step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), step)).alias("first"))
+    asked = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id", "first")
+
+    def drawn(batches):
+        for pdf in batches:
+            last = np.minimum(pdf["first"] + pdf["step"], replicates)
+            found = list(middle_draws(zip(pdf["text"].str.encode("utf-8"), pdf["n"], pdf["first"], last, strict=True)))
+            yield pdf[["_id", "first"]].assign(low=[x for x, _ in found], high=[x for _, x in found])
+
+    places = asked.mapInPandas(drawn, f"_id {dict(rows.dtypes)[ident]}, first int, low array<int>, high array<int>")
+    met = packed.join(places, F.col(ident).eqNullSafe(F.col("_id")))
+    at = lambda c, i: F.get("_v", F.get(c, i))
+    each = F.transform(F.sequence(F.lit(0), F.size("low") - 1), lambda i: F.struct((F.col("first") + i).alias("rep"), ((at("low", i) + at("high", i)) / 2).alias("median")))
+    return met.select(ident, F.explode(each).alias("_r")).select("_r.rep", ident, "_r.median")
 
 
 def assignment_stability(aligned: DataFrame, ident: str, replicates: int) -> DataFrame:
